@@ -73,7 +73,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 FEATURES = ("x1", "x2", "x3", "x4")
 #: Standard deviations in thousandths that every feature has at least: most clean texts have no symbols or
 #: repeats at all, and a table's bars or one repeated line don't make a text an outlier.
-FLOORS = (60, 90, 200, 160)
+FLOORS = (80, 100, 200, 160)
 #: Share of a pool that the determinant is minimised over, and the factor that makes its covariance consistent
 #: for 4 normal features: 0.75 / P(chi2_6 <= 5.385).
 SUBSET, CONSISTENCY = 0.75, 1.485

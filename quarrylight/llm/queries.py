@@ -5,17 +5,131 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mcd
-from .common import table
+from . import chat, mcd, packing, pii, sharding, simhash, tokens, urls, warc
+from .common import table, words_of
+
+#: Bytes of text that a shard holds at most, and words that a packed sequence holds.
+SHARD_BYTES, SEQUENCE = 1 << 20, 2048
+#: First fetch day of the pages, which have no dates of their own: a page's number is spread over a year.
+FIRST_DAY, DAYS = "2024-01-01", 366
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mcd.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumnRenamed("text", "_text"), "_text")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mcd.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    number = lambda kind: F.size(pii.of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}")
+    base = F.array_join(pii.of_kinds(F.col("spans"), pii.BASE_KINDS), ",")
+    return found.select("doc_id", *map(number, pii.BASE_KINDS), F.sha2(base, 256).alias("base_sha256"), "spans")
+
+
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapsed_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a dated list made of the pages' own domains: three entries each, by digests of the name."""
+    day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day((F.col("page_id") * 37) % DAYS).alias("fetched"))
+    names = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
+    dated = names.withColumn("hash", F.explode(F.array(*(F.md5(F.concat("domain", F.lit(f"#{k}"))) for k in range(3)))))
+    number = lambda a, b: F.conv(F.substring("hash", a, b), 16, 10).cast("long")
+    action = F.when(number(5, 1) < 8, "block").otherwise("allow")
+    return urls.listed_captures(pages, dated.select("domain", action.alias("action"), day(number(1, 4) % DAYS).alias("listed")))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of words without two documents of one source or two exact copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("n_words"), F.xxhash64("text").alias("copies"))
+    return packing.packed(docs, SEQUENCE, "n_words", cluster="copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_personal_data": op2_personal_data,
+    "op3_extendible_shards": op3_extendible_shards,
+    "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_chats": op6_chats,
+    "op7_warc": op7_warc,
+    "op8_url_filters": op8_url_filters,
+    "op10_best_fit": op10_best_fit,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_extendible_shards": f"""
+        with sized as (
+            select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
+                   right(repeat('0', 60) || to_base(('0x' || left(md5(coalesce(doc_id::varchar, '')), 15))::bigint, 2), 60) as bits
+            from documents),
+        sums as (
+            select d.depth, left(bits, d.depth) as shard, count(*) as n, sum(n_bytes)::bigint as shard_bytes
+            from sized, (select unnest(range(0, 61))::integer as depth) d group by 1, 2),
+        fit as (select * from sums where shard_bytes <= {SHARD_BYTES} or n = 1)
+        select doc_id, n_bytes, shard, depth, shard_bytes
+        from sized join fit on left(bits, depth) = shard
+        qualify depth = min(depth) over (partition by bits)""",
+    "op6_chats": """
+        with numbered as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn nulls last, role, text) as place
+            from conversations),
+        chats as (
+            select conv_id, count(*) as n_turns,
+                   string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by place) as text
+            from numbered group by conv_id)
+        select conv_id, n_turns, text from chats c
+        where not exists (
+            select 1 from chats o
+            where o.n_turns > c.n_turns and starts_with(o.text, c.text) or o.text = c.text and o.conv_id < c.conv_id)""",
+    "op7_warc": """
+        with shared as (select coalesce(html, '') as html, max(page_id) as latest from pages group by 1)
+        select page_id, strlen(s.html)::bigint as payload_bytes,
+               (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(s.html), 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1), '' order by i)
+                from (select unnest(range(0, 32)) as i)) as payload_digest,
+               case when page_id = latest then 'response' else 'revisit' end as record_type,
+               case when page_id <> latest then latest end as refers_to
+        from pages p join shared s on coalesce(p.html, '') = s.html""",
+    "op8_url_filters": f"""
+        with captures as (
+            select page_id, url, (date '{FIRST_DAY}' + ((page_id * 37) % {DAYS})::int)::date as fetched,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host
+            from pages),
+        asked as (
+            select page_id, fetched, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') as domain
+            from captures, (select unnest(range(1, 12)) as k) where k <= greatest(len(string_split(host, '.')) - 1, 1)),
+        hashed as (select distinct domain, md5(domain || '#' || k) as hash from asked, (select unnest(range(0, 3)) as k)),
+        entries as (
+            select domain, (date '{FIRST_DAY}' + (('0x' || left(hash, 4))::bigint % {DAYS})::int)::date as since,
+                   min(case when ('0x' || substr(hash, 5, 1))::int < 8 then 'block' else 'zallow' end) as action
+            from hashed group by 1, 2),
+        spans as (select *, lead(since) over (partition by domain order by since) as until from entries),
+        hits as (
+            select page_id, s.domain as rule, replace(action, 'zallow', 'allow') as verdict
+            from asked a join spans s on a.domain = s.domain and fetched >= since and (until is null or fetched < until)
+            qualify row_number() over (partition by page_id order by length(s.domain) desc) = 1)
+        select c.page_id, url, fetched, host, rule, coalesce(verdict, 'none') as verdict
+        from captures c left join hits h on c.page_id = h.page_id""",
 }
-ORACLE_SQL: dict[str, str] = {}
