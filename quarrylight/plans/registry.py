@@ -1,11 +1,7 @@
 """Every registered query by name, with the SQL that gives the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .oracle import ORACLE_SQL
+from .queries import QUERIES
 
 FLAGSHIP = "dense_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
