@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mcd, packing, pii, sharding, simhash, tokens, urls, warc
+from . import chat, decontam, mcd, packing, pii, sharding, simhash, tokens, urls, warc
 from .common import table, words_of
 
 #: Bytes of text that a shard holds at most, and words that a packed sequence holds.
@@ -60,6 +60,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.listed_captures(pages, dated.select("domain", action.alias("action"), day(number(1, 4) % DAYS).alias("listed")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of words without two documents of one source or two exact copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("n_words"), F.xxhash64("text").alias("copies"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chats": op6_chats,
     "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
+    "op9_decontamination": op9_decontamination,
     "op10_best_fit": op10_best_fit,
 }
 

@@ -75,6 +75,18 @@ def links(found: DataFrame, fp: str = "fingerprint", max_distance: int = MAX_DIS
     return probes.join(tables, "key").filter((~F.col("exact") | (F.col("a") < F.col("b"))) & near).select("a", "b")
 
 
+def _classes(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(fingerprint, root, component_id) for every fingerprint of (doc_id, fingerprint), by links between distinct ones.
+
+    root is the least fingerprint of the component, component_id the least id of all its rows.
+    """
+    least = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "least")
+    roots = connected_components(written(links(least, "fingerprint", max_distance).distinct(), "links"), "a", "b")
+    joined = least.join(roots, least.fingerprint == roots.node, "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    smallest = joined.filter("node is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+    return joined.join(smallest, "root", "left").select("fingerprint", "root", F.coalesce("smallest", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Return doc_id, fingerprint (long) and component_id, the smallest id reachable over links, for every row.
 
@@ -83,9 +95,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     they occur, an empty table gives an empty one, and other columns of `docs` are left out.
     """
     rows = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fingerprint", shingle, seed).drop("text"), "fingerprints")
-    least = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "least")
-    roots = connected_components(written(links(least, "fingerprint", max_distance).distinct(), "links"), "a", "b")
-    joined = least.join(roots, least.fingerprint == roots.node, "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = joined.filter("node is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    classes = joined.join(smallest, "root", "left").select("fingerprint", F.coalesce("smallest", "least").alias("component_id"))
-    return rows.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return rows.join(_classes(rows, max_distance), "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row of each group of near-duplicates with all columns of `docs`: the smallest id, of equal ids any one.
+
+    Of each distinct fingerprint one row goes on; then one of each component stays. Rows with a null id stay only
+    where their group has no other. Texts are written once, with their fingerprints, and shuffled by no key: the
+    rows that stay are chosen by row numbers, which are joined back.
+    """
+    rows = written(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_fingerprint", shingle, seed), "fingerprints")
+    slim = rows.select(F.col(doc_id).alias("doc_id"), F.col("_fingerprint").alias("fingerprint"), "_row")
+    first = slim.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    chosen = first.join(_classes(slim, max_distance), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    kept = written(chosen.select(F.col("first._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
