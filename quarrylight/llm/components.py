@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by least labels and pointer jumping."""
+"""Connected components of a table of links, by contraction to least neighbours."""
 
 from __future__ import annotations
 
@@ -8,24 +8,40 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """Follow (node, root) pointers to their ends; the distance covered doubles with every step."""
+    while True:
+        far = parents.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        jumped = written(parents.join(far, parents.root == far.mid).select("node", F.col("root").alias("old"), F.col("far").alias("root")), "roots")
+        drop_written(parents)
+        parents = jumped.select("node", "root")
+        if jumped.filter("old <> root").isEmpty():
+            return parents
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node reachable.
 
-    Each round gives a node the least label among its own and its neighbours', then jumps to that label's label.
-    Rounds are few, as labels travel twice as far each time; every round's table is written, so a lost executor costs
-    one round. Degrees may be large: labels are reduced before they are shuffled. No edges give no rows.
+    Each round points every node to its least neighbour, follows the pointers to their ends, and replaces the edges
+    by the distinct ones between different ends. A dense group shrinks to a point in the first round, so its edges
+    are read once only, and nodes at least halve from round to round. Tables are written after every step, so a lost
+    executor costs one step. Loops are ignored, but their node has a row; no edges give no rows.
     """
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
-        lowered = labels.join(near, labels.node == near.u).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        lowered = written(lowered, "lowered")
-        jump = lowered.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = written(lowered.join(jump, lowered.root == jump.mid).select("node", "old", F.col("far").alias("root")), "labels")
-        drop_written(lowered)
-        drop_written(labels)
-        labels = new.select("node", "root")
-        if new.filter("old <> root").isEmpty():
-            drop_written(both)
-            return labels
+    live = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")), "edges")
+    total = None
+    while not live.isEmpty():
+        both = live.union(live.select(F.col("v"), F.col("u")))
+        ends = _roots(written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")), "parents"))
+        if total is None:
+            total = ends
+        else:
+            moved = ends.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+            new = written(total.join(moved, total.root == moved["_node"], "left").select("node", F.coalesce("_root", "root").alias("root")), "total")
+            drop_written(total)
+            total = new
+        left, right = ends.select(F.col("node").alias("u"), F.col("root").alias("x")), ends.select(F.col("node").alias("v"), F.col("root").alias("y"))
+        between = live.join(left, "u").join(right, "v").filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        new = written(between, "edges")
+        drop_written(live)
+        live = new
+    return live.select(F.col("u").alias("node"), F.col("v").alias("root")) if total is None else total
