@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,8 +175,6 @@ def similarity(pairs: DataFrame, before: str, after: str, out: str = "similarity
     """Adds the longest-matching-block ratio of two texts, times 100 and rounded; row-local Python, as no function has it."""
     from difflib import SequenceMatcher
 
-    import pandas as pd
-
     @F.pandas_udf("int")
     def ratio(b: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([round(100 * SequenceMatcher(None, x or "", y or "").ratio()) for x, y in zip(b, a)], dtype="int32")

@@ -333,4 +333,29 @@ ORACLE_SQL = {
         with e as (select event_id, user_id % 3 as owner, date_trunc('hour', ts) as start, event_type from events)
         select event_id from e a where event_id % 2 = 0 and exists (select 1 from e b where b.event_id % 2 = 1 and b.owner = a.owner and b.start = a.start and b.event_type <> 'error')""",
     "slots_by_day": "select user_id % 6 as owner, ts::date as day, count(*) as n, min(ts) as first_start from events group by 1, 2",
+    "page_text": r"""
+        with b as (select page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') as t from pages),
+        e as (select page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) as x from b)
+        select page_id, md5(x) as text, sha256(html) as checksum, case when length(x) < 20 then 'NO_TEXT' end as reason from e""",
+    "hard_chunks": """
+        with n as (select doc_id, text, unnest(range(0, ceil(length(text) / 900)::bigint)) as ordinal from documents where length(text) > 0)
+        select doc_id, ordinal, md5(substr(text, ordinal * 900 + 1, 900)) as chunk from n""",
+    "job_reading": """
+        select c_custkey, case c_custkey % 3 when 0 then 'preferred:Docker|required:Go|required:Python|required:Redis' when 1 then 'preferred:Docker|required:Go|required:Kafka|required:Python' else 'preferred:Docker|required:Go|required:MySQL|required:Python' end as skills,
+               (c_custkey % 9 + 1)::double as years, 'BACKEND' as category from customer""",
+    "alert_states": """
+        with s as (select (user_id % 5)::varchar as owner, date_trunc('day', ts)::timestamp as "at", count(*) filter (event_type = 'error') > 3 as broken from events group by 1, 2),
+        p as (select *, coalesce(lag(broken) over (partition by owner order by "at"), false) as was from s),
+        f as (select *, sum(broken::int) over w as n, max(case when broken and not was then "at" end) over w as opened, max(case when was and not broken then "at" end) over w as closed from p window w as (partition by owner order by "at"))
+        select owner, 'errors' as signal, "at", case when broken then 'OPEN' else 'RESOLVED' end as status, n::bigint as occurrences, opened as opened_at, case when not broken then closed end as resolved_at from f where n > 0""",
+    "outbox_states": """
+        with a as (select user_id % 60 as event, event_id, timestamp '2024-01-01' + to_seconds(event_id) as "at", event_type as t, row_number() over (partition by user_id % 60 order by event_id) as attempt from events),
+        s as (select *, case t when 'purchase' then 'COMPLETED' when 'signup' then 'BLOCKED' else case when attempt >= 5 then 'FAILED' else 'PENDING' end end as status from a)
+        select event, event_id, attempt, status, case when status = 'PENDING' then "at" + to_seconds(least(300, (2 ** attempt)::int)) end as available_at
+        from (select *, coalesce(max((status <> 'PENDING')::int) over (partition by event order by event_id rows between unbounded preceding and 1 preceding), 0) as done from s) where done = 0""",
+    "task_states": """
+        with a as (select l_orderkey as task, l_partkey * 8 + l_linenumber as "at", bool_or(l_returnflag = 'N') as ok from lineitem group by 1, 2),
+        s as (select *, row_number() over (partition by task order by "at") as attempt from a),
+        t as (select case when ok then 'COMPLETED' when attempt >= 3 then 'FAILED' else 'RETRYING' end as status, attempt from s)
+        select status, case when status = 'RETRYING' then least(300, 10 * (3 ** (attempt - 1))::int) end as delay, count(*) as n from t group by 1, 2""",
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vec
-from ..operators import calendar, entities, filters, reports, scoring, search, telemetry
+from ..operators import calendar, entities, filters, reading, reports, scoring, search, telemetry
+from ..sources import documents as files
+from ..streaming import stateful
 
 #: The pinned clock of all queries, and parameters that the SQL shares.
 NOW = "2024-01-20 12:00:00"
@@ -548,6 +550,60 @@ def question_answers(spark, sf_dir):
     return turns.filter("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.md5("answer").alias("answer"))
 
 
+def page_text(spark, sf_dir):
+    """Visible text of pages, with the upload guard's checksum and reason."""
+    pages = table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("raw_text"), F.encode("html", "UTF-8").alias("content"))
+    rows = pages.withColumns({"suffix": F.lit("txt"), "length": F.length("content").cast("long"), "error": F.lit(None).cast("string")})
+    return files.guard(rows).select("page_id", F.md5("text").alias("text"), "checksum", "reason")
+
+
+def hard_chunks(spark, sf_dir):
+    out = files.hard_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.md5("chunk").alias("chunk"))
+
+
+def paragraph_chunks(spark, sf_dir):
+    out = files.paragraph_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "ordinal", F.length("chunk").alias("n_chars"))
+
+
+def section_chunks(spark, sf_dir):
+    """Orders as search documents: the parts of an order as one section's values."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("part "), F.col("l_partkey") * 1_000_003))).alias("parts"))
+    docs = lines.select("l_orderkey", files.search_document({"canonical skills": F.col("parts"), "roles": F.array(F.lit("buyer"))}, lambda v: v).alias("text"))
+    return files.section_chunks(docs, "l_orderkey", "text", 100).select("l_orderkey", "section", F.col("ordinal").cast("long").alias("ordinal"), "chunk")
+
+
+def find_mentions(spark, sf_dir):
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Tools: Python, Go, "), "p_name", F.lit(" and PostgreSQL\nSwift delivery")).alias("text"))
+    return reading.read(docs, "p_partkey", "text")["mentions"].select("p_partkey", "line", "place", "name", "kind")
+
+
+def job_reading(spark, sf_dir):
+    """Requirements and years of a job description made for each customer."""
+    n = F.col("c_custkey")
+    text = F.concat(F.lit("Backend Developer\nRequirements:\n- Python, Go and "), F.element_at(F.array(*map(F.lit, ["Redis", "Kafka", "MySQL"])), (n % 3 + 1).cast("int")), F.lit("\n- "), (n % 9 + 1).cast("string"), F.lit("+ years of experience\nNice to have:\n- Docker"))
+    read = reading.read(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    names = read["requirements"].groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(":"), "name"))), "|").alias("skills"))
+    return names.join(read["years"], "c_custkey").join(read["categories"].select("c_custkey", "category"), "c_custkey")
+
+
+def alert_states(spark, sf_dir):
+    """Hourly sweeps of error counts by owner as an alert's state log."""
+    sweeps = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).cast("string").alias("owner"), F.date_trunc("day", "ts").alias("at")).agg((F.count_if(F.col("event_type") == "error") > 3).alias("broken")).withColumn("signal", F.lit("errors"))
+    return stateful.alert_log(sweeps)
+
+
+def outbox_states(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("event"), "event_id", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("event_id"))).alias("at"), F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "signup", "blocked").otherwise("error").alias("outcome"))
+    return stateful.outbox_log(attempts).select("event", "event_id", F.col("attempt").cast("long").alias("attempt"), "status", "available_at")
+
+
+def task_states(spark, sf_dir):
+    attempts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("l_partkey") * 8 + F.col("l_linenumber"))).alias("at"), (F.col("l_returnflag") == "N").alias("ok")).groupBy("task", "at").agg(F.bool_or("ok").alias("ok"))
+    return stateful.task_log(attempts).groupBy("status", "delay").agg(F.count("*").alias("n"))
+
+
 # Calendar -------------------------------------------------------------------------------------------------------
 
 
