@@ -102,12 +102,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """One row of each group of near-duplicates with all columns of `docs`: the smallest id, of equal ids any one.
 
     Of each distinct fingerprint one row goes on; then one of each component stays. Rows with a null id stay only
-    where their group has no other. Texts are written once, with their fingerprints, and shuffled by no key: the
-    rows that stay are chosen by row numbers, which are joined back.
+    where their group has no other. Texts are written once, with their fingerprints. The rows that stay are chosen by
+    row numbers and joined back by a shuffle on these, which are unique, at every size: texts are neither sorted
+    nor met by a broadcast that grows with the table.
     """
     rows = written(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_fingerprint", shingle, seed), "fingerprints")
     slim = rows.select(F.col(doc_id).alias("doc_id"), F.col("_fingerprint").alias("fingerprint"), "_row")
     first = slim.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
     chosen = first.join(_classes(slim, max_distance), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
     kept = written(chosen.select(F.col("first._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
