@@ -141,12 +141,17 @@ PARAGRAPH = r"(?m)\n{2,}|(?=^[A-ZĐÁÀẢÃẠĂÂÊÔƠƯ][^\n]{2,50}:?$)"
 ALONE = "\x01"
 
 
-def paragraph_chunks(docs: DataFrame, key: str, text: str, most: int = 900, cap: int = 100) -> DataFrame:
-    """(key, ordinal, chunk): paragraphs packed within `most` characters, longer ones cut every `most`; at most `cap`."""
+def paragraph_chunks(docs: DataFrame, key: str, text: str, most: int = 900, cap: int | None = None) -> DataFrame:
+    """(key, ordinal, chunk): paragraphs of whole texts packed within `most` characters, longer ones cut every `most`.
+
+    `cap` is the reference's input limit for callers who ask for it: a text's first chunks only.
+    """
     paragraphs = F.filter(F.transform(F.split(text, PARAGRAPH), lambda p: F.trim(p)), lambda p: p != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.length(p) / most).cast("int") - 1), lambda i: F.concat(F.lit(ALONE), F.trim(F.substring(p, i * most + 1, F.lit(most)))))
     pieces = F.filter(F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(cut(p)))), lambda p: p != ALONE)
-    groups = F.slice(greedy_groups(pieces, F.lit(0), 1, most), 1, cap)
+    groups = greedy_groups(pieces, F.lit(0), 1, most)
+    if cap is not None:
+        groups = F.slice(groups, 1, cap)
     return docs.select(key, F.posexplode(groups).alias("ordinal", "group")).select(key, "ordinal", F.replace(F.array_join("group", "\n"), F.lit(ALONE), F.lit("")).alias("chunk"))
 
 

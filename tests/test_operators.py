@@ -209,6 +209,14 @@ def test_chunkers(spark):
     assert [r.chunk for r in files.hard_chunks(spark.createDataFrame([(1, "abcde"), (2, "")], "id int, text string"), "id", "text", 2).collect()] == ["ab", "cd", "e"]
 
 
+def test_paragraph_chunks_hold_the_whole_text(spark):
+    text = "\n\n".join(f"{k} " + "x" * 600 for k in range(130)) + "\n\n" + "y" * 20_000
+    docs = spark.createDataFrame([(1, text)], "id int, text string")
+    got = [r.chunk for r in files.paragraph_chunks(docs, "id", "text").orderBy("ordinal").collect()]
+    assert got == [f"{k} " + "x" * 600 for k in range(130)] + ["y" * 900] * 22 + ["y" * 200]
+    assert files.paragraph_chunks(docs, "id", "text", cap=100).count() == 100
+
+
 def test_files_are_guarded(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿a text that is long enough\r\n\r\n  and   more ".encode())
     (tmp_path / "b.txt").write_bytes(b"short")
