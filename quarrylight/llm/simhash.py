@@ -19,17 +19,24 @@ SEGMENTS = ((22, 1), (22, 1), (20, 0))
 MAX_DISTANCE = 4
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash, as a signed number, of the word shingles of `text` with A-Z in lower case; 0 without words."""
+def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """8-byte hashes, a row each, of the word shingles of `text` with A-Z in lower case; fewer words are one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes split at space and tab to carriage return only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     line, k = b" ".join(words), min(shingle, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[: n - k]))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist())]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist())]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash, as a signed number, of the word shingles of `text` with A-Z in lower case; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ BITS
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes)).tobytes(), "big", signed=True)
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylight.llm import chat, decontam, packing, queries, sharding, simhash, urls, warc
+from quarrylight.llm import chat, decontam, packing, queries, sharding, similar, simhash, urls, warc
 from quarrylight.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -254,6 +254,46 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sorted((str(r.doc_id), r.text) for r in simhash.deduplicated(twice).collect()) == [("1", "a b c d e f"), ("1", "u v w x y z"), ("None", "k l m n o p")]
 
 
+def plain_groups(texts):
+    """The least index of each text's component over all pairs of five-word shingle similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if root[i] != root[j] and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab, shared = [f"w{k}" for k in range(900)], [f"common{k}" for k in range(60)]
+    texts = [None, "", " ", "One two", "one TWO", "a b c d e f"]
+    for g in range(40):
+        t = [str(x) for x in rng.choice(vocab, 150)] + (shared if g % 2 else [])
+        for changes in (0, 0, 1, 2, 3, 4):  # up to 20 of some 150 shingles change: similarity 1 down to about 0.75
+            other = list(t)
+            for at in rng.choice(140, changes, replace=False):
+                other[at] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(other))
+    for _ in range(60):  # one large group whose members differ from each other more than from their source
+        other = list(shared * 2 + [f"g{k}" for k in range(100)])
+        for at in rng.choice(200, 2, replace=False):
+            other[at] = f"new{rng.integers(1 << 40)}"
+        texts.append(" ".join(other))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy(F.rand(2))
+    want = sorted(set(plain_groups(texts)))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, DIR).collect()) == want
+    few = simhash.deduplicated(frame).count()
+    assert few > len(want)  # four bits of four-word fingerprints leave linked texts apart
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (None, "k l m n o p"), (None, "k l m n o p"), (None, "u v w x y z")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in similar.deduplicated(twice).collect()) == [("1", "a b c d e f"), ("1", "u v w x y z"), ("None", "k l m n o p")]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns = docs.columns
