@@ -195,6 +195,17 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert not {d for d, _ in got if d % 2 == 0}
 
 
+def test_decontamination_of_what_every_row_holds(spark):
+    rng = np.random.default_rng(12)
+    item = [f"item{k}" for k in range(15)]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 400, 20)), *item, *(f"w{x}" for x in rng.integers(0, 400, 40))]) for _ in range(50)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(frame, bench).collect()) == list(range(50))
+    one = spark.createDataFrame([(7, texts[0])], "doc_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(one, bench).collect()] == [7]
+
+
 def test_decontamination_rows_without_words(spark):
     frame = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (None, "one two three four five six seven eight nine"), (4, "x " * 90_000)], "doc_id long, text string").withColumn("hits", F.lit("clash"))
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven eight nine")], "item_id long, text string")
