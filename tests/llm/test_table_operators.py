@@ -206,6 +206,24 @@ def test_decontamination_of_what_every_row_holds(spark):
     assert [r.doc_id for r in decontam.contaminated(one, bench).collect()] == [7]
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = np.random.default_rng(13)
+    vocab = np.array([f"w{k}" for k in range(6000)])
+    weight = 1 / np.arange(10, 6010)
+    draw = lambda n: [str(x) for x in rng.choice(vocab, n, p=weight / weight.sum())]
+    items = [draw(n) for n in (5, 8) for _ in range(150)]
+    texts = []
+    for item in items:
+        text = draw(300)
+        text[150:150] = item
+        texts.append(" ".join(text))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
+    for part in (range(150), range(150, 300)):
+        assert sum((i, i) in got for i in part) >= 0.9 * len(part)
+
+
 def test_decontamination_rows_without_words(spark):
     frame = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (None, "one two three four five six seven eight nine"), (4, "x " * 90_000)], "doc_id long, text string").withColumn("hits", F.lit("clash"))
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven eight nine")], "item_id long, text string")
