@@ -65,9 +65,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of words without two documents of one source or two exact copies."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("n_words"), F.xxhash64("text").alias("copies"))
-    return packing.packed(docs, SEQUENCE, "n_words", cluster="copies")
+    """Sequences of words without two documents of one source or two near-duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("n_words"), "text")
+    return packing.packed(simhash.clustered(docs), SEQUENCE, "n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -119,3 +119,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     chosen = first.join(_classes(slim, max_distance), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
     kept = written(chosen.select(F.col("first._row").alias("_row")), "kept")
     return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+
+
+def clustered(docs: DataFrame, text: str = "text", out: str = "cluster", shingle: int = 4, seed: int = 42, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Replace the text of every row by `out`, a number that the rows of one group of near-duplicates share."""
+    rows = written(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_fingerprint", shingle, seed).drop(text), "fingerprints")
+    classes = _classes(rows.select(F.col("_row").alias("doc_id"), F.col("_fingerprint").alias("fingerprint")), max_distance)
+    return rows.join(classes.select(F.col("fingerprint").alias("_fingerprint"), F.col("component_id").alias(out)), "_fingerprint").drop("_fingerprint", "_row")

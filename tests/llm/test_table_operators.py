@@ -274,6 +274,20 @@ def test_packing_keeps_every_word_and_every_rule(spark):
     assert packing.packed(frame.limit(0), 100, "n").collect() == []
 
 
+def test_sequences_hold_no_two_near_copies(spark, tmp_path):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(words[:60] + [f"x{i}"] + words[60:]), "en", f"s{i}", 0) for i in range(12)] + [(None, " ".join(words), "en", None, 0)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    group_of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(group_of.values())) < len(group_of)  # texts differ, but share groups
+    for out in (queries.op10_best_fit(spark, str(tmp_path)), corpus_pipeline.best_fit(spark, docs, str(tmp_path))):
+        found = out.collect()
+        assert len(found) == len(rows)
+        held = [(r.bin, group_of[r.doc_id]) for r in found]
+        assert len(set(held)) == len(held)
+
+
 def test_deduplicated_keeps_one_of_each_group(spark):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(table).collect()}
