@@ -30,10 +30,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced(F.coalesce(text, F.lit(""))), " "), "")
 
 
+def held(docs: DataFrame, **columns: Column) -> DataFrame:
+    """`docs` as one struct column "docs" beside `columns`: whatever names a user's table has, they can't meet those
+    of an operator's own columns. released() gives them back."""
+    return docs.select(F.struct("*").alias("docs"), *(c.alias(name) for name, c in columns.items()))
+
+
+def released(rows: DataFrame, *added: str) -> DataFrame:
+    """The columns of held() and behind them `added`, which take the place of columns of the same names."""
+    taken = {name.lower() for name in added}
+    fields = rows.schema["docs"].dataType.names
+    return rows.select(*(F.col("docs").getField(name).alias(name) for name in fields if name.lower() not in taken), *added)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a session on one machine
+    (local mode, as in tests) gets a new one; on a cluster that is an error, as executors can't share a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarrylight-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
