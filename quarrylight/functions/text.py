@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Fixed patterns of personal data.
-EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+#: Fixed patterns of personal data. The look-behind only spares the other starts inside a run of local characters,
+#: which end at the same at-sign; without it the time grows with the square of a run.
+EMAIL = r"(?i)\b(?<![A-Z0-9_][.%+-]{0,64})[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"(?<![\p{L}\p{N}_])(?:\+?\d[\s().-]*){8,15}(?![\p{L}\p{N}_])"
 #: Spellings of skills whose punctuation is kept.
 PROTECTED = ("c++", "c#", ".net", "f#", "node.js")
@@ -32,6 +33,15 @@ def overlap(query: Column, doc: Column) -> Column:
     return F.size(F.array_intersect(query, doc)) / F.greatest(F.lit(1), F.size(query))
 
 
+def word_overlap(text: Column, words: list[str]) -> Column:
+    """overlap() of a query's few tokens with those of a text: one pass that looks for these only, building no other."""
+    if not words:
+        return F.lit(0.0)
+    listed = "|".join("".join(c if c.isalnum() or c == "_" else "\\" + c for c in w) for w in words)
+    found = F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{listed})(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    return F.size(F.array_distinct(found)) / len(words)
+
+
 def _fold_table() -> tuple[str, str]:
     """Letters of the Latin blocks and the letter without marks that each becomes, plus đ and blanks."""
     pairs = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
@@ -134,3 +144,43 @@ def quoted(quote: Column, source: Column) -> Column:
     """Whether a quote occurs in its source, folded; empty quotes don't."""
     low = casefold(F.trim(quote))
     return (F.length(low) > 0) & F.contains(casefold(source), low)
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID of RFC 9562: SHA-1 of the namespace's bytes and the name, with version and variant bits set."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    cut = lambda a, n: F.substring(digest, a, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))
+
+
+def stable_json(columns: dict[str, Column]) -> Column:
+    """A JSON object of the columns with its keys in order and nulls kept, so that equal values give equal text."""
+    return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})
+
+
+def flattened(values: Column, fields: list[str]) -> Column:
+    """For each struct of an array its fields that aren't blank, joined by a comma; structs without any go."""
+    clean = lambda s: F.filter(F.array(*(F.trim(s[f]) for f in fields)), lambda v: v != "")
+    return F.filter(F.transform(values, lambda s: F.array_join(clean(s), ", ")), lambda v: v != "")
+
+
+def valid_answer(answer: Column, known: list[str], lists: list[str], least: int = 5) -> Column:
+    """Whether a model's answer is usable: JSON, see model_json(), with `least` of the known fields, whose `lists` hold
+    strings only."""
+    body = model_json(answer)
+    keys = F.json_object_keys(body)
+    enough = F.size(F.array_intersect(keys, F.array(*map(F.lit, known)))) >= least
+    strings = F.lit(True)
+    for name in lists:
+        found = F.get_json_object(body, f"$.{name}")
+        items = F.from_json(found, "array<string>")
+        strings &= found.isNull() | (items.isNotNull() & (F.regexp_count(found, F.lit(r'"(?:[^"\\\\]|\\\\.)*"')) == F.size(items)))
+    return F.coalesce(keys.isNotNull() & enough & strings, F.lit(False))
+
+
+def verified_claims(claims: Column, source: Column, ids: Column, kinds: list[str]) -> Column:
+    """Of an array of (id, kind, quote, confidence) those with a known id and kind whose quote is in the source;
+    confidences are brought to 0..1."""
+    kept = F.filter(claims, lambda c: F.array_contains(ids, c["id"]) & c["kind"].isin(kinds) & quoted(c["quote"], source))
+    return F.transform(kept, lambda c: c.withField("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c["confidence"], F.lit(0.0))))))

@@ -1,8 +1,8 @@
 """Rule-based reading of job descriptions and résumés as joins: text becomes rows of tokens, the vocabulary a table.
 
-The vocabulary of the reference isn't available, so the entries below are our own; what is matched is the behaviour
-on sentences. Documents are exploded to token n-grams that hash-join the alias table, so a larger vocabulary is a
-larger table and no larger program.
+The entries below are this repository's own, and only a default: any vocabulary table can be read with. What is
+fixed is the behaviour on sentences. Documents are exploded to tokens that hash-join the aliases by their first word,
+so a larger vocabulary is a larger table and no larger program.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, skill_name
 
 #: Own vocabulary, fixed values: name, kind, category, aliases ("!" before an alias that needs a context).
 VOCABULARY = [
@@ -87,7 +87,7 @@ TITLES = [
 ]
 SKILLS = ("language", "framework", "tool", "database", "cloud", "concept", "soft_skill")
 LONGEST = 6
-TOKEN = r"[\p{L}\p{N}]+(?:[.+#/'&-]+[\p{L}\p{N}]+)*[+#]*"
+TOKEN = r"[\p{L}\p{N}]++(?:[.+#/'&-]++[\p{L}\p{N}]++)*+[+#]*+"
 #: Fixed cues, folded, of how a line or clause speaks of what it names.
 PREFERRED = r"uu tien|loi the|nice to have|nice:|is a plus|preferred|would be appreciated|bonus"
 IGNORED = r"quyen loi|we offer|about us|cong ty|our team|our company|co the hoc"
@@ -95,15 +95,19 @@ NEGATED = r"khong yeu cau|not needed|not required|khong can"
 CONTEXT = r"developer|lap trinh|language|xcode|iphone|middleware|jobs|tools|skills|ky nang"
 
 
+#: Most aliases that are broadcast, and the most characters of each: a few MB. Larger vocabularies are shuffled.
+BROADCAST_ALIASES, ALIAS_CHARS = 50_000, 80
+
+
 def vocabulary(spark: SparkSession) -> DataFrame:
-    """(alias, name, kind, category, needs_context): a row for each alias."""
+    """(alias, name, kind, category, needs_context): a row for each alias of the built-in words."""
     rows = [(a.lstrip("!"), name, kind, category, a.startswith("!")) for name, kind, category, aliases in VOCABULARY for a in aliases.split(",")]
     return spark.createDataFrame(rows, "alias string, name string, kind string, category string, needs_context boolean")
 
 
 def clauses(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, clause, original, folded): lines cut at sentence ends, addresses blanked, hyphenated breaks joined."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2"), r"\S+@\S+|https?://\S+|\b[\w-]+\.(?:net|com|org)\b(?<!(?i)asp\.net)", " ")
+    clean = F.regexp_replace(F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2"), r"(?<!\S)[^\s@]++@\S++|https?://\S+|\b[\w-]+\.(?:net|com|org)\b(?<!(?i)asp\.net)", " ")
     lines = docs.select(key, F.posexplode(F.split(clean, "\n")).alias("line", "_l"))
     parts = lines.select(key, "line", F.posexplode(F.split("_l", r"(?<=[.!?])\s+|;")).alias("clause", "original")).filter("trim(original) <> ''")
     return parts.withColumn("folded", fold(F.col("original")))
@@ -112,28 +116,41 @@ def clauses(docs: DataFrame, key: str, text: str) -> DataFrame:
 def mentions(parts: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """(key, line, clause, place, n, name, kind, category): longest alias matches over whole tokens.
 
+    `words` is a vocabulary table, see vocabulary(): aliases of up to LONGEST words and ALIAS_CHARS characters. A token
+    meets the aliases that begin with it, the words behind it decide.
     An alias that needs a context counts where it stands in its own spelling (a capital first) and next to a
     confirmed skill, or in a clause with a cue word; inside R&D, foo.js and the like it isn't a token at all.
     """
-    token = parts.select(key, "line", "clause", "original", "folded", F.posexplode(F.regexp_extract_all("folded", F.lit(TOKEN), F.lit(0))).alias("place", "token"))
-    at = Window.partitionBy(key, "line", "clause").orderBy("place")
-    after = [F.lead("token", i).over(at) for i in range(LONGEST)]
-    grams = F.array(*(F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *after[:n]).alias("alias"), after[n - 1].isNotNull().alias("whole")) for n in range(1, LONGEST + 1)))
-    split = F.array(F.struct(F.lit(1).alias("n"), F.regexp_replace("token", "'s$", "").alias("alias"), F.lit(True).alias("whole")))
-    spread = token.withColumn("g", F.concat(grams, split)).select(key, "line", "clause", "original", "folded", "place", F.explode(F.array_distinct("g")).alias("g")).filter("g.whole").select("*", "g.n", "g.alias").drop("g")
-    # Names joined by a slash count one by one unless the whole is a name.
-    slashed = token.filter("token like '%/%'").select(key, "line", "clause", "original", "folded", "place", F.lit(0).alias("n"), F.explode(F.split("token", "/")).alias("alias"))
-    found = spread.unionByName(slashed.select(spread.columns)).join(words, "alias")
-    longest = Window.partitionBy(key, "line", "clause", "place").orderBy(F.desc("n"))
-    top = found.withColumn("_r", F.rank().over(longest)).filter("_r = 1").drop("_r")
+    tokens = F.regexp_extract_all("folded", F.lit(TOKEN), F.lit(0))
+    followed = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.slice("tokens", i + 2, F.lit(LONGEST - 1)).alias("next")))
+    placed = parts.select(key, "line", "clause", "original", "folded", tokens.alias("tokens")).select(key, "line", "clause", "original", "folded", F.posexplode(followed).alias("place", "t")).select("*", "t.*").drop("t")
+    # A name's possessive counts as the name; names joined by a slash count one by one unless the whole is a name.
+    one = lambda word, n: F.struct(word.alias("first"), n.alias("least"))
+    spellings = F.concat(
+        F.array(one(F.col("token"), F.lit(1)), one(F.regexp_replace("token", "'s$", ""), F.lit(1))),
+        F.when(F.contains("token", F.lit("/")), F.transform(F.split("token", "/"), lambda w: one(w, F.lit(0)))).otherwise(F.array().cast("array<struct<first: string, least: int>>")),
+    )
+    spread = placed.withColumn("w", F.explode(F.array_distinct(spellings))).select(key, "line", "clause", "original", "folded", "next", "place", "w.*")
+    alias = F.split("alias", " ")
+    listed = words.filter(F.length("alias") <= ALIAS_CHARS).select("name", "kind", "category", "needs_context", "alias", alias.alias("words"), F.get(alias, F.lit(0)).alias("first"))
+    if listed.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
+        listed = F.broadcast(listed)
+    rest = lambda c, at: F.slice(c, F.lit(at), F.greatest(F.size("words") - 1, F.lit(0)))
+    met = spread.join(listed, "first").filter((F.size("words") == 1) | (F.col("least") == 1) & (rest("next", 1) == rest("words", 2)))
+    # What a context needs of the clause is looked at here, so that its text isn't carried on.
+    spelled = F.regexp_like("original", F.concat(F.lit(r"(?<![\p{L}\p{N}&])"), F.initcap("alias"), F.lit(r"(?![\p{L}\p{N}&])")))
+    denied = F.regexp_like("folded", F.concat("alias", F.lit(r" (?:to market|delivery|of creativity)")))
+    named = F.when(F.col("needs_context"), spelled & ~denied).otherwise(True)
+    cued = F.when(F.col("needs_context"), F.col("folded").rlike(CONTEXT)).otherwise(True)
+    found = met.select(key, "line", "clause", "place", F.when(F.col("least") == 0, 0).otherwise(F.size("words")).alias("n"), "name", "kind", "category", "needs_context", named.alias("_named"), cued.alias("_cued")).repartition(key)
+    longest = Window.partitionBy(key, "line", "clause", "place")
+    top = found.withColumn("_m", F.max("n").over(longest)).filter("n = _m").drop("_m").distinct()
     upto = Window.partitionBy(key, "line", "clause").orderBy("place").rangeBetween(-LONGEST, -1)
     reach = F.max(F.col("place") + F.greatest("n", F.lit(1))).over(upto)
     free = top.withColumn("_reach", F.coalesce(reach, F.lit(0))).filter("place >= _reach").drop("_reach")
     near = Window.partitionBy(key, "line", "clause").orderBy("place").rangeBetween(-2, 2)
     sure = F.max(F.when(~F.col("needs_context") & F.col("kind").isin(*SKILLS), 1)).over(near).isNotNull()
-    spelled = F.regexp_like("original", F.concat(F.lit(r"(?<![\p{L}\p{N}&])"), F.initcap("alias"), F.lit(r"(?![\p{L}\p{N}&])")))
-    denied = F.regexp_like("folded", F.concat("alias", F.lit(r" (?:to market|delivery|of creativity)")))
-    chosen = free.withColumn("_sure", sure).filter(~F.col("needs_context") | (spelled & ~denied & (F.col("_sure") | F.col("folded").rlike(CONTEXT))))
+    chosen = free.withColumn("_sure", sure).filter(~F.col("needs_context") | F.col("_named") & (F.col("_sure") | F.col("_cued")))
     return chosen.select(key, "line", "clause", "place", "n", "name", "kind", "category")
 
 
@@ -202,12 +219,93 @@ def attributes(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return parts.select(key).distinct().join(out, key, "left")
 
 
-def read(docs: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
-    """All readings of a table of texts: mentions, requirements, years, categories, attributes."""
+def read(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All readings of a table of texts by a vocabulary table, the built-in one by default: mentions, requirements,
+    years, categories, attributes."""
     parts = clauses(docs, key, text)
-    found = mentions(parts, vocabulary(docs.sparkSession), key)
+    found = mentions(parts, vocabulary(docs.sparkSession) if words is None else words, key)
     return {"mentions": found, "requirements": requirements(parts, found, key), "years": years_required(parts, key), "categories": categories(parts, found, key), "attributes": attributes(parts, found, key)}
 
 
+#: Fixed headings of a CV, folded, and the section that each begins; those in CLAIMS speak of the person's own skills.
+HEADINGS = {
+    "summary": ("summary", "profile", "about me", "muc tieu", "gioi thieu"), "skills": ("skills", "technical skills", "ky nang"), "experience": ("experience", "work experience", "employment", "kinh nghiem", "kinh nghiem lam viec"),
+    "projects": ("projects", "du an"), "education": ("education", "hoc van"), "certifications": ("certifications", "certificates", "chung chi"), "languages": ("languages", "ngoai ngu"),
+    "hobbies": ("hobbies", "interests", "so thich"), "references": ("references", "nguoi tham chieu"),
+}
+CLAIMS, HEADING_CHARS = ("head", "summary", "skills", "experience", "projects", "certifications"), 40
+BULLET = r"^\s*[-•*▪●]\s*"
+
+
+def cv_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section, line, value): the lines of a CV under their headings; what comes before the first is "head".
+
+    A heading is a line of up to HEADING_CHARS characters that is one of HEADINGS without its colon. Where a section
+    has bullets, a line without one belongs to the bullet before it. Empty lines are left out.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("line", "value")).filter("trim(value) <> ''")
+    low = F.trim(F.regexp_replace(fold(F.trim("value")), r"[:：]\s*$", ""))
+    named = F.create_map(*(F.lit(x) for section, names in HEADINGS.items() for name in names for x in (name, section)))
+    heading = F.when(F.length(F.trim("value")) <= HEADING_CHARS, F.element_at(named, low))
+    order = Window.partitionBy(key).orderBy("line")
+    placed = lines.withColumn("_h", heading).withColumn("section", F.coalesce(F.last("_h", ignorenulls=True).over(order), F.lit("head"))).filter("_h is null")
+    bullet = F.col("value").rlike(BULLET)
+    inside = Window.partitionBy(key, "section").orderBy("line")
+    item = F.last(F.when(bullet, F.col("line")), ignorenulls=True).over(inside)
+    joined = placed.withColumn("_i", F.coalesce(item, F.col("line"))).groupBy(key, "section", F.col("_i").alias("line"))
+    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.trim(F.regexp_replace("value", BULLET, "")).alias("v")))), lambda p: p["v"]), " ")
+    return joined.agg(pieces.alias("value"))
+
+
+def cv_profile(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -> DataFrame:
+    """(key, skills, certifications, languages, summary, years): skills only from sections that claim them, by name.
+
+    Languages and certifications count wherever they stand; years is the largest number of years that a line of
+    experience states.
+    """
+    sections = cv_sections(docs, key, text)
+    lines = sections.select(F.struct(F.col(key).alias("k"), "section", "line").alias("id"), "value")
+    found = mentions(clauses(lines, "id", "value"), vocabulary(docs.sparkSession) if words is None else words, "id").select(F.col("id.k").alias(key), F.col("id.section").alias("section"), "name", "kind")
+    named = lambda kinds, here: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds) & here, F.col("name"))))
+    skills = found.groupBy(key).agg(
+        named(SKILLS, F.col("section").isin(*CLAIMS)).alias("skills"), named(["certification"], F.lit(True)).alias("certifications"), named(["spoken_language"], F.lit(True)).alias("languages")
+    )
+    told = sections.groupBy(key).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == "summary", F.struct("line", "value")))), lambda s: s["value"]), " ").alias("summary"),
+        F.max(F.when(F.col("section").isin("head", "summary", "experience"), years_stated(F.col("value")))).alias("years"),
+    )
+    none = F.array().cast("array<string>")
+    return docs.select(key).join(told, key, "left").join(skills, key, "left").select(key, *(F.coalesce(c, none).alias(c) for c in ("skills", "certifications", "languages")), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("years", F.lit(0.0)).alias("years"))
+
+
+def years_stated(text: Column) -> Column:
+    """The largest number of years, with decimals, that a text states; null without one."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d{1,2}(?:[.,]\d)?)\s*\+?\s*(?:năm|years?|yrs?|yoe)"), F.lit(1))
+    return F.array_max(F.transform(found, lambda v: F.replace(v, F.lit(","), F.lit(".")).try_cast("double")))
+
+
+def enriched(profiles: DataFrame, read: DataFrame, key: str, version: str, skills: DataFrame) -> DataFrame:
+    """Profiles completed by what the reader found: (key, skills, summary, years, source).
+
+    A profile's own extraction (skills, summary, years, catalog_version) is trusted where it was made with the same
+    catalog version: source "provided". Else its skills that the catalog knows (`skills`: norm, name) give way to the
+    reader's, unknown ones stay behind them, and an empty summary or years of 0 are filled in: source "merged".
+    """
+    own = profiles.select(key, F.coalesce("skills", F.array().cast("array<string>")).alias("skills"), "summary", "years", "catalog_version")
+    each = own.select(key, F.posexplode("skills").alias("place", "raw")).withColumn("norm", skill_name(F.col("raw")))
+    unknown = each.join(skills.select("norm").distinct(), "norm", "left_anti").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "raw"))), lambda s: s["raw"]).alias("_unknown"))
+    seen = read.select(key, F.col("skills").alias("_skills"), F.col("summary").alias("_summary"), F.col("years").alias("_years"))
+    both = own.join(unknown, key, "left").join(seen, key, "left")
+    same = F.coalesce(F.col("catalog_version") == version, F.lit(False))
+    none = F.array().cast("array<string>")
+    merged = F.array_union(F.coalesce("_skills", none), F.coalesce("_unknown", none))
+    return both.select(
+        key, F.when(same, F.col("skills")).otherwise(merged).alias("skills"),
+        F.when(same | (F.coalesce(F.trim("summary"), F.lit("")) != ""), F.col("summary")).otherwise(F.col("_summary")).alias("summary"),
+        F.when(same | (F.coalesce("years", F.lit(0.0)) > 0), F.col("years")).otherwise(F.col("_years")).alias("years"),
+        F.when(same, "provided").otherwise("merged").alias("source"),
+    )
+
+
 def skill_line(names: Column) -> Column:
     return F.array_join(names, ", ")
