@@ -1,14 +1,24 @@
-"""Vector scalars over arrays of numbers, evaluated in the JVM."""
+"""Vector scalars over arrays of numbers, evaluated in the JVM, and an embedding by hashing, in Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .text import casefold
 
 #: Length of a hashing embedding.
 HASH_SIZE = 96
+#: What its tokens are.
+TOKEN = re.compile(r"[\w+#.]{2,}")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,16 +54,33 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(token: str) -> int:
+    """A token's bucket, negative below zero where its sign is minus: the first four bytes of its SHA-256 give the
+    bucket, the low bit of the fifth the sign (set: plus)."""
+    digest = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+    bucket = int.from_bytes(digest[:4], "big") % HASH_SIZE
+    return bucket if digest[4] & 1 else ~bucket
+
+
+@F.pandas_udf(StructType([StructField("buckets", ArrayType(LongType())), StructField("values", ArrayType(DoubleType()))]))
+def _embedded(texts: pd.Series) -> pd.DataFrame:
+    out = []
+    for text in texts:
+        total = np.zeros(HASH_SIZE, np.int64)
+        for token, n in Counter(TOKEN.findall(text or "")).items():
+            at = _place(token)
+            total[at if at >= 0 else ~at] += n if at >= 0 else -n
+        used = np.flatnonzero(total)
+        out.append((used, total[used] / np.sqrt(float((total * total).sum())) if len(used) else np.zeros(0)))
+    return pd.DataFrame(out, columns=["buckets", "values"])
+
+
 def hash_embedding(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, value): signed hash counts of tokens over HASH_SIZE buckets, scaled to norm 1 and rounded to 8 digits.
 
-    Tokens are runs of two or more of letters, digits, "_", "+", "#" and "."; the first four bytes of a token's
-    SHA-256 give the bucket, the low bit of the fifth the sign (set: plus). Buckets of value 0 are left out.
+    Tokens are runs of two or more of letters, digits, "_", "+", "#" and "."; buckets of value 0 are left out. A row's
+    work is its own: each distinct token is hashed once, in Arrow batches, and nothing is shuffled.
     """
-    token = F.explode(F.regexp_extract_all(casefold(F.col(text)), F.lit(r"[\p{L}\p{N}_+#.]{2,}"), F.lit(0)))
-    hashed = docs.select(key, token.alias("token")).withColumn("h", F.sha2("token", 256))
-    part = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
-    signed = hashed.select(key, (part(1, 8) % HASH_SIZE).alias("bucket"), F.when(part(9, 2) % 2 == 1, 1).otherwise(-1).alias("sign"))
-    sums = signed.groupBy(key, "bucket").agg(F.sum("sign").alias("total")).filter("total <> 0")
-    sizes = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("total") * F.col("total")).cast("double")).alias("size"))
-    return sums.join(sizes, key).select(key, "bucket", F.round(F.col("total") / F.col("size"), 8).alias("value"))
+    rows = docs.select(key, _embedded(casefold(F.col(text))).alias("e"))
+    return rows.select(key, F.explode(F.arrays_zip("e.buckets", "e.values")).alias("z")).select(key, F.col("z.buckets").alias("bucket"), F.round("z.values", 8).alias("value"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import email_key, phone_key
+from ..functions.text import casefold, email_key, phone_key
 
 
 def resolve_profiles(incoming: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -268,3 +268,79 @@ def superseded(rows: DataFrame, key: str, order: str, status: str, live: list[st
     """Statuses after a new row arrived: of a key's live rows only the latest stays, the others are SUPERSEDED."""
     later = F.max(F.col(order)).over(Window.partitionBy(key))
     return rows.withColumn(status, F.when(F.col(status).isin(live) & (F.col(order) < later), "SUPERSEDED").otherwise(F.col(status)))
+
+
+def backfill_identities(rows: DataFrame, email: str, phone: str, own: str, created: str, digest: str, text: str) -> DataFrame:
+    """Adds identity, number and content: the number of a row among those of its identity by time and id, and its
+    digest, or where it has none that of its text."""
+    keyed = rows.withColumn("identity", identity_key(F.col(email), F.col(phone), F.col(own)))
+    order = Window.partitionBy("identity").orderBy(created, own)
+    return keyed.withColumns({"number": F.row_number().over(order), "content": F.coalesce(F.nullif(F.col(digest), F.lit("")), F.sha2(text, 256))})
+
+
+def active_counts(owned: DataFrame, tasks: DataFrame, key: str, group: str, active: list[str]) -> DataFrame:
+    """(group, active): tasks of an active status by the group of the row that they belong to; groups without any have 0."""
+    n = owned.select(key, group).join(tasks.filter(F.col("status").isin(active)).select(key), key).groupBy(group).agg(F.count("*").alias("_n"))
+    return owned.select(group).distinct().join(n, group, "left").select(group, F.coalesce("_n", F.lit(0)).alias("active"))
+
+
+def linked_pairs(links: DataFrame, parts: DataFrame, first: str, second: str, key: str, value: str) -> DataFrame:
+    """Links with the value of both parts that they name: the same table joined twice."""
+    a, b = (parts.select(F.col(key).alias(c), F.col(value).alias(f"{value}_{c}")) for c in (first, second))
+    return links.join(a, first).join(b, second)
+
+
+def resolved_values(values: DataFrame, catalog: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(key, place, value): filter values as catalog ids, in order and without repetitions.
+
+    `values` has place and raw; `catalog` norm (a name, an alias or an id, folded) and id; `ids` db_id and id. A value
+    that neither knows stands as "raw:" and its folded text; blank ones go.
+    """
+    rows = values.withColumn("_t", F.trim("raw")).filter("_t <> ''").withColumn("norm", casefold(F.col("_t")))
+    joined = rows.join(catalog.groupBy("norm").agg(F.min("id").alias("_c")), "norm", "left").join(ids.groupBy(F.col("db_id").alias("_t")).agg(F.min("id").alias("_d")), "_t", "left")
+    named = joined.select(key, "place", F.coalesce("_c", "_d", F.concat(F.lit("raw:"), "norm")).alias("value"))
+    return named.groupBy(key, "value").agg(F.min("place").alias("place")).select(key, "place", "value")
+
+
+def ordered_children(parents: DataFrame, children: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Parents with an array of their children's values in order, empty without any: one join instead of a read for each."""
+    listed = children.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda c: c[value]).alias(f"{value}s"))
+    none = F.array().cast(f"array<{dict(children.dtypes)[value]}>")
+    return parents.join(listed, key, "left").withColumn(f"{value}s", F.coalesce(f"{value}s", none))
+
+
+def truth_by_email(files: DataFrame, prefixes: dict[str, str], name: str, email: str) -> DataFrame:
+    """(email, category): the category that a file's name begins with, by folded address; of several the first by name."""
+    category = F.coalesce(*(F.when(F.col(name).startswith(p), c) for p, c in sorted(prefixes.items(), key=lambda x: -len(x[0]))))
+    rows = files.select(email_key(F.col(email)).alias("email"), category.alias("category"), name).filter("email is not null and category is not null")
+    return rows.groupBy("email").agg(F.min_by("category", name).alias("category"))
+
+
+def category_counts(rows: DataFrame, column: str, listed: list[str]) -> DataFrame:
+    """(category, n) with a row for every listed category, also those of no row, and one for rows without a listed one."""
+    known = F.when(F.col(column).isin(listed), F.col(column)).otherwise("UNCLASSIFIED")
+    counts = rows.select(known.alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(c,) for c in [*listed, "UNCLASSIFIED"]], "category string")
+    return every.join(F.broadcast(counts), "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def diff_versions(pairs: DataFrame, before: DataFrame, after: DataFrame, pair: str, values: list[str] = (), texts: list[str] = (), lists: list[str] = ()) -> DataFrame:
+    """(pair, bucket, category, before, after, change_type): the whole difference of two versions as a long table.
+
+    `before` and `after` hold a version's skills (pair, key, raw). `pairs` has for every other field two columns,
+    b_ and a_: years (a drop is a conflict as well), single `values`, `texts`, and `lists`, compared by folded value.
+    Blank or null on both sides gives no row.
+    """
+    skills = diff_skills(before, after, pair).select(pair, F.when(F.col("bucket") == "ALIAS_RENAMED", "modified").otherwise(F.col("bucket")).alias("bucket"), F.lit("skills").alias("category"), "before", "after", F.when(F.col("bucket") == "ALIAS_RENAMED", F.col("bucket")).alias("change_type"))
+    text = lambda c: c.cast("string")
+    one = lambda bucket, category, b, a, change: F.struct(bucket.alias("bucket"), F.lit(category).alias("category"), text(b).alias("before"), text(a).alias("after"), change.alias("change_type"))
+    parts = []
+    for c, change in [("years", "VALUE_CHANGED"), *((v, "VALUE_CHANGED") for v in values), *((t, "TEXT_CHANGED") for t in texts)]:
+        b, a = F.col(f"b_{c}"), F.col(f"a_{c}")
+        bucket = diff_value(b, a)
+        parts.append(F.array(one(bucket, c, b, a, F.when(bucket == "modified", F.lit(change)))))
+    dropped = experience_conflict(F.col("b_years"), F.col("a_years"))
+    parts.append(F.array(one(F.when(dropped, "conflict"), "years", F.col("b_years"), F.col("a_years"), F.lit(None).cast("string"))))
+    for c in lists:
+        parts.append(F.transform(diff_lists(F.col(f"b_{c}"), F.col(f"a_{c}")), lambda d: one(d["bucket"], c, F.when(d["bucket"] != "added", d["value"]), F.when(d["bucket"] != "removed", d["value"]), F.lit(None).cast("string"))))  # noqa: B023
+    return skills.unionByName(pairs.select(pair, F.inline(F.filter(F.concat(*parts), lambda d: d["bucket"].isNotNull()))))

@@ -77,3 +77,8 @@ def sandbox_allows(email: Column, enabled: bool, base: str, most: int, listed: S
 def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """Rows `offset` to `offset + limit` in an order that should end with a unique key."""
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def one_of(rows: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """Rows whose column has one of a few values, without duplicates of these; none keeps no row."""
+    return rows.filter(F.col(column).isin(sorted(set(values)))) if values else rows.limit(0)

@@ -233,3 +233,100 @@ def erased(rows: DataFrame, subjects: DataFrame, key: str, hashed: list[str], cl
 def cascade(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Children whose parent isn't gone."""
     return children.join(gone.select(key), key, "left_anti")
+
+
+def proposals(applications: DataFrame, tasks: DataFrame, job: str, key: str, trigger: str, approve_at: float = 80, min_confidence: float = 0, min_completed: int = 2, min_score: float = 65, top_n: int = 5) -> DataFrame:
+    """(job, key, score, place): what a shortlist proposal selects, best first, ties by key.
+
+    "screening_completed" takes the scored applications that wait for a review and whose band is REVIEW. Any other
+    trigger, a person's, gives nothing for a job with active tasks (QUEUED, RUNNING, RETRYING) or with fewer than
+    `min_completed` scored applications; else the best `top_n` (1 to 20) from `min_score` on, or where none reaches
+    that the best `top_n`. `applications` has score, confidence (0 to 1) and status; `tasks` has key and status.
+    """
+    scored = applications.filter(F.col("score").isNotNull())
+    if trigger == "screening_completed":
+        kept = scored.filter((F.col("status") == "WAITING_REVIEW") & (band(F.col("score"), F.col("confidence"), approve_at, min_confidence) == "REVIEW"))
+    else:
+        busy = applications.select(job, key).join(tasks.filter(F.col("status").isin("QUEUED", "RUNNING", "RETRYING")).select(key), key).select(job).distinct()
+        totals = scored.groupBy(job).agg(F.count("*").alias("_n"), F.count_if(F.col("score") >= min_score).alias("_good"))
+        open_ = totals.filter(F.col("_n") >= max(1, min_completed)).join(busy, job, "left_anti")
+        kept = scored.join(open_, job).filter((F.col("_good") == 0) | (F.col("score") >= min_score))
+        return shortlist(kept, job, "score", key, top_n).select(job, key, "score", "place")
+    order = Window.partitionBy(job).orderBy(F.desc("score"), key)
+    return kept.select(job, key, "score", F.row_number().over(order).alias("place"))
+
+
+#: Fixed weights of an interview's criteria.
+RUBRIC = {"required skills": 35, "depth of experience": 25, "problem solving": 20, "communication": 10, "learning what is missing": 10}
+
+
+def interview_kit(rows: DataFrame, matched: str, missing: str, required: str, title: str) -> DataFrame:
+    """Adds focus, gap and questions: up to three matched requirements, else required ones, else a general word; the
+    first that is missing; and five questions made of them by templates."""
+    first = lambda c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 3)
+    focus = F.when(F.size(first(F.col(matched))) > 0, first(F.col(matched))).when(F.size(first(F.col(required))) > 0, first(F.col(required))).otherwise(F.array(F.lit("relevant experience")))
+    kit = rows.withColumns({"focus": focus, "gap": F.coalesce(F.get(F.col(missing), F.lit(0)), F.lit(""))})
+    post = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("this position"))
+    questions = F.array(
+        F.concat(F.lit("Which project of yours shows "), F.element_at("focus", 1), F.lit(" best, and what of it would serve "), post, F.lit("?")),
+        F.concat(F.lit("How would you handle errors, logs and tests of a service built on "), F.element_at("focus", -1), F.lit("?")),
+        F.when(F.col("gap") != "", F.concat(F.lit("Your CV says little of "), F.col("gap"), F.lit(": where have you met it?"))).otherwise(F.lit("Which of your skills would you still like to deepen?")),
+        F.lit("A request changes shortly before the deadline: what do you do?"), F.concat(F.lit("What should decide for you as "), post, F.lit("?")),
+    )
+    return kit.withColumn("questions", questions)
+
+
+def violation_rate(returned: DataFrame, required: str, skills: str, years: str, minimum: str) -> DataFrame:
+    """(violations, returned, rate): how often a result breaks a hard filter; a row can break both and counts twice."""
+    lacks = F.coalesce(F.size(F.array_except(required, skills)) > 0, F.lit(False)).cast("int")
+    young = F.coalesce(F.coalesce(F.col(years), F.lit(0)) < F.col(minimum), F.lit(False)).cast("int")
+    sums = returned.agg(F.coalesce(F.sum(lacks + young), F.lit(0)).alias("violations"), F.count("*").alias("returned"))
+    return sums.withColumn("rate", F.coalesce(F.round(F.try_divide(F.col("violations"), F.col("returned")), 4), F.lit(0.0)))
+
+
+def precision_by_category(hits: DataFrame, k: int) -> DataFrame:
+    """(system, category, precision, overall, lowest) from (system, query, category, rank, relevant): the share of k by
+    category, and for each system the mean over its queries and the category that does worst."""
+    query = hits.groupBy("system", "category", "query").agg((F.count_if(F.col("relevant") & (F.col("rank") <= k)) / k).alias("p"))
+    each = query.groupBy("system", "category").agg(F.avg("p").alias("precision"), F.count("*").alias("_n"))
+    over = Window.partitionBy("system")  # a row for each category
+    return each.withColumns({"overall": F.sum(F.col("precision") * F.col("_n")).over(over) / F.sum("_n").over(over), "lowest": F.min("precision").over(over)}).drop("_n")
+
+
+def case_metrics(fields: DataFrame, evidence: DataFrame, ranked: DataFrame, routed: DataFrame) -> DataFrame:
+    """One row: cases, requirement_accuracy, evidence_support, top_1 and routing_accuracy of screening cases, by 3 digits.
+
+    `fields` has expected and found; `evidence` matched and supported (an unmatched item needs no support); `ranked`
+    case, candidate, score and expected_top; `routed` expected and found. gate() tells whether all of them are 1.
+    """
+    share = lambda hit: F.round(F.coalesce(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), F.lit(1.0)), 3)
+    best = ranked.groupBy("case").agg(F.max_by("candidate", F.struct("score", F.lit(0))).alias("top"), F.max("expected_top").alias("expected_top"))
+    one = best.agg(F.count("*").alias("cases"), share(F.col("top") == F.col("expected_top")).alias("top_1"))
+    parts = [fields.agg(share(F.col("expected").eqNullSafe(F.col("found"))).alias("requirement_accuracy")), evidence.agg(share(~F.col("matched") | F.col("supported")).alias("evidence_support")), routed.agg(share(F.col("expected") == F.col("found")).alias("routing_accuracy"))]
+    for part in parts:
+        one = one.crossJoin(F.broadcast(part))  # one row each
+    return one
+
+
+def evaluated_modes(matches: DataFrame, queries: DataFrame, grades: DataFrame, rank, rerank: DataFrame | None = None) -> DataFrame:
+    """(mode, query, precision_at_5, recall_at_10, recall_at_20, rr, ndcg_at_10): one retrieval under the four modes.
+
+    `matches` has query, dense and lexical beside what `rank` needs, a function from matches to (query, doc, rank,
+    score); dense mode hides the overlap, keyword mode puts twice the overlap less one in place of the cosine, and
+    reranked mode, given scores (query, doc, rerank), sorts by these mixed into hybrid's scores. `queries` is a
+    handful; every query has a row in each mode.
+    """
+    keyword = matches.withColumn("dense", F.col("lexical") * 2 - 1)
+    modes = {"dense": matches.withColumn("lexical", F.lit(None).cast("double")), "keyword": keyword, "hybrid": matches}
+    ranked = {mode: rank(rows).select("query", "doc", "rank", "score") for mode, rows in modes.items()}
+    if rerank is not None:
+        mixed = ranked["hybrid"].join(rerank, ["query", "doc"], "left").withColumn("score", F.col("score") * 0.3 + 100 * F.coalesce("rerank", F.lit(0.0)) * 0.7)
+        ranked["reranked"] = mixed.select("query", "doc", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rank")).alias("rank"), "score")
+    out = None
+    for mode, rows in ranked.items():
+        at = {k: retrieval_metrics(rows.select("query", "doc", "rank"), grades, k) for k in (5, 10, 20)}
+        one = queries.select("query").join(at[5].select("query", F.col("precision").alias("precision_at_5"), "rr"), "query", "left")
+        one = one.join(at[10].select("query", F.col("recall").alias("recall_at_10"), F.col("ndcg").alias("ndcg_at_10")), "query", "left").join(at[20].select("query", F.col("recall").alias("recall_at_20")), "query", "left")
+        one = one.na.fill(0.0, ["precision_at_5", "rr", "recall_at_10", "recall_at_20", "ndcg_at_10"]).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.select("mode", "query", "precision_at_5", "recall_at_10", "recall_at_20", "rr", "ndcg_at_10")

@@ -9,19 +9,16 @@ from pyspark.sql import functions as F
 def zero_filled_counts(rows: DataFrame, status: str, statuses: list[str]) -> DataFrame:
     """(status, n) with a row for every listed status, also those without rows; others are left out."""
     listed = rows.sparkSession.createDataFrame([(s,) for s in statuses], f"{status} string")
-    return F.broadcast(listed).join(rows.filter(F.col(status).isin(statuses)).groupBy(status).agg(F.count("*").alias("n")), status, "left").select(status, F.coalesce("n", F.lit(0)).alias("n"))
+    counts = rows.filter(F.col(status).isin(statuses)).groupBy(status).agg(F.count("*").alias("n"))  # as few rows as statuses
+    return listed.join(F.broadcast(counts), status, "left").select(status, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def nearest_rank(p: float, value: str) -> Column:
-    """Nearest-rank percentile: the value at ceil(n * p), null for no rows."""
+    """Nearest-rank percentile as an aggregate, for groups that are small: it holds a group's distinct values. For any
+    size there is nearest_ranks()."""
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
-def floor_index(p: float, value: str) -> Column:
-    """Percentile at the floor of (n - 1) * p, as an aggregate that holds each distinct value's count."""
-    return F.expr(f"element_at(sort_array(collect_list({value})), cast(floor((count({value}) - 1) * {p}) as int) + 1)")
-
-
 def floor_index_rows(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
     """(key, p_value): the value at index floor((n - 1) * p) of each key, without collecting a group."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
@@ -43,7 +40,7 @@ def operations_report(tasks: DataFrame, steps: DataFrame, outbox: DataFrame, app
     done, failed = F.count_if(F.col("status") == "COMPLETED"), F.count_if(F.col("status") == "FAILED")
     a = since(tasks, "created_at", now, hours).groupBy("owner").agg(F.count("*").alias("tasks"), done.alias("completed"), failed.alias("failed"))
     a = a.withColumn("success_rate", F.when(F.col("completed") + F.col("failed") > 0, F.round(F.col("completed") / (F.col("completed") + F.col("failed")), 4)))
-    b = since(steps, "created_at", now, hours).groupBy("owner").agg(nearest_rank(0.5, "latency").alias("p50"), nearest_rank(0.95, "latency").alias("p95"))
+    b = nearest_ranks(since(steps, "created_at", now, hours), ["owner"], "latency", {"p50": 0.5, "p95": 0.95})
     bad = F.col("status").isin("FAILED", "BLOCKED")
     window = (F.col("created_at") >= now - F.expr(f"interval {hours} hours")) & (F.col("created_at") <= now)
     c = outbox.groupBy("owner").agg(F.count_if(window & bad).alias("outbox_failed"), F.count_if((F.col("status") == "PENDING") & (F.col("available_at") <= now)).alias("due_backlog"))
@@ -173,3 +170,39 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def readiness(checks: DataFrame) -> DataFrame:
     """Counts of pass, warn and fail, and whether nothing failed."""
     return checks.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("pass", "warn", "fail"))).withColumn("ready", F.col("fail") == 0)
+
+
+def quota_decisions(usage: DataFrame, owner: str, time: str, key: str, amount: str, limit: int) -> DataFrame:
+    """Adds period, used and accepted: what an owner's month had used before a row, which is rejected from `limit` on.
+
+    Negative amounts count as 0. Rejected rows count too, as the reader of a log can't know what they would have used.
+    """
+    before = Window.partitionBy(owner, "period").orderBy(time, key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = usage.withColumn("period", F.date_format(time, "yyyy-MM"))
+    used = F.coalesce(F.sum(F.greatest(F.lit(0), F.col(amount))).over(before), F.lit(0))
+    return rows.withColumn("used", used).withColumn("accepted", F.col("used") < limit)
+
+
+def batch_counters(items: DataFrame, batch: str, status: str, statuses: list[str]) -> DataFrame:
+    """A row per batch with a count for each status, 0 included, and the total: what an import reports."""
+    return items.groupBy(batch).agg(*(F.count_if(F.col(status) == s).alias(s.lower()) for s in statuses), F.count("*").alias("total"))
+
+
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """(keys, a column for each share): nearest-rank percentiles, the value at ceil(n * share), without holding a group.
+
+    A histogram of equal bins over all values finds the bin that holds the rank; only that bin's values, counted, are
+    put in order. Nulls don't count; keys without a value have no row.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = known.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    binned = known.crossJoin(F.broadcast(ends)).select(*keys, "_v", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))).otherwise(0).alias("_bin"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_k").over(group.orderBy("_bin"))
+    table = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_k")).withColumns({"_upto": upto, "_n": F.sum("_k").over(group)})
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(p))).alias("rank")) for name, p in shares.items())))
+    chosen = table.select("*", asked.alias("_a")).filter((F.col("_a.rank") > F.col("_upto") - F.col("_k")) & (F.col("_a.rank") <= F.col("_upto"))).select(*keys, "_bin", "_a._name", (F.col("_a.rank") - F.col("_upto") + F.col("_k")).alias("_left"))
+    counted = binned.join(chosen.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_k"))
+    placed = counted.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    found = placed.join(chosen, [*keys, "_bin"]).filter("_upto >= _left").groupBy(*keys, "_name").agg(F.min("_v").alias("_v"))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in shares))

@@ -10,7 +10,7 @@ _WORDS = _TOKENS.format("text")
 _QUERY = f"(select {_WORDS} as query from benchmark where item_id = 0)"
 _OVERLAP = "len(list_intersect(query, words)) / greatest(1, len(query))"
 _SHA32 = "(('0x' || left(sha256({0}), 8))::bigint % {1})"
-_BUSY = "busy as (select user_id % 4 as owner, ts as busy_start, ts + to_minutes((event_id % 180)::int) as busy_end from events where event_id % 20 = 0)"
+_BUSY = "busy as (select user_id as owner, ts as busy_start, ts + to_minutes((event_id % 180)::int) as busy_end from events)"
 _RANKED = f"""
     query as (select * from {_QUERY}), vec as (select * from {_Q}),
     m as (
@@ -43,16 +43,16 @@ _OPERATIONS = f"""
           from e where ts >= timestamp '{NOW}' - interval 72 hours and ts <= timestamp '{NOW}' group by 1),
     c as (select owner, count(*) filter (event_type in ('error', 'signup') and ts >= timestamp '{NOW}' - interval 72 hours and ts <= timestamp '{NOW}') as outbox_failed,
                  count(*) filter (event_type = 'click' and ts + interval 36 hours <= timestamp '{NOW}') as due_backlog
-          from e where event_id % 4 = 0 group by 1),
+          from e group by 1),
     d as (select owner, count(*) filter (event_type = 'view') as pending, count(*) filter (event_type = 'view' and ts < timestamp '{NOW}' - interval 24 hours) as stale
-          from e where event_id % 50 = 0 group by 1),
+          from e group by 1),
     report as (
         select owner, coalesce(tasks, 0) as tasks, coalesce(completed, 0) as completed, coalesce(failed, 0) as failed, success_rate, p50, p95,
                coalesce(outbox_failed, 0) as outbox_failed, coalesce(due_backlog, 0) as due_backlog, coalesce(pending, 0) as pending, coalesce(stale, 0) as stale
         from a full join c using (owner) full join d using (owner))"""
 _LINKS = """
     links as (
-        select user_id % 40 as claim, 'm' || (event_id % 3) as model, event_id,
+        select user_id as claim, 'm' || (event_id % 3) as model, event_id,
                case event_type when 'purchase' then 'VERIFIED' when 'error' then 'POTENTIAL_INCONSISTENCY' else 'NEW_INFO' end as relation
         from events)"""
 _ROLLED = """
@@ -65,6 +65,8 @@ _ROLLED = """
     b as (select k.session, count(n.session) as covered, count(*) filter (n.session is null) as not_covered
           from (select distinct session, requirement from e) k left join n using (session, requirement) group by 1),
     rolled as (select * from a full join b using (session))"""
+_TOP = """
+    top as (select list(s order by n desc, s) as gate from (select s, count(*) as n from (select unnest(string_split(p_type, ' ')) as s from part) group by s order by n desc, s limit 3))"""
 _RETRIEVAL = """
     grades as (select doc_id % 25 as query, doc_id as doc, quality * 2 + 1 - toxic as grade from labels),
     ranked as (
@@ -177,7 +179,7 @@ ORACLE_SQL = {
     "skill_facets": "select skill, count(*) as n from (select distinct p_partkey, unnest(string_split(p_type, ' ')) as skill from part) group by 1",
     "claim_matrix": f"""
         with {_LINKS},
-        f as (select claim, model, max(case relation when 'POTENTIAL_INCONSISTENCY' then 3 when 'VERIFIED' then 2 else 1 end) as r from links where event_id % 97 = 0 or claim < 5 and event_id % 31 = 0 group by 1, 2),
+        f as (select claim, model, max(case relation when 'POTENTIAL_INCONSISTENCY' then 3 when 'VERIFIED' then 2 else 1 end) as r from links group by 1, 2),
         n as (select claim, model, ['NEW_INFO', 'VERIFIED', 'POTENTIAL_INCONSISTENCY'][r] as v from f)
         select claim, coalesce(max(v) filter (model = 'm0'), 'N/A') as m0, coalesce(max(v) filter (model = 'm1'), 'N/A') as m1, coalesce(max(v) filter (model = 'm2'), 'N/A') as m2 from n group by 1""",
     "consensus": f"""
@@ -185,7 +187,7 @@ ORACLE_SQL = {
         select claim, count(distinct model) filter (relation = 'VERIFIED') as verified_by, count(distinct model) filter (relation = 'POTENTIAL_INCONSISTENCY') as inconsistent_by
         from links group by 1 having verified_by = 3 or inconsistent_by > 0""",
     "index_actions": """
-        with i as (select doc_id + case when doc_id % 11 = 0 then 1000000000 else 0 end as doc_id, case when doc_id % 7 = 0 then 'old' else md5(text) end as have, case when doc_id % 13 = 0 then 'PENDING' else 'READY' end as status from documents where doc_id % 5 <> 0),
+        with i as (select doc_id + case when doc_id % 11 = 0 or doc_id % 5 = 0 then 1000000000 else 0 end as doc_id, case when doc_id % 7 = 0 then 'old' else md5(text) end as have, case when doc_id % 13 = 0 then 'PENDING' else 'READY' end as status from documents),
         w as (select doc_id, md5(text) as want from documents)
         select doc_id, case when want is null then 'delete' when want = have and status = 'READY' then 'skip' else 'upsert' end as action from w full join i using (doc_id)""",
     "prior_submissions": "select a.o_orderkey as k, b.o_orderkey as prior from orders a join orders b using (o_custkey) where o_custkey % 3 <> 0 and a.o_orderkey <> b.o_orderkey",
@@ -281,7 +283,8 @@ ORACLE_SQL = {
         select 'lang' as dimension, lang as value, count(*) as n, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from r group by lang
         union all select 'source', source, count(*), round(avg(quality), 6), round(avg(toxic), 6) from r group by source""",
     "micro_scores": """
-        with a as (select distinct user_id as c, event_id % 15 as i, 1 as e from events where event_id % 3 <> 0), b as (select distinct user_id as c, event_id % 15 as i, 1 as f from events where event_id % 4 <> 0),
+        with a as (select distinct user_id as c, event_id % 15 + case when event_id % 3 = 0 then 100 else 0 end as i, 1 as e from events),
+        b as (select distinct user_id as c, event_id % 15 + case when event_id % 4 = 0 then 200 else 0 end as i, 1 as f from events),
         g as (select c, sum(coalesce(e, 0) * coalesce(f, 0)) as tp, sum(coalesce(e, 0)) as e, sum(coalesce(f, 0)) as f from a full join b using (c, i) group by 1)
         select round(sum(tp) / sum(f), 6) as precision, round(sum(tp) / sum(e), 6) as recall, round(avg((tp = e and tp = f)::int), 6) as exact from g""",
     "brier_logloss": "with r as (select quality as y, (doc_id % 99 + 1) / 100 as p from labels) select round(avg((p - y) * (p - y)), 6) as brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) as log_loss from r",
@@ -300,21 +303,21 @@ ORACLE_SQL = {
                md5(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))) as flat from documents""",
     "token_estimate": "select doc_id, case when doc_id % 5 > 0 then greatest(1, length(text) // 4) else 0 end::bigint as tokens from documents",
     "pseudonyms": "select c_custkey, 'cv_' || left(sha256('salt:' || c_custkey), 16) as pseudonym from customer",
-    "annotation_export": "select item_id, md5(b.text) as query, 'cv_' || left(sha256('salt:' || doc_id), 16) as document, null::int as label from benchmark b, documents where item_id < 5",
+    "annotation_export": "select item_id, md5(b.text) as query, 'cv_' || left(sha256('salt:' || doc_id), 16) as document, null::int as label from benchmark b, documents",
     "question_answers": """
         select conv_id, turn, md5(answer) as answer
         from (select *, lead(role) over w as nr, lead(text) over w as answer from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant'""",
     "available_slots": f"""
         with {_BUSY},
-        p as (select unnest([0, 1, 2, 3])::bigint as owner, unnest([0, 7, 0, 9]) as shift),
+        p as (select distinct user_id as owner, [0, 7, 0, 9][user_id % 4 + 1] as shift from events),
         s as (select owner, timestamp '2024-01-10 10:00:00' + to_hours(k::int) as slot_start, timestamp '2024-01-10 10:00:00' + to_hours((k + shift)::int) as local_start from p, (select unnest(range(0, 336)) as k))
         select owner, slot_start, local_start from s
         where isodow(local_start) <= 5 and hour(local_start) >= 8 and local_start + interval 90 minutes <= date_trunc('day', local_start) + interval 17 hours
           and not exists (select 1 from busy b where b.owner = s.owner and slot_start < busy_end and slot_start + interval 90 minutes > busy_start and busy_start < busy_end)""",
     "overlap_antijoin": f"""
         with {_BUSY}
-        select event_id, user_id % 4 as owner from events e where event_id % 7 = 1
-          and not exists (select 1 from busy b where b.owner = e.user_id % 4 and e.ts < busy_end and e.ts + interval 5 minutes > busy_start and busy_start < busy_end)""",
+        select event_id, user_id as owner from (select *, ts + interval 3 hours as start from events) e
+        where not exists (select 1 from busy b where b.owner = e.user_id and e.start < busy_end and e.start + interval 50 minutes > busy_start and busy_start < busy_end)""",
     "merge_runs": """
         with h as (select distinct user_id % 50 as owner, date_trunc('hour', ts)::timestamp as hour from events),
         r as (select *, epoch(hour)::bigint // 3600 - row_number() over (partition by owner order by hour) as run from h)
@@ -324,7 +327,7 @@ ORACLE_SQL = {
         c as (select owner, unnest(generate_series(date_trunc('hour', busy_start)::timestamp, busy_end - interval 1 microsecond, interval 1 hour)) as cell from busy where busy_start < busy_end)
         select owner, cell, count(*) as n from c group by 1, 2""",
     "reminder_expand": f"""
-        with r as (select event_id, ts, unnest(list_distinct([60, event_id % 7 * 60])) as lead_minutes from events where event_id % 5 = 0)
+        with r as (select event_id, ts, unnest(list_distinct([60, event_id % 7 * 60])) as lead_minutes from events)
         select event_id, lead_minutes, ts - to_minutes(lead_minutes::int) as due from r where lead_minutes > 0 and ts - to_minutes(lead_minutes::int) > timestamp '{NOW}' - interval 5 minutes""",
     "deadline_sweep": f"select event_id as interview from events where event_type = 'signup' and event_id % 3 <> 0 and ts + interval 48 hours <= timestamp '{NOW}'",
     "expired_invitations": f"select event_id from events where event_type = 'view' and ts + interval 3 days <= timestamp '{NOW}'",
@@ -358,4 +361,155 @@ ORACLE_SQL = {
         s as (select *, row_number() over (partition by task order by "at") as attempt from a),
         t as (select case when ok then 'COMPLETED' when attempt >= 3 then 'FAILED' else 'RETRYING' end as status, attempt from s)
         select status, case when status = 'RETRYING' then least(300, 10 * (3 ** (attempt - 1))::int) end as delay, count(*) as n from t group by 1, 2""",
+    "owner_scope": "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'",
+    "in_filter": "select o_orderkey, o_orderstatus from orders where o_orderstatus in ('P', 'F')",
+    "hard_filter": f"with {_TOP} select p_partkey from part, top where list_contains(string_split(p_type, ' '), gate[1]) and p_size >= 20 and p_partkey % 5 = 0",
+    "warehouse_filter": """
+        select p_partkey from part where p_size between 5 and 40 and contains(lower(p_name), 'a') and p_partkey % 2 = 0 and p_partkey % 5 > 0 and p_brand = 'Brand#13'
+        union all select -p_partkey from part where p_partkey % 5 = 0""",
+    "webhook_rows": """
+        with r as (
+            select event_id, user_id, event_type, '{"provider":"p' || (user_id % 4) || '",' || case event_id % 3 when 0 then '"id":"e' || event_id || '",' when 1 then '"data":{"id":"d' || event_id || '"},' else '' end
+                   || case when event_id % 3 = 2 then '"event":"' else '"type":"' end || upper(event_type) || '","n":' || event_id || '}' as v from events)
+        select 'p' || (user_id % 4) as provider, case event_id % 3 when 0 then 'e' || event_id when 1 then 'd' || event_id else 'sha256:' || sha256(v) end as external_id, event_type as type from r""",
+    "distinct_events": "select distinct user_id, event_type, ts::date as day from events",
+    "consented_rows": f"select event_id from events where event_id % 9 > 0 and ts <= timestamp '{NOW}'",
+    "file_drift": "select doc_id::varchar as path from documents where doc_id % 7 = 0 or doc_id % 11 = 0 union select (doc_id + 1000000000)::varchar from documents where doc_id % 11 = 0",
+    "seed_missing": "select distinct l_partkey * 3 as p_partkey from lineitem where l_partkey * 3 not in (select p_partkey from part)",
+    "shortlist_report": """
+        with t as (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders qualify place <= 3),
+        b as (select *, (select string_agg('- line ' || i, chr(10) order by i) from range(1, least(o_orderkey % 10 + 1, 8) + 1) r(i)) as ev, (select string_agg('- line ' || i, chr(10) order by i) from range(1, least(o_orderkey % 10 + 1, 7) + 1) r(i)) as qs from t),
+        p as (select o_custkey, place, '## ' || place || '. Order ' || o_orderkey || chr(10) || 'Score: ' || floor(o_totalprice)::bigint || ' (' || case when o_orderstatus = 'F' then 'done' else '-' end || ')' || chr(10)
+                     || '### Evidence' || chr(10) || ev || chr(10) || '### Questions' || chr(10) || case when o_orderkey % 2 = 0 then qs else '' end as s from b)
+        select o_custkey, md5('# Shortlist' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) order by place)) as report from p group by 1""",
+    "subject_export": """
+        with o as (select o_custkey, string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' order by o_orderkey) as items from orders group by 1)
+        select c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"' || coalesce(',"orders":[' || items || ']', '') || '}' as json from customer left join o on o_custkey = c_custkey""",
+    "backfill_identity": """
+        with k as (select o_orderkey as id, o_orderdate, case o_orderkey % 3 when 0 then 'e:c' || o_custkey || '@x.org' when 1 then 'p:' || lpad('9' || o_custkey, 10, '0') else 'i:' || o_orderkey end as identity from orders)
+        select id, identity, row_number() over (partition by identity order by o_orderdate, id) as number, case when id % 4 = 0 then 'given' else sha256('order ' || id) end as content from k""",
+    "merged_profiles": """
+        with r as (select o_custkey as profile, o_orderkey as n, o_orderdate::timestamp + to_seconds((o_orderkey % 86400)::int) as seen from orders),
+        g as (select profile, arg_max('Name ' || n, {'a': seen, 'b': 'Name ' || n}) filter (n % 3 > 0) as name, arg_min('o' || n || '@x.org', seen) filter (n % 2 = 0) as email, arg_min(lpad('9' || n, 10, '0'), seen) filter (n % 5 = 0) as phone, max(seen) as last from r group by 1)
+        select c_mktsegment as owner, c_custkey as profile, coalesce(g.name, c_name) as name, case when c_custkey % 2 = 0 then 'own@x.org' else g.email end as email, g.phone as phone,
+               timestamp '1990-01-01' as first_seen, greatest(timestamp '1990-01-01', coalesce(last, timestamp '1990-01-01')) as last_seen from customer left join g on g.profile = c_custkey""",
+    "active_task_count": "select o_custkey, count(*) filter (l_returnflag in ('N', 'A')) as active from orders left join lineitem on l_orderkey = o_orderkey group by 1",
+    "linked_answers": """
+        with t as (select conv_id || '/' || turn as pair, md5(text) as said, conv_id, turn from conversations)
+        select a.pair as one, b.pair as other, a.said as said_one, b.said as said_other from t a join t b on b.pair = a.conv_id || '/' || (a.turn + 2)""",
+    "filter_values": """
+        with v as (select p_partkey, p_brand, generate_subscripts(w, 1) - 1 as place, unnest(w) as raw from (select p_partkey, p_brand, string_split(p_type, ' ') || [p_brand] as w from part)),
+        n as (select p_partkey, place, case when raw = p_brand then 'brand-' || substr(p_brand, 7, 2) when length(raw) > 4 then 'sk-' || lower(raw) else 'raw:' || lower(raw) end as value from v)
+        select p_partkey, min(place)::bigint as place, value from n group by 1, 3""",
+    "ordered_children": "select o_orderkey, coalesce(string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey), '') as parts from orders left join lineitem on l_orderkey = o_orderkey group by 1",
+    "truth_by_email": """
+        with f as (select ['be-', 'fe-', 'ops-', 'xx-'][c_custkey % 4 + 1] || c_custkey as file, 'c' || c_nationkey || '@x.org' as email, ['BACKEND', 'FRONTEND', 'DEVOPS_SRE', null][c_custkey % 4 + 1] as category from customer)
+        select email, arg_min(category, file) as category from f where category is not null group by 1""",
+    "distinct_in_order": """
+        with v as (select p_partkey, generate_subscripts(w, 1) as place, unnest(w) as raw from (select p_partkey, string_split(p_type || ' ' || p_type || ' ' || p_name, ' ') as w from part)),
+        f as (select p_partkey, min(place) as place, arg_min(raw, place) as raw from v where raw <> '' group by p_partkey, lower(raw))
+        select p_partkey, string_agg(raw, '|' order by place) as words from f group by 1""",
+    "category_counts": "select c.category, count(d.lang) as n from (select unnest(['en', 'de', 'xx', 'UNCLASSIFIED']) as category) c left join (select case when lang in ('en', 'de', 'xx') then lang else 'UNCLASSIFIED' end as lang from documents) d on d.lang = c.category group by 1",
+    "full_diff": """
+        with o as (select o_custkey, o_orderkey as k, o_orderstatus as st, o_orderpriority as pr, floor(o_totalprice / 1000)::double as y from orders),
+        p as (select k as pair, lead(k) over w as k2, st as s1, lead(st) over w as s2, pr as p1, lead(pr) over w as p2, y as y1, lead(y) over w as y2 from o window w as (partition by o_custkey order by k) qualify k2 is not null),
+        sk as (select l_orderkey as o, (l_partkey % 20)::varchar as key, min(case when l_linenumber % 3 = 0 then 'x' else 'y' end || (l_partkey % 20)) as raw from lineitem group by 1, 2),
+        b as (select pair, key, raw as before from p join sk on o = pair), a as (select pair, key, raw as after from p join sk on o = k2),
+        d as (select pair, before, after, case when before is null then 'added' when after is null then 'removed' when lower(before) <> lower(after) then 'modified' else 'unchanged' end as bucket from b full join a using (pair, key)),
+        w as (select pair, list_distinct(string_split(replace(p1, '-', ' '), ' ')) as wb, list_distinct(string_split(replace(p2, '-', ' '), ' ')) as wa from p),
+        l as (select pair, wb, wa, unnest(list_distinct(wb || wa)) as v from w)
+        select pair, bucket, 'skills' as category, before, after, case when bucket = 'modified' then 'ALIAS_RENAMED' end as change_type from d
+        union all select pair, case when y1 = y2 then 'unchanged' else 'modified' end, 'years', y1::varchar, y2::varchar, case when y1 <> y2 then 'VALUE_CHANGED' end from p
+        union all select pair, 'conflict', 'years', y1::varchar, y2::varchar, null from p where y2 < y1
+        union all select pair, case when s1 = 'P' then 'added' when s1 = s2 then 'unchanged' else 'modified' end, 'status', nullif(s1, 'P'), s2, case when s1 <> 'P' and s1 <> s2 then 'VALUE_CHANGED' end from p
+        union all select pair, case when p1 = p2 then 'unchanged' else 'modified' end, 'summary', p1, p2, case when p1 <> p2 then 'TEXT_CHANGED' end from p
+        union all select pair, case when not list_contains(wb, v) then 'added' when not list_contains(wa, v) then 'removed' else 'unchanged' end, 'words', case when list_contains(wb, v) then v end, case when list_contains(wa, v) then v end, null from l where v <> ''""",
+    "uuids": """
+        with h as (select c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) as h from customer)
+        select c_custkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[('0x' || h[17:17])::int % 4 + 1] || h[18:20] || '-' || h[21:32] as uuid from h""",
+    "stable_dumps": """select c_custkey, '{"key":' || c_custkey || ',"name":"' || c_name || '","segment":' || case when c_custkey % 2 = 0 then '"' || c_mktsegment || '"' else 'null' end || '}' as json from customer""",
+    "rendered_files": "select c_custkey, 'Dear ' || c_name || ', ' || c_mktsegment as letter, case when c_custkey % 4 > 0 then regexp_replace(c_name, '[^A-Za-z0-9_]+', '_', 'g') else 'candidate' end || '_CV_v' || (c_custkey % 9) || '.pdf' as file from customer",
+    "quota_decisions": """
+        with r as (select l_suppkey, l_orderkey * 10 + l_linenumber as id, strftime(l_shipdate, '%Y-%m') as period, l_shipdate, greatest(0, (l_quantity - 5)::bigint) as amount from lineitem),
+        u as (select id, period, coalesce(sum(amount) over (partition by l_suppkey, period order by l_shipdate, id rows between unbounded preceding and 1 preceding), 0)::bigint as used from r)
+        select *, used < 60 as accepted from u""",
+    "batch_counters": "select l_orderkey, count(*) filter (l_returnflag = 'N') as created, count(*) filter (l_returnflag = 'A') as skipped, count(*) filter (l_returnflag = 'R') as failed, count(*) as total from lineitem group by 1",
+    "candidate_search": f"""
+        with q as (select * from {_QUERY}), vec as (select * from {_Q}),
+        dense as (select vec_id as chunk, list_cosine_similarity(embedding::double[], q) as d from embeddings, vec order by d desc, vec_id limit 100),
+        lexical as (select doc_id as chunk, {_OVERLAP} as l from (select doc_id, {_WORDS} as words from documents), q where l > 0 order by l desc, doc_id limit 100),
+        hits as (select chunk, d, coalesce(l, 0) as l from dense full join lexical using (chunk)),
+        best as (select chunk // 2 as version, arg_max({{'d': d, 'l': l}}, {{'s': coalesce((d + 1) / 2, 0) * 0.8 + l * 0.2, 'k': -chunk}}) as b from hits group by 1),
+        m as (
+            select source || '-' || (doc_id % 7) as profile, doc_id as version, lang = 'en' as en, n_chars / 1000 as years, coalesce(b.d, -1) as d, b.l as l from documents join best on version = doc_id),
+        c as (
+            select *, 0.50 / 1.02 * (least(1, greatest(0, (d + 1) / 2)) * 0.8 + least(1, l) * 0.2) + 0.25 / 1.02 * en::int + 0.10 / 1.02 * least(1, greatest(0, years) / 3)
+                       + 0.05 / 1.02 * (1 - (epoch_us(timestamp '{NOW}') - epoch_us(timestamp '2023-06-01')) / 86400000000 / 730) + 0.12 / 1.02 * en::int as raw from m),
+        r as (
+            select profile, version, round(raw * 100, 2) as score from (select *, row_number() over (partition by profile order by raw desc, version desc) as n from c) where n = 1
+            order by score desc, version desc, profile limit 20),
+        p as (select *, row_number() over (order by score desc, version desc, profile) as place from r),
+        x as (select profile, version, place, case when place <= 8 then round((score / 100 * 0.3 + ({_SHA32.format('profile', 1000)} + 0.25) / 1009 * 0.7) * 100, 2) else score end as score from p),
+        t as (select * from x order by place > 8, case when place > 8 then place end, score desc, version desc, profile limit 10)
+        select 7 as event, row_number() over (order by score desc, version desc, profile) as rank, profile, score, sha256('query') as query_hash from t""",
+    "search_modes": f"""
+        with m as (select doc_id % 25 as query, doc_id as doc, {_SHA32.format('doc_id::varchar', 1000)} / 500 - 1 as d, {_SHA32.format("doc_id || 'w'", 1000)} / 1000 as l, {_SHA32.format("doc_id || 'r'", 1000)} / 1000 as rr from documents),
+        s as (
+            select 'dense' as mode, query, doc, rr, round((d + 1) / 2 * 100, 6) as score from m union all select 'keyword', query, doc, rr, round((l * 0.8 + l * 0.2) * 100, 6) from m
+            union all select 'hybrid', query, doc, rr, round(((d + 1) / 2 * 0.8 + l * 0.2) * 100, 6) from m),
+        k as (select *, row_number() over (partition by mode, query order by score desc, doc) as rank from s qualify rank <= 100),
+        a as (select mode, query, doc, rank from k union all select 'reranked', query, doc, row_number() over (partition by query order by score * 0.3 + 100 * rr * 0.7 desc, rank) from k where mode = 'hybrid'),
+        grades as (select doc_id % 25 as query, doc_id as doc, quality * 2 + 1 - toxic as grade from labels),
+        j as (select a.*, coalesce(grade, 0) as grade from a left join grades using (query, doc)),
+        f as (select mode, query, count(*) filter (rank <= 5 and grade >= 2) as h5, count(*) filter (rank <= 10 and grade >= 2) as h10, count(*) filter (rank <= 20 and grade >= 2) as h20, min(rank) filter (grade >= 2) as first,
+                     sum(case when rank <= 10 then (2 ** grade - 1) / log2(rank + 1) else 0 end) as dcg from j group by 1, 2),
+        i as (select *, row_number() over (partition by query order by grade desc, doc) as place from grades),
+        b as (select query, count(*) filter (grade >= 2) as rel, sum(case when place <= 10 then (2 ** grade - 1) / log2(place + 1) else 0 end) as ideal from i group by 1),
+        z as (select mode, query, h5, h10, h20, first, dcg, coalesce(rel, 0) as rel, coalesce(ideal, 0) as ideal from f left join b using (query))
+        select mode, query, h5 / 5 as precision_at_5, round(case when rel = 0 then 1 else h10 / rel end, 6) as recall_at_10, round(case when rel = 0 then 1 else h20 / rel end, 6) as recall_at_20,
+               round(coalesce(1 / first, 0), 6) as rr, round(case when ideal = 0 then 1 else dcg / ideal end, 6) as ndcg_at_10 from z""",
+    "readiness": "select count(*) filter (event_type not in ('error', 'view')) as pass, count(*) filter (event_type = 'view') as warn, count(*) filter (event_type = 'error') as fail, count(*) filter (event_type = 'error') = 0 as ready from events",
+    "approval_band": "select event_id, case when event_id % 101 >= 80 and (event_id % 11) / 10 * 100 >= 60 then 'APPROVE' else 'REVIEW' end as band from events",
+    "proposals": """
+        with a as (select o_custkey as job, o_orderkey as id, case when o_orderkey % 7 > 0 then o_orderkey % 101 end as score, (o_orderkey % 11) / 10 as conf, o_orderstatus = 'O' as waits from orders),
+        s as (select * from a where score is not null),
+        busy as (select distinct job from a join lineitem on l_orderkey = id where l_partkey % 40 = 0),
+        t as (select job, count(*) filter (score >= 65) as good from s group by 1 having count(*) >= 2 and job not in (select job from busy))
+        select 'screening_completed' as trigger, job, id, row_number() over (partition by job order by score desc, id) as place from s where waits and not (score >= 80 and conf * 100 >= 60)
+        union all
+        select 'manual', job, id, row_number() over (partition by job order by score desc, id) as place from s join t using (job) where good = 0 or score >= 65 qualify place <= 5""",
+    "interview_kit": """
+        with k as (select p_partkey, string_split(p_type, ' ') as r, case when p_partkey % 4 = 0 then 'this position' else p_brand end as t from part),
+        f as (select *, list_slice(case when p_partkey % 3 > 0 then r[1:p_partkey % 3] else r end, 1, 3) as focus, coalesce(r[p_partkey % 3 + 1], '') as gap from k)
+        select p_partkey, array_to_string(focus, '|') as focus, gap,
+               md5('Which project of yours shows ' || focus[1] || ' best, and what of it would serve ' || t || '?' || chr(10) || 'How would you handle errors, logs and tests of a service built on ' || focus[-1] || '?' || chr(10)
+                   || case when gap <> '' then 'Your CV says little of ' || gap || ': where have you met it?' else 'Which of your skills would you still like to deepen?' end || chr(10)
+                   || 'A request changes shortly before the deadline: what do you do?' || chr(10) || 'What should decide for you as ' || t || '?') as questions from f""",
+    "violation_rate": f"""
+        with {_TOP}, v as (select (not list_contains(string_split(p_type, ' '), gate[1]))::int + (p_size < 25)::int as n from part, top)
+        select sum(n)::bigint as violations, count(*) as returned, round(sum(n) / count(*), 4) as rate from v""",
+    "precision_by_category": f"""
+        with x as (select system, source, lang, doc_id, {_SHA32.format('system || doc_id', 100000)} as s from documents, (select unnest(['a', 'b', 'c', 'd']) as system)),
+        h as (select *, ['en', 'de'][ascii(right(source, 1)) % 2 + 1] as category from x qualify row_number() over (partition by system, source order by s, doc_id) <= 10),
+        q as (select system, category, source, count(*) filter (lang = category) / 10 as p from h group by 1, 2, 3),
+        c as (select system, category, avg(p) as precision, count(*) as n from q group by 1, 2)
+        select system, category, round(precision, 6) as precision, round(sum(precision * n) over w / sum(n) over w, 6) as overall, round(min(precision) over w, 6) as lowest from c window w as (partition by system)""",
+    "case_metrics": """
+        with r as (select user_id, arg_max(event_id, event_id * 7919 % 100003) as top, max(event_id) as want from events group by 1)
+        select (select count(*) from r) as cases, (select round(avg((top = want)::int), 3) from r) as top_1, round(avg((event_id % 7 > 0)::int), 3) as requirement_accuracy,
+               round(avg((event_id % 3 = 0 or event_id % 5 > 0)::int), 3) as evidence_support, round(avg((event_id % 2 = event_id % 6 % 3)::int), 3) as routing_accuracy from events""",
+    "busy_weeks": f"""
+        with d as (select unnest(generate_series(date_trunc('week', timestamp '{NOW}'), date_trunc('week', timestamp '{NOW}') + interval 20 days, interval 1 day))::date as day),
+        n as (select ts::date as day, 2 * count(*) as n, count(*) * 75 * 60 as seconds from events group by 1)
+        select day, coalesce(n, 0)::bigint as n, coalesce(seconds, 0)::bigint as seconds from d left join n using (day)""",
 }
+for _name, _head, _tail in (
+    ("promotable", "canary_gate", """
+        , open_ as (select distinct user_id from events where event_type = 'error' and event_id % 3 = 0)
+        select user_id as owner, status, status = 'PROMOTION_ALLOWED' and user_id not in (select user_id from open_) and user_id % 4 > 0 as promotable from g"""),
+    ("alert_notifications", "alert_states", " select distinct owner, signal, opened_at from g where status = 'OPEN'"),
+    ("warehouse_reranked", "warehouse_rank", f"""
+        , p as (select cv, row_number() over (order by score desc, cv) as was, {_SHA32.format('cv::varchar', 1000)} / 1000 as rerank from g)
+        select cv, row_number() over (order by was > 13, case when was > 13 then was end, rerank desc, was) as place from p"""),
+):
+    ORACLE_SQL[_name] = f"with g as ({ORACLE_SQL[_head]}){_tail}"

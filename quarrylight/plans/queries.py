@@ -43,8 +43,8 @@ def _query_vector(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
 
 
-def _query_words(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").filter("item_id = 0").select(tx.tokens(F.col("text")).alias("query"))
+def _query_words(spark, sf_dir) -> list[str]:
+    return table(spark, sf_dir, "benchmark").filter("item_id = 0").select(tx.tokens(F.col("text")).alias("query")).first().query
 
 
 def dense_topk(spark, sf_dir):
@@ -60,17 +60,16 @@ def dense_best_per_label(spark, sf_dir):
 
 
 def lexical_overlap_topk(spark, sf_dir):
-    q = _query_words(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("words")).crossJoin(F.broadcast(q))
-    hits = search.lexical_topk(docs, tx.overlap(F.col("query"), F.col("words")), search.oversample(10), "doc_id")
+    overlap = tx.word_overlap(F.col("text"), _query_words(spark, sf_dir))
+    hits = search.lexical_topk(table(spark, sf_dir, "documents"), overlap, search.oversample(10), "doc_id")
     return hits.select("doc_id", r6("lexical").alias("lexical"))
 
 
 def _hits(spark, sf_dir):
     """Dense hits of vectors and lexical hits of the documents of the same ids, as one table of chunks."""
     dense = search.dense_topk(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 100, "vec_id", "embedding").withColumnRenamed("vec_id", "chunk")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), tx.tokens(F.col("text")).alias("words")).crossJoin(F.broadcast(_query_words(spark, sf_dir)))
-    lexical = search.lexical_topk(docs, tx.overlap(F.col("query"), F.col("words")), 100, "chunk")
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk")
+    lexical = search.lexical_topk(docs, tx.word_overlap(F.col("text"), _query_words(spark, sf_dir)), 100, "chunk")
     return search.hybrid_hits(dense, lexical, "chunk")
 
 
@@ -82,10 +81,10 @@ def _ranked(spark, sf_dir, limit=20):
     """Documents as versions of their source's profile, with a vector of the same id for the semantic part."""
     q = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", vec.strict_cosine(F.col("embedding"), q).alias("dense"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", tx.tokens(F.col("text")).alias("words"))
-    matches = docs.join(vectors, "doc_id").crossJoin(F.broadcast(_query_words(spark, sf_dir))).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", tx.word_overlap(F.col("text"), _query_words(spark, sf_dir)).alias("lexical"))
+    matches = docs.join(vectors, "doc_id").select(
         F.col("source").alias("profile"), F.col("doc_id").alias("version"), F.col("doc_id").alias("number"), "dense",
-        tx.overlap(F.col("query"), F.col("words")).alias("lexical"), F.array("lang", F.concat(F.lit("l"), F.col("label"))).alias("skills"),
+        "lexical", F.array("lang", F.concat(F.lit("l"), F.col("label"))).alias("skills"),
         (F.col("n_chars") / 1000).alias("years"), (F.lit("2023-01-01").cast("timestamp") + F.make_interval(days=(F.col("doc_id") % 365).cast("int"))).alias("submitted"),
         F.col("lang").alias("category"),
     )
@@ -207,10 +206,14 @@ def checksum_lookup_last(spark, sf_dir):
 
 
 def import_decisions(spark, sf_dir):
-    """Customers as remote rows against every third one as a profile, with two's identity shared by neighbours."""
+    """Customers as remote rows against profiles of all customers, of whom every third has their remote identity."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lower("c_name").alias("name"), F.col("c_mktsegment").alias("owner"))
-    profiles = c.filter("k % 3 = 0").select("owner", F.col("k").alias("profile"), "name", F.concat(F.lit("u"), "k", F.lit("@example.com")).alias("email_key"), F.lpad(F.concat(F.lit("9"), F.col("k")), 10, "0").alias("phone_key"))
-    versions = profiles.select("owner", "profile", F.md5(F.col("profile").cast("string")).alias("checksum"))
+    same = F.col("k") % 3 == 0
+    profiles = c.select(
+        "owner", F.col("k").alias("profile"), F.when(same, F.col("name")).otherwise(F.concat("name", F.lit(" other"))).alias("name"),
+        F.concat(F.when(same, "u").otherwise("other"), "k", F.lit("@example.com")).alias("email_key"), F.lpad(F.concat(F.when(same, "9").otherwise("8"), F.col("k")), 10, "0").alias("phone_key"),
+    )
+    versions = profiles.select("owner", "profile", F.md5(F.concat(F.when(F.col("profile") % 3 == 0, "").otherwise("other"), F.col("profile").cast("string"))).alias("checksum"))
     remote = c.select(
         "k", "owner", F.when(F.col("k") % 5 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")).alias("name"),
         F.concat(F.lit(" U"), "k", F.lit("@Example.com")).alias("email"),
@@ -262,11 +265,11 @@ def skill_facets(spark, sf_dir):
 
 def _links(spark, sf_dir):
     relation = F.when(F.col("event_type") == "purchase", "VERIFIED").when(F.col("event_type") == "error", "POTENTIAL_INCONSISTENCY").otherwise("NEW_INFO")
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("claim"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), relation.alias("relation"), "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), relation.alias("relation"), "event_id")
 
 
 def claim_matrix(spark, sf_dir):
-    return entities.claim_matrix(_links(spark, sf_dir).filter("event_id % 97 = 0 or claim < 5 and event_id % 31 = 0"), "claim", "model", "relation", ["m0", "m1", "m2"])
+    return entities.claim_matrix(_links(spark, sf_dir), "claim", "model", "relation", ["m0", "m1", "m2"])
 
 
 def consensus(spark, sf_dir):
@@ -275,7 +278,7 @@ def consensus(spark, sf_dir):
 
 def index_actions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"))
-    indexed = docs.filter("doc_id % 5 <> 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 11 == 0, 1_000_000_000).otherwise(0)).alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.when(F.col("doc_id") % 13 == 0, "PENDING").otherwise("READY").alias("status"))
+    indexed = docs.select((F.col("doc_id") + F.when((F.col("doc_id") % 11 == 0) | (F.col("doc_id") % 5 == 0), 1_000_000_000).otherwise(0)).alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.when(F.col("doc_id") % 13 == 0, "PENDING").otherwise("READY").alias("status"))
     return entities.index_actions(docs, indexed, ["doc_id"])
 
 
@@ -307,7 +310,8 @@ def status_counts_zero_filled(spark, sf_dir):
 
 
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(r6(telemetry.nearest_rank(0.5, "value")).alias("p50"), r6(telemetry.nearest_rank(0.95, "value")).alias("p95"))
+    ranks = telemetry.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return ranks.select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"))
 
 
 def percentile_floor_index(spark, sf_dir):
@@ -319,8 +323,8 @@ def _operations(spark, sf_dir):
     kind = F.col("event_type")
     tasks = e.select("owner", F.when(kind == "purchase", "COMPLETED").when(kind == "error", "FAILED").otherwise("RUNNING").alias("status"), F.col("ts").alias("created_at"))
     steps = e.select("owner", F.col("value").alias("latency"), F.col("ts").alias("created_at"))
-    outbox = e.filter("event_id % 4 = 0").select("owner", F.when(kind == "error", "FAILED").when(kind == "signup", "BLOCKED").when(kind == "click", "PENDING").otherwise("COMPLETED").alias("status"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 36 hours")).alias("available_at"))
-    approvals = e.filter("event_id % 50 = 0").select("owner", F.when(kind == "view", "PENDING").otherwise("APPROVED").alias("status"), F.col("ts").alias("created_at"))
+    outbox = e.select("owner", F.when(kind == "error", "FAILED").when(kind == "signup", "BLOCKED").when(kind == "click", "PENDING").otherwise("COMPLETED").alias("status"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 36 hours")).alias("available_at"))
+    approvals = e.select("owner", F.when(kind == "view", "PENDING").otherwise("APPROVED").alias("status"), F.col("ts").alias("created_at"))
     return telemetry.operations_report(tasks, steps, outbox, approvals, now(), 72)
 
 
@@ -432,8 +436,9 @@ def scorecard_summary(spark, sf_dir):
 def _rolled(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumns({"session": F.col("user_id") % 30, "claim": F.col("event_id") % 12})
     claims = e.select("session", "claim")
-    links = e.filter("event_id % 3 = 0 and claim < 9").select("session", "claim", F.when(F.col("event_type") == "purchase", "VERIFIED").when(F.col("event_type") == "error", "POTENTIAL_INCONSISTENCY").otherwise("NEW_INFO").alias("relation"))
-    needs = e.filter("event_id % 7 = 0").select("session", F.concat(F.lit("r"), F.col("event_id") % 10).alias("requirement"), F.when(F.col("event_type") == "view", "STRONG").when(F.col("event_type") == "click", "WEAK").otherwise("NONE").alias("strength"))
+    stated = (F.col("event_id") % 3 == 0) & (F.col("claim") < 9)
+    links = e.select("session", F.when(stated, F.col("claim")).otherwise(F.col("claim") + 100).alias("claim"), F.when(F.col("event_type") == "purchase", "VERIFIED").when(F.col("event_type") == "error", "POTENTIAL_INCONSISTENCY").otherwise("NEW_INFO").alias("relation"))
+    needs = e.select("session", F.concat(F.lit("r"), F.col("event_id") % 10).alias("requirement"), F.when(F.col("event_id") % 7 > 0, "NONE").when(F.col("event_type") == "view", "STRONG").when(F.col("event_type") == "click", "WEAK").otherwise("NONE").alias("strength"))
     known = e.select("session", F.concat(F.lit("r"), F.col("event_id") % 10).alias("requirement"))
     return scoring.cross_analysis(claims, links, needs, known, "session")
 
@@ -484,8 +489,8 @@ def slice_means(spark, sf_dir):
 
 def micro_scores(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    a = e.filter("event_id % 3 <> 0").select(F.col("user_id").alias("case"), (F.col("event_id") % 15).alias("item"))
-    b = e.filter("event_id % 4 <> 0").select(F.col("user_id").alias("case"), (F.col("event_id") % 15).alias("item"))
+    item = lambda n, other: (F.col("event_id") % 15 + F.when(F.col("event_id") % n == 0, other).otherwise(0)).alias("item")
+    a, b = e.select(F.col("user_id").alias("case"), item(3, 100)), e.select(F.col("user_id").alias("case"), item(4, 200))
     out = scoring.micro_scores(a, b, "case", "item")
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
@@ -539,7 +544,7 @@ def pseudonyms(spark, sf_dir):
 
 
 def annotation_export(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("query")).filter("item_id < 5")
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("query"))
     return reports.annotation_pairs(queries, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "salt")
 
 
@@ -608,18 +613,20 @@ def task_states(spark, sf_dir):
 
 
 def _busy(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 20 = 0")
-    return e.select((F.col("user_id") % 4).alias("owner"), F.col("ts").alias("busy_start"), (F.col("ts") + F.make_interval(mins=(F.col("event_id") % 180).cast("int"))).alias("busy_end"))
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("owner"), F.col("ts").alias("busy_start"), (F.col("ts") + F.make_interval(mins=(F.col("event_id") % 180).cast("int"))).alias("busy_end"))
 
 
 def available_slots(spark, sf_dir):
-    policies = spark.range(4).select(F.col("id").alias("owner"), F.element_at(F.array(*map(F.lit, ["UTC", "Asia/Ho_Chi_Minh", "UTC", "Asia/Tokyo"])), (F.col("id") + 1).cast("int")).alias("timezone"), F.array(*map(F.lit, range(5))).alias("working_days"), F.lit(8).alias("start_hour"), F.lit(17).alias("end_hour"))
+    owners = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner")).distinct()
+    policies = owners.select("owner", F.element_at(F.array(*map(F.lit, ["UTC", "Asia/Ho_Chi_Minh", "UTC", "Asia/Tokyo"])), (F.col("owner") % 4 + 1).cast("int")).alias("timezone"), F.array(*map(F.lit, range(5))).alias("working_days"), F.lit(8).alias("start_hour"), F.lit(17).alias("end_hour"))
     clock = F.lit("2024-01-10 09:20:00").cast("timestamp")
     return calendar.available_slots(policies, _busy(spark, sf_dir), clock, 90, 14).select("owner", F.col("start").alias("slot_start"), F.col("local_start").alias("local_start"))
 
 
 def overlap_antijoin(spark, sf_dir):
-    slots = table(spark, sf_dir, "events").filter("event_id % 7 = 1").select("event_id", (F.col("user_id") % 4).alias("owner"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 5 minutes")).alias("end"))
+    start = F.col("ts") + F.expr("interval 3 hours")
+    slots = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("owner"), start.alias("start"), (start + F.expr("interval 50 minutes")).alias("end"))
     return calendar.free_of_overlap(slots, _busy(spark, sf_dir), "owner").select("event_id", "owner")
 
 
@@ -633,14 +640,14 @@ def interval_cells(spark, sf_dir):
 
 
 def reminder_expand(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", F.col("ts").alias("start"), F.array(F.lit(60), (F.col("event_id") % 7 * 60).cast("int"), F.lit(60), F.lit(-5)).alias("offsets"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("start"), F.array(F.lit(60), (F.col("event_id") % 7 * 60).cast("int"), F.lit(60), F.lit(-5)).alias("offsets"))
     return calendar.reminders(rows, "start", "offsets", now()).select("event_id", F.col("offset").cast("long").alias("lead_minutes"), "due")
 
 
 def deadline_sweep(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     interviews = e.filter("event_type = 'signup'").select(F.col("event_id").alias("interview"), F.col("ts").alias("end"))
-    cards = e.filter("event_type = 'signup' and event_id % 3 = 0").select(F.col("event_id").alias("interview"))
+    cards = e.select((F.col("event_id") + F.when(F.col("event_id") % 3 == 0, 0).otherwise(1_000_000_000)).alias("interview"))
     return calendar.overdue_feedback(interviews, cards, now(), 48).select("interview")
 
 
@@ -664,4 +671,305 @@ def slots_by_day(spark, sf_dir):
     return calendar.slots_by_day(rows).select("owner", "day", F.size("starts").cast("long").alias("n"), F.get("starts", F.lit(0)).alias("first_start"))
 
 
+# Scopes, sources and exports -------------------------------------------------------------------------------------
+
+
+def owner_scope(spark, sf_dir):
+    return filters.of_owner(table(spark, sf_dir, "customer"), "BUILDING", "c_mktsegment").select("c_custkey", "c_name")
+
+
+def in_filter(spark, sf_dir):
+    return filters.one_of(table(spark, sf_dir, "orders"), "o_orderstatus", ["P", "F", "P"]).select("o_orderkey", "o_orderstatus")
+
+
+def _catalog(spark, sf_dir):
+    """Parts as documents: the words of a type as skills, the size as years, the brand as category, null for every fifth."""
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.split("p_type", " ").alias("skills"), F.col("p_size").cast("double").alias("years"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).alias("category"),
+        F.initcap("p_name").alias("location"), F.when(F.col("p_partkey") % 2 == 0, "Upload").otherwise("sync").alias("source"),
+    )
+
+
+def hard_filter(spark, sf_dir):
+    first = _skill_words(spark, sf_dir)[0]
+    return filters.hard_filters(_catalog(spark, sf_dir), [first], 20, "UNCLASSIFIED").select("p_partkey")
+
+
+def warehouse_filter(spark, sf_dir):
+    rows = _catalog(spark, sf_dir)
+    return filters.warehouse_filters(rows, 5, 40, "A", "UPLOAD", "Brand#13", ["Brand#13"]).select("p_partkey").unionByName(filters.warehouse_filters(rows, category="no such", categories=["Brand#13"]).select((-F.col("p_partkey")).alias("p_partkey")))
+
+
+def _skill_words(spark, sf_dir) -> list[str]:
+    """The three most frequent words of part types."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(3)
+    return [r.s for r in words.collect()]  # three rows
+
+
+def webhook_rows(spark, sf_dir):
+    kind = F.col("event_id") % 3
+    name = F.when(kind == 0, F.concat(F.lit('"id":"e'), "event_id", F.lit('",'))).when(kind == 1, F.concat(F.lit('"data":{"id":"d'), "event_id", F.lit('"},'))).otherwise("")
+    raw = table(spark, sf_dir, "events").select(F.concat(F.lit('{"provider":"p'), F.col("user_id") % 4, F.lit('",'), name, F.when(kind == 2, F.lit('"event":"')).otherwise('"type":"'), F.upper("event_type"), F.lit('","n":'), "event_id", F.lit("}")).alias("value"))
+    return stateful.webhook_rows(raw).select("provider", "external_id", "type")
+
+
+def distinct_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    return stateful.distinct_events(events, ["user_id", "event_type", "day"])
+
+
+def consented_rows(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("ts")).alias("consent"))
+    return stateful.consented(events, "consent", NOW).select("event_id")
+
+
+def file_drift(spark, sf_dir):
+    """Documents as files against a manifest with some digests wrong, some files missing and some added."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    files_ = docs.select(n.cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    manifest = docs.select((n + F.when(n % 11 == 0, 1_000_000_000).otherwise(0)).cast("string").alias("path"), F.when(n % 7 == 0, "stale").otherwise(F.sha2("text", 256)).alias("sha256"))
+    return reports.drifted(files_, manifest)
+
+
+def seed_missing(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 3).alias("p_partkey"))
+    return reports.seed(lines, table(spark, sf_dir, "part"), "p_partkey")
+
+
+def shortlist_report(spark, sf_dir):
+    """The three dearest orders of each customer as a Markdown report."""
+    top = scoring.shortlist(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 3)
+    lines = F.transform(F.sequence(F.lit(1), F.col("o_orderkey") % 10 + 1), lambda i: F.concat(F.lit("line "), i))
+    rows = top.select("o_custkey", F.col("place").cast("long").alias("place"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.floor("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "F", "done").alias("recommendation"), lines.alias("evidence"), F.when(F.col("o_orderkey") % 2 == 0, lines).alias("questions"))
+    return reports.shortlist_report(rows, "o_custkey").select("o_custkey", F.md5("text").alias("report"))
+
+
+def subject_export(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return reports.subject_export(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", {"orders": orders})
+
+
+# Identities, children and lookups ---------------------------------------------------------------------------------
+
+
+def backfill_identity(spark, sf_dir):
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        n.alias("id"), F.when(n % 3 == 0, F.concat(F.lit(" C"), "o_custkey", F.lit("@x.org"))).alias("email"), F.when(n % 3 == 1, F.lpad(F.concat(F.lit("9"), F.col("o_custkey")), 10, "0")).otherwise("12").alias("phone"),
+        F.col("o_orderdate").alias("created"), F.when(n % 4 == 0, "given").otherwise("").alias("digest"), F.concat(F.lit("order "), n).alias("text"),
+    )
+    return entities.backfill_identities(rows, "email", "phone", "id", "created", "digest", "text").select("id", "identity", F.col("number").cast("long").alias("number"), "content")
+
+
+def merged_profiles(spark, sf_dir):
+    """Orders as sightings of customers: blank names and addresses now and then."""
+    n = F.col("o_orderkey")
+    seen = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("profile"), F.when(n % 3 > 0, F.concat(F.lit("Name "), n)).otherwise(" ").alias("name"), F.when(n % 2 == 0, F.concat(F.lit("o"), n, F.lit("@x.org"))).alias("email"),
+        F.when(n % 5 == 0, F.lpad(F.concat(F.lit("9"), n), 10, "0")).alias("phone"), (F.col("o_orderdate").cast("timestamp") + F.make_interval(secs=n % 86400)).alias("seen_at"),
+    )
+    epoch = F.lit("1990-01-01").cast("timestamp")
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("owner"), F.col("c_custkey").alias("profile"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.lit("own@x.org")).alias("email"), F.lit(None).cast("string").alias("phone"), epoch.alias("first_seen"), epoch.alias("last_seen"))
+    return entities.merged_profiles(profiles, seen)
+
+
+def active_task_count(spark, sf_dir):
+    tasks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "N", "RUNNING").when(F.col("l_returnflag") == "A", "QUEUED").otherwise("DONE").alias("status"))
+    return entities.active_counts(table(spark, sf_dir, "orders"), tasks, "o_orderkey", "o_custkey", ["QUEUED", "RUNNING"])
+
+
+def linked_answers(spark, sf_dir):
+    """Each turn linked with the next but one of its conversation, with the digests of both texts."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("/"), "turn").alias("pair"), F.md5("text").alias("said"), "conv_id", "turn")
+    links = turns.select(F.col("pair").alias("one"), F.concat("conv_id", F.lit("/"), F.col("turn") + 2).alias("other"))
+    return entities.linked_pairs(links, turns.select("pair", "said"), "one", "other", "pair", "said")
+
+
+def filter_values(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws("|", F.initcap("p_type"), "p_brand", F.lit(" ")), r"[ |]").alias("v"))
+    values = parts.select("p_partkey", F.posexplode("v").alias("place", "raw"))
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("w")).distinct()
+    catalog = words.filter("length(w) > 4").select(F.lower("w").alias("norm"), F.concat(F.lit("sk-"), F.lower("w")).alias("id"))
+    ids = table(spark, sf_dir, "part").select(F.col("p_brand").alias("db_id"), F.concat(F.lit("brand-"), F.substring("p_brand", 7, 2)).alias("id")).distinct()
+    return entities.resolved_values(values, catalog, ids, "p_partkey").select("p_partkey", F.col("place").cast("long").alias("place"), "value")
+
+
+def ordered_children(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("part"))
+    out = entities.ordered_children(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "ordinal", "part")
+    return out.select("o_orderkey", F.array_join(F.transform("parts", lambda p: p.cast("string")), ",").alias("parts"))
+
+
+def truth_by_email(spark, sf_dir):
+    n = F.col("c_custkey")
+    files_ = table(spark, sf_dir, "customer").select(F.concat(F.element_at(F.array(*map(F.lit, ["be-", "fe-", "ops-", "xx-"])), (n % 4 + 1).cast("int")), n).alias("file"), F.concat(F.lit(" C"), F.col("c_nationkey"), F.lit("@X.org ")).alias("email"))
+    return entities.truth_by_email(files_, {"be-": "BACKEND", "fe-": "FRONTEND", "ops-": "DEVOPS_SRE"}, "file", "email")
+
+
+def distinct_in_order(spark, sf_dir):
+    words = F.split(F.concat_ws(" ", "p_type", F.initcap("p_type"), "p_name"), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", strings(entities.distinct_in_order(words)).alias("words"))
+
+
+def category_counts(spark, sf_dir):
+    return entities.category_counts(table(spark, sf_dir, "documents"), "lang", ["en", "de", "xx"])
+
+
+def full_diff(spark, sf_dir):
+    """The whole difference of each order and the same customer's next one: parts as skills, price as years, and more."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 1000).cast("double").alias("price"))
+    over = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    fields = {"pair": "o_orderkey", "years": "price", "status": "o_orderstatus", "summary": "o_orderpriority"}
+    pairs = orders.select(*(F.lead(c).over(over).alias(f"a_{k}") for k, c in fields.items()), *(F.col(c).alias(f"b_{k}") for k, c in fields.items())).filter("a_pair is not null")
+    named = lambda side: F.split(F.translate(F.col(f"{side}_summary"), "-", " "), " ")
+    pairs = pairs.withColumns({"a_words": named("a"), "b_words": named("b"), "pair": F.col("b_pair"), "b_status": F.nullif("b_status", F.lit("P"))})
+    skills = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 20).cast("string").alias("key")).agg(F.min(F.concat(F.when(F.col("l_linenumber") % 3 == 0, "x").otherwise("y"), F.col("l_partkey") % 20)).alias("raw"))
+    side = lambda c: pairs.select("pair", F.col(c).alias("o")).join(skills, "o").select("pair", "key", "raw")
+    return entities.diff_versions(pairs, side("b_pair"), side("a_pair"), "pair", values=["status"], texts=["summary"], lists=["words"])
+
+
+def uuids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("c_name")).alias("uuid"))
+
+
+def stable_dumps(spark, sf_dir):
+    n = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.stable_json({"name": F.col("c_name"), "key": n, "segment": F.when(n % 2 == 0, F.col("c_mktsegment"))}).alias("json"))
+
+
+def rendered_files(spark, sf_dir):
+    n, c = F.col("c_custkey"), F.lit("Dear {{ name }}, {{x}}{{segment}}")
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.render(c, {"name": F.col("c_name"), "segment": F.col("c_mktsegment")}).alias("letter"), tx.version_file_name(F.when(n % 4 > 0, F.col("c_name")), n % 9, F.lit(".pdf")).alias("file"))
+
+
+# Decisions and evaluations ----------------------------------------------------------------------------------------
+
+
+def quota_decisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") - 5).cast("long").alias("amount"))
+    out = telemetry.quota_decisions(rows, "l_suppkey", "l_shipdate", "id", "amount", 60)
+    return out.select("id", "period", "used", "accepted")
+
+
+def batch_counters(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_returnflag") == "A", "SKIPPED").otherwise("CREATED").alias("status"))
+    return telemetry.batch_counters(lines, "l_orderkey", "status", ["CREATED", "SKIPPED", "FAILED"])
+
+
+def promotable(spark, sf_dir):
+    gates = canary_gate(spark, sf_dir).select(F.col("user_id").alias("owner"), "status")
+    e = table(spark, sf_dir, "events")
+    alerts = e.select(F.col("user_id").alias("owner"), F.when(F.col("event_type") == "error", "CRITICAL").otherwise("WARNING").alias("severity"), F.when(F.col("event_id") % 3 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+    return telemetry.promotable(gates, alerts, F.col("owner") % 4 > 0)
+
+
+def readiness(spark, sf_dir):
+    checks = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "warn").otherwise("pass").alias("state"))
+    return telemetry.readiness(checks)
+
+
+def approval_band(spark, sf_dir):
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", scoring.band(n % 101, (n % 11) / 10, 80, 60).alias("band"))
+
+
+def _applications(spark, sf_dir):
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), n.alias("id"), F.when(n % 7 > 0, n % 101).alias("score"), ((n % 11) / 10).alias("confidence"), F.when(F.col("o_orderstatus") == "O", "WAITING_REVIEW").otherwise("DONE").alias("status"))
+    tasks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when((F.col("l_partkey") % 40 == 0), "RUNNING").otherwise("DONE").alias("status"))
+    return rows, tasks
+
+
+def proposals(spark, sf_dir):
+    """What both triggers select for every job."""
+    rows, tasks = _applications(spark, sf_dir)
+    told = lambda trigger: scoring.proposals(rows, tasks, "job", "id", trigger, 80, 60, 2, 65, 5).select(F.lit(trigger).alias("trigger"), "job", "id", F.col("place").cast("long").alias("place"))
+    return told("screening_completed").unionByName(told("manual"))
+
+
+def interview_kit(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("required"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")).alias("title"))
+    rows = parts.withColumns({"matched": F.when(F.col("p_partkey") % 3 > 0, F.slice("required", F.lit(1), (F.col("p_partkey") % 3).cast("int"))), "missing": F.slice("required", (F.col("p_partkey") % 3 + 1).cast("int"), F.lit(3))})
+    return scoring.interview_kit(rows, "matched", "missing", "required", "title").select("p_partkey", strings("focus").alias("focus"), "gap", F.md5(F.array_join("questions", "\n")).alias("questions"))
+
+
+def violation_rate(spark, sf_dir):
+    rows = _catalog(spark, sf_dir).select(F.array(*map(F.lit, _skill_words(spark, sf_dir)[:1])).alias("required"), "skills", "years", F.lit(25).alias("minimum"))
+    return scoring.violation_rate(rows, "required", "skills", "years", "minimum")
+
+
+def precision_by_category(spark, sf_dir):
+    """Four orders of the same documents as four systems: relevant is what has the query's language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    systems = docs.select("*", F.explode(F.array(*map(F.lit, "abcd"))).alias("system"))
+    scored = systems.withColumn("s", tx.hash_bucket(F.concat("system", F.col("doc_id")), 100_000))
+    order = Window.partitionBy("system", "source").orderBy("s", "doc_id")
+    hits = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
+    asked = hits.select("system", F.col("source").alias("query"), F.element_at(F.array(*map(F.lit, ["en", "de"])), (F.ascii(F.substring("source", -1, 1)) % 2 + 1).cast("int")).alias("category"), "rank", "lang")
+    out = scoring.precision_by_category(asked.withColumn("relevant", F.col("lang") == F.col("category")), 10)
+    return out.select("system", "category", *(r6(c).alias(c) for c in ("precision", "overall", "lowest")))
+
+
+def case_metrics(spark, sf_dir):
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    fields = e.select((n % 5).alias("expected"), F.when(n % 7 > 0, n % 5).alias("found"))
+    evidence = e.select((n % 3 > 0).alias("matched"), (n % 5 > 0).alias("supported"))
+    ranked = e.select(F.col("user_id").alias("case"), n.alias("candidate"), (n * 7919 % 100_003).alias("score"), F.max(n).over(Window.partitionBy("user_id")).alias("expected_top"))
+    return scoring.case_metrics(fields, evidence, ranked, e.select((n % 2).alias("expected"), (n % 6 % 3).alias("found")))
+
+
+def alert_notifications(spark, sf_dir):
+    return stateful.notifications(alert_states(spark, sf_dir))
+
+
+def busy_weeks(spark, sf_dir):
+    """Two kinds of busy times in one table, counted by the days of three weeks."""
+    e = table(spark, sf_dir, "events")
+    kind = lambda minutes: e.select(F.col("user_id").alias("owner"), F.col("ts").alias("busy_start"), (F.col("ts") + F.make_interval(mins=F.lit(minutes))).alias("busy_end"))
+    days = spark.range(1).select(F.explode(calendar.weeks_grid(now())).alias("day"))
+    n = calendar.busy_union(kind(30), kind(45)).groupBy(F.to_date("busy_start").alias("day")).agg(F.count("*").alias("n"), F.sum(F.unix_timestamp("busy_end") - F.unix_timestamp("busy_start")).alias("seconds"))
+    return days.join(F.broadcast(n), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seconds", F.lit(0)).alias("seconds"))
+
+
+def warehouse_reranked(spark, sf_dir):
+    """The warehouse ranking's first two thirds by another score alone."""
+    ranked = warehouse_rank(spark, sf_dir).select("cv", "score")  # 20 rows at the most
+    scores = ranked.select("cv", (tx.hash_bucket(F.col("cv").cast("string"), 1000) / 1000).alias("rerank"))
+    return search.warehouse_rerank(ranked, scores, 13).select("cv", F.col("place").cast("long").alias("place"))
+
+
+def candidate_search(spark, sf_dir):
+    """The retrieval chain: both channels' best chunks, a version's best one, versions with a hit, and their ranking.
+
+    A vector is a chunk of the version whose number it has, a source's versions with one remainder are a profile. What
+    is ranked are the hits, whose number the channels' limits bound; the result is reranked, and told as telemetry.
+    """
+    hits = _hits(spark, sf_dir)
+    best = search.best_chunk(hits.select((F.col("chunk") / 2).cast("long").alias("version"), "chunk", "dense", "lexical"), "version", "chunk")
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version"), F.concat("source", F.lit("-"), F.col("doc_id") % 7).alias("profile"), "lang", (F.col("n_chars") / 1000).alias("years"))
+    found = search.keep_if_any(versions, F.broadcast(best), "version")
+    matches = found.select(
+        "profile", "version", F.col("version").alias("number"), F.coalesce("dense", F.lit(-1.0)).alias("dense"), "lexical", F.array("lang").alias("skills"), "years", F.lit("2023-06-01").cast("timestamp").alias("submitted"), F.col("lang").alias("category"),
+    )
+    ranked = search.fallback_cut(search.rank_versions(matches, now(), 20, required=["en"], minimum_experience=3, category="en"), False)
+    scores = ranked.select("profile", ((tx.hash_bucket(F.col("profile"), 1000) + 0.25) / 1009).alias("rerank"))  # no ties in rounding
+    told = search.result_rows(search.rerank_blend(ranked.select("profile", "number", "score"), scores, 10, head=8), F.lit(7), F.lit("Query"))
+    return told.select("event", F.col("rank").cast("long").alias("rank"), "profile", F.round("score", 2).alias("score"), "query_hash")
+
+
+def search_modes(spark, sf_dir):
+    """The four modes of one retrieval over all documents: 25 queries, each with the documents of one remainder."""
+    n = F.col("doc_id")
+    matches = table(spark, sf_dir, "documents").select((n % 25).alias("query"), n.alias("doc"), (tx.hash_bucket(n.cast("string"), 1000) / 500 - 1).alias("dense"), (tx.hash_bucket(F.concat(n, F.lit("w")), 1000) / 1000).alias("lexical"))
+    grades = table(spark, sf_dir, "labels").select((n % 25).alias("query"), n.alias("doc"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("grade"))
+    rerank = matches.select("query", "doc", (tx.hash_bucket(F.concat("doc", F.lit("r")), 1000) / 1000).alias("rerank"))
+
+    def rank(rows):
+        scored = rows.select("query", "doc", F.round(search.blend(F.col("dense"), F.col("lexical")) * 100, 6).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).filter("rank <= 100")
+
+    out = scoring.evaluated_modes(matches, matches.select("query").distinct(), grades, rank, rerank)
+    return out.select("mode", "query", *(r6(c).alias(c) for c in out.columns[2:]))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in ("table", "now", "strings", "r6")}

@@ -42,11 +42,19 @@ def docx_text(data: bytes) -> str:
 
 def plain_text(content: Column) -> Column:
     """UTF-8 text without a byte order mark; bytes that aren't UTF-8 become replacement characters."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^﻿", "")
 
 
-def extract(files: DataFrame, layout: bool = True) -> DataFrame:
-    """Adds raw_text and error: plain text in the JVM, PDF and DOCX in Arrow batches."""
+def strict_error(content: Column) -> Column:
+    """Why a file can't be read as UTF-8 text where no character may be replaced; null where it can."""
+    return F.when(~F.is_valid_utf8(content.cast("string")), "UNREADABLE: bytes that aren't UTF-8")
+
+
+def extract(files: DataFrame, layout: bool = True, strict: bool = False) -> DataFrame:
+    """Adds raw_text and error: plain text in the JVM, PDF and DOCX in Arrow batches.
+
+    `strict` refuses text files with bytes that aren't UTF-8: they get an error, for guard() to reject.
+    """
 
     @F.pandas_udf("raw string, error string")
     def parse(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
@@ -58,7 +66,7 @@ def extract(files: DataFrame, layout: bool = True) -> DataFrame:
                 out.append((None, f"UNREADABLE: {type(e).__name__}"))
         return pd.DataFrame(out, columns=["raw", "error"])
 
-    text = files.filter(~F.col("suffix").isin("pdf", "docx")).withColumns({"raw_text": plain_text(F.col("content")), "error": F.lit(None).cast("string")})
+    text = files.filter(~F.col("suffix").isin("pdf", "docx")).withColumns({"raw_text": plain_text(F.col("content")), "error": strict_error(F.col("content")) if strict else F.lit(None).cast("string")})
     other = files.filter(F.col("suffix").isin("pdf", "docx")).withColumn("_p", parse("suffix", "content"))
     return text.unionByName(other.withColumns({"raw_text": F.col("_p.raw"), "error": F.col("_p.error")}).drop("_p"))
 
@@ -169,9 +177,11 @@ def search_document(sections: dict[str, Column], redact: Callable[[Column], Colu
 
 
 class PagedListing(DataSource):
-    """A remote listing read page by page: option "pages" lists page numbers, one task each; "fetch" names module:function.
+    """A remote listing read page by page: option "fetch" names module:function, "size" the rows of a page.
 
     fetch(page, size) returns a list of (id, checksum, payload) rows; a page of fewer rows than the size is the last.
+    Option "tasks", 8 by default, many tasks read every so-many-th page each. A page that fails is fetched again up to
+    "retries" times, 3 by default, before its task fails; a task that Spark runs again reads its pages anew.
     """
 
     @classmethod
@@ -187,7 +197,8 @@ class PagedListing(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.fetch, self.size, self.tasks = options["fetch"], int(options.get("size", 100)), int(options.get("tasks", 1))
+        self.fetch, self.size, self.tasks = options["fetch"], int(options.get("size", 100)), int(options.get("tasks", 8))
+        self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.tasks)]
@@ -197,8 +208,16 @@ class _PagedReader(DataSourceReader):
 
         module, _, function = self.fetch.partition(":")
         fetch, page = getattr(import_module(module), function), partition.value
-        while rows := fetch(page, self.size):
+        while rows := self._page(fetch, page):
             yield from rows
             if len(rows) < self.size:
                 return
             page += self.tasks
+
+    def _page(self, fetch: Callable, page: int) -> list[tuple]:
+        for left in range(self.retries, -1, -1):
+            try:
+                return fetch(page, self.size)
+            except Exception:
+                if not left:
+                    raise

@@ -1,6 +1,7 @@
 """Hand-computed values of the operators, and the queries against their SQL."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import duckdb
@@ -147,8 +148,13 @@ def test_canary_reasons(spark):
 
 def test_two_percentiles(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(1, 31)], "k string, v double")
-    assert rows.agg(telemetry.nearest_rank(0.95, "v").alias("x"), telemetry.floor_index(0.95, "v").alias("y")).first() == (29.0, 28.0)
+    assert rows.agg(telemetry.nearest_rank(0.95, "v").alias("x")).first() == (29.0,)
     assert telemetry.floor_index_rows(rows, "k", "v", 0.95).first().p_value == 28.0
+    rng = random.Random(5)
+    values = {"a": [float(i) for i in range(1, 31)], "b": [7.0] * 9, "c": [rng.gauss(0, 1) ** 3 for _ in range(501)], "d": [-5.0, 1e9]}
+    many = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    got = {r.k: (r.p50, r.p95, r.p100) for r in telemetry.nearest_ranks(many, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert got == {k: tuple(sorted(vs)[math.ceil(len(vs) * p) - 1] for p in (0.5, 0.95, 1.0)) for k, vs in values.items()}
 
 
 def test_metrics(spark):
@@ -226,6 +232,13 @@ def test_files_are_guarded(spark, tmp_path):
     assert rows["a.txt"].reason is None and rows["a.txt"].text == "a text that is long enough\nand more"
     assert [rows[k].reason.split(":")[0] for k in ("b.txt", "c.exe", "d.pdf")] == ["NO_TEXT", "UNSUPPORTED_TYPE", "UNREADABLE"]
     spark.dataSource.register(files.PagedListing)
+    (tmp_path / "bytes").mkdir()
+    (tmp_path / "bytes" / "bad.txt").write_bytes(b"\xef\xbb\xbfa text whose \xff\xfe bytes aren't UTF-8")
+    (tmp_path / "bytes" / "good.txt").write_bytes("﻿a text of twenty or more characters".encode())
+    read = files.read_files(spark, str(tmp_path / "bytes"))
+    lax = {r.path[-7:]: r for r in files.guard(files.extract(read)).collect()}
+    assert lax["bad.txt"].text == "a text whose \ufffd\ufffd bytes aren't UTF-8" and lax["bad.txt"].reason is None and lax["ood.txt"].text.startswith("a text of")
+    assert {r.path[-7:]: r.reason for r in files.guard(files.extract(read, strict=True)).collect()} == {"bad.txt": "UNREADABLE: bytes that aren't UTF-8", "ood.txt": None}
     listed = spark.read.format("paged_listing").option("fetch", "tests.paged:fetch").option("size", 2).option("tasks", 2).load()
     assert sorted(r.id for r in listed.collect()) == ["0", "1", "2", "3", "4"]
 
