@@ -7,42 +7,50 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: What names a conversation: its id, or for a turn without one the digest of its content.
+CONVERSATION = ("conv_id", "alone")
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """Each turn's place in its conversation, with two hashes of its content; texts aren't sorted or shuffled here."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "h1", "h2")
-    hashed = turns.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "role").alias("h2"))
-    return hashed.withColumn("place", F.row_number().over(order))
+
+def _turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, alone, turn, role, text, digest) with null roles and texts empty; of equal turns without a conversation one."""
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    named = turns.filter("conv_id is not null").withColumn("alone", F.lit(""))
+    single = turns.filter("conv_id is null").groupBy("role", "digest").agg(F.first("text").alias("text"), F.min("turn").alias("turn"), F.first("conv_id").alias("conv_id"))
+    return named.unionByName(single.withColumn("alone", F.concat("digest", "role")).select(named.columns))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that are neither a prefix of a longer one nor a copy of one with a smaller id.
+    """(conv_id, alone, n_turns) of the conversations that are neither a prefix of a longer one nor a copy of an earlier one.
 
     A conversation's rolling hash at a place is the exclusive or of 128-bit hashes of place and content up to it.
     Prefixes and whole conversations are reduced to distinct ones before they are compared, so that copies of one
-    conversation, however many, don't meet in a join.
+    conversation, however many, don't meet in a join; texts aren't sorted or shuffled here, their digests are.
     """
-    so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rolling = lambda h: F.bit_xor(F.xxhash64("place", h)).over(so_far)
-    after = Window.partitionBy("conv_id").orderBy("place")
-    states = _numbered(turns).withColumns({"k1": rolling("h1"), "k2": rolling("h2"), "whole": F.lead("place").over(after).isNull()})
-    states = written(states.select("conv_id", "place", "k1", "k2", "whole"), "prefixes")
-    whole = states.filter("whole").groupBy("place", "k1", "k2").agg(F.min("conv_id").alias("conv_id"))
+    order = Window.partitionBy(*CONVERSATION).orderBy(F.col("turn").asc_nulls_last(), "role", "digest")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = turns.select(*CONVERSATION, "turn", "role", "digest").withColumn("place", F.row_number().over(order))
+    rolling = lambda *seed: F.bit_xor(F.xxhash64("place", *seed, "role", "digest")).over(so_far)
+    states = placed.withColumns({"k1": rolling(), "k2": rolling(F.lit(1)), "whole": F.lead("place").over(order).isNull()})
+    states = written(states.select(*CONVERSATION, "place", "k1", "k2", "whole"), "prefixes")
+    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), *CONVERSATION)).alias("c")
+    whole = states.filter("whole").groupBy("place", "k1", "k2").agg(first)
     proper = states.filter("not whole").select("place", "k1", "k2").distinct()
-    return whole.join(proper, ["place", "k1", "k2"], "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"))
+    return whole.join(proper, ["place", "k1", "k2"], "left_anti").select("c.conv_id", "c.alone", F.col("place").cast("long").alias("n_turns"))
 
 
 def collapsed_chats(conversations: DataFrame) -> DataFrame:
     """Return conv_id, n_turns and the rendered text of every maximal conversation.
 
-    Turns go by number, nulls last, then role and content; repeated rows are turns of their own. Null roles and texts
-    count as empty, and turns with a null conversation id form one conversation. A rendered conversation is one row,
-    so it must fit into one. An empty table gives an empty one; further columns are left out.
+    Turns go by number, nulls last, then role and the MD5 of their text; repeated rows are turns of their own. Null
+    roles and texts count as empty. A turn with a null conversation id is a conversation by itself, with a null id in
+    the result; copies of it collapse like those of any other, and it goes where it begins a longer one. Of copies
+    the smallest id stays. A rendered conversation is one row, so it must fit into one, a very long text too. An
+    empty table gives an empty one; further columns are left out, whatever their names.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = written(maximal_conversations(turns), "maximal").select(F.col("conv_id").alias("_id"), "n_turns")
-    said = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("_id"))).withColumns({"h1": F.xxhash64("role", "text"), "h2": F.xxhash64(F.lit(1), "text", "role")})
+    turns = _turns(conversations)
+    kept = written(maximal_conversations(turns), "maximal").select(F.col("conv_id").alias("id_"), F.col("alone").alias("alone_"), "n_turns")
+    said = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("id_")) & (F.col("alone") == F.col("alone_")))
     line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
     # Nulls sort first in arrays, so a flag puts turns without a number last.
-    parts = F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "h1", "h2", line.alias("line"))))
-    return said.groupBy("conv_id", "n_turns").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "digest", line.alias("line"))))
+    return said.groupBy(*CONVERSATION, "n_turns").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("text")).drop("alone")
