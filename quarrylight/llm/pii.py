@@ -150,13 +150,19 @@ def redact(text: str) -> str:
 def personal_data(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Add `out`: all spans of the whole text as "kind:start:end" joined by commas, by kind as in KINDS, then start.
 
-    Null and empty texts give an empty string. Rows are independent, so ties and repeated rows need no rule.
+    Null and empty texts give an empty string, an empty table an empty one. Rows are independent, so ties and repeated
+    rows need no rule; other columns, null or not, are kept, and a column named `out` is replaced. A very long text is
+    scanned whole by one task, in time that grows with its length.
     """
     return docs.withColumn(out, _digest(F.col(text)))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span in `text` by its kind in brackets; null stays null."""
+    """Replace every span in `text` by its kind in brackets; null stays null and empty texts empty.
+
+    Rows, repeated ones too, are independent; an empty table gives an empty one. Other columns are kept, whatever
+    their names. A very long text is held by one task.
+    """
     return docs.withColumn(text, _redacted(F.col(text)))
 
 
