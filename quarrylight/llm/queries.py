@@ -50,10 +50,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page against a dated list made of the pages' own domains: three entries each, by digests of the name."""
+    """Every page against a dated list: three entries each, by digests of the name, for the pages' own domains, for
+    sub-domains of theirs that no page has, and for as many domains without any page."""
     day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", day((F.col("page_id") * 37) % DAYS).alias("fetched"))
-    names = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
+    own = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
+    names = own.select(F.explode(F.array("domain", F.concat(F.lit("listed."), "domain"), F.concat("domain", F.lit(".invalid")))).alias("domain"))
     dated = names.withColumn("hash", F.explode(F.array(*(F.md5(F.concat("domain", F.lit(f"#{k}"))) for k in range(3)))))
     number = lambda a, b: F.conv(F.substring("hash", a, b), 16, 10).cast("long")
     action = F.when(number(5, 1) < 8, "block").otherwise("allow")
@@ -97,18 +99,19 @@ ORACLE_SQL: dict[str, str] = {
         from sized join fit on left(bits, depth) = shard
         qualify depth = min(depth) over (partition by bits)""",
     "op6_chats": """
-        with numbered as (
-            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
-                   row_number() over (partition by conv_id order by turn nulls last, role, text) as place
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as alone
             from conversations),
+        numbered as (
+            select *, row_number() over (partition by conv_id, alone order by turn nulls last, role, md5(text)) as place from turns),
         chats as (
-            select conv_id, count(*) as n_turns,
+            select conv_id, count(*) as n_turns, row_number() over (order by conv_id nulls last, alone) as number,
                    string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by place) as text
-            from numbered group by conv_id)
+            from numbered group by conv_id, alone)
         select conv_id, n_turns, text from chats c
         where not exists (
             select 1 from chats o
-            where o.n_turns > c.n_turns and starts_with(o.text, c.text) or o.text = c.text and o.conv_id < c.conv_id)""",
+            where o.n_turns > c.n_turns and starts_with(o.text, c.text) or o.text = c.text and o.number < c.number)""",
     "op7_warc": """
         with shared as (select coalesce(html, '') as html, max(page_id) as latest from pages group by 1)
         select page_id, strlen(s.html)::bigint as payload_bytes,
@@ -120,12 +123,15 @@ ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": f"""
         with captures as (
             select page_id, url, (date '{FIRST_DAY}' + ((page_id * 37) % {DAYS})::int)::date as fetched,
-                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host
+                   regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.%]+\\]|[^/?#:@\\[\\]]+)', 1)), '\\.$', '') as found,
+                   case when found <> '' and length(found) <= 253 then found end as host
             from pages),
-        asked as (
-            select page_id, fetched, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') as domain
-            from captures, (select unnest(range(1, 12)) as k) where k <= greatest(len(string_split(host, '.')) - 1, 1)),
-        hashed as (select distinct domain, md5(domain || '#' || k) as hash from asked, (select unnest(range(0, 3)) as k)),
+        parts as (
+            select *, case when regexp_matches(host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') or host[1] = '[' then [host] else string_split(host, '.') end as labels from captures),
+        asked as (select page_id, fetched, array_to_string(list_slice(labels, k, len(labels)), '.') as domain
+                  from (select *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) as k from parts where host is not null)),
+        listed as (select distinct unnest([domain, 'listed.' || domain, domain || '.invalid']) as domain from asked),
+        hashed as (select domain, md5(domain || '#' || k) as hash from listed, (select unnest(range(0, 3)) as k)),
         entries as (
             select domain, (date '{FIRST_DAY}' + (('0x' || left(hash, 4))::bigint % {DAYS})::int)::date as since,
                    min(case when ('0x' || substr(hash, 5, 1))::int < 8 then 'block' else 'zallow' end) as action
