@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,19 +48,42 @@ def identity_key(email: Column, phone: Column, own: Column) -> Column:
     return F.coalesce(F.concat(F.lit("e:"), email_key(email)), F.concat(F.lit("p:"), phone_key(phone)), F.concat(F.lit("i:"), own.cast("string")))
 
 
-def number_versions(rows: DataFrame, profile: str, checksum: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)))
+
+
+def running_number(rows: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None) -> DataFrame:
+    """Adds `out`: the rows of a key numbered from 1 in the order given.
+
+    Without `bucket` each key is one task's work. With it, a coarse form of the first order column that grows with it,
+    such as a day of a time, keys are numbered by bucket and the buckets' sizes are added up, so that a key with a
+    third of all rows is many tasks' work.
+    """
+    if bucket is None:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    parts = rows.withColumn("_bucket", bucket)
+    sizes = parts.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    named = [f"_key{i}" for i in range(len(keys))]
+    offsets = sizes.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    placed = parts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return placed.join(offsets, _same([*keys, "_bucket"], [*named, "_of"])).select(*rows.columns, (F.col("_before") + F.col("_n")).alias(out))
+
+
+def number_versions(rows: DataFrame, profile: str, checksum: str, order: list[str], existing: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
     """Rows with new content only, numbered from 1 (or after the profile's existing versions) in the order given.
 
-    Content that the profile has already is no new version; of equal content the first row stays.
+    Content that the profile has already is no new version; of equal content the first row stays. For `bucket` see
+    running_number().
     """
     first = Window.partitionBy(profile, checksum).orderBy(*order)
     kept = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    numbered = Window.partitionBy(profile).orderBy(*order)
     if existing is None:
-        return kept.withColumn("version", F.row_number().over(numbered))
+        return running_number(kept, [profile], order, "version", bucket)
     fresh = kept.join(existing.select(profile, checksum), [profile, checksum], "left_anti")
     top = existing.groupBy(profile).agg(F.max("version").alias("_top"))
-    return fresh.join(top, profile, "left").withColumn("version", F.coalesce("_top", F.lit(0)) + F.row_number().over(numbered)).drop("_top")
+    numbered = running_number(fresh, [profile], order, "version", bucket).join(top, profile, "left")
+    return numbered.withColumn("version", F.coalesce("_top", F.lit(0)) + F.col("version")).drop("_top")
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -162,13 +187,22 @@ def diff_counts(diff: DataFrame, pair: str) -> DataFrame:
     return diff.groupBy(pair).agg(*(F.count_if(F.col("bucket").isin(v)).alias(k) for k, v in named.items()))
 
 
-def change_summary(versions: DataFrame, profile: str, order: str, checksum: str, text: str) -> DataFrame:
-    """Adds change (INITIAL, SAME_CONTENT or CHANGED) and word_delta against the profile's version before."""
-    over = Window.partitionBy(profile).orderBy(order)
+def change_summary(versions: DataFrame, profile: str, order: str, checksum: str, text: str, bucket: Column | None = None) -> DataFrame:
+    """Adds change (INITIAL, SAME_CONTENT or CHANGED) and word_delta against the profile's version before.
+
+    With `bucket`, see running_number(), the first version of a bucket meets the last one of the bucket before.
+    """
     words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
-    placed = versions.withColumn("_words", words).withColumns({"_c": F.lag(checksum).over(over), "_w": F.lag("_words").over(over), "_first": F.row_number().over(over) == 1})
-    change = F.when(F.col("_first"), "INITIAL").when(F.col("_c").eqNullSafe(F.col(checksum)), "SAME_CONTENT").otherwise("CHANGED")
-    return placed.withColumns({"change": change, "word_delta": F.col("_words") - F.coalesce("_w", F.lit(0))}).drop("_words", "_c", "_w", "_first")
+    rows = versions.withColumns({"_words": words, "_bucket": F.lit(0) if bucket is None else bucket})
+    over = Window.partitionBy(profile, "_bucket").orderBy(order)
+    state = F.struct(F.col(checksum).alias("c"), F.col("_words").alias("w"))
+    placed = rows.withColumn("_was", F.lag(state).over(over))
+    if bucket is not None:
+        last = rows.groupBy(profile, "_bucket").agg(F.max_by(state, order).alias("_last"))
+        before = last.select(F.col(profile).alias("_key0"), F.col("_bucket").alias("_of"), F.lag("_last").over(Window.partitionBy(profile).orderBy("_bucket")).alias("_carried"))
+        placed = placed.join(before, _same([profile, "_bucket"], ["_key0", "_of"])).withColumn("_was", F.coalesce("_was", "_carried"))
+    change = F.when(F.col("_was").isNull(), "INITIAL").when(F.col("_was.c").eqNullSafe(F.col(checksum)), "SAME_CONTENT").otherwise("CHANGED")
+    return placed.select(*versions.columns, change.alias("change"), (F.col("_words") - F.coalesce("_was.w", F.lit(0))).alias("word_delta"))
 
 
 def similarity(pairs: DataFrame, before: str, after: str, out: str = "similarity") -> DataFrame:

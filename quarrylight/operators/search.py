@@ -13,6 +13,8 @@ CATEGORY_WEIGHT, LEXICAL_WEIGHT, FRESH_DAYS = 0.12, 0.20, 730
 #: Fixed weights of the warehouse ranker, and heads and weight of the two rerankers.
 WAREHOUSE_WEIGHTS = {"semantic": 0.45, "lexical": 0.10, "required": 0.35, "preferred": 0.10, "category": 0.12}
 RERANK_HEAD, RERANK_WEIGHT, WAREHOUSE_HEAD = 20, 0.70, 30
+#: Most rows of a ranker's result that are put in order again: a result page, not a table.
+MOST_RANKED = 1000
 
 
 def oversample(limit: int) -> int:
@@ -123,9 +125,12 @@ def fallback_cut(ranked: DataFrame, fallback: bool) -> DataFrame:
 
 
 def rerank_blend(ranked: DataFrame, scores: DataFrame, limit: int, head: int = RERANK_HEAD, weight: float = RERANK_WEIGHT) -> DataFrame:
-    """Mix the first `head` rows' scores with a reranker's (profile, rerank), sort them anew, append the rest as it is."""
-    order = Window.orderBy(F.desc("score"), F.desc("number"), "profile")
-    placed = ranked.withColumn("place", F.row_number().over(order))  # of the ranker's bounded result
+    """Mix the first `head` rows' scores with a reranker's (profile, rerank), sort them anew, append the rest as it is.
+
+    Takes the first MOST_RANKED rows of what the ranker gives.
+    """
+    order = [F.desc("score"), F.desc("number"), "profile"]
+    placed = ranked.orderBy(*order).limit(MOST_RANKED).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rerank")))
     mixed = F.when((F.col("place") <= head) & F.col("rerank").isNotNull(), F.round((F.col("score") / 100 * (1 - weight) + clipped * weight) * 100, 2)).otherwise(F.col("score"))
     joined = placed.join(scores, "profile", "left").withColumn("score", mixed).drop("rerank")
@@ -163,14 +168,18 @@ def warehouse_rank(docs: DataFrame, chunks: DataFrame, query_vector: list[float]
 
 
 def warehouse_rerank(ranked: DataFrame, scores: DataFrame, head: int = WAREHOUSE_HEAD) -> DataFrame:
-    """The first `head` rows by the reranker's score alone, the rest behind them as they were: adds place."""
-    placed = ranked.withColumn("_was", F.row_number().over(Window.orderBy(F.desc("score"), "cv")))
+    """The first `head` rows by the reranker's score alone, the rest behind them as they were: adds place.
+
+    Takes the first MOST_RANKED rows of what the ranker gives.
+    """
+    placed = ranked.orderBy(F.desc("score"), "cv").limit(MOST_RANKED).withColumn("_was", F.row_number().over(Window.orderBy(F.desc("score"), "cv")))
     joined = placed.join(scores, "cv", "left")
     order = Window.orderBy((F.col("_was") > head).cast("int"), F.when(F.col("_was") > head, F.col("_was")), F.desc_nulls_last("rerank"), "_was")
     return joined.withColumn("place", F.row_number().over(order)).drop("_was", "rerank")
 
 
 def result_rows(ranked: DataFrame, event: Column, query: Column) -> DataFrame:
-    """Telemetry of a result: rank from 1 in final order, and the query as the SHA-256 of its folded text."""
-    order = Window.orderBy(F.desc("score"), F.desc("number"), "profile")
-    return ranked.select(event.alias("event"), F.row_number().over(order).alias("rank"), "profile", "score", F.sha2(F.lower(query), 256).alias("query_hash"))
+    """Telemetry of a result, its first MOST_RANKED rows: rank from 1 in final order, and the query as the SHA-256 of
+    its folded text."""
+    order = [F.desc("score"), F.desc("number"), "profile"]
+    return ranked.orderBy(*order).limit(MOST_RANKED).select(event.alias("event"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "profile", "score", F.sha2(F.lower(query), 256).alias("query_hash"))

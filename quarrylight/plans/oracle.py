@@ -14,7 +14,7 @@ _BUSY = "busy as (select user_id as owner, ts as busy_start, ts + to_minutes((ev
 _RANKED = f"""
     query as (select * from {_QUERY}), vec as (select * from {_Q}),
     m as (
-        select source as profile, doc_id as version, list_cosine_similarity(embedding::double[], q) as dense,
+        select 'p' || (doc_id // 5) as profile, doc_id as version, list_cosine_similarity(embedding::double[], q) as dense,
                {_OVERLAP} as lexical, [lang, 'l' || label] as skills, n_chars / 1000 as years,
                timestamp '2023-01-01' + to_days((doc_id % 365)::int) as submitted, lang as category
         from (select doc_id, source, lang, n_chars, {_WORDS} as words from documents) d
@@ -98,7 +98,7 @@ ORACLE_SQL = {
     "rerank_blend": f"""
         with {_RANKED},
         placed as (select profile, version, score, row_number() over (order by score desc, version desc, profile) as place,
-                          {_SHA32.format('profile', 1000)} / 1000 as rerank from ranked),
+                          ({_SHA32.format('profile', 1000)} + 0.25) / 1009 as rerank from ranked),
         mixed as (select profile, version, place, case when place <= 8 then round((score / 100 * 0.3 + rerank * 0.7) * 100, 2) else score end as score from placed)
         select profile, score from mixed
         order by place > 8, case when place > 8 then place end, score desc, version desc, profile limit 10""",
@@ -162,14 +162,14 @@ ORACLE_SQL = {
         from n qualify row_number() over (partition by p_partkey, key order by place) = 1""",
     "set_diff": """
         with l as (select l_orderkey, list_sort(list_distinct(list(case when l_linenumber % 2 = 0 then 'P' else 'p' end || (l_partkey % 50)))) as items from lineitem group by 1),
-        p as (select l_orderkey, items, lead(items) over (partition by l_orderkey % 64 order by l_orderkey) as after from l),
+        p as (select l_orderkey, items, lead(items) over (partition by l_orderkey // 64 order by l_orderkey) as after from l),
         k as (select l_orderkey, list_distinct(list_transform(items, lambda x: lower(x))) as b, list_distinct(list_transform(after, lambda x: lower(x))) as a from p where after is not null)
         select l_orderkey, 'added' as bucket, unnest(list_filter(a, lambda x: not list_contains(b, x))) as value from k
         union all select l_orderkey, 'removed', unnest(list_filter(b, lambda x: not list_contains(a, x))) from k
         union all select l_orderkey, 'unchanged', unnest(list_intersect(a, b)) from k""",
     "version_diff": """
         with one as (select l_orderkey, (l_partkey % 20)::varchar as key, arg_min(case when l_linenumber % 3 = 0 then 'x' else 'y' end || (l_partkey % 20), l_linenumber) as raw from lineitem group by 1, 2),
-        o as (select l_orderkey, lead(l_orderkey) over (partition by l_orderkey % 64 order by l_orderkey) as pair from (select distinct l_orderkey from one) qualify pair is not null),
+        o as (select l_orderkey, lead(l_orderkey) over (partition by l_orderkey // 64 order by l_orderkey) as pair from (select distinct l_orderkey from one) qualify pair is not null),
         b as (select pair, key, raw as before from one join o using (l_orderkey)),
         a as (select l_orderkey as pair, key, raw as after from one where l_orderkey in (select pair from o)),
         d as (select pair, case when before is null then 'added' when after is null then 'removed' when lower(before) <> lower(after) then 'modified' else 'unchanged' end as bucket from b full join a using (pair, key))

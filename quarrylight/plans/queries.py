@@ -78,12 +78,12 @@ def hybrid_hits(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, limit=20):
-    """Documents as versions of their source's profile, with a vector of the same id for the semantic part."""
+    """Documents as versions of profiles, five each, with a vector of the same id for the semantic part."""
     q = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", vec.strict_cosine(F.col("embedding"), q).alias("dense"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", tx.word_overlap(F.col("text"), _query_words(spark, sf_dir)).alias("lexical"))
     matches = docs.join(vectors, "doc_id").select(
-        F.col("source").alias("profile"), F.col("doc_id").alias("version"), F.col("doc_id").alias("number"), "dense",
+        F.concat(F.lit("p"), (F.col("doc_id") / 5).cast("long")).alias("profile"), F.col("doc_id").alias("version"), F.col("doc_id").alias("number"), "dense",
         "lexical", F.array("lang", F.concat(F.lit("l"), F.col("label"))).alias("skills"),
         (F.col("n_chars") / 1000).alias("years"), (F.lit("2023-01-01").cast("timestamp") + F.make_interval(days=(F.col("doc_id") % 365).cast("int"))).alias("submitted"),
         F.col("lang").alias("category"),
@@ -98,7 +98,7 @@ def hybrid_rank(spark, sf_dir):
 
 def rerank_blend(spark, sf_dir):
     ranked = _ranked(spark, sf_dir).select("profile", "number", "score")
-    scores = ranked.select("profile", (tx.hash_bucket(F.col("profile"), 1000) / 1000).alias("rerank"))
+    scores = ranked.select("profile", ((tx.hash_bucket(F.col("profile"), 1000) + 0.25) / 1009).alias("rerank"))  # no ties in rounding
     return search.rerank_blend(ranked, scores, 10, head=8).select("profile", F.round("score", 2).alias("score"))
 
 
@@ -166,12 +166,12 @@ def latest_per_key(spark, sf_dir):
 
 def version_number(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("checksum"))
-    return entities.number_versions(docs, "source", "checksum", ["doc_id"]).select("source", "doc_id", F.col("version").cast("long").alias("version"))
+    return entities.number_versions(docs, "source", "checksum", ["doc_id"], bucket=(F.col("doc_id") / 4096).cast("long")).select("source", "doc_id", F.col("version").cast("long").alias("version"))
 
 
 def prev_version_delta(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("checksum", F.sha2("text", 256))
-    out = entities.change_summary(docs, "source", "doc_id", "checksum", "text")
+    out = entities.change_summary(docs, "source", "doc_id", "checksum", "text", (F.col("doc_id") / 4096).cast("long"))
     return out.select("doc_id", "change", F.col("word_delta").cast("long").alias("word_delta"))
 
 
@@ -235,7 +235,7 @@ def canonical_skills(spark, sf_dir):
 
 def _list_pairs(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "P").otherwise("p"), F.col("l_partkey") % 50))).alias("items"))
-    return lines.select("l_orderkey", "items", F.lead("items").over(Window.partitionBy(F.col("l_orderkey") % 64).orderBy("l_orderkey")).alias("after"))
+    return lines.select("l_orderkey", "items", F.lead("items").over(Window.partitionBy((F.col("l_orderkey") / 64).cast("long")).orderBy("l_orderkey")).alias("after"))
 
 
 def set_diff(spark, sf_dir):
@@ -247,7 +247,7 @@ def version_diff(spark, sf_dir):
     """Skill diff of neighbouring orders, an order's parts as skills spelled by line."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).cast("string").alias("key"), "l_linenumber", F.concat(F.when(F.col("l_linenumber") % 3 == 0, "x").otherwise("y"), F.col("l_partkey") % 20).alias("raw"))
     one = lines.groupBy("l_orderkey", "key").agg(F.min_by("raw", "l_linenumber").alias("raw"))
-    orders = one.select("l_orderkey").distinct().withColumn("pair", F.lead("l_orderkey").over(Window.partitionBy(F.col("l_orderkey") % 64).orderBy("l_orderkey"))).filter("pair is not null")
+    orders = one.select("l_orderkey").distinct().withColumn("pair", F.lead("l_orderkey").over(Window.partitionBy((F.col("l_orderkey") / 64).cast("long")).orderBy("l_orderkey"))).filter("pair is not null")
     before = one.join(orders, "l_orderkey").select("pair", "key", "raw")
     after = one.join(orders.select("pair"), one.l_orderkey == orders.pair, "left_semi").select(F.col("l_orderkey").alias("pair"), "key", "raw")
     diff = entities.diff_skills(before, after, "pair")

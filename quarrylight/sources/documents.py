@@ -102,24 +102,35 @@ def hard_chunks(docs: DataFrame, key: str, text: str, size: int = 900) -> DataFr
     return docs.select(key, F.col(text).alias("_t"), place.alias("ordinal")).select(key, "ordinal", F.substring("_t", F.col("ordinal") * size + 1, F.lit(size)).alias("chunk"))
 
 
+def _runs(joiner: int, most: int):
+    @F.pandas_udf("array<struct<at: int, n: int>>")
+    def runs(lengths: pd.Series, alone: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for each, single, base in zip(lengths, alone, size):
+            found, at, n = [], 0, base
+            for i, (length, by_itself) in enumerate(zip(each, single)):
+                more = length + (joiner if i > at else 0)
+                if i > at and (n + more > most or by_itself or single[at]):
+                    found.append({"at": at + 1, "n": i - at})
+                    at, n = i, base + length
+                else:
+                    n += more
+            if len(each):
+                found.append({"at": at + 1, "n": len(each) - at})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return runs
+
+
 def greedy_groups(items: Column, size: Column, joiner: int, most: int) -> Column:
     """Array of arrays: items packed in order into groups whose sizes, with joiners, stay within `most` beyond `size`.
 
-    A single item that doesn't fit is a group of its own, as is one that begins with ALONE.
+    A single item that doesn't fit is a group of its own, as is one that begins with ALONE. Only lengths go through
+    Python, which tells where groups begin: one pass over a row's items, however many.
     """
-    empty = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), size.cast("int").alias("n"))
-
-    def step(s, x):
-        more = F.length(x) + F.when(F.size(s["now"]) > 0, F.lit(joiner)).otherwise(0)
-        alone = x.startswith("\x01") | F.coalesce(F.get(s["now"], F.lit(0)).startswith("\x01"), F.lit(False))
-        full = (F.size(s["now"]) > 0) & ((s["n"] + more > most) | alone)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.concat(s["now"], F.array(x))).alias("now"),
-            F.when(full, size.cast("int") + F.length(x)).otherwise(s["n"] + more).cast("int").alias("n"),
-        )
-
-    return F.aggregate(items, empty, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    runs = _runs(joiner, most)(F.transform(items, lambda x: F.length(x)), F.transform(items, lambda x: x.startswith(ALONE)), size.cast("int"))
+    return F.transform(runs, lambda r: F.slice(items, r["at"], r["n"]))
 
 
 def section_chunks(docs: DataFrame, key: str, text: str, most: int = 900) -> DataFrame:
