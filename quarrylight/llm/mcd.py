@@ -203,6 +203,16 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     one row's work: its words and windows are arrays in one task. Columns keep their names, whatever these are, but
     for those that the operator adds itself, which replace them.
     """
+    return released(judged(docs, text, lang, source, least_pool, cutoff), *STATISTICS, "base_failed", "distance", "kept")
+
+
+def passed(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_pool: int = LEAST_POOL, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows that quality_rules() keeps, with the columns of `docs` alone, whatever their names."""
+    return released(judged(docs, text, lang, source, least_pool, cutoff).filter("kept"))
+
+
+def judged(docs: DataFrame, text: str, lang: str, source: str, least_pool: int, cutoff: float) -> DataFrame:
+    """`docs` as held() holds it, beside the columns that quality_rules() adds."""
     key = lambda *c: F.md5(F.to_json(F.struct(F.lit(len(c)).alias("k"), *(F.col(x).cast("string").alias(f"c{i}") for i, x in enumerate(c)))))
     rows = held(docs, own=key(lang, source), lang=key(lang), s=statistics(F.col(text))).select("docs", "own", "lang", "s.*")
     saved = written(rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality")
@@ -214,6 +224,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     for name, on in (("by_own", F.col("own")), ("by_lang", F.col("lang")), ("by_all", F.lit(ALL))):
         out = _by_key(out, estimates.select("pool", F.struct(*_ESTIMATE).alias(name)), on == F.col("pool"), "left").drop("pool")
     out = out.withColumn("e", F.coalesce("by_own", "by_lang", "by_all")).select("docs", *STATISTICS, "base_failed", *FEATURES, "e.*")
-    judged = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
-    kept = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-    return released(kept, *STATISTICS, "base_failed", "distance", "kept")
+    far = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
