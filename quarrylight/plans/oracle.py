@@ -434,6 +434,29 @@ ORACLE_SQL = {
         u as (select id, period, coalesce(sum(amount) over (partition by l_suppkey, period order by l_shipdate, id rows between unbounded preceding and 1 preceding), 0)::bigint as used from r)
         select *, used < 60 as accepted from u""",
     "batch_counters": "select l_orderkey, count(*) filter (l_returnflag = 'N') as created, count(*) filter (l_returnflag = 'A') as skipped, count(*) filter (l_returnflag = 'R') as failed, count(*) as total from lineitem group by 1",
+    "find_mentions": r"""
+        with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from benchmark),
+        one as (select distinct unnest(list_filter(w, lambda x: length(x) > 8)) as a from w),
+        two as (select distinct x as a, y as b from (select unnest(w[1:-2]) as x, unnest(w[2:]) as y from w where len(w) > 1) where length(x) > 5 and length(y) > 5),
+        c as (select doc_id, regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '(^|\s)[^\s@]+@\S+|https?://\S+|\b[\w-]+\.(?:net|com|org)\b', '\1 ', 'g') as t from documents),
+        l as (select doc_id, generate_subscripts(string_split(t, chr(10)), 1) as line, unnest(string_split(t, chr(10))) as t from c),
+        p as (select doc_id, line, string_split(replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), ';', chr(1)), chr(1)) as parts from l),
+        f as (select doc_id, line, generate_subscripts(parts, 1) as clause, strip_accents(lower(unnest(parts))) as folded from p),
+        k as (select doc_id, line, clause, regexp_extract_all(folded, '[\p{L}\p{N}]+(?:[.+#/''&-]+[\p{L}\p{N}]+)*[+#]*') as t from f),
+        e as (select doc_id, line, clause, generate_subscripts(t, 1) as place, unnest(t) as tok, unnest(t[2:] || [null]) as nxt from k where len(t) > 0),
+        s as (select doc_id, line, clause, place, nxt, unnest(list_distinct([tok, regexp_replace(tok, chr(39) || 's$', '')])) as tok, 1 as least from e
+              union all select doc_id, line, clause, place, null, unnest(string_split(tok, '/')), 0 from e where contains(tok, '/')),
+        m as (select doc_id, line, clause, place, least as n, tok as alias from s join one on a = tok
+              union all select doc_id, line, clause, place, 2, a || ' ' || b from s join two on tok = a and nxt = b where least = 1),
+        top as (select distinct * from m qualify n = max(n) over (partition by doc_id, line, clause, place)),
+        free as (select x.* from top x anti join (select doc_id, line, clause, place + 1 as place from top where n = 2) y using (doc_id, line, clause, place))
+        select doc_id, array_to_string(list_transform(string_split(alias, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as name, count(*) as n from free group by 1, 2""",
+    "connector_rows": f"select distinct 'c' || (user_id % 3) as connector, event_type || '/' || ts::date as source_ref from events where event_id % 9 > 0 and ts <= timestamp '{NOW}'",
+    "step_latency": "select event_type as step, count(*) as n, round(avg(event_id % 500), 3) as mean_ms from events group by 1",
+    "dead_letters": """
+        with a as (select l_orderkey as task, l_partkey * 8 + l_linenumber as "at", bool_or(l_returnflag = 'N') as ok from lineitem group by 1, 2),
+        s as (select *, row_number() over (partition by task order by "at") as attempt from a)
+        select task, count(*) as n from s where not ok and attempt >= 3 group by 1""",
     "candidate_search": f"""
         with q as (select * from {_QUERY}), vec as (select * from {_Q}),
         dense as (select vec_id as chunk, list_cosine_similarity(embedding::double[], q) as d from embeddings, vec order by d desc, vec_id limit 100),

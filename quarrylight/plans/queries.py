@@ -579,9 +579,18 @@ def section_chunks(spark, sf_dir):
     return files.section_chunks(docs, "l_orderkey", "text", 100).select("l_orderkey", "section", F.col("ordinal").cast("long").alias("ordinal"), "chunk")
 
 
+def _benchmark_words(spark, sf_dir) -> DataFrame:
+    """A vocabulary of the benchmark's long words and of pairs of its longer ones."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = F.transform("w", lambda x, i: F.when((F.length(x) > 5) & (F.length(F.get("w", i + 1)) > 5), F.concat_ws(" ", x, F.get("w", i + 1))))
+    alias = words.select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) > 8), F.array_compact(pairs))).alias("alias")).distinct()
+    return alias.select("alias", F.initcap("alias").alias("name"), F.lit("concept").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(False).alias("needs_context"))
+
+
 def find_mentions(spark, sf_dir):
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Tools: Python, Go, "), "p_name", F.lit(" and PostgreSQL\nSwift delivery")).alias("text"))
-    return reading.read(docs, "p_partkey", "text")["mentions"].select("p_partkey", "line", "place", "name", "kind")
+    """How often each document mentions what a vocabulary made of the benchmark names."""
+    found = reading.read(table(spark, sf_dir, "documents"), "doc_id", "text", _benchmark_words(spark, sf_dir))["mentions"]
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
 def job_reading(spark, sf_dir):
@@ -972,4 +981,19 @@ def search_modes(spark, sf_dir):
     return out.select("mode", "query", *(r6(c).alias(c) for c in out.columns[2:]))
 
 
+def connector_rows(spark, sf_dir):
+    pushed = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("connector"), F.concat_ws("/", "event_type", F.to_date("ts")).alias("source_ref"), F.when(F.col("event_id") % 9 > 0, F.col("ts")).alias("consent"))
+    return stateful.connector_rows(pushed, NOW).select("connector", "source_ref")
+
+
+def step_latency(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), F.col("ts").alias("started"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 500) / 1000)).alias("ended"))
+    return stateful.step_latency(steps)
+
+
+def dead_letters(spark, sf_dir):
+    attempts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("l_partkey") * 8 + F.col("l_linenumber"))).alias("at")).agg(F.bool_or(F.col("l_returnflag") == "N").alias("ok"))
+    return stateful.dead_letters(stateful.task_log(attempts)).groupBy("task").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in ("table", "now", "strings", "r6")}

@@ -136,6 +136,94 @@ def task_log(attempts: DataFrame, most: int = 3) -> DataFrame:
     return placed.withColumns({"status": status, "delay": F.when(status == "RETRYING", delay)})
 
 
+def outbox_step(attempts: int, at: pd.Timestamp, outcome: str, most: int = MOST_ATTEMPTS) -> tuple[int, str, pd.Timestamp | None]:
+    """(attempts, status, available_at) after another attempt at an outbox event: see outbox_log()."""
+    attempts += 1
+    if outcome == "ok":
+        return attempts, "COMPLETED", None
+    if outcome == "blocked":
+        return attempts, "BLOCKED", None
+    if attempts >= most:
+        return attempts, "FAILED", None
+    return attempts, "PENDING", at + pd.Timedelta(seconds=backoff(attempts))
+
+
+def task_step(attempts: int, ok: bool, most: int = 3) -> tuple[int, str, int | None]:
+    """(attempts, status, delay) after another attempt at a task: see task_log()."""
+    attempts += 1
+    if ok:
+        return attempts, "COMPLETED", None
+    return (attempts, "FAILED", None) if attempts >= most else (attempts, "RETRYING", task_backoff(attempts - 1))
+
+
+class _Attempts(StatefulProcessor):
+    """Keeps the number of attempts at a key and whether its status is final; where that `stops` it, later rows are ignored."""
+
+    stops = True
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("attempts", "attempts int, final boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("at")
+        attempts, final = tuple(self.state.get()) if self.state.exists() else (0, False)
+        out = []
+        for row in pdf.itertuples(index=False):
+            if final and self.stops:
+                break
+            attempts, status, then = self.step(attempts, row)
+            final = status not in ("PENDING", "RETRYING")
+            out.append((key[0], row.at, attempts, status, then))
+        self.state.update((attempts, final))
+        yield pd.DataFrame(out, columns=[self.key, "at", "attempt", "status", self.then])
+
+    def close(self) -> None:
+        pass
+
+
+class OutboxProcessor(_Attempts):
+    key, then = "event", "available_at"
+
+    def step(self, attempts: int, row) -> tuple:
+        return outbox_step(attempts, row.at, row.outcome)
+
+
+class TaskProcessor(_Attempts):
+    key, then, stops = "task", "delay", False
+
+    def step(self, attempts: int, row) -> tuple:
+        return task_step(attempts, bool(row.ok))
+
+
+def outbox_stream(attempts: DataFrame) -> DataFrame:
+    """Streaming form of outbox_log over (event string, at, outcome): keyed state, one micro-batch at a time."""
+    kinds = "event string, at timestamp, attempt int, status string, available_at timestamp"
+    return attempts.groupBy("event").transformWithStateInPandas(OutboxProcessor(), outputStructType=kinds, outputMode="Append", timeMode="None")
+
+
+def task_stream(attempts: DataFrame) -> DataFrame:
+    """Streaming form of task_log over (task string, at, ok)."""
+    kinds = "task string, at timestamp, attempt int, status string, delay int"
+    return attempts.groupBy("task").transformWithStateInPandas(TaskProcessor(), outputStructType=kinds, outputMode="Append", timeMode="None")
+
+
+def dead_letters(log: DataFrame) -> DataFrame:
+    """What a task or outbox log has given up: its FAILED and BLOCKED rows."""
+    return log.filter(F.col("status").isin("FAILED", "BLOCKED"))
+
+
+def connector_rows(pushed: DataFrame, now: str) -> DataFrame:
+    """Rows that a connector may ingest: consent given, and each (connector, source_ref) once, however often it is sent."""
+    return distinct_events(consented(pushed, "consent", now), ["connector", "source_ref"])
+
+
+def step_latency(steps: DataFrame) -> DataFrame:
+    """(step, n, mean_ms): a worker's append-only step log (step, started, ended), for update mode."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    took = (micros("ended") - micros("started")) / 1000
+    return steps.groupBy("step").agg(F.count("*").alias("n"), F.round(F.avg(took), 3).alias("mean_ms"))
+
+
 def consented(rows: DataFrame, consent: str, now: str) -> DataFrame:
     """Connector rows whose consent was given, and not in the future."""
     return rows.filter(F.col(consent).isNotNull() & (F.col(consent) <= F.lit(now).cast("timestamp")))

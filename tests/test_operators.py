@@ -284,6 +284,27 @@ def test_alert_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("alerts").collect())) == sorted(map(tuple, stateful.alert_log(rows).collect()))
 
 
+def test_outbox_and_task_streams_agree_with_their_logs(spark, tmp_path):
+    at = lambda n: datetime(2026, 1, 1, 0, n)
+    outbox = [("a", at(1), "error"), ("a", at(9), "ok"), ("a", at(10), "error"), ("b", at(2), "blocked"), *(("c", at(n), "error") for n in range(1, 12, 2))]
+    tasks = [("t", at(1), False), ("t", at(5), False), ("t", at(9), False), ("u", at(2), False), ("u", at(8), True)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, rows, kinds, stream, log in (("outbox", outbox, "event string, at timestamp, outcome string", stateful.outbox_stream, stateful.outbox_log), ("tasks", tasks, "task string, at timestamp, ok boolean", stateful.task_stream, stateful.task_log)):
+            frame = spark.createDataFrame(rows, kinds)
+            for part in (0, 1):  # two micro-batches, between which the state is kept
+                frame.filter(F.minute("at").between(6 * part, 6 * part + 5)).repartition(1).write.mode("append").parquet(str(tmp_path / name))
+            source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+            query = stream(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+            query.awaitTermination(180)
+            got = spark.table(name)
+            assert sorted(map(str, got.collect())) == sorted(map(str, log(frame).select(got.columns).collect()))
+            assert {r[0] for r in stateful.dead_letters(got).collect()} == ({"b", "c"} if name == "outbox" else {"t"})
+    finally:
+        spark.conf.unset(provider)
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     start = datetime(2026, 1, 1)
     rows = spark.createDataFrame([(i, "o", start + timedelta(seconds=30 * i)) for i in range(8)] + [(3, "o", start + timedelta(seconds=90))], "id int, owner string, ts timestamp")
