@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered set join, then connected components."""
+"""Exact similarity behind operator 4: candidates of fingerprints and of shingle signatures, verified by their sets."""
 
 from __future__ import annotations
 
@@ -11,20 +11,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, held, released, written
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, links, shingle_hashes
 
 #: Words of a shingle, and the least similarity of linked texts.
 SHINGLE, LEAST = 5, 0.8
-#: Texts that the order of shingles is sampled from, and most shingles in it. The order only makes buckets small:
-#: whatever it is, two texts of similarity LEAST share a shingle of their prefixes.
-SAMPLE, COMMON = 4096, 1 << 17
-#: Rounds that compare each bucket with one member only, before all pairs of what is still apart.
-ROUNDS = 2
-#: Longs of a text's bitmap: for each of their bits, whether an odd number of its shingles fall there.
-BITMAP = 8
-#: Pairs of one text that are compared in a task's row group before its shingles are dealt out again.
+#: Texts that the order of shingles is learnt from: this many, or this share of them if that is more. And the most
+#: shingles in the order, 16 bytes each. The order only makes buckets small: whatever it is, two texts of similarity
+#: LEAST share a shingle of their prefixes.
+SAMPLE, SHARE, COMMON = 1 << 14, 0.001, 1 << 20
+#: Rounds that compare each text with one other that it meets, before all pairs of what is still apart.
+STARS = 2
+#: Pairs of one text that are compared in one task.
 FAN = 64
 
 
@@ -33,109 +32,147 @@ def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.
     return np.unique(shingle_hashes(text or "", shingle, seed).reshape(-1).view(np.int64))
 
 
-def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more sampled texts hold, sorted, and in how many."""
-    step = max(1, rows.count() // SAMPLE)
+def prefix(found: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a set that come first in the order, in which rare ones precede common ones.
+
+    Of n shingles a set of similarity `least` or more shares ceil(least * n), so one of the n - ceil(least * n) + 1
+    that come first in any order that all texts have in common.
+    """
+    known, count = order
+    often = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        often = np.where(known[at] == found, count[at], 0)
+    return found[np.argsort(often, kind="stable")][: len(found) - math.ceil(least * len(found) - 1e-9) + 1] if len(found) else found
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Longs whose bits tell whether an odd number of shingles falls there; two bits or more for each shingle."""
+    size = max(64, 1 << (2 * max(1, len(found)) - 1).bit_length())
+    odd = np.bincount(found & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more sampled texts hold, sorted, and in how many: the COMMON most frequent ones."""
+    share = max(SHARE, min(1.0, SAMPLE / max(1, texts.count())))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for t in batch["_text"]:
-                yield pd.DataFrame({"h": shingle_set(t, shingle)})
+            for a in range(0, len(batch), 256):
+                yield pd.DataFrame({"h": np.concatenate([shingle_set(t, shingle) for t in batch["text"].iloc[a : a + 256]])})
 
-    sample = rows.filter(F.pmod(F.xxhash64("_row"), F.lit(step)) == 0).select("_text").mapInPandas(hashes, "h long")
-    found = sample.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    drawn = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def _signed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
-    """(doc_id, _row, n, digest, prefix, bits): size and digest of each text's set, its rarest shingles, and its bitmap.
-
-    Of n shingles a set of similarity `least` or more shares ceil(least * n), so one of the n - ceil(least * n) + 1
-    that come first in any order that all texts have in common.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(common)
-
-    @F.pandas_udf("n int, digest binary, prefix array<long>, bits array<long>")
+def _signed(shingle: int, least: float, order):
+    @F.pandas_udf("n int, digest binary, fingerprint long, prefix array<long>, bits array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        known, count = shared.value
         out = []
         for t in texts:
-            s = shingle_set(t, shingle)
-            often = np.zeros(len(s), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                often = np.where(known[at] == s, count[at], 0)
-            rarest = s[np.argsort(often, kind="stable")][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
-            odd = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-            out.append((len(s), xxhash.xxh128_digest(s.tobytes()), rarest, np.packbits(odd.astype(np.uint8)).view(np.int64)))
-        return pd.DataFrame(out, columns=["n", "digest", "prefix", "bits"])
-
-    return rows.withColumn("_s", sign("_text")).select("doc_id", "_row", "_s.*")
+            hashes = shingle_hashes(t or "", shingle, 42)
+            found = np.unique(hashes.reshape(-1).view(np.int64))
+            out.append((len(found), xxhash.xxh128_digest(found.tobytes()), fingerprint_of(hashes), prefix(found, order.value, least), bitmap(found)))
+        return pd.DataFrame(out, columns=["n", "digest", "fingerprint", "prefix", "bits"])
 
+    return sign
 
-def _fits(x: Column, y: Column, least: float) -> Column:
-    """Sets of these sizes can have similarity `least`."""
-    return F.least(x, y) >= least * F.greatest(x, y) - 1e-9
 
+def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sizes and bitmaps allow similarity `least`: each bit that differs is a shingle of one text only.
 
-def _star(buckets: DataFrame, number: int, least: float) -> DataFrame:
-    """Pairs (a, b) of each bucket's member of least hash with the others that are apart from it."""
-    pivot = F.array_min(F.transform("nodes", lambda x: F.struct(F.xxhash64(x["node"], F.lit(number)).alias("h"), x["node"].alias("node"), x["n"].alias("n"), x["root"].alias("root"))))
-    rows = buckets.select(pivot.alias("p"), F.explode("nodes").alias("x")).filter(F.col("x.root") != F.col("p.root"))
-    return rows.filter(_fits(F.col("x.n"), F.col("p.n"), least)).select(F.col("p.node").alias("a"), F.col("x.node").alias("b")).distinct()
-
+    The bitmap of the larger text may be twice as long; its halves are put over each other first.
+    """
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    sized = pairs.join(x, "a").join(y, "b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    m = F.least(F.size("bits_a"), F.size("bits_b"))
+    folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return sized.filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9).select("a", "b")
 
-def _all_pairs(buckets: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of a bucket whose members are still apart."""
-    rows = buckets.select("nodes", F.explode("nodes").alias("x"))
-    others = F.filter("nodes", lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root")) & _fits(y["n"], F.col("x.n"), least))
-    return rows.select(F.col("x.node").alias("a"), F.explode(F.transform(others, lambda y: y["node"])).alias("b")).distinct()
 
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, least: float) -> DataFrame:
+    """The pairs whose sets have Jaccard similarity `least` or more.
 
-def _possible(pairs: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
-    """The pairs whose bitmaps allow similarity `least`: each bit that differs is a shingle that only one of them has."""
-    x, y = (bitmaps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9).select("a", "b")
+    Only texts of pairs that are possible at all are read and cut into shingles. The set of a text in many pairs is
+    dealt to many tasks.
+    """
 
+    @F.pandas_udf("array<long>")
+    def shingles(values: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
 
-def _verified(pairs: DataFrame, bitmaps: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets have Jaccard similarity `least` or more. The set of a text in many pairs is dealt to many tasks."""
-    pairs = written(_possible(pairs, bitmaps, least), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(sets.join(asked, "node", "left_semi"), "asked")
+    pairs = written(_possible(pairs, nodes, least), "pairs")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    sets = written(rows.select("row", text.alias("text")).join(asked, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), shingles("text").alias("set")), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("x"))
     both = dealt.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "part"])
     common = F.size(F.array_intersect("x", "y"))
     near = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total")).filter(F.col("common") >= least * (F.col("total") - F.col("common")) - 1e-9)
-    return near.select("a", "b")
+    out = written(near.select("a", "b"), "links")
+    for used in (pairs, asked, sets):
+        drop_written(used)
+    return out
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by operator 4's search: fingerprints within its distance, and texts of one fingerprint."""
+    firsts = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")), "fingerprints")
+    same = nodes.select("fingerprint", F.col("node").alias("b")).join(firsts.withColumnRenamed("node", "a"), "fingerprint").filter("a <> b").select("a", "b")
+    x, y = (firsts.select(F.col("fingerprint").alias(f"f{c}"), F.col("node").alias(c)) for c in "ab")
+    near = links(firsts).distinct().toDF("fa", "fb").join(x, "fa").join(y, "fb").select("a", "b")
+    return same.unionByName(near)
+
+
+def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, root): members of the buckets that hold more than one component as they are now."""
+    now = live.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return now.join(several, "key", "left_semi")
 
 
-def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The buckets with the roots of their members as they are now, without those that have one root only."""
-    members = buckets.select("bucket", F.explode("nodes").alias("x")).select("bucket", "x.n", "x.node")
-    now = members.join(roots, "node", "left").select("bucket", F.struct("n", "node", F.coalesce("root", "node").alias("root")).alias("x"))
-    return now.groupBy("bucket").agg(F.collect_list("x").alias("nodes"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).filter("lo < hi").drop("lo", "hi")
+def _star(live: DataFrame, number: int) -> DataFrame:
+    """A pair for each text that is apart from one that it meets: of its buckets' members of least hash the least."""
+    order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
+    pivots = live.groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
+    met = live.join(pivots, "key").filter("root <> p.root").groupBy("node").agg(F.min("p").alias("p"))
+    return met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
 
 
-def _components(buckets: DataFrame, bitmaps: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, root) of every node with a link, over all pairs of similarity `least` or more.
+def _all_apart(live: DataFrame, least: float) -> DataFrame:
+    """All pairs of a bucket's members that are still apart and of sizes that can be similar."""
+    x, y = (live.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+    fit = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    return x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit).select("a", "b").distinct()
 
-    A group of many near copies meets in each bucket. One member each is compared with the rest first; what these
-    links join needs no further comparison, and all pairs are made only of what is still apart.
+
+def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, least: float) -> DataFrame:
+    """(node, root) of every node with a link.
+
+    Round by round candidates are verified and joined to components: pairs of operator 4's fingerprints first, then
+    for every text one of those that it shares a shingle of its prefix with, so that a large group of copies costs a
+    comparison for each, then the pairs of a bucket that no component holds yet.
     """
-    links, roots = [], None
-    for number in range(ROUNDS + 1):
-        pairs = _star(buckets, number, least) if number < ROUNDS else _all_pairs(buckets, least)
-        links.append(written(_verified(pairs, bitmaps, sets, least), "links"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
+    verified = lambda pairs: _verified(pairs, nodes, rows, text, shingle, least)
+    edges = verified(_by_fingerprint(nodes))
+    roots = connected_components(edges, "a", "b")
+    entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    live = written(entries.join(shared, "key", "left_semi"), "buckets")
+    for number in range(STARS + 1):
+        left = written(_apart(live, roots), "buckets")
+        drop_written(live)
+        live = left
+        found = verified(_star(live, number) if number < STARS else _all_apart(live, least))
+        both = written(edges.unionByName(found), "edges")
+        drop_written(edges)
+        edges = both
         roots = connected_components(edges, "a", "b")
-        if number < ROUNDS:
-            buckets = written(_apart(buckets, roots), "buckets")
     return roots
 
 
@@ -143,29 +180,22 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """One row of each group of near-duplicates with all columns of `docs`: the smallest id, of equal ids any one.
 
     Two texts are linked if the sets of their word shingles have Jaccard similarity `least` or more (texts of fewer
-    words than a shingle are one shingle, texts without words are copies of each other); groups are the components.
-    No pair is missed and none is estimated. Rows with a null id stay only where their group has no other. Texts are
-    shuffled once, to part those that share a bucket from those that stay for certain.
+    words than a shingle are one shingle, texts without words, null included, are copies of each other); groups are
+    the components. No pair is missed and every link is verified on whole sets: candidates are operator 4's
+    fingerprint pairs, and, as 64 bits can't reach down to 0.8, texts that share a shingle of their prefixes. Rows
+    with a null id stay only where their group has no other; repeated rows are copies; an empty table gives an empty
+    one. A very long text is held by one task. Columns keep their names, whatever these are. Texts are written once;
+    they are shuffled only where the ids to look up or to drop are too many to broadcast.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    named = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), "_row")
-    slim = _signed(named, _common(named, shingle), shingle, least)
-    grouped = slim.groupBy("n", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    texts = written(grouped.select("n", "first", F.col("first._row").alias("node"), "prefix", "bits"), "sets")
-    meet = texts.select("n", "node", F.explode("prefix").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", F.col("node").alias("root")))).alias("nodes"))
-    buckets = written(meet.filter("size(nodes) > 1").select("nodes").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    some = buckets.select(F.explode("nodes.node").alias("node")).distinct().withColumn("met", F.lit(True))
-    state = written(texts.join(some, "node", "left").select(F.col("node").alias("_row"), "first", F.coalesce("met", F.lit(False)).alias("_open")), "state")
-    left = written(rows.join(state.select("_row", "_open").hint("shuffle_hash"), "_row"), "parted")
-    drop_written(rows)
-
-    @F.pandas_udf("array<long>")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
-
-    open_ = left.filter("_open")
-    sets = written(open_.select(F.col("_row").alias("node"), shingles(F.col(text)).alias("set")), "shingles")
-    roots = _components(buckets, texts.select("node", "n", "bits"), sets, least)
-    of = state.filter("_open").join(roots, F.col("_row") == roots.node, "left").groupBy(F.coalesce("root", "_row").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(of.select(F.col("first._row").alias("_row")), "kept")
-    return left.filter("not _open").select(*docs.columns).union(open_.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns))
+    bare = written(held(docs, row=F.monotonically_increasing_id()), "texts")
+    value = F.col("docs").getField(text)
+    order = docs.sparkSession.sparkContext.broadcast(_common(bare.select("row", value.alias("text")), shingle))
+    rows = bare.withColumn("s", _signed(shingle, least, order)(value))
+    named = rows.select(F.col("docs").getField(doc_id).alias("doc_id"), "row", "s.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    grouped = named.groupBy("n", "digest").agg(first, *(F.first(c).alias(c) for c in ("fingerprint", "prefix", "bits")))
+    nodes = written(grouped.select(F.col("first.row").alias("node"), "n", "first", "fingerprint", "prefix", "bits"), "nodes")
+    roots = _components(nodes, bare, value, shingle, least)
+    of = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    gone = written(bare.select("row").join(of.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
+    return released(bare.join(gone, "row", "left_anti"))

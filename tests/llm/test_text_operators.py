@@ -40,34 +40,96 @@ def test_base_statistics(spark):
     assert [tuple(r) for r in got] == [base(t) for t in texts]
 
 
+def test_repeated_words_of_windows_that_share_a_hash_prefix(spark):
+    """With room for positions only, all windows share one prefix and interleave: the comparison is by words."""
+    texts = ["a b c x y z a b c q r s x y z", "p q r p q s p q r p q s", "a b c d e f g", "k k k k"]
+    frame = docs(spark, texts)
+    real_hash, F.xxhash64 = F.xxhash64, lambda *c: F.lit(0).cast("long") if len(c) == 3 else real_hash(*c)
+    try:
+        got = mcd.base_statistics(frame).orderBy("doc_id").select("n_repeat_words").collect()
+    finally:
+        F.xxhash64 = real_hash
+    assert [r[0] for r in got] == [base(t)[4] for t in texts]
+
+
 def plain_mcd(rows):
-    """The concentration steps over a plain array of whole-number features."""
+    """The three starts, their concentration steps and the reweighting over a plain array of whole-number features."""
     x, floors = np.array(rows, float), np.array(mcd.FLOORS, float)
+    scatter = lambda part, factor: factor * (part.T @ part / len(part) - np.outer(part.mean(0), part.mean(0))) + np.diag(floors**2)
+    distance = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def nearest(mean, cov, share):
+        bins = np.minimum(np.floor(16 * distance(mean, cov)), mcd.LAST_BIN)
+        return x[bins <= np.sort(bins)[int(np.ceil(share * len(x))) - 1]]
+
     q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-    mean, cov = q[1], np.diag((q[2] - q[0]) ** 2 / 1.8198 + floors**2)
-    for step in range(mcd.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        if step == mcd.STEPS:
-            return d
-        bins = np.minimum(np.floor(16 * d), mcd.LAST_BIN)
-        order = np.sort(bins)
-        inside = x[bins <= order[int(np.ceil(mcd.SUBSET * len(x))) - 1]]
-        mean = inside.mean(0)
-        cov = mcd.CONSISTENCY * ((inside.T @ inside) / len(inside) - np.outer(mean, mean)) + np.diag(floors**2)
+    median = q[1], np.diag((q[2] - q[0]) ** 2 / 1.8198 + floors**2)
+    half = nearest(*median, 0.5)
+    ends = []
+    for mean, cov in (median, (x.mean(0), scatter(x, 1.0)), (half.mean(0), scatter(half, 1.0))):
+        for _ in range(mcd.STEPS):
+            inside = nearest(mean, cov, mcd.SUBSET)
+            mean, cov = inside.mean(0), scatter(inside, mcd.CONSISTENCY)
+        ends.append((np.linalg.slogdet(cov)[1], mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    inside = x[distance(mean, cov) <= mcd.INLIER]
+    return distance(inside.mean(0), scatter(inside, mcd.REWEIGHTED)), [e[0] for e in ends]
 
 
 def test_quality_rules_follow_plain_estimates(spark):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     out = mcd.quality_rules(table, least_pool=40)
     fit = mcd.features(out.filter("not base_failed")).select("lang", "source", "distance", *mcd.FEATURES).toPandas()
-    by_lang = fit.groupby("lang").size()  # here all pools by language and source are too small
-    assert (fit.groupby(["lang", "source"]).size() < 40).all()
-    for lang in by_lang.index[by_lang >= 40]:
+    assert (fit.groupby(["lang", "source"]).size() < 40).all()  # here all pools by language and source are too small
+    by_lang, every = fit.groupby("lang").size(), plain_mcd(fit[list(mcd.FEATURES)])[0]
+    assert (by_lang < 40).any() and (by_lang >= 40).any()
+    for lang in by_lang.index:
         part = fit[fit.lang == lang]
-        assert np.allclose(part.distance, plain_mcd(part[list(mcd.FEATURES)]), rtol=1e-6)
+        want = plain_mcd(part[list(mcd.FEATURES)])[0] if by_lang[lang] >= 40 else every[(fit.lang == lang).to_numpy()]
+        assert np.allclose(part.distance, want, rtol=1e-6)
     assert out.count() == table.count()
 
 
+def test_large_pools_have_their_own_estimates_and_the_least_determinant(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for pool, (lang, source, n) in enumerate([("en", "a", 300), ("en", "b", 90), (None, "a", 60), ("de", "c", 12)]):
+        x = rng.normal([1600 + 40 * pool, 90, 60, 200], [60, 40, 70, 90], (n, 4))
+        x[: n // 5] = rng.normal([2400, 700, 900, 600], 30, (n // 5, 4))  # a fifth lies apart
+        rows += [(lang, source, *map(int, r)) for r in x]
+    frame = spark.createDataFrame(rows, "lang string, source string, x1 long, x2 long, x3 long, x4 long")
+    pool = F.concat_ws("/", F.coalesce("lang", F.lit("-")), "source").alias("pool")
+    got = mcd.minimum_determinant(frame.select(pool, *mcd.FEATURES))
+    far = mcd._measured(frame.select(pool, *mcd.FEATURES), got.withColumn("start", F.lit(0))).toPandas()
+    assert len(far) == len(rows)
+    for name, part in far.groupby("pool"):
+        want, ends = plain_mcd(part[list(mcd.FEATURES)])
+        assert np.allclose(part.distance, want, rtol=1e-6)
+        assert min(ends) <= ends[0] + 1e-9 and (part.distance[part.x2 > 500] > mcd.CUTOFF).all()
+
+
+CLASHES = ["distance", "pool", "_l", "_s", "m0", "l00", "x1", "docs", "own", "s", "e", "n", "row", "_row", "_fingerprint", "hits", "_hits", "best", "host_", "root", "node", "first"]
+
+
+def with_clashes(frame):
+    """`frame` with columns named as the operators name theirs; a value tells whether it came through."""
+    return frame.withColumns({c: F.lit(f"user {c}") for c in CLASHES})
+
+
+def came_through(out, *replaced):
+    """Every clashing column that isn't the operator's own output still holds the user's value."""
+    return all(r[c] == f"user {c}" for r in out.select(*(c for c in CLASHES if c not in replaced)).collect() for c in CLASHES if c not in replaced)
+
+
+def test_quality_rules_with_clashing_columns(spark):
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    out = mcd.quality_rules(with_clashes(table).withColumn("kept", F.lit("user")))
+    assert out.columns == [*table.columns, *(c for c in CLASHES if c != "distance"), *mcd.STATISTICS, "base_failed", "distance", "kept"]
+    assert came_through(out, "distance") and dict(out.dtypes)["kept"] == "boolean" and dict(out.dtypes)["distance"] == "double"
+    plain = {(r.doc_id, r.kept) for r in mcd.quality_rules(table).collect()}
+    assert {(r.doc_id, r.kept) for r in out.collect()} == plain
+
+
 def test_quality_rules_reject_the_outlier_and_keep_prose(spark):
     texts = [" ".join(f"{'abcdefghij'[(i * 7 + k * 3) % 10]}{'lorem ipsum dolor sit amet'.split()[(i + k) % 5]}{k}" for k in range(60 + i)) for i in range(80)]
     texts.append(" ".join(f"w{k}***" for k in range(80)))
@@ -188,10 +250,17 @@ def test_links_find_every_near_pair(spark):
             fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     frame = spark.createDataFrame([(signed(x),) for x in fps], "fingerprint long")
-    got = {frozenset((r.a, r.b)) for r in simhash.links(frame).collect()}
     fps = list(fps)
     want = {frozenset((signed(a), signed(b))) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 4}
-    assert got == want and want
+    for segments in (None, *simhash.SEGMENTS):
+        assert {frozenset((r.a, r.b)) for r in simhash.links(frame, segments=segments).collect()} == want and want
+
+
+def test_segments_cover_the_distance_and_their_work_stays_bounded():
+    for segments in simhash.SEGMENTS:
+        assert sum(w for w, _ in segments) == 64 and sum(r + 1 for _, r in segments) > simhash.MAX_DISTANCE
+    work = {n: sum(simhash.expected_work(n, simhash.segments_for(n))) for n in (10**3, 10**5, 10**7, 10**9)}
+    assert work[10**5] < 60 and work[10**7] < 200 and work[10**9] < 1000  # keys and pairs for each fingerprint
 
 
 def test_simhash_null_ids_and_no_rows(spark):
@@ -211,15 +280,17 @@ def test_token_counts_equal_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ODD + TOKENS + [r[1] for r in real()]
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    for head in (tokens.HEAD, 50):  # with a small head most pre-tokens take the shuffled join
-        tokens.HEAD, kept = head, tokens.HEAD
+    for held in (tokens.HELD, 5000):  # also in many small blocks
+        tokens.HELD, kept = held, tokens.HELD
         try:
             got = tokens.token_counts(docs(spark, texts), "word_bpe_49k.json").orderBy("doc_id").collect()
         finally:
-            tokens.HEAD = kept
+            tokens.HELD = kept
         assert [r.n_tokens for r in got] == want
     assert [r.n_bytes for r in got] == [len((t or "").encode()) for t in texts]
     assert [r.over_limit for r in got] == [n > 2048 for n in want]
+    named = spark.createDataFrame([(f"id{i}" if i % 3 else None, t, i) for i, t in enumerate(TOKENS)] * 2, "doc_id string, text string, pieces int").withColumns({"row": F.lit("user"), "n": F.lit(1.5)})
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokens.token_counts(named, "word_bpe_49k.json").collect()) == sorted((f"id{i}" if i % 3 else "None", want[len(ODD) + i]) for i in range(len(TOKENS))  for _ in range(2))
     assert tokens.token_counts(docs(spark, []), "word_bpe_49k.json").collect() == []
 
 
