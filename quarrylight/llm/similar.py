@@ -17,10 +17,10 @@ from .simhash import fingerprint_of, links, shingle_hashes
 
 #: Words of a shingle, and the least similarity of linked texts.
 SHINGLE, LEAST = 5, 0.8
-#: Texts that the order of shingles is learnt from: this many, or this share of them if that is more. And the most
-#: shingles in the order, 16 bytes each. The order only makes buckets small: whatever it is, two texts of similarity
-#: LEAST share a shingle of their prefixes.
-SAMPLE, SHARE, COMMON = 1 << 14, 0.001, 1 << 20
+#: Texts that the order of shingles is learnt from: this share of them, or this many if that is more, so that what
+#: counts as common doesn't change with the table's size. And the most shingles in the order, 16 bytes each. The order
+#: only makes buckets small: whatever it is, two texts of similarity LEAST share a shingle of their prefixes.
+SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 20
 #: Rounds that compare each text with one other that it meets, before all pairs of what is still apart.
 STARS = 2
 #: Pairs of one text that are compared in one task.
@@ -137,9 +137,13 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star(live: DataFrame, number: int) -> DataFrame:
-    """A pair for each text that is apart from one that it meets: of its buckets' members of least hash the least."""
-    order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
-    pivots = live.groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
+    """A pair for each text that is apart from one that it meets: the one with the most keys that others have, too.
+
+    Of a text and its edited copies that is the text itself, as an edit's shingles are its own. Ties go by hash.
+    """
+    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer"))
+    order = F.struct("fewer", F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
+    pivots = live.join(keys, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
     met = live.join(pivots, "key").filter("root <> p.root").groupBy("node").agg(F.min("p").alias("p"))
     return met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
 
@@ -161,7 +165,7 @@ def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, l
     verified = lambda pairs: _verified(pairs, nodes, rows, text, shingle, least)
     edges = verified(_by_fingerprint(nodes))
     roots = connected_components(edges, "a", "b")
-    entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    entries = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     live = written(entries.join(shared, "key", "left_semi"), "buckets")
     for number in range(STARS + 1):
