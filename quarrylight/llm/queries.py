@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mcd, packing, pii, sharding, simhash, tokens, urls, warc
+from . import audit, chat, decontam, lloyd, mcd, packing, pii, sharding, simhash, tokens, urls, warc
 from .common import table, words_of
 
 #: Bytes of text that a shard holds at most, and words that a packed sequence holds.
@@ -72,6 +72,14 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(simhash.clustered(docs), SEQUENCE, "n_words")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
@@ -83,8 +91,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit": op10_best_fit,
+    "op11_centroids": op11_centroids,
+    "op12_filter_audit": op12_filter_audit,
 }
 
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """Rounds of centroids c0, c1, ... over `vectors` (id, weight, v): each round's vectors go to their nearest ones."""
+    out = [f"c0 as materialized (select (row_number() over (order by h, v) - 1)::int as cluster, v as c from (select h, v from kept order by h, v limit {k}))"]
+    for r in range(rounds + 1):
+        far = f"select id, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint as d from vectors, c{r}"
+        out.append(f"a{r} as materialized (select id, arg_min(cluster, (d, cluster)) as cluster, min(d) as d from ({far}) group by id)")
+        if r < rounds:
+            cells = f"select cluster, place, sum(weight * x)::hugeint as s, sum(weight)::hugeint as n from (select cluster, weight, unnest(v) as x, unnest(range(1, len(v) + 1)) as place from a{r} join vectors using (id)) group by 1, 2"
+            means = f"select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by place) as m from ({cells}) group by 1"
+            out.append(f"c{r + 1} as materialized (select cluster, coalesce(m, c) as c from c{r} left join ({means}) using (cluster))")
+    return ", ".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_extendible_shards": f"""
         with sized as (
@@ -143,4 +168,53 @@ ORACLE_SQL: dict[str, str] = {
             qualify row_number() over (partition by page_id order by length(s.domain) desc) = 1)
         select c.page_id, url, fetched, host, rule, coalesce(verdict, 'none') as verdict
         from captures c left join hits h on c.page_id = h.page_id""",
+    "op11_centroids": f"""
+        with kept as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v, sha256('3:' || coalesce(vec_id::varchar, '')) as h
+            from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x::double))) = 64),
+        vectors as materialized (select row_number() over () as id, v, count(*) as weight from kept group by v),
+        {_rounds_sql(8, 10)},
+        told as (
+            select cluster, sum(d * weight)::bigint as cluster_inertia, sum(sum(d * weight)) over ()::bigint as inertia
+            from a10 join vectors using (id) group by cluster)
+        select vec_id, cluster, d::bigint as distance, cluster_inertia, inertia,
+               sha256(array_to_string(c, ',')) as centroid_sha256
+        from kept join vectors using (v) join a10 using (id) join told using (cluster) join c10 using (cluster)""",
+    "op12_filter_audit": """
+        with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+        least as (select t, min(doc_id) as first_id from texts group by t),
+        said as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+        worded as (
+            select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from texts),
+        flags as (
+            select part, coalesce(good, false) as good, coalesce(s.toxic, false) as toxic,
+                   [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+                    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(first_id < w.doc_id, false)] as failed
+            from worded w join least using (t) left join said s on w.doc_id = s.doc_id),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+        orders as (
+            select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+            from letters a, letters b, letters c, letters d, letters e
+            where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+        kinds as (select part, failed, good, toxic, count(*) as n from flags group by all),
+        steps as (
+            select filter_order, step, ascii(filter_order[step]) - 64 as own, [ascii(filter_order[i]) - 64 for i in range(1, step)] as before
+            from orders, (select unnest(range(1, 6)) as step)),
+        told as (
+            select part, filter_order, step, own, n, good, toxic, failed[own] as fails,
+                   coalesce(list_bool_or([failed[i] for i in before]), false) as gone,
+                   list_sum([x::int for x in failed]) as fails_of
+            from kinds, steps),
+        counted as (
+            select part, filter_order, step::int as step, own,
+                   coalesce(sum(n) filter (not fails and not gone), 0)::bigint as kept,
+                   coalesce(sum(n) filter (fails and not gone), 0)::bigint as removed,
+                   coalesce(sum(n) filter (fails and gone), 0)::bigint as redundant,
+                   coalesce(sum(n) filter (fails and fails_of = 1), 0)::bigint as unique_fails,
+                   coalesce(sum(n) filter (fails and not gone and good), 0)::bigint as good_lost,
+                   coalesce(sum(n) filter (fails and not gone and toxic), 0)::bigint as toxic_lost
+            from told group by 1, 2, 3, 4)
+        select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from counted""",
 }

@@ -24,7 +24,7 @@ from quarrylight.llm.components import connected_components
 from .test_text_operators import base, came_through, plain_components, plain_fingerprint, plain_mcd, with_clashes
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "conversations")
+TABLES = ("documents", "pages", "benchmark", "conversations", "embeddings", "labels")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
