@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, lloyd, mcd, packing, pii, sharding, simhash, tokens, urls, warc
+from . import audit, chat, decontam, lloyd, mcd, packing, partenum, pii, sharding, simhash, tokens, urls, warc
 from .common import table, words_of
 
 #: Bytes of text that a shard holds at most, and words that a packed sequence holds.
@@ -80,6 +80,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit": op10_best_fit,
     "op11_centroids": op11_centroids,
     "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,20 +94,15 @@ def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return sized.filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """The pairs whose sets have Jaccard similarity `least` or more.
 
     Only texts of pairs that are possible at all are read and cut into shingles. The set of a text in many pairs is
     dealt to many tasks.
     """
-
-    @F.pandas_udf("array<long>")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
-
     pairs = written(_possible(pairs, nodes, least), "pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    sets = written(rows.select("row", text.alias("text")).join(asked, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), shingles("text").alias("set")), "sets")
+    sets = written(sets_of(asked), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("x"))
@@ -155,24 +150,19 @@ def _all_apart(live: DataFrame, least: float) -> DataFrame:
     return x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit).select("a", "b").distinct()
 
 
-def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, least: float) -> DataFrame:
-    """(node, root) of every node with a link.
+def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(node, root) of every node with a link, from the entries (key, node, n) of buckets in which similar nodes meet.
 
-    Round by round candidates are verified and joined to components: pairs of operator 4's fingerprints first, then
-    for every text one of those that it shares a shingle of its prefix with, so that a large group of copies costs a
-    comparison for each, then the pairs of a bucket that no component holds yet.
+    `edges` are links known before. Round by round every node is compared with one of those that it meets, so that a
+    large group of copies costs a comparison for each, then with the others of a bucket that no component holds yet.
     """
-    verified = lambda pairs: _verified(pairs, nodes, rows, text, shingle, least)
-    edges = verified(_by_fingerprint(nodes))
+    edges = written(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "edges") if edges is None else edges
     roots = connected_components(edges, "a", "b")
-    entries = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    live = written(entries.join(shared, "key", "left_semi"), "buckets")
     for number in range(STARS + 1):
         left = written(_apart(live, roots), "buckets")
         drop_written(live)
         live = left
-        found = verified(_star(live, number) if number < STARS else _all_apart(live, least))
+        found = _verified(_star(live, number) if number < STARS else _all_apart(live, least), nodes, sets_of, least)
         both = written(edges.unionByName(found), "edges")
         drop_written(edges)
         edges = both
@@ -180,6 +170,23 @@ def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, l
     return roots
 
 
+def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, least: float) -> DataFrame:
+    """(node, root) of every node with a link: pairs of operator 4's fingerprints first, then those that share a
+    shingle of their prefixes."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(values: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return rows.select("row", text.alias("text")).join(asked, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), shingles("text").alias("set"))
+
+    edges = _verified(_by_fingerprint(nodes), nodes, sets_of, least)
+    entries = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    return joined(nodes, written(entries.join(shared, "key", "left_semi"), "buckets"), edges, sets_of, least)
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """One row of each group of near-duplicates with all columns of `docs`: the smallest id, of equal ids any one.
 
