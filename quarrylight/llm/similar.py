@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import drop_written, held, released, written
 from .components import connected_components
@@ -23,8 +25,8 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 20
 #: Rounds that compare each text with one other that it meets, before all pairs of what is still apart.
 STARS = 2
-#: Pairs of one text that are compared in one task.
-FAN = 64
+#: Pairs of one text that are compared in one task, and texts whose sets a worker hands on at once.
+FAN, SLICE = 64, 512
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -68,17 +70,26 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def _signed(shingle: int, least: float, order):
-    @F.pandas_udf("n int, digest binary, fingerprint long, prefix array<long>, bits array<long>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            hashes = shingle_hashes(t or "", shingle, 42)
-            found = np.unique(hashes.reshape(-1).view(np.int64))
-            out.append((len(found), xxhash.xxh128_digest(found.tobytes()), fingerprint_of(hashes), prefix(found, order.value, least), bitmap(found)))
-        return pd.DataFrame(out, columns=["n", "digest", "fingerprint", "prefix", "bits"])
+def _signed(rows: DataFrame, shingle: int, least: float, order) -> DataFrame:
+    """`rows` with n, digest, fingerprint, prefix and bits in place of the text, which comes last. SLICE rows at a time
+    leave a task, so that a worker holds few sets at once."""
+    kept = [f for f in rows.schema if f.name != "text"]
+    added = StructType.fromDDL("n int, digest binary, fingerprint long, prefix array<long>, bits array<long>")
 
-    return sign
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda arrays: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                hashes = [shingle_hashes(t or "", shingle, 42) for t in part.column("text").to_pylist()]
+                sets = [np.unique(h.reshape(-1).view(np.int64)) for h in hashes]
+                columns = [
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([fingerprint_of(h) for h in hashes], pa.int64()), longs([prefix(s, order.value, least) for s in sets]), longs([bitmap(s) for s in sets]),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *added.names])
+
+    return rows.mapInArrow(sign, StructType([*kept, *added.fields]))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -201,12 +212,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     bare = written(held(docs, row=F.monotonically_increasing_id()), "texts")
     value = F.col("docs").getField(text)
     order = docs.sparkSession.sparkContext.broadcast(_common(bare.select("row", value.alias("text")), shingle))
-    rows = bare.withColumn("s", _signed(shingle, least, order)(value))
-    named = rows.select(F.col("docs").getField(doc_id).alias("doc_id"), "row", "s.*")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    grouped = named.groupBy("n", "digest").agg(first, *(F.first(c).alias(c) for c in ("fingerprint", "prefix", "bits")))
-    nodes = written(grouped.select(F.col("first.row").alias("node"), "n", "first", "fingerprint", "prefix", "bits"), "nodes")
+    rows = written(_signed(bare.select(F.col("docs").getField(doc_id).alias("doc_id"), "row", value.alias("text")), shingle, least, order), "signed")
+    ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sets = written(rows.groupBy("n", "digest").agg(F.min(ordered).alias("first")).select("first"), "sets")
+    copies = written(rows.select("row").join(sets.select("first.row"), "row", "left_anti"), "copies")  # few, or as long as the table
+    nodes = rows.select(F.col("row").alias("node"), "n", "fingerprint", "prefix", "bits", ordered.alias("first")).join(copies.withColumnRenamed("row", "node"), "node", "left_anti")
     roots = _components(nodes, bare, value, shingle, least)
-    of = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    of = sets.join(roots, F.col("first.row") == F.col("node"), "left").groupBy(F.coalesce("root", "first.row").alias("root")).agg(F.min("first").alias("first"))
     gone = written(bare.select("row").join(of.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
     return released(bare.join(gone, "row", "left_anti"))
