@@ -1,8 +1,7 @@
-"""Rule-based reading of job descriptions and résumés as joins: text becomes rows of tokens, the vocabulary a table.
+"""Rule-based reading of job descriptions and résumés: text becomes rows of clauses, the vocabulary is a table.
 
 The entries below are this repository's own, and only a default: any vocabulary table can be read with. What is
-fixed is the behaviour on sentences. Documents are exploded to tokens that hash-join the aliases by their first word,
-so a larger vocabulary is a larger table and no larger program.
+fixed is the behaviour on sentences. Names are found by mentions.py; the rules are windows and joins over its rows.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, skill_name
+from .mentions import mentions
 
 #: Own vocabulary, fixed values: name, kind, category, aliases ("!" before an alias that needs a context).
 VOCABULARY = [
@@ -86,23 +86,31 @@ TITLES = [
     ("site reliability", "DEVOPS_SRE"), ("cloud", "CLOUD"), ("security", "SECURITY"),
 ]
 SKILLS = ("language", "framework", "tool", "database", "cloud", "concept", "soft_skill")
-LONGEST = 6
-TOKEN = r"[\p{L}\p{N}]++(?:[.+#/'&-]++[\p{L}\p{N}]++)*+[+#]*+"
 #: Fixed cues, folded, of how a line or clause speaks of what it names.
 PREFERRED = r"uu tien|loi the|nice to have|nice:|is a plus|preferred|would be appreciated|bonus"
 IGNORED = r"quyen loi|we offer|about us|cong ty|our team|our company|co the hoc"
 NEGATED = r"khong yeu cau|not needed|not required|khong can"
-CONTEXT = r"developer|lap trinh|language|xcode|iphone|middleware|jobs|tools|skills|ky nang"
-
-
-#: Most aliases that are broadcast, and the most characters of each: a few MB. Larger vocabularies are shuffled.
-BROADCAST_ALIASES, ALIAS_CHARS = 50_000, 80
+#: Own contexts of aliases in doubt: words nearby that settle it, and words right before and behind that deny it.
+CODING = ("developer", "developers", "engineer", "programming", "language", "languages", "lap trinh", "code", "framework", "backend", "middleware", "library", "compiler", "ky nang")
+CONTEXTS = {
+    "go": ((*CODING, "goroutines", "microservices"), ("to", "we", "they", "let", "always"), ("to", "home", "live", "public", "ahead", "back", "through")),
+    "c": ((*CODING, "embedded", "firmware", "kernel"), ("vitamin", "hepatitis", "grade", "series", "plan"), ("level", "suite", "section")),
+    "r": ((*CODING, "statistics", "ggplot", "tidyverse"), ("toys",), ("d", "rated")),
+    "swift": ((*CODING, "ios", "iphone", "xcode", "uikit"), ("taylor", "a"), ("code", "delivery", "response", "transfer", "reply", "payments")),
+    "spark": ((*CODING, "hadoop", "jobs", "cluster", "streaming", "etl"), ("may", "to", "could", "will"), ("interest", "of", "plug", "joy", "debate")),
+    "express": ((*CODING, "node", "routes", "server"), ("american", "orient", "to"), ("lane", "delivery", "train", "your", "interest")),
+}
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
-    """(alias, name, kind, category, needs_context): a row for each alias of the built-in words."""
-    rows = [(a.lstrip("!"), name, kind, category, a.startswith("!")) for name, kind, category, aliases in VOCABULARY for a in aliases.split(",")]
-    return spark.createDataFrame(rows, "alias string, name string, kind string, category string, needs_context boolean")
+    """(alias, name, kind, category, forms, cues, deny_before, deny_after): a row for each alias of the built-in words.
+    An alias marked as in doubt must begin with a capital."""
+    rows = []
+    for name, kind, category, aliases in VOCABULARY:
+        for a in aliases.split(","):
+            alias = a.lstrip("!")
+            rows.append((alias, name, kind, category, *(([alias.capitalize()], *map(list, CONTEXTS[alias])) if a.startswith("!") else ([],) * 4)))
+    return spark.createDataFrame(rows, "alias string, name string, kind string, category string, forms array<string>, cues array<string>, deny_before array<string>, deny_after array<string>")
 
 
 def clauses(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,47 +121,6 @@ def clauses(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parts.withColumn("folded", fold(F.col("original")))
 
 
-def mentions(parts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """(key, line, clause, place, n, name, kind, category): longest alias matches over whole tokens.
-
-    `words` is a vocabulary table, see vocabulary(): aliases of up to LONGEST words and ALIAS_CHARS characters. A token
-    meets the aliases that begin with it, the words behind it decide.
-    An alias that needs a context counts where it stands in its own spelling (a capital first) and next to a
-    confirmed skill, or in a clause with a cue word; inside R&D, foo.js and the like it isn't a token at all.
-    """
-    tokens = F.regexp_extract_all("folded", F.lit(TOKEN), F.lit(0))
-    followed = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.slice("tokens", i + 2, F.lit(LONGEST - 1)).alias("next")))
-    placed = parts.select(key, "line", "clause", "original", "folded", tokens.alias("tokens")).select(key, "line", "clause", "original", "folded", F.posexplode(followed).alias("place", "t")).select("*", "t.*").drop("t")
-    # A name's possessive counts as the name; names joined by a slash count one by one unless the whole is a name.
-    one = lambda word, n: F.struct(word.alias("first"), n.alias("least"))
-    spellings = F.concat(
-        F.array(one(F.col("token"), F.lit(1)), one(F.regexp_replace("token", "'s$", ""), F.lit(1))),
-        F.when(F.contains("token", F.lit("/")), F.transform(F.split("token", "/"), lambda w: one(w, F.lit(0)))).otherwise(F.array().cast("array<struct<first: string, least: int>>")),
-    )
-    spread = placed.withColumn("w", F.explode(F.array_distinct(spellings))).select(key, "line", "clause", "original", "folded", "next", "place", "w.*")
-    alias = F.split("alias", " ")
-    listed = words.filter(F.length("alias") <= ALIAS_CHARS).select("name", "kind", "category", "needs_context", "alias", alias.alias("words"), F.get(alias, F.lit(0)).alias("first"))
-    if listed.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
-        listed = F.broadcast(listed)
-    rest = lambda c, at: F.slice(c, F.lit(at), F.greatest(F.size("words") - 1, F.lit(0)))
-    met = spread.join(listed, "first").filter((F.size("words") == 1) | (F.col("least") == 1) & (rest("next", 1) == rest("words", 2)))
-    # What a context needs of the clause is looked at here, so that its text isn't carried on.
-    spelled = F.regexp_like("original", F.concat(F.lit(r"(?<![\p{L}\p{N}&])"), F.initcap("alias"), F.lit(r"(?![\p{L}\p{N}&])")))
-    denied = F.regexp_like("folded", F.concat("alias", F.lit(r" (?:to market|delivery|of creativity)")))
-    named = F.when(F.col("needs_context"), spelled & ~denied).otherwise(True)
-    cued = F.when(F.col("needs_context"), F.col("folded").rlike(CONTEXT)).otherwise(True)
-    found = met.select(key, "line", "clause", "place", F.when(F.col("least") == 0, 0).otherwise(F.size("words")).alias("n"), "name", "kind", "category", "needs_context", named.alias("_named"), cued.alias("_cued")).repartition(key)
-    longest = Window.partitionBy(key, "line", "clause", "place")
-    top = found.withColumn("_m", F.max("n").over(longest)).filter("n = _m").drop("_m").distinct()
-    upto = Window.partitionBy(key, "line", "clause").orderBy("place").rangeBetween(-LONGEST, -1)
-    reach = F.max(F.col("place") + F.greatest("n", F.lit(1))).over(upto)
-    free = top.withColumn("_reach", F.coalesce(reach, F.lit(0))).filter("place >= _reach").drop("_reach")
-    near = Window.partitionBy(key, "line", "clause").orderBy("place").rangeBetween(-2, 2)
-    sure = F.max(F.when(~F.col("needs_context") & F.col("kind").isin(*SKILLS), 1)).over(near).isNotNull()
-    chosen = free.withColumn("_sure", sure).filter(~F.col("needs_context") | F.col("_named") & (F.col("_sure") | F.col("_cued")))
-    return chosen.select(key, "line", "clause", "place", "n", "name", "kind", "category")
-
-
 def years_required(parts: DataFrame, key: str) -> DataFrame:
     """(key, years): the low end of the first statement of required experience, months in half years; 0 without one."""
     words = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
@@ -223,7 +190,7 @@ def read(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -
     """All readings of a table of texts by a vocabulary table, the built-in one by default: mentions, requirements,
     years, categories, attributes."""
     parts = clauses(docs, key, text)
-    found = mentions(parts, vocabulary(docs.sparkSession) if words is None else words, key)
+    found = mentions(parts, vocabulary(docs.sparkSession) if words is None else words, key, SKILLS)
     return {"mentions": found, "requirements": requirements(parts, found, key), "years": years_required(parts, key), "categories": categories(parts, found, key), "attributes": attributes(parts, found, key)}
 
 
@@ -265,7 +232,7 @@ def cv_profile(docs: DataFrame, key: str, text: str, words: DataFrame | None = N
     """
     sections = cv_sections(docs, key, text)
     lines = sections.select(F.struct(F.col(key).alias("k"), "section", "line").alias("id"), "value")
-    found = mentions(clauses(lines, "id", "value"), vocabulary(docs.sparkSession) if words is None else words, "id").select(F.col("id.k").alias(key), F.col("id.section").alias("section"), "name", "kind")
+    found = mentions(clauses(lines, "id", "value"), vocabulary(docs.sparkSession) if words is None else words, "id", SKILLS).select(F.col("id.k").alias(key), F.col("id.section").alias("section"), "name", "kind")
     named = lambda kinds, here: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds) & here, F.col("name"))))
     skills = found.groupBy(key).agg(
         named(SKILLS, F.col("section").isin(*CLAIMS)).alias("skills"), named(["certification"], F.lit(True)).alias("certifications"), named(["spoken_language"], F.lit(True)).alias("languages")

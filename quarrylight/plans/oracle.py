@@ -447,7 +447,7 @@ ORACLE_SQL = {
         s as (select doc_id, line, clause, place, nxt, unnest(list_distinct([tok, regexp_replace(tok, chr(39) || 's$', '')])) as tok, 1 as least from e
               union all select doc_id, line, clause, place, null, unnest(string_split(tok, '/')), 0 from e where contains(tok, '/')),
         m as (select doc_id, line, clause, place, least as n, tok as alias from s join one on a = tok
-              union all select doc_id, line, clause, place, 2, a || ' ' || b from s join two on tok = a and nxt = b where least = 1),
+              union all select doc_id, line, clause, place, 2, a || ' ' || b from s join two on tok = a and (nxt = b or regexp_replace(nxt, chr(39) || 's$', '') = b) where least = 1),
         top as (select distinct * from m qualify n = max(n) over (partition by doc_id, line, clause, place)),
         free as (select x.* from top x anti join (select doc_id, line, clause, place + 1 as place from top where n = 2) y using (doc_id, line, clause, place))
         select doc_id, array_to_string(list_transform(string_split(alias, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as name, count(*) as n from free group by 1, 2""",

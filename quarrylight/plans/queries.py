@@ -584,7 +584,7 @@ def _benchmark_words(spark, sf_dir) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     pairs = F.transform("w", lambda x, i: F.when((F.length(x) > 5) & (F.length(F.get("w", i + 1)) > 5), F.concat_ws(" ", x, F.get("w", i + 1))))
     alias = words.select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) > 8), F.array_compact(pairs))).alias("alias")).distinct()
-    return alias.select("alias", F.initcap("alias").alias("name"), F.lit("concept").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(False).alias("needs_context"))
+    return alias.select("alias", F.initcap("alias").alias("name"), F.lit("concept").alias("kind"), F.lit(None).cast("string").alias("category"))
 
 
 def find_mentions(spark, sf_dir):

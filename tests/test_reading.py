@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import skill_name
-from quarrylight.operators import reading
+from quarrylight.operators import mentions, reading
 
 
 def frame(spark, texts):
@@ -48,16 +48,33 @@ def test_marks_of_letters_are_optional(spark):
 
 
 def test_a_vocabulary_is_a_table(spark):
-    words = spark.createDataFrame([("loom", "Loom", "tool", None, False), ("spinning jenny", "Jenny", "tool", "MILL", False), ("jenny", "Other", "tool", None, False), ("a" * 90, "Long", "tool", None, False)], "alias string, name string, kind string, category string, needs_context boolean")
-    assert names(spark, ["Loom and spinning jenny, not Python", "jenny " + "a" * 90], words) == [{"Loom", "Jenny"}, {"Other"}]
-    reading.BROADCAST_ALIASES, kept = 1, reading.BROADCAST_ALIASES
-    try:  # larger than what is broadcast
-        assert names(spark, ["Loom and spinning jenny"], words) == [{"Loom", "Jenny"}]
+    seven, long = "one two three four five six seven", "a" * 200
+    words = spark.createDataFrame([("loom", "Loom", "tool", None), ("spinning jenny", "Jenny", "tool", "MILL"), ("jenny", "Other", "tool", None), (long, "Long", "tool", None), (seven, "Seven", "tool", None), ("two three", "Inner", "tool", None)], "alias string, name string, kind string, category string")
+    texts = ["Loom and spinning jenny, not Python", f"jenny {long}", f"{seven} two three", "Loom's jenny/loom", "spinning jenny's"]
+    want = [{"Loom", "Jenny"}, {"Other", "Long"}, {"Seven", "Inner"}, {"Loom", "Other"}, {"Jenny"}]
+    assert names(spark, texts, words) == want
+    mentions.BLOCK, kept = 9, mentions.BLOCK
+    try:  # a vocabulary of many blocks gives the same
+        assert names(spark, texts, words) == want
     finally:
-        reading.BROADCAST_ALIASES = kept
+        mentions.BLOCK = kept
     assert names(spark, ["Loom"], words.limit(0)) == [set()]
 
 
+def test_contexts_are_columns_of_the_vocabulary(spark):
+    rows = [("mill", "Mill", "tool", None, ["Mill"], ["weaver", "cotton trade"], ["pepper"], ["stone"]), ("loom", "Loom", "tool", None, [], [], [], []), ("rome", "Rome", "place", None, [], [], [], [])]
+    words = spark.createDataFrame(rows, "alias string, name string, kind string, category string, forms array<string>, cues array<string>, deny_before array<string>, deny_after array<string>")
+    texts = [
+        "A weaver of the Mill", "the Mill in the cotton trade", "a weaver at the mill", "pepper Mill of a weaver", "a weaver's Mill stone", "a Mill stonemason and weaver", "Mill", "Skills: Mill",
+        "Loom, Mill", "Mill or Loom", "Loom. Mill", "Rome, Mill", "- Loom\n- Mill\n- Mill", "Loom and\nMill", "Loom\n\nelsewhere\nMill", "Loom, pepper Mill", "Loom with a long sentence between, Mill",
+    ]
+    yes = [True, True, False, False, False, True, False, True, True, True, False, False, True, True, False, False, False]
+    assert ["Mill" in n for n in names(spark, texts, words)] == yes
+    chain = "Loom, " + ", ".join(["Mill"] * 500)
+    found = reading.read(frame(spark, [chain, ", ".join(["Mill"] * 500) + " & Loom", ", ".join(["Mill"] * 500)]), "id", "text", words)["mentions"].groupBy("id").count().collect()
+    assert dict(map(tuple, found)) == {0: 501, 1: 501}  # both ways, at any length
+
+
 def years(spark, texts):
     got = dict(reading.read(frame(spark, texts), "id", "text")["years"].collect())
     return [got[i] for i in range(len(texts))]
