@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold, has_word, word_overlap
 from ..functions.vector import lenient_cosine, sigmoid, strict_cosine
 
 #: Fixed weights of the version ranker; a category that is asked for adds its weight on top.
@@ -13,8 +17,8 @@ CATEGORY_WEIGHT, LEXICAL_WEIGHT, FRESH_DAYS = 0.12, 0.20, 730
 #: Fixed weights of the warehouse ranker, and heads and weight of the two rerankers.
 WAREHOUSE_WEIGHTS = {"semantic": 0.45, "lexical": 0.10, "required": 0.35, "preferred": 0.10, "category": 0.12}
 RERANK_HEAD, RERANK_WEIGHT, WAREHOUSE_HEAD = 20, 0.70, 30
-#: Most rows of a ranker's result that are put in order again: a result page, not a table.
-MOST_RANKED = 1000
+#: Characters of a document that stand for it where none of its lines holds a word of the query.
+CONTEXT_CHARS = 360
 
 
 def oversample(limit: int) -> int:
@@ -52,18 +56,53 @@ def best_chunk(hits: DataFrame, version: str, key: str, weight: float = LEXICAL_
     return hits.groupBy(version).agg(F.max_by(F.struct(key, "dense", "lexical"), F.struct(score.alias("s"), (-F.col(key)).alias("k"))).alias("best")).select(version, "best.*")
 
 
-def keep_if_any(versions: DataFrame, hits: DataFrame, version: str) -> DataFrame:
-    """Versions with a hit; all of them, without one, when the retrieval found nothing at all."""
-    found = hits.select(F.lit(1).alias("_any")).limit(1)
-    joined = versions.join(hits, version, "left").join(F.broadcast(found), how="left")
-    hit = F.col("dense").isNotNull() | F.col("lexical").isNotNull()
-    return joined.filter(hit | F.col("_any").isNull()).drop("_any")
+def page_of(hits: DataFrame, most: int) -> DataFrame:
+    """A result page of at most `most` rows, evaluated once and held as a local table; more are an error."""
+    rows = hits.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a page of {most} rows was announced")
+    return hits.sparkSession.createDataFrame(rows, hits.schema)
+
+
+def chained_matches(versions: DataFrame, page: DataFrame, query_vector: list[float] | None, words: list[str], weight: float = LEXICAL_WEIGHT) -> DataFrame:
+    """Each version with the score and the evidence of the first level that it has: adds dense, lexical, level, method
+    and evidence.
+
+    `versions` has version, document, status and vector of its own index entry; `page` is a page_of() chunk hits
+    (version, chunk, dense, lexical, chunk_text). A version's best chunk counts where it has a cosine; else the cosine
+    of the whole document where its entry is READY and the query has a vector; else the overlap of words, brought to
+    the cosine's scale. Versions without a hit are left out, unless the retrieval found nothing at all: then all are
+    read. The evidence is the chunk's text, else the first line that has a word, else the document's beginning.
+    """
+    best = best_chunk(page, "version", "chunk", weight).join(page.select("chunk", "chunk_text"), "chunk").withColumnsRenamed({"dense": "_dense", "lexical": "_lexical"})
+    found = not page.isEmpty()
+    rows = versions.join(F.broadcast(best), "version") if found else versions.join(best, "version", "left")  # a page is small
+    document = F.coalesce("document", F.lit(""))
+    share = word_overlap(document, words)
+    chunked = F.col("_dense").isNotNull()
+    whole = (F.col("status") == "READY") & F.col("vector").isNotNull() if query_vector else F.lit(False)
+    level = F.when(chunked, "CHUNK").when(F.coalesce(whole, F.lit(False)), "DOCUMENT").otherwise("OVERLAP")
+    cosine = strict_cosine(F.col("vector"), F.array(*map(F.lit, query_vector))) if query_vector else F.lit(None).cast("double")
+    told = rows.withColumn("level", level).withColumn("_share", F.when(~chunked, share))
+    line = evidence_line(document, words)
+    method = F.when(chunked, "SEMANTIC_CHUNK").when(F.col("chunk").isNotNull(), "LEXICAL_CHUNK").when(F.exists(F.split(document, "\n"), lambda x: line_has(x, words)), "LEXICAL_LINE").otherwise("DOCUMENT_CONTEXT")
+    return told.select(
+        *versions.columns, "level",
+        F.when(F.col("level") == "CHUNK", F.col("_dense")).when(F.col("level") == "DOCUMENT", cosine).otherwise(F.col("_share") * 2 - 1).alias("dense"),
+        F.when(chunked, F.col("_lexical")).otherwise(F.col("_share")).alias("lexical"),
+        method.alias("method"), F.when(F.col("chunk").isNotNull(), F.col("chunk_text")).otherwise(line).alias("evidence"),
+    )
+
 
+def line_has(line: Column, words: list[str]) -> Column:
+    """Whether a line has one of the words as a whole token."""
+    return F.exists(F.array(casefold(line)), lambda low: reduce(or_, (has_word(low, w) for w in words), F.lit(False)))
 
-def evidence_line(doc: Column, words: Column) -> Column:
-    """The first line that holds one of the words, else the first 360 characters."""
-    lines = F.filter(F.split(doc, "\n"), lambda line: F.exists(words, lambda w: F.contains(F.lower(line), w)))
-    return F.coalesce(F.get(lines, F.lit(0)), F.substring(doc, 1, 360))
+
+def evidence_line(doc: Column, words: list[str]) -> Column:
+    """The first line that has one of the words, else the first CONTEXT_CHARS characters."""
+    lines = F.filter(F.split(doc, "\n"), lambda line: line_has(line, words))
+    return F.coalesce(F.get(lines, F.lit(0)), F.substring(doc, 1, CONTEXT_CHARS))
 
 
 def coverage(have: Column, want: Column) -> Column:
@@ -125,17 +164,16 @@ def fallback_cut(ranked: DataFrame, fallback: bool) -> DataFrame:
 
 
 def rerank_blend(ranked: DataFrame, scores: DataFrame, limit: int, head: int = RERANK_HEAD, weight: float = RERANK_WEIGHT) -> DataFrame:
-    """Mix the first `head` rows' scores with a reranker's (profile, rerank), sort them anew, append the rest as it is.
-
-    Takes the first MOST_RANKED rows of what the ranker gives.
-    """
+    """Mix the first `head` rows' scores with a reranker's (profile, rerank), sort them anew, append the rest as it is."""
     order = [F.desc("score"), F.desc("number"), "profile"]
-    placed = ranked.orderBy(*order).limit(MOST_RANKED).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    first = ranked.orderBy(*order).limit(head)
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rerank")))
-    mixed = F.when((F.col("place") <= head) & F.col("rerank").isNotNull(), F.round((F.col("score") / 100 * (1 - weight) + clipped * weight) * 100, 2)).otherwise(F.col("score"))
-    joined = placed.join(scores, "profile", "left").withColumn("score", mixed).drop("rerank")
-    last = (F.col("place") > head).cast("int")
-    return joined.orderBy(last, F.when(F.col("place") > head, F.col("place")), F.desc("score"), F.desc("number"), "profile").limit(limit).drop("place")
+    mixed = F.when(F.col("rerank").isNotNull(), F.round((F.col("score") / 100 * (1 - weight) + clipped * weight) * 100, 2)).otherwise(F.col("score"))
+    anew = first.join(scores, "profile", "left").withColumn("score", mixed).select(*ranked.columns, F.lit(0).alias("_last"))
+    if limit <= head:
+        return anew.orderBy(*order).limit(limit).drop("_last")
+    rest = ranked.join(first.select("profile"), "profile", "left_anti").select(*ranked.columns, F.lit(1).alias("_last"))
+    return anew.unionByName(rest).orderBy("_last", *order).limit(limit).drop("_last")
 
 
 def confidence(score: Column, slope: float, intercept: float) -> Column:
@@ -168,18 +206,16 @@ def warehouse_rank(docs: DataFrame, chunks: DataFrame, query_vector: list[float]
 
 
 def warehouse_rerank(ranked: DataFrame, scores: DataFrame, head: int = WAREHOUSE_HEAD) -> DataFrame:
-    """The first `head` rows by the reranker's score alone, the rest behind them as they were: adds place.
-
-    Takes the first MOST_RANKED rows of what the ranker gives.
-    """
-    placed = ranked.orderBy(F.desc("score"), "cv").limit(MOST_RANKED).withColumn("_was", F.row_number().over(Window.orderBy(F.desc("score"), "cv")))
+    """The first `head` rows by the reranker's score alone, the rest behind them as they were: adds place. The rows are
+    numbered in one task: a ranker's result, as long as its caller's limit."""
+    placed = ranked.withColumn("_was", F.row_number().over(Window.orderBy(F.desc("score"), "cv")))
     joined = placed.join(scores, "cv", "left")
     order = Window.orderBy((F.col("_was") > head).cast("int"), F.when(F.col("_was") > head, F.col("_was")), F.desc_nulls_last("rerank"), "_was")
     return joined.withColumn("place", F.row_number().over(order)).drop("_was", "rerank")
 
 
 def result_rows(ranked: DataFrame, event: Column, query: Column) -> DataFrame:
-    """Telemetry of a result, its first MOST_RANKED rows: rank from 1 in final order, and the query as the SHA-256 of
-    its folded text."""
-    order = [F.desc("score"), F.desc("number"), "profile"]
-    return ranked.orderBy(*order).limit(MOST_RANKED).select(event.alias("event"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "profile", "score", F.sha2(F.lower(query), 256).alias("query_hash"))
+    """Telemetry of a result: rank from 1 in final order, and the query as the SHA-256 of its folded text. The rows are
+    numbered in one task: a ranker's result, as long as its caller's limit."""
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("number"), "profile"))
+    return ranked.select(event.alias("event"), rank.alias("rank"), "profile", "score", F.sha2(F.lower(query), 256).alias("query_hash"))

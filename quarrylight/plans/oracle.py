@@ -34,6 +34,25 @@ _RANKED = f"""
         select *, round(raw * 100, 2) as score, count(*) over (partition by profile) - 1 as n_others
         from s qualify row_number() over (partition by profile order by raw desc, version desc) = 1
         order by score desc, version desc, profile limit 20)"""
+#: All versions, with the overlap and the evidence of their whole documents.
+_VERSIONS = f"""
+    q as (select * from {_QUERY}),
+    v as (
+        select doc_id as version, source || '-' || (doc_id % 7) as profile, lang, n_chars / 1000 as years, coalesce(text, '') as document, doc_id % 7 > 0 as ready, embedding::double[] as vector, {_OVERLAP} as share,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(list_intersect(regexp_extract_all(lower(replace(x, 'ß', 'ss')), '[\\p{{L}}\\p{{N}}_]+'), query)) > 0) as lines,
+               case when len(lines) > 0 then lines[1] else left(document, 360) end as line, case when len(lines) > 0 then 'LEXICAL_LINE' else 'DOCUMENT_CONTEXT' end as line_method
+        from (select *, {_WORDS} as words from documents) left join embeddings on vec_id = doc_id, q)"""
+_CHAINED = f"""
+    {_VERSIONS}, vec as (select * from {_Q}),
+    dn as (select vec_id as chunk, list_cosine_similarity(embedding::double[], q) as d from embeddings, vec order by d desc, vec_id limit 100),
+    lx as (select doc_id as chunk, {_OVERLAP} as l from (select doc_id, {_WORDS} as words from documents), q where l > 0 order by l desc, doc_id limit 100),
+    hits as (select chunk // 2 as version, chunk, case when chunk % 4 > 0 then d end as d, coalesce(l, 0) as l from dn full join lx using (chunk) where chunk % 4 > 0 or coalesce(l, 0) > 0),
+    best as (select version, arg_max({{'c': chunk, 'd': d, 'l': l}}, {{'s': coalesce((d + 1) / 2, 0) * 0.8 + l * 0.2, 'k': -chunk}}) as b from hits group by 1),
+    told as (
+        select version, profile, lang, years, case when b.d is not null then 'CHUNK' when ready and vector is not null then 'DOCUMENT' else 'OVERLAP' end as level,
+               case level when 'CHUNK' then b.d when 'DOCUMENT' then list_cosine_similarity(vector, vec.q) else share * 2 - 1 end as dense, case when b.d is not null then b.l else share end as lexical,
+               case when b.d is not null then 'SEMANTIC_CHUNK' else 'LEXICAL_CHUNK' end as method, 'chunk ' || b.c as evidence
+        from v join best using (version), vec)"""
 _OPERATIONS = f"""
     e as (select *, user_id % 10 as owner from events),
     a as (select owner, count(*) as tasks, count(*) filter (event_type = 'purchase') as completed, count(*) filter (event_type = 'error') as failed,
@@ -458,13 +477,8 @@ ORACLE_SQL = {
         s as (select *, row_number() over (partition by task order by "at") as attempt from a)
         select task, count(*) as n from s where not ok and attempt >= 3 group by 1""",
     "candidate_search": f"""
-        with q as (select * from {_QUERY}), vec as (select * from {_Q}),
-        dense as (select vec_id as chunk, list_cosine_similarity(embedding::double[], q) as d from embeddings, vec order by d desc, vec_id limit 100),
-        lexical as (select doc_id as chunk, {_OVERLAP} as l from (select doc_id, {_WORDS} as words from documents), q where l > 0 order by l desc, doc_id limit 100),
-        hits as (select chunk, d, coalesce(l, 0) as l from dense full join lexical using (chunk)),
-        best as (select chunk // 2 as version, arg_max({{'d': d, 'l': l}}, {{'s': coalesce((d + 1) / 2, 0) * 0.8 + l * 0.2, 'k': -chunk}}) as b from hits group by 1),
-        m as (
-            select source || '-' || (doc_id % 7) as profile, doc_id as version, lang = 'en' as en, n_chars / 1000 as years, coalesce(b.d, -1) as d, b.l as l from documents join best on version = doc_id),
+        with {_CHAINED},
+        m as (select profile, version, lang = 'en' as en, years, dense as d, lexical as l from told),
         c as (
             select *, 0.50 / 1.02 * (least(1, greatest(0, (d + 1) / 2)) * 0.8 + least(1, l) * 0.2) + 0.25 / 1.02 * en::int + 0.10 / 1.02 * least(1, greatest(0, years) / 3)
                        + 0.05 / 1.02 * (1 - (epoch_us(timestamp '{NOW}') - epoch_us(timestamp '2023-06-01')) / 86400000000 / 730) + 0.12 / 1.02 * en::int as raw from m),
@@ -475,6 +489,26 @@ ORACLE_SQL = {
         x as (select profile, version, place, case when place <= 8 then round((score / 100 * 0.3 + ({_SHA32.format('profile', 1000)} + 0.25) / 1009 * 0.7) * 100, 2) else score end as score from p),
         t as (select * from x order by place > 8, case when place > 8 then place end, score desc, version desc, profile limit 10)
         select 7 as event, row_number() over (order by score desc, version desc, profile) as rank, profile, score, sha256('query') as query_hash from t""",
+    "evidence_levels": f"with {_CHAINED} select version, round(dense, 6) as dense, round(lexical, 6) as lexical, level, method, md5(evidence) as evidence from told",
+    "keyword_fallback": f"""
+        with {_VERSIONS},
+        m as (select *, share * 2 - 1 as d, (d + 1) / 2 * 0.8 + share * 0.2 as semantic from v),
+        c as (select *, 0.50 / 0.55 * semantic + 0.05 / 0.55 * (1 - (epoch_us(timestamp '{NOW}') - epoch_us(timestamp '2023-06-01')) / 86400000000 / 730) as raw from m),
+        r as (select *, round(raw * 100, 2) as score from c qualify row_number() over (partition by profile order by raw desc, version desc) = 1 order by score desc, version desc, profile limit 20)
+        select profile, version, score, round(semantic, 6) as semantic, line_method as method, md5(line) as evidence from r where semantic > 0.5""",
+    "cover_density": f"""
+        with q as (select unnest(query) as token from {_QUERY}),
+        t as (select doc_id, unnest(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\\p{{L}}\\p{{N}}_]+')) as token from documents),
+        n as (select doc_id, count(*) * 0.1 as d from t join q using (token) group by 1 order by d desc, doc_id limit 100)
+        select doc_id, round(d / max(d) over (), 6) as lexical from n""",
+    "cover_windows": """
+        with w as (select doc_id, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\\p{L}\\p{N}_]+') as w from documents),
+        t as (select doc_id, unnest(w) as token, unnest(range(1, len(w) + 1)) as pos from w),
+        f as (select token, row_number() over (order by count(distinct doc_id) desc, token) as q from t where length(token) > 1 group by token qualify q <= 3),
+        p as (select doc_id, q, pos, row_number() over (partition by doc_id order by pos) as nth from t join f using (token)),
+        s as (select *, max(case when q = 1 then pos end) over u as a, max(case when q = 2 then pos end) over u as b, max(case when q = 3 then pos end) over u as c from p window u as (partition by doc_id order by pos)),
+        e as (select doc_id, least(a, b, c) as start, min(pos) as stop, min(nth) as last from s where a is not null and b is not null and c is not null group by 1, 2)
+        select e.doc_id, count(*) as covers, round(sum(0.1 / (1 + (stop - start) - (last - p.nth))), 6) as density from e join p on e.doc_id = p.doc_id and p.pos = start group by 1""",
     "search_modes": f"""
         with m as (select doc_id % 25 as query, doc_id as doc, {_SHA32.format('doc_id::varchar', 1000)} / 500 - 1 as d, {_SHA32.format("doc_id || 'w'", 1000)} / 1000 as l, {_SHA32.format("doc_id || 'r'", 1000)} / 1000 as rr from documents),
         s as (

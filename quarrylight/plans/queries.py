@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vec
 from ..operators import calendar, entities, filters, reading, reports, scoring, search, telemetry
+from ..operators import postings as index
 from ..sources import documents as files
+from ..sources.scratch import scratch_path
 from ..streaming import stateful
 
 #: The pinned clock of all queries, and parameters that the SQL shares.
@@ -947,25 +949,83 @@ def warehouse_reranked(spark, sf_dir):
     return search.warehouse_rerank(ranked, scores, 13).select("cv", F.col("place").cast("long").alias("place"))
 
 
+def _chained(spark, sf_dir, page, query_vector, words):
+    """Documents as versions with index entries of their own, in three states, scored by the first level each has.
+
+    The vector of the number that a version has is its whole document's; every seventh entry isn't ready."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("version"), F.col("embedding").alias("vector"))
+    docs = table(spark, sf_dir, "documents")
+    versions = docs.select(
+        F.col("doc_id").alias("version"), F.concat("source", F.lit("-"), F.col("doc_id") % 7).alias("profile"), "lang", (F.col("n_chars") / 1000).alias("years"),
+        F.coalesce("text", F.lit("")).alias("document"), F.when(F.col("doc_id") % 7 == 0, "STALE").otherwise("READY").alias("status"),
+    )
+    if not page.isEmpty():  # only what was hit is read whole
+        versions = versions.join(F.broadcast(page.select("version").distinct()), "version", "left_semi")
+    return search.chained_matches(versions.join(vectors, "version", "left"), page, query_vector, words)
+
+
+def _page(spark, sf_dir):
+    """Both channels' hits as chunks: every fourth vector is of a version's whole document only, not a chunk's."""
+    hits = _hits(spark, sf_dir).filter("chunk % 4 > 0 or lexical > 0").select(
+        (F.col("chunk") / 2).cast("long").alias("version"), "chunk", F.when(F.col("chunk") % 4 > 0, F.col("dense")).alias("dense"), "lexical", F.concat(F.lit("chunk "), "chunk").alias("chunk_text")
+    )
+    return search.page_of(hits, 2 * search.oversample(10))
+
+
+def evidence_levels(spark, sf_dir):
+    """Score, level and evidence of every version with a hit: chunk, whole document, or overlap of words."""
+    out = _chained(spark, sf_dir, _page(spark, sf_dir), _query_vector(spark, sf_dir), _query_words(spark, sf_dir))
+    return out.select("version", r6("dense").alias("dense"), r6("lexical").alias("lexical"), "level", "method", F.md5("evidence").alias("evidence"))
+
+
+def keyword_fallback(spark, sf_dir):
+    """A search without a query vector whose words no chunk has: all versions by the overlap of their documents, in
+    keyword mode, which keeps those whose semantic part is above one half."""
+    words = _query_words(spark, sf_dir)
+    none = search.page_of(_page(spark, sf_dir).limit(0), 0)
+    matches = _chained(spark, sf_dir, none, None, words).select(
+        "profile", "version", F.col("version").alias("number"), "dense", "lexical", F.array("lang").alias("skills"), "years", F.lit("2023-06-01").cast("timestamp").alias("submitted"), F.col("lang").alias("category"), "method", F.md5("evidence").alias("evidence"),
+    )
+    ranked = search.fallback_cut(search.rank_versions(matches, now(), 20), True)
+    return ranked.join(matches.select("version", "method", "evidence"), "version").select("profile", "version", F.round("score", 2).alias("score"), r6("c_semantic").alias("semantic"), "method", "evidence")
+
+
 def candidate_search(spark, sf_dir):
-    """The retrieval chain: both channels' best chunks, a version's best one, versions with a hit, and their ranking.
+    """The retrieval chain: both channels' hits as one page, the level that scores each version, and their ranking.
 
-    A vector is a chunk of the version whose number it has, a source's versions with one remainder are a profile. What
-    is ranked are the hits, whose number the channels' limits bound; the result is reranked, and told as telemetry.
+    A vector is a chunk of the version of half its number, a source's versions with one remainder are a profile. The
+    page and the ranking are evaluated once; the result is reranked, and told as telemetry.
     """
-    hits = _hits(spark, sf_dir)
-    best = search.best_chunk(hits.select((F.col("chunk") / 2).cast("long").alias("version"), "chunk", "dense", "lexical"), "version", "chunk")
-    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version"), F.concat("source", F.lit("-"), F.col("doc_id") % 7).alias("profile"), "lang", (F.col("n_chars") / 1000).alias("years"))
-    found = search.keep_if_any(versions, F.broadcast(best), "version")
-    matches = found.select(
-        "profile", "version", F.col("version").alias("number"), F.coalesce("dense", F.lit(-1.0)).alias("dense"), "lexical", F.array("lang").alias("skills"), "years", F.lit("2023-06-01").cast("timestamp").alias("submitted"), F.col("lang").alias("category"),
+    matches = _chained(spark, sf_dir, _page(spark, sf_dir), _query_vector(spark, sf_dir), _query_words(spark, sf_dir)).select(
+        "profile", "version", F.col("version").alias("number"), "dense", "lexical", F.array("lang").alias("skills"), "years", F.lit("2023-06-01").cast("timestamp").alias("submitted"), F.col("lang").alias("category"),
     )
-    ranked = search.fallback_cut(search.rank_versions(matches, now(), 20, required=["en"], minimum_experience=3, category="en"), False)
+    ranked = search.page_of(search.fallback_cut(search.rank_versions(matches, now(), 20, required=["en"], minimum_experience=3, category="en"), False).select("profile", "number", "score"), 20)
     scores = ranked.select("profile", ((tx.hash_bucket(F.col("profile"), 1000) + 0.25) / 1009).alias("rerank"))  # no ties in rounding
-    told = search.result_rows(search.rerank_blend(ranked.select("profile", "number", "score"), scores, 10, head=8), F.lit(7), F.lit("Query"))
+    told = search.result_rows(search.rerank_blend(ranked, scores, 10, head=8), F.lit(7), F.lit("Query"))
     return told.select("event", F.col("rank").cast("long").alias("rank"), "profile", F.round("score", 2).alias("score"), "query_hash")
 
 
+def _indexed(spark, sf_dir) -> str:
+    """The path of a positional index of all documents, written anew."""
+    path = scratch_path(spark, "postings")
+    index.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return path
+
+
+def cover_density(spark, sf_dir):
+    """The 100 densest documents for any word of a benchmark item, by the postings of its words alone."""
+    words = _query_words(spark, sf_dir)
+    return index.lexical_rank(index.postings(spark, _indexed(spark, sf_dir), words), "doc_id", words, 100).select("doc_id", r6("lexical").alias("lexical"))
+
+
+def cover_windows(spark, sf_dir):
+    """Shortest stretches that hold each of the three words that most texts have, and their density by document."""
+    path = _indexed(spark, sf_dir)
+    words = [r["token"] for r in spark.read.parquet(path).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(3).collect()]
+    found = index.cover_density(index.postings(spark, path, words), "doc_id", words, every=True)
+    return found.select("doc_id", "covers", r6("density").alias("density"))
+
+
 def search_modes(spark, sf_dir):
     """The four modes of one retrieval over all documents: 25 queries, each with the documents of one remainder."""
     n = F.col("doc_id")

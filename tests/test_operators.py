@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import identity, vector
 from quarrylight.functions import text as tx
 from quarrylight.operators import calendar, entities, filters, reports, scoring, search, telemetry
+from quarrylight.operators import postings as index
 from quarrylight.plans import registry
 from quarrylight.sources import documents as files
 from quarrylight.streaming import stateful
@@ -83,18 +85,77 @@ def test_rerank_touches_the_head_only(spark):
     assert [(r.profile, r.score) for r in search.rerank_blend(ranked, scores, 3, head=2).collect()] == [("b", 94.0), ("a", 27.0), ("c", 70.0)]
 
 
+def test_results_longer_than_a_page_stay_whole(spark):
+    ranked = spark.range(3000).select(F.col("id").cast("string").alias("profile"), F.lit(1).alias("number"), (F.col("id") % 977 / 10).alias("score"))
+    scores = ranked.select("profile", F.lit(1.0).alias("rerank"))
+    out = search.rerank_blend(ranked, scores, 2000, head=20).collect()
+    want = [r.profile for r in ranked.orderBy(F.desc("score"), F.desc("number"), "profile").limit(2000).collect()]
+    assert [r.profile for r in out[20:]] == want[20:] and sorted(r.profile for r in out[:20]) == sorted(want[:20])
+    assert search.result_rows(ranked, F.lit(1), F.lit("q")).count() == 3000
+    placed = search.warehouse_rerank(ranked.withColumnRenamed("profile", "cv"), scores.withColumnRenamed("profile", "cv"))
+    assert sorted(r.place for r in placed.collect()) == list(range(1, 3001))
+
+
 def test_hits_and_fallbacks(spark):
-    versions = spark.createDataFrame([(1,), (2,)], "version int")
-    hits = spark.createDataFrame([(1, 0.5, 0.0)], "version int, dense double, lexical double")
-    assert search.keep_if_any(versions, hits, "version").count() == 1
-    assert search.keep_if_any(versions, hits.limit(0), "version").count() == 2
+    rows = [(1, "READY", [1.0, 0.0], "alpha line\nlast Beta"), (2, "READY", [0.0, 1.0], "nothing"), (3, "STALE", [1.0, 0.0], "none\nalpha beta"), (4, "READY", None, "alphabet"), (5, "READY", [1.0, 1.0], None)]
+    versions = spark.createDataFrame(rows, "version int, status string, vector array<double>, document string")
+    hits = [(1, 10, 0.5, 0.0, "c10"), (1, 11, None, 1.0, "c11"), (2, 20, None, 0.5, "c20"), (3, 30, None, 0.5, "c30"), (4, 40, None, 0.1, "c40")]
+    page = search.page_of(spark.createDataFrame(hits, "version int, chunk int, dense double, lexical double, chunk_text string"), 5)
+    told = lambda *a: {r.version: (r.level, round(r.dense, 6), r.lexical, r.method, r.evidence) for r in search.chained_matches(versions, *a).collect()}
+    assert told(page, [1.0, 0.0], ["alpha", "beta"]) == {
+        1: ("CHUNK", 0.5, 0.0, "SEMANTIC_CHUNK", "c10"), 2: ("DOCUMENT", 0.0, 0.0, "LEXICAL_CHUNK", "c20"), 3: ("OVERLAP", 1.0, 1.0, "LEXICAL_CHUNK", "c30"), 4: ("OVERLAP", -1.0, 0.0, "LEXICAL_CHUNK", "c40"),
+    }  # the version without a hit is left out
+    none = search.page_of(page.limit(0), 0)
+    assert told(none, None, ["alpha", "beta"]) == {
+        1: ("OVERLAP", 1.0, 1.0, "LEXICAL_LINE", "alpha line"), 2: ("OVERLAP", -1.0, 0.0, "DOCUMENT_CONTEXT", "nothing"), 3: ("OVERLAP", 1.0, 1.0, "LEXICAL_LINE", "alpha beta"),
+        4: ("OVERLAP", -1.0, 0.0, "DOCUMENT_CONTEXT", "alphabet"), 5: ("OVERLAP", -1.0, 0.0, "DOCUMENT_CONTEXT", ""),
+    }
+    assert told(none, [1.0, 0.0], ["beta"])[5][0] == "DOCUMENT"
+    with pytest.raises(ValueError):
+        search.page_of(page, 4)
     rows = spark.createDataFrame([(["a", "b"],), (["a"],)], "have array<string>")
     assert search.coverage_gate(rows, "have", [], ["a", "b"]).count() == 2
     assert search.coverage_gate(rows, "have", [], ["a", "b"], 1.0, minimum_set=True).count() == 1
-    assert one(spark, search.evidence_line(F.lit("first\nsecond word"), F.array(F.lit("word"))).alias("x")).x == "second word"
+    assert one(spark, search.evidence_line(F.lit("first\nsecond word"), ["word"]).alias("x")).x == "second word"
     assert one(spark, search.confidence(F.lit(50.0), 2.0, -1.0).alias("x")).x == 0.5
 
 
+def plain_covers(text, words):
+    """Shortest stretches by looking at all: (covers, density)."""
+    at = [(i, w) for i, w in enumerate(re.findall(r"\w+", (text or "").lower()), 1) if w in words]
+    best = {}
+    for i in range(len(at)):
+        for j in range(i, len(at)):
+            held = {w for _, w in at[i : j + 1]}
+            if held == set(words):
+                if at[i][1] not in {w for _, w in at[i + 1 : j + 1]} or i == j:
+                    best[i] = j
+                break
+    return len(best), sum(0.1 / (1 + (at[j][0] - at[i][0]) - (j - i)) for i, j in best.items())
+
+
+def test_cover_density_over_a_positional_index(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [None, "", "aa", "aa bb cc", "cc aa x y bb aa", "aa aa bb", "a b c"] + [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "Ff"]) for _ in range(40)) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    path = f"file://{tmp_path}/index"
+    index.write_index(frame, "id", "text", path)
+    found = index.postings(spark, path, ["aa", "bb", "cc"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(token" in plan  # only these tokens' postings are read
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    held = {(r.token, r.id): r.positions for r in found.collect()}
+    assert held == {(w, i): [k for k, x in enumerate(words(t), 1) if x == w] for i, t in enumerate(texts) for w in ("aa", "bb", "cc") if w in words(t)}
+    for asked in (["aa", "bb", "cc"], ["aa", "bb"], ["aa"]):
+        got = {r.id: (r.covers, round(r.density, 9)) for r in index.cover_density(index.postings(spark, path, asked), "id", asked, every=True).collect()}
+        want = {i: plain_covers(t, asked) for i, t in enumerate(texts)}
+        assert got == {i: (n, round(d, 9)) for i, (n, d) in want.items() if n}
+    some = {r.id: r.lexical for r in index.lexical_rank(index.postings(spark, path, ["aa", "ff"]), "id", ["aa", "ff"], 5).collect()}
+    counts = sorted(((-sum(w in ("aa", "ff") for w in words(t)), i) for i, t in enumerate(texts)))[:5]
+    assert some == {i: pytest.approx(n / counts[0][0]) for n, i in counts}
+    assert index.postings(spark, path, []).collect() == []
+
+
 def test_three_cosines(spark):
     a, b, z = (F.array(*map(F.lit, v)) for v in ([1.0, 0.0], [1.0, 1.0], [0.0, 0.0]))
     row = one(spark, vector.strict_cosine(a, b).alias("x"), vector.strict_cosine(a, z).alias("y"), vector.lenient_cosine(a, F.array(F.lit(1.0))).alias("w"), vector.dot(b, b).alias("d"))
