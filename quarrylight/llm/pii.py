@@ -23,8 +23,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ADDRESS = re.compile(r"[^\s<>\"'`]+")
-IDENTIFIER = re.compile(r"\s{0,3}(?:(?:no\.?|number|is)\s{1,3})?[:=#]?\s{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9_]){5,})")
+ADDRESS, HOST = re.compile(r"[^\s<>\"'`]+"), re.compile(r"[^\s<>\"'`/]+")
+IDENTIFIER = re.compile(r"\s{0,3}(?:(?:no\.?|number|is)\s{1,3})?[:=#]?\s{0,3}[\"']?(?=[A-Za-z0-9](?:[ -]?[A-Za-z0-9_]){5})")
+#: What an identifier is read as: an account code of up to 34 characters, a run without blanks, or digits.
+CODE, SOLID, NUMBER = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){14,33}"), re.compile(r"[A-Za-z0-9](?:-?[A-Za-z0-9_])*+"), re.compile(r"[0-9](?:[ -]?[0-9])*+")
 DIGITS = "0123456789"
 
 
@@ -33,9 +35,22 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
-def iban(code: str) -> bool:
-    turned = code[4:] + code[:4]
-    return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", code)) and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+def iban_length(code: str) -> int:
+    """Characters of the longest prefix of `code`, 15 to 34 letters and digits, whose check digits are right; 0 for none.
+
+    The check is the remainder by 97 of the code with its first four characters behind the rest, letters as 10 to 35;
+    it is carried from each prefix to the next.
+    """
+    if not re.match("[A-Z]{2}[0-9]{2}", code):
+        return 0
+    head = int("".join(str(int(c, 36)) for c in code[:4]))  # six digits
+    best = rest = 0
+    for n, c in enumerate(code[4:34], 5):
+        value = int(c, 36)
+        rest = (rest * (10 if value < 10 else 100) + value) % 97
+        if n >= 15 and (rest * 1_000_000 + head) % 97 == 1:
+            best = n
+    return best
 
 
 @cache
@@ -55,36 +70,35 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
 
 
-def _account(text: str, cue: str, end: int) -> tuple[int, int] | None:
+def _account(text: str, cue: str, end: int, dry: int) -> tuple[tuple[int, int] | None, int]:
+    """The identifier behind a cue, and up to where runs are known to hold none: a run that begins before `dry` is the
+    rest of one that was read and is no identifier, so it isn't read once more."""
     m = IDENTIFIER.match(text, end)
     if not m:
-        return None
-    start, stop = m.span(1)
-    code = m[1]
+        return None, dry
+    start = m.end()
     if cue == "iban":
-        for n in range(34, 14, -1):  # the longest prefix that the check digits confirm
-            packed, used = "", 0
-            for used, c in enumerate(code, 1):
-                packed += c if c.isalnum() else ""
-                if len(packed) == n:
-                    break
-            if len(packed) == n and iban(packed.upper()):
-                return start, start + used
-        return None
-    solid = re.match(r"[A-Za-z0-9_-]+", code)[0]
-    if sum(c in DIGITS for c in solid) >= 4 and len(solid) >= 6:
-        return start, start + len(solid)
-    digits = re.match(r"[0-9](?:[ -]?[0-9])*", code)
-    return (start, start + digits.end()) if digits and sum(c in DIGITS for c in digits[0]) >= 6 else None
+        code = CODE.match(text, start)
+        at = [i for i, c in enumerate(code[0], 1) if c.isalnum()] if code else []
+        n = iban_length("".join(c for c in code[0] if c.isalnum()).upper()) if code else 0  # the longest that the check digits confirm
+        return ((start, start + at[n - 1]) if n else None), dry
+    if start >= dry:
+        solid = SOLID.match(text, start)[0]
+        if sum(map(solid.count, DIGITS)) >= 4 and len(solid) >= 6:
+            return (start, start + len(solid)), dry
+        dry = start + len(solid)
+    digits = NUMBER.match(text, start)
+    return ((start, digits.end()) if digits and sum(c in DIGITS for c in digits[0]) >= 6 else None), dry
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and start. Per kind matches are leftmost and don't overlap.
 
-    A match that fails its validation is dropped and scanning goes on behind it.
+    A match that fails its validation is dropped and scanning goes on behind it. No part of a text is read more than a
+    few times: what was read for nothing is remembered, or ends before the next anchor of its kind.
     """
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    behind = dict.fromkeys(KINDS, 0)
+    behind, dry = dict.fromkeys(KINDS, 0), 0
     low = folded(text)
     for last, (kind, size) in anchors().iter(low):
         at = last - size + 1
@@ -111,14 +125,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found["phone"].append(m.span())
         elif kind == "scheme":
-            if at >= behind["url"] and (m := ADDRESS.match(text, last + 1)):
-                end = last + 1 + len(m[0].rstrip(".,;:!?)]}"))
+            if at >= behind["url"] and (m := HOST.match(text, last + 1)) and "." in m[0]:
+                end = last + 1 + len(ADDRESS.match(text, last + 1)[0].rstrip(".,;:!?)]}"))
                 if "." in text[last + 1 : end].split("/")[0]:
                     behind["url"] = end
                     found["url"].append((at, end))
-        elif at >= behind["account"] and not (at and low[at - 1].isalnum()) and not low[last + 1 : last + 2].isalnum() and (span := _account(text, low[at : last + 1], last + 1)):
-            behind["account"] = span[1]
-            found["account"].append(span)
+        elif at >= behind["account"] and not (at and low[at - 1].isalnum()) and not low[last + 1 : last + 2].isalnum():
+            span, dry = _account(text, low[at : last + 1], last + 1, dry)
+            if span:
+                behind["account"] = span[1]
+                found["account"].append(span)
     return [(k, *span) for k in KINDS for span in found[k]]
 
 
