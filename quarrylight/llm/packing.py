@@ -13,6 +13,8 @@ from .common import written
 
 #: Documents packed together in one task; more documents make more blocks. README has what that costs in bins.
 BLOCK = 8192
+#: Equal rows that are written out at once.
+RUN = 1024
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -56,23 +58,23 @@ def packed(docs: DataFrame, capacity: int, length: str, source: str = "source",
 
     A row longer than `capacity` gives full pieces, each a bin of its own, and a rest. Rests are packed by best fit,
     longest first, ties by id, so that no bin holds two rows of one source or of one cluster. Rows are dealt to
-    blocks of about `block` by a hash of their id, whatever their other keys, and each block has its own bins, so
-    memory is bounded and no row is left out. Where ids repeat so often that a block would be twice as large, rows
-    are dealt by their place in the table instead. Rows without length have one empty piece and no bin (null). Null
+    blocks of about `block` by a hash of id, length, source, cluster and a number among equal rows, so bins follow the
+    rows alone, not their places in files; each block has its own bins, so memory is bounded and no row is left out.
+    Rows without length have one empty piece and no bin (null). Null
     sources and clusters conflict with nothing; null ids and repeated rows are rows of their own; an empty table gives
     an empty one; a very long text counts by its length only. Columns other than these four are left out, whatever
     their names.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")
-    blocks = max(1, math.ceil(rows.count() / block))
-    by = lambda key: rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    dealt = by("doc_id")
-    if blocks > 1 and not dealt.groupBy("block").count().filter(F.col("count") > 2 * block).isEmpty():
-        dealt = by("row")
+    keys = ["doc_id", "length", "source", "cluster"]
+    alike = written(rows.groupBy(*keys).agg(F.count("*").alias("n")), "lengths")
+    blocks = max(1, math.ceil((alike.agg(F.sum("n")).first()[0] or 0) / block))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
+    each = runs.withColumn("row", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)))
+    dealt = each.select(*keys, F.pmod(F.xxhash64(*keys, "row"), F.lit(blocks)).alias("block"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf.assign(rest=pdf["length"] % capacity).sort_values(["rest", "doc_id", "row"], ascending=[False, True, True])
+        rest = pdf.assign(rest=pdf["length"] % capacity).sort_values(["rest", *keys], ascending=[False, True, True, True, True])
         rest = rest[rest["rest"] > 0]
         bins = best_fit(list(zip(rest["rest"].tolist(), _bits(rest["source"]), _bits(rest["cluster"]))), capacity)
         next_bin, first = max(bins, default=-1) + 1, int(pdf["block"].iloc[0]) << 32

@@ -7,7 +7,7 @@ import re
 import struct
 import time
 import zipfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import date
 from functools import cache
 
@@ -482,8 +482,12 @@ def test_packing_equals_a_plain_packing_of_each_block(spark):
         assert blocks == max(1, -(-len(rows) // block))
         kept = out[out.length.between(1, 99)]
         for _, part in kept.groupby(kept.bin.astype("int64") // (1 << 32)):
-            ids = set(part.doc_id.dropna())
-            members = [r for r in rows if (r[0] in ids or r[0] is None and part.doc_id.isna().any()) and r[1] % 100]
+            need = Counter((None if pd.isna(doc) else int(doc), int(n)) for doc, n in zip(part.doc_id, part.length))
+            members = []
+            for r in rows:
+                if r[1] % 100 and need[r[0], r[1] % 100]:
+                    need[r[0], r[1] % 100] -= 1
+                    members.append(r)
             members.sort(key=lambda r: (-(r[1] % 100), r[0] is None, r[0] or 0))
             number = {v: k for k, v in enumerate(dict.fromkeys([None, *(r[2] for r in members)]))}, {v: k for k, v in enumerate(dict.fromkeys([None, *(r[3] for r in members)]))}
             want = plain_best_fit([(r[1] % 100, number[0][r[2]], number[1][r[3]]) for r in members], 100)
@@ -496,10 +500,16 @@ def test_packing_equals_a_plain_packing_of_each_block(spark):
             assert bins(got) == bins(held)
 
 
-def test_packing_of_ids_that_repeat(spark):
-    frame = spark.createDataFrame([(7, 10 + i % 30, None, None) for i in range(900)], "doc_id long, n long, source string, cluster string")
-    out = packing.packed(frame, 100, "n", block=100).toPandas()
-    assert out.length.sum() == sum(10 + i % 30 for i in range(900)) and (out.bin // (1 << 32)).value_counts().max() < 200
+def test_packing_follows_rows_not_files(spark):
+    """Ids that repeat, and rows that are alike, give the same bins however a table is cut."""
+    rows = [(7, 10 + i % 30, None, None) for i in range(900)] + [(8, 5, "s", "c")] * 2500 + [(None, 12, None, None)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string")
+    bins = lambda df: sorted((r.bin, r.length, str(r.doc_id)) for r in packing.packed(df, 100, "n", block=100).collect())
+    one = bins(frame.coalesce(1))
+    assert sum(n for _, n, _ in one) == sum(r[1] for r in rows) and len(one) == len(rows)
+    assert one == bins(frame.repartition(3)) == bins(frame.orderBy(F.rand(4)))
+    assert max(Counter(b >> 32 for b, *_ in one).values()) < 200
+    assert sorted(r.doc_id for r in packing.packed(with_clashes(frame.limit(30).withColumnRenamed("n", "n_words")), 100, "n_words").collect()) == [7] * 30
 
 
 def plain_quality(rows):
