@@ -126,7 +126,8 @@ def _joined(gap: Column) -> Column:
 
 
 def mentions(parts: DataFrame, words: DataFrame, key: str, skills: tuple[str, ...]) -> DataFrame:
-    """(key, line, clause, place, n, name, kind, category): longest alias matches over whole tokens of clauses.
+    """(key, line, clause, place, n, start, end, before, after, name, kind, category): longest alias matches over whole
+    tokens of clauses, with their places in the clause and what stands around them.
 
     `words` is a vocabulary table of any size and with aliases of any length: alias (folded), name, kind, category,
     and RULES. An alias in doubt counts in one of its spellings, where no denying word stands next to it and its clause
@@ -145,7 +146,7 @@ def mentions(parts: DataFrame, words: DataFrame, key: str, skills: tuple[str, ..
         hits = _scan(parts, spark.sparkContext.broadcast(own), keep)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return parts.select(*keep).limit(0).select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("n", "int"), ("name", "string"), ("kind", "string"), ("category", "string"))))
+        return parts.select(*keep).limit(0).select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in (*((c, "int") for c in ("place", "n", "start", "end")), *((c, "string") for c in ("before", "after", "name", "kind", "category")))))
     clause = Window.partitionBy(*keep)
     top = found.repartition(key).withColumn("_m", F.max("n").over(clause.partitionBy(*keep, "place"))).filter("n = _m").drop("_m")
     reach = F.max(F.col("place") + F.greatest("n", F.lit(1))).over(clause.orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
@@ -169,4 +170,4 @@ def mentions(parts: DataFrame, words: DataFrame, key: str, skills: tuple[str, ..
     gapped = told.withColumn("_same", F.coalesce(same, F.lit(False))).withColumn("_gap", F.when(F.col("_same"), inside).otherwise(across)).withColumn("_was", last("_stopped"))
     islands = gapped.withColumn("_island", F.sum(F.when(F.coalesce(_joined(F.col("_gap")), F.lit(False)) & ~F.col("_stopped") & ~F.col("_was"), 0).otherwise(1)).over(order))
     vouched = F.max(F.col("_alone") & F.col("kind").isin(*skills)).over(Window.partitionBy(key, "_island"))
-    return islands.withColumn("_vouched", vouched).filter(F.col("_alone") | F.col("_vouched")).select(*keep, "place", "n", "name", "kind", "category")
+    return islands.withColumn("_vouched", vouched).filter(F.col("_alone") | F.col("_vouched")).select(*keep, "place", "n", "start", "end", "before", "after", "name", "kind", "category")

@@ -6,6 +6,8 @@ fixed is the behaviour on sentences. Names are found by mentions.py; the rules a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +88,22 @@ TITLES = [
     ("site reliability", "DEVOPS_SRE"), ("cloud", "CLOUD"), ("security", "SECURITY"),
 ]
 SKILLS = ("language", "framework", "tool", "database", "cloud", "concept", "soft_skill")
-#: Fixed cues, folded, of how a line or clause speaks of what it names.
-PREFERRED = r"uu tien|loi the|nice to have|nice:|is a plus|preferred|would be appreciated|bonus"
-IGNORED = r"quyen loi|we offer|about us|cong ty|our team|our company|co the hoc"
-NEGATED = r"khong yeu cau|not needed|not required|khong can"
+#: Own cues, folded: heads of sections and what these make of the lines below, and how a clause speaks of a name in it.
+SECTIONS = {
+    "preferred": r"(?:uu tien|loi the|diem cong|nice(?: to have)?|preferred|bonus|good to have|desirable|plus)\b",
+    "none": r"(?:quyen loi|phuc loi|we offer|benefits|about us|about the company|ve chung toi|cong ty|our team|our company|our stack|not required|khong yeu cau)\b",
+    "required": r"(?:requirements?|yeu cau|must have|required|qualifications|what you need|you have|ky nang|trach nhiem|responsibilities)\b",
+}
+HEAD_CHARS, BARE_CHARS, HEAD_WORDS = 50, 40, 6
+COMPANY = r"^\W*(?:our (?:team|company|product|platform|stack)|we (?:use|run|are|build)|the company|cong ty|chung toi)\b"
+TURN = r"\b(?:but you|you will|nhung ban|ban se)\b"
+NEGATED_BEFORE = r"(?:khong (?:yeu cau|can|bat buoc)|not (?:required|needed|necessary)|no need (?:for|of)|without|instead of)\b[^,;]*$"
+NEGATED_AFTER = r"^[^,;]*?\b(?:(?:is|are) not (?:required|needed|necessary)|isn't (?:required|needed)|not (?:required|needed)|khong (?:bat buoc|can thiet|yeu cau))\b"
+SOFTENED = r"(?:but|though|nhung)\b.*\b(?:plus|welcome|nice|preferred|loi the)\b"
+PREFERRED_BEFORE = r"\b(?:uu tien|preferably|ideally|nice to have|bonus for|co the hoc)\b[^.;]*$"
+PREFERRED_AFTER = r"^(?:[\s,)]*[\p{L}]+){0,3}?[\s,)]*(?:is|are|la|se la)?\s*(?:an? )?(?:(?:big |strong )?plus|nice to have|bonus|advantage|loi the|diem cong|preferred|would be (?:appreciated|nice|a plus))\b"
+
+
 #: Own contexts of aliases in doubt: words nearby that settle it, and words right before and behind that deny it.
 CODING = ("developer", "developers", "engineer", "programming", "language", "languages", "lap trinh", "code", "framework", "backend", "middleware", "library", "compiler", "ky nang")
 CONTEXTS = {
@@ -114,10 +128,11 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def clauses(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, clause, original, folded): lines cut at sentence ends, addresses blanked, hyphenated breaks joined."""
+    """(key, line, clause, original, folded): lines cut behind sentence ends and semicolons, addresses blanked,
+    hyphenated breaks joined. An empty line is a clause without text."""
     clean = F.regexp_replace(F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2"), r"(?<!\S)[^\s@]++@\S++|https?://\S+|\b[\w-]+\.(?:net|com|org)\b(?<!(?i)asp\.net)", " ")
     lines = docs.select(key, F.posexplode(F.split(clean, "\n")).alias("line", "_l"))
-    parts = lines.select(key, "line", F.posexplode(F.split("_l", r"(?<=[.!?])\s+|;")).alias("clause", "original")).filter("trim(original) <> ''")
+    parts = lines.select(key, "line", F.posexplode(F.split("_l", r"(?<=[.!?])\s+|(?<=;)")).alias("clause", "original")).filter("trim(original) <> '' or clause = 0")
     return parts.withColumn("folded", fold(F.col("original")))
 
 
@@ -137,20 +152,70 @@ def years_required(parts: DataFrame, key: str) -> DataFrame:
     return stated.groupBy(key).agg(F.coalesce(F.min_by("_y", F.when(F.col("_y") <= 40, F.struct("line", "clause"))), F.lit(0.0)).alias("years"))
 
 
+def sections(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, line, clause, folded, section): what each clause is about, required, preferred or none, by the heads above.
+
+    A head is a clause that begins like one of SECTIONS, before its colon or as a short line, and names nothing. Alone
+    it holds for the rest of its line and the lines below, up to the next head. With text behind its colon it holds
+    for that clause, for those that semicolons join to it and, up to an empty line, for the lines below; a head of
+    requirements for the rest of its line, too. Without a head clauses are required.
+    """
+    head = F.substring_index("folded", ":", 1)
+    colon = F.contains("folded", F.lit(":")) & (F.length(head) <= HEAD_CHARS)
+    bare = F.regexp_replace(F.when(colon, head).otherwise(F.col("folded")), r"^[^\p{L}]+|\s+$", "")
+    kind = reduce(lambda c, k: c.when(bare.rlike("^" + SECTIONS[k]), k), SECTIONS, F.when(bare.rlike("[0-9]") | (F.size(F.split(bare, r"\s+")) > HEAD_WORDS), F.lit(None)))
+    opens = F.when((colon | (F.length(F.trim("folded")) <= BARE_CHARS)) & F.col("_first").isNull(), kind).when(colon & (F.col("_first") > F.length(head)), kind)
+    first = found.groupBy(key, "line", "clause").agg(F.min("start").alias("_first"))
+    told = parts.join(first, [key, "line", "clause"], "left").withColumn("_opens", opens)
+    told = told.withColumn("_inline", F.when(F.col("_opens").isNotNull(), colon & (F.trim(F.substring_index("folded", ":", -1)) != ""))).withColumn("_empty", F.trim("folded") == "")
+    order = Window.partitionBy(key).orderBy("line", "clause")
+    line = Window.partitionBy(key, "line").orderBy("clause")
+    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    ended = F.col("_empty") & last("_inline", order)
+    event = F.when(F.col("_empty"), F.when(ended, "required")).otherwise(F.col("_opens"))
+    told = told.withColumn("_event", event)
+    above = last("_event", Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, -1))
+    rest = last(F.when(~F.col("_inline") | (F.col("_opens") == "required"), F.col("_opens")), line)
+    fresh = F.sum(F.when(F.coalesce(F.lag("folded").over(line).rlike(r";\s*$"), F.lit(False)), 0).otherwise(1)).over(line)
+    told = told.withColumns({"_above": above, "_rest": rest, "_fresh": fresh})
+    carried = last("_opens", Window.partitionBy(key, "line", "_fresh").orderBy("clause"))
+    return told.select(key, "line", "clause", "folded", F.coalesce(carried, "_rest", "_above", F.lit("required")).alias("section"))
+
+
 def requirements(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, kind, name, rank): required and preferred skills in order of mention, first mention only.
 
-    A heading, a short clause that ends with a colon or stands alone, sets the state of the lines below it; cues
-    inside a clause come first. Ignored sections and negated clauses give nothing; the first line is a title.
+    Each name has its clause's section, see sections(), unless words around it say more: a negation before it with no
+    comma between, or behind it, takes it out, softened ("not required but a plus") it is preferred; so it is behind a
+    cue of preference, or before one ("is a plus"), which spreads back over the names that it is joined to in one
+    enumeration. A clause about the company gives nothing up to where it turns to the reader. A concept that only the
+    first of several lines names describes the role. What is required isn't preferred, too.
     """
-    low = F.col("folded")
-    own = F.when(low.rlike(NEGATED), "none").when(low.rlike(IGNORED), "none").when(low.rlike(PREFERRED), "preferred")
-    heading = low.rlike(r"^[^,]{2,40}:\s*$") | low.rlike(r"^\W*(?:must have|nice to have|requirements?|yeu cau|uu tien|we offer|quyen loi)\s*:")
-    opens = F.when(heading, F.coalesce(own, F.lit("required")))
-    before = F.last(opens, ignorenulls=True).over(Window.partitionBy(key).orderBy("line", "clause"))
-    sentence = low.rlike(r"[a-z]{2,}.*[.!?]?\s*$") & ~low.rlike(r"^\W*[-•*]")
-    state = parts.withColumn("state", F.coalesce(own, F.when(sentence & ~heading & ~low.rlike(r"^\W*[-•*]") & (before == "preferred"), "required"), before, F.lit("required")))
-    named = found.filter(F.col("kind").isin(*SKILLS)).join(state.select(key, "line", "clause", "state"), [key, "line", "clause"]).filter("state <> 'none' and (line > 0 or clause > 0)")
+    clause = Window.partitionBy(key, "line", "clause").orderBy("start", F.desc("end"), "name")
+    skills = found.filter(F.col("kind").isin(*SKILLS, "certification"))
+    inside = skills.join(sections(parts, found, key), [key, "line", "clause"])
+    before, after = F.substring(F.col("folded"), F.lit(1), F.col("start")), F.expr("substring(folded, end + 1)")
+    reach = F.expr("substring(folded, greatest(1, start - 79), least(80, start))")
+    ahead = F.lead("start").over(clause)
+    cue = F.when(ahead.isNull(), after).otherwise(F.expr("substring(folded, end + 1, greatest(0, _ahead - end))"))
+    gap = F.expr("substring(folded, _behind + 1, greatest(0, start - _behind))")
+    depth = F.length(before) - F.length(F.replace(before, F.lit("("), F.lit(""))) - (F.length(before) - F.length(F.replace(before, F.lit(")"), F.lit(""))))
+    linked = (F.length(gap) <= 40) & ~F.contains(gap, F.lit(";")) & (gap.rlike(r"(?<![\p{L}\p{N}])(?:and|or|va|hoac|plus)(?![\p{L}\p{N}])|[&/]") | (depth > 0) & ~F.contains(gap, F.lit("(")))
+    told = inside.withColumns({"_ahead": ahead, "_behind": F.lag("end").over(clause)})
+    told = told.withColumns({"_after": cue.rlike(PREFERRED_AFTER), "_linked": F.coalesce(linked, F.lit(False))})
+    told = told.withColumn("_run", F.sum(F.when(F.col("_linked"), 0).otherwise(1)).over(clause))
+    spread = F.max("_after").over(Window.partitionBy(key, "line", "clause", "_run").orderBy("start", F.desc("end"), "name").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    denied = after.rlike(NEGATED_AFTER)
+    turned = F.col("folded").rlike(COMPANY) & ~before.rlike(TURN)
+    status = (
+        F.when(turned, "none").when((F.col("section") == "none") & ~before.rlike(TURN), "none").when(reach.rlike(NEGATED_BEFORE) & ~reach.rlike(r"(?:khong (?:yeu cau|can|bat buoc)|not \w+|without|no need)\b.*\b(?:but|nhung)\b"), "none")
+        .when(denied, F.when(after.rlike(SOFTENED), "preferred").otherwise("none")).when(reach.rlike(PREFERRED_BEFORE) | F.col("_spread"), "preferred").when(F.col("section") == "none", "required").otherwise(F.col("section"))
+    )
+    graded = told.withColumn("_spread", spread).withColumn("state", status).filter("state <> 'none'")
+    lines = parts.filter("trim(folded) <> ''").groupBy(key).agg(F.min("line").alias("_title"), F.max("line").alias("_end"))
+    later = Window.partitionBy(key, "name")
+    titled = (F.max("line").over(later) == F.col("_title")) & (F.col("_end") > F.col("_title")) & (F.col("kind") == "concept")
+    named = graded.join(lines, key).withColumn("_role", titled).filter("not _role")
     first = named.groupBy(key, "state", "name").agg(F.min(F.struct("line", "clause", "place", "n")).alias("at"))
     need = first.filter("state = 'required'").select(key, F.col("name").alias("name"))
     kept = first.filter("state = 'required'").unionByName(first.filter("state = 'preferred'").join(need, [key, "name"], "left_anti").select(first.columns))
@@ -158,13 +223,60 @@ def requirements(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return kept.select(key, F.col("state").alias("kind"), "name", rank.alias("rank"))
 
 
-def categories(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(key, category, secondary): the category of most votes; titles (the first line) vote threefold, a tie goes by name."""
-    title = parts.filter("line = 0").select(key, F.explode(F.array(*(F.when(F.col("folded").rlike(rf"(?<![a-z]){t}(?![a-z])"), c) for t, c in TITLES))).alias("category")).filter("category is not null").select(key, "category", F.lit(3.0).alias("vote"))
-    skill = found.filter(F.col("kind").isin(*SKILLS, "certification") & F.col("category").isNotNull()).select(key, "name", "category").distinct().select(key, "category", F.lit(1.0).alias("vote"))
-    sums = title.unionByName(skill).groupBy(key, "category").agg(F.sum("vote").alias("vote"))
-    placed = sums.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("vote"), "category")))
-    best = placed.groupBy(key).agg(F.max(F.when(F.col("_n") == 1, F.col("category"))).alias("category"), F.max(F.when((F.col("_n") == 2) & (F.col("vote") >= 1), F.col("category"))).alias("secondary"))
+#: Fixed rules of the vote: what a keyword counts outside the title, what a skill's vote counts, the least score, how far
+#: the first must lead, and the share of it that makes the next one secondary.
+BODY_FACTOR, SKILL_VOTE, LEAST_SCORE, MARGIN, SECONDARY = 0.5, 1.0, 1.0, 1.25, 0.5
+
+
+def keywords(spark: SparkSession) -> DataFrame:
+    """(alias, category, weight): the built-in titles as keywords of weight 3."""
+    return spark.createDataFrame([(t, c, 3.0) for t, c in TITLES], "alias string, category string, weight double")
+
+
+def category_votes(hits: DataFrame, skills: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """(key, category, score, title_score): votes for every category that a text has any for.
+
+    `hits` (key, alias, in_title) are the keywords found; each counts its weight once in the title and BODY_FACTOR of it
+    once in the body, whatever it is repeated. Each of the distinct `skills` (key, name, category, categories joined
+    by "|") splits one vote of SKILL_VOTE among its categories. Sums meet by key and category.
+    """
+    once = hits.groupBy(key, "alias").agg(F.max("in_title").alias("t"), F.max(~F.col("in_title")).alias("b"))
+    weighed = once.join(weights, "alias").select(key, "category", F.when(F.col("t"), F.col("weight")).otherwise(0.0).alias("t"), F.when(F.col("b"), F.col("weight") * BODY_FACTOR).otherwise(0.0).alias("b"))
+    own = skills.filter("category is not null").select(key, "name", F.split("category", "[|]").alias("c")).distinct()
+    split = own.select(key, F.explode("c").alias("category"), F.lit(0.0).alias("t"), (SKILL_VOTE / F.size("c")).alias("b"))
+    return weighed.unionByName(split).groupBy(key, "category").agg(F.round(F.sum(F.col("t") + F.col("b")), 9).alias("score"), F.round(F.sum("t"), 9).alias("title_score"))
+
+
+def ranked_categories(votes: DataFrame, key: str) -> DataFrame:
+    """(key, category, secondary) of category_votes(); null where nothing stands out.
+
+    The first needs LEAST_SCORE and MARGIN times the next one's score; too close to call, the title decides, if it
+    scores enough and prefers one of the two. The next is secondary from SECONDARY of the first's score on. Ties go by
+    name. A text has no more rows here than there are categories.
+    """
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "category")
+    two = votes.withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
+    of = lambda c, n: F.max(F.when(F.col("_n") == n, F.col(c)))
+    pair = two.groupBy(key).agg(*(of(c, n).alias(f"{c}_{n}") for c in ("category", "score", "title_score") for n in (1, 2)))
+    pair = pair.fillna(0.0, ["score_2", "title_score_2"])
+    enough, clear = F.col("score_1") >= LEAST_SCORE, F.col("score_1") >= F.col("score_2") * MARGIN
+    told = (F.greatest("title_score_1", "title_score_2") >= LEAST_SCORE) & (F.col("title_score_1") != F.col("title_score_2"))
+    swapped = ~clear & (F.col("title_score_2") > F.col("title_score_1"))
+    best, other = F.when(swapped, F.col("category_2")).otherwise(F.col("category_1")), F.when(swapped, F.col("category_1")).otherwise(F.col("category_2"))
+    reach = F.when(swapped, F.col("score_1")).otherwise(F.col("score_2"))
+    close = (F.least(reach, F.col("score_1")) >= F.col("score_1") * SECONDARY) & (reach >= LEAST_SCORE)
+    picked = enough & (clear | told)
+    return pair.select(key, F.when(picked, best).alias("category"), F.when(picked & close, other).alias("secondary"))
+
+
+def categories(parts: DataFrame, found: DataFrame, key: str, weights: DataFrame | None = None) -> DataFrame:
+    """(key, category, secondary) of every text: keywords of the first line as the title's and of the others as the
+    body's, and the skills that it names. UNCLASSIFIED where nothing stands out."""
+    listed = keywords(parts.sparkSession) if weights is None else weights
+    as_words = listed.select("alias", F.col("alias").alias("name"), F.lit("keyword").alias("kind"), F.lit(None).cast("string").alias("category")).distinct()
+    hits = mentions(parts, as_words, key, SKILLS).select(key, F.col("name").alias("alias"), (F.col("line") == 0).alias("in_title"))
+    skills = found.filter(F.col("kind").isin(*SKILLS, "certification")).select(key, "name", "category")
+    best = ranked_categories(category_votes(hits, skills, key, listed), key)
     return parts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("category", F.lit("UNCLASSIFIED")).alias("category"), "secondary")
 
 

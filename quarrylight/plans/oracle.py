@@ -53,6 +53,24 @@ _CHAINED = f"""
                case level when 'CHUNK' then b.d when 'DOCUMENT' then list_cosine_similarity(vector, vec.q) else share * 2 - 1 end as dense, case when b.d is not null then b.l else share end as lexical,
                case when b.d is not null then 'SEMANTIC_CHUNK' else 'LEXICAL_CHUNK' end as method, 'chunk ' || b.c as evidence
         from v join best using (version), vec)"""
+#: The tokens of every clause of the documents, as the text reader cuts them: e has a row for each.
+_CLAUSES = r"""
+        c as (select doc_id, regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '(^|\s)[^\s@]+@\S+|https?://\S+|\b[\w-]+\.(?:net|com|org)\b', '\1 ', 'g') as t from documents),
+        l as (select doc_id, generate_subscripts(string_split(t, chr(10)), 1) as line, unnest(string_split(t, chr(10))) as t from c),
+        p as (select doc_id, line, string_split(replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), ';', chr(1)), chr(1)) as parts from l),
+        f as (select doc_id, line, generate_subscripts(parts, 1) as clause, strip_accents(lower(unnest(parts))) as folded from p),
+        k0 as (select doc_id, line, clause, regexp_extract_all(folded, '[\p{L}\p{N}]+(?:[.+#/''&-]+[\p{L}\p{N}]+)*[+#]*') as t from f),
+        e as (select doc_id, line, clause, generate_subscripts(t, 1) as place, unnest(t) as tok, unnest(t[2:] || [null]) as nxt from k0 where len(t) > 0)"""
+#: The first and the secondary category of `votes` (key, category, score, title_score).
+_PICKED = """
+        two as (select *, row_number() over (partition by key order by score desc, category) as n from votes qualify n <= 2),
+        pair as (
+            select key, max(category) filter (n = 1) as c1, max(category) filter (n = 2) as c2, max(score) filter (n = 1) as s1, coalesce(max(score) filter (n = 2), 0) as s2,
+                   max(title_score) filter (n = 1) as t1, coalesce(max(title_score) filter (n = 2), 0) as t2 from two group by key),
+        told as (select *, s1 >= s2 * 1.25 as clear, not (s1 >= s2 * 1.25) and t2 > t1 as swapped, case when not (s1 >= s2 * 1.25) and t2 > t1 then s1 else s2 end as reach from pair),
+        best as (
+            select key, case when swapped then c2 else c1 end as category, case when least(reach, s1) >= s1 * 0.5 and reach >= 1 then case when swapped then c1 else c2 end end as secondary
+            from told where s1 >= 1 and (clear or greatest(t1, t2) >= 1 and t1 <> t2))"""
 _OPERATIONS = f"""
     e as (select *, user_id % 10 as owner from events),
     a as (select owner, count(*) as tasks, count(*) filter (event_type = 'purchase') as completed, count(*) filter (event_type = 'error') as failed,
@@ -362,9 +380,30 @@ ORACLE_SQL = {
     "hard_chunks": """
         with n as (select doc_id, text, unnest(range(0, ceil(length(text) / 900)::bigint)) as ordinal from documents where length(text) > 0)
         select doc_id, ordinal, md5(substr(text, ordinal * 900 + 1, 900)) as chunk from n""",
-    "job_reading": """
-        select c_custkey, case c_custkey % 3 when 0 then 'preferred:Docker|required:Go|required:Python|required:Redis' when 1 then 'preferred:Docker|required:Go|required:Kafka|required:Python' else 'preferred:Docker|required:Go|required:MySQL|required:Python' end as skills,
-               (c_custkey % 9 + 1)::double as years, 'BACKEND' as category from customer""",
+    "job_reading": f"""
+        with kinds(skill, category) as (values ('Python', null), ('Redis', 'BACKEND'), ('Kafka', 'DATA_ENGINEERING'), ('MySQL', 'BACKEND'), ('Docker', 'DEVOPS_SRE'), ('Terraform', 'CLOUD'), ('Java', 'BACKEND'),
+            ('Hadoop', 'DATA_ENGINEERING'), ('Snowflake', 'DATA_ENGINEERING'), ('Rust', 'BACKEND'), ('AWS', 'CLOUD'), ('Go', 'BACKEND'), ('Selenium', 'QA_AUTOMATION'), ('Git', null)),
+        p as (
+            select c_custkey, ['Python', ['Redis', 'Kafka', 'MySQL'][c_custkey % 3 + 1]] as needs, [[], [], ['Java'], []][c_custkey % 4 + 1]::varchar[] as extra, [['Docker', 'Terraform'], ['Docker'], ['Docker', 'Terraform'], ['Docker', 'Terraform']][c_custkey % 4 + 1] as liked,
+                   [['Snowflake'], ['Rust'], [], [], ['Selenium', 'Go', 'Git']][c_custkey % 5 + 1]::varchar[] as aside, [['Hadoop'], ['Hadoop'], ['AWS'], ['Snowflake'], []][c_custkey % 5 + 1]::varchar[] as unread,
+                   (c_custkey % 9 + 1)::double as years, ['Senior', null, 'Junior'][c_custkey % 3 + 1] as level, ['BACKEND', 'FRONTEND', 'DATA_ENGINEERING'][c_custkey % 3 + 1] as title, ['Bachelor', 'Master', null][c_custkey // 2 % 3 + 1] as education
+            from customer),
+        l as (select *, case when c_custkey % 2 = 0 then needs || extra || aside else extra || aside || needs end as required, needs || extra || liked || aside || unread as named from p),
+        votes as (
+            select c_custkey as key, category, sum(score)::double as score, sum(t)::double as title_score
+            from (select c_custkey, title as category, 3 as score, 3 as t from l union all select c_custkey, category, 1, 0 from (select distinct c_custkey, unnest(named) as skill from l) join kinds using (skill) where category is not null) group by 1, 2),
+        {_PICKED}
+        select c_custkey, array_to_string(required, '|') as required, array_to_string(liked, '|') as preferred, years, coalesce(b.category, 'UNCLASSIFIED') as category, secondary, level, education
+        from l left join best b on key = c_custkey""",
+    "category_votes": rf"""
+        with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as alias from benchmark),
+        k as (select alias, 'C' || {_SHA32.format("alias", 5)} as category, ({_SHA32.format("alias || 'w'", 4)} + 1) / 4 as weight from w where length(alias) > 7),
+        {_CLAUSES},
+        hits as (select distinct doc_id, alias, line = 1 as title from (
+            select doc_id, line, unnest([tok, regexp_replace(tok, chr(39) || 's$', '')] || case when contains(tok, '/') then string_split(tok, '/') else [] end) as alias from e) join k using (alias)),
+        votes as (select doc_id as key, category, sum(case when title then weight else weight * 0.5 end) as score, coalesce(sum(weight) filter (title), 0) as title_score from hits join k using (alias) group by 1, 2),
+        {_PICKED}
+        select doc_id, coalesce(category, 'UNCLASSIFIED') as category, secondary from documents left join best on key = doc_id""",
     "alert_states": """
         with s as (select (user_id % 5)::varchar as owner, date_trunc('day', ts)::timestamp as "at", count(*) filter (event_type = 'error') > 3 as broken from events group by 1, 2),
         p as (select *, coalesce(lag(broken) over (partition by owner order by "at"), false) as was from s),
@@ -453,16 +492,11 @@ ORACLE_SQL = {
         u as (select id, period, coalesce(sum(amount) over (partition by l_suppkey, period order by l_shipdate, id rows between unbounded preceding and 1 preceding), 0)::bigint as used from r)
         select *, used < 60 as accepted from u""",
     "batch_counters": "select l_orderkey, count(*) filter (l_returnflag = 'N') as created, count(*) filter (l_returnflag = 'A') as skipped, count(*) filter (l_returnflag = 'R') as failed, count(*) as total from lineitem group by 1",
-    "find_mentions": r"""
+    "find_mentions": rf"""
         with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from benchmark),
         one as (select distinct unnest(list_filter(w, lambda x: length(x) > 8)) as a from w),
         two as (select distinct x as a, y as b from (select unnest(w[1:-2]) as x, unnest(w[2:]) as y from w where len(w) > 1) where length(x) > 5 and length(y) > 5),
-        c as (select doc_id, regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '(^|\s)[^\s@]+@\S+|https?://\S+|\b[\w-]+\.(?:net|com|org)\b', '\1 ', 'g') as t from documents),
-        l as (select doc_id, generate_subscripts(string_split(t, chr(10)), 1) as line, unnest(string_split(t, chr(10))) as t from c),
-        p as (select doc_id, line, string_split(replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), ';', chr(1)), chr(1)) as parts from l),
-        f as (select doc_id, line, generate_subscripts(parts, 1) as clause, strip_accents(lower(unnest(parts))) as folded from p),
-        k as (select doc_id, line, clause, regexp_extract_all(folded, '[\p{L}\p{N}]+(?:[.+#/''&-]+[\p{L}\p{N}]+)*[+#]*') as t from f),
-        e as (select doc_id, line, clause, generate_subscripts(t, 1) as place, unnest(t) as tok, unnest(t[2:] || [null]) as nxt from k where len(t) > 0),
+        {_CLAUSES},
         s as (select doc_id, line, clause, place, nxt, unnest(list_distinct([tok, regexp_replace(tok, chr(39) || 's$', '')])) as tok, 1 as least from e
               union all select doc_id, line, clause, place, null, unnest(string_split(tok, '/')), 0 from e where contains(tok, '/')),
         m as (select doc_id, line, clause, place, least as n, tok as alias from s join one on a = tok

@@ -595,13 +595,43 @@ def find_mentions(spark, sf_dir):
     return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-def job_reading(spark, sf_dir):
-    """Requirements and years of a job description made for each customer."""
+#: Parts of the postings: what stands for each remainder of a customer's number.
+JOB_TITLES = ("Senior Backend Developer", "Frontend Developer", "Junior Data Engineer")
+JOB_TOOLS = ("Redis", "Kafka", "MySQL")
+JOB_EXTRAS = ("Nice to have:\n- Docker\n- Terraform\nRequirements:\n", "Docker is a plus.\n", "Java, Docker or Terraform would be appreciated.\n", "Ưu tiên: Docker; Terraform\n\n")
+JOB_ASIDES = ("Hadoop is not required, Snowflake is.\n", "Our team uses Hadoop, but you will work in Rust.\n", "We offer:\n- AWS vouchers\nRequirements:\n", "About us: a Snowflake shop.\n\n", "Selenium, Go and Git.\n")
+JOB_DEGREES = ("- Bachelor's degree\n", "- MSc or BSc\n", "- currently pursuing a PhD\n")
+
+
+def _jobs(spark, sf_dir):
+    """A posting for each customer, put together from parts in two orders."""
     n = F.col("c_custkey")
-    text = F.concat(F.lit("Backend Developer\nRequirements:\n- Python, Go and "), F.element_at(F.array(*map(F.lit, ["Redis", "Kafka", "MySQL"])), (n % 3 + 1).cast("int")), F.lit("\n- "), (n % 9 + 1).cast("string"), F.lit("+ years of experience\nNice to have:\n- Docker"))
-    read = reading.read(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
-    names = read["requirements"].groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(":"), "name"))), "|").alias("skills"))
-    return names.join(read["years"], "c_custkey").join(read["categories"].select("c_custkey", "category"), "c_custkey")
+    of = lambda parts, k: F.element_at(F.array(*map(F.lit, parts)), (n % k + 1).cast("int"))
+    needs = F.concat(F.lit("Requirements:\n- Python and "), of(JOB_TOOLS, 3), F.lit("\n- "), (n % 9 + 1).cast("string"), F.lit("+ years of experience\n"), F.element_at(F.array(*map(F.lit, JOB_DEGREES)), ((n / 2).cast("int") % 3 + 1).cast("int")))
+    rest = F.concat(of(JOB_EXTRAS, 4), of(JOB_ASIDES, 5))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(of(JOB_TITLES, 3), F.lit("\n"), F.when(n % 2 == 0, F.concat(needs, rest)).otherwise(F.concat(rest, needs))).alias("text"))
+
+
+def job_reading(spark, sf_dir):
+    """Requirements in order, years, category, level and degree of each posting."""
+    read = reading.read(_jobs(spark, sf_dir), "c_custkey", "text")
+    listed = lambda kind: strings(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "name")))), lambda s: s["name"])).alias(kind)
+    names = read["requirements"].groupBy("c_custkey").agg(listed("required"), listed("preferred"))
+    told = read["attributes"].select("c_custkey", "level", "education")
+    return names.join(read["years"], "c_custkey").join(read["categories"], "c_custkey").join(told, "c_custkey")
+
+
+def _weighted_words(spark, sf_dir) -> DataFrame:
+    """The benchmark's long words as keywords of five categories, with weights of a quarter up to one."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("alias")).filter("length(alias) > 7").distinct()
+    return words.select("alias", F.concat(F.lit("C"), tx.hash_bucket(F.col("alias"), 5)).alias("category"), ((tx.hash_bucket(F.concat("alias", F.lit("w")), 4) + 1) / 4).alias("weight"))
+
+
+def category_votes(spark, sf_dir):
+    """Each document's first and secondary category by weighted keywords in its first line and below it."""
+    parts = reading.clauses(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    none = parts.select("doc_id", F.lit("").alias("name"), F.lit("tool").alias("kind"), F.lit(None).cast("string").alias("category")).limit(0)
+    return reading.categories(parts, none, "doc_id", _weighted_words(spark, sf_dir))
 
 
 def alert_states(spark, sf_dir):

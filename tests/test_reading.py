@@ -1,5 +1,6 @@
 """What the text reader makes of sentences: token boundaries, contexts, ranges, headings, negation and degrees."""
 
+import random
 import time
 from collections import defaultdict
 
@@ -127,12 +128,60 @@ def test_what_is_required_isnt_preferred_too(spark):
     assert requirements(spark, "Analyst\nSQL, Python\nNice to have: Python, dbt") == (["SQL", "Python"], ["dbt"])
 
 
+#: Blocks of a posting, with what they require and prefer.
+BLOCKS = [
+    ("Requirements:\n- Kotlin and Git\n- Redis\n", ["Kotlin", "Git", "Redis"], []), ("Must have: Rust; Kafka. We like tea.\n\n", ["Rust", "Kafka"], []), ("- MySQL (required)\n", ["MySQL"], []),
+    ("Nice to have\n- Docker\n- Terraform\nRequirements\n- CSS\n", ["CSS"], ["Docker", "Terraform"]), ("Nice: Docker; Terraform. HTML is needed.\n\n- Vue\n", ["HTML", "Vue"], ["Docker", "Terraform"]),
+    ("Selenium is a plus.\n", [], ["Selenium"]), ("Java, Selenium or Postman would be appreciated.\n", ["Java"], ["Selenium", "Postman"]), ("MongoDB (Selenium, Postman) is a plus.\n", ["MongoDB"], ["Selenium", "Postman"]),
+    ("Airflow, ideally Jira.\n", ["Airflow"], ["Jira"]), ("Hadoop is not required, Snowflake is.\n", ["Snowflake"], []), ("Hadoop is not required but a plus.\n", [], ["Hadoop"]), ("No need for Hadoop or Jira, but FastAPI.\n", ["FastAPI"], []),
+    ("Our team uses Spring Boot and Kubernetes, but you will work in TypeScript.\n", ["TypeScript"], []), ("We use Kubernetes daily.\n", [], []), ("About us: a Kubernetes shop.\n\n", [], []), ("We offer:\n- AWS vouchers\nRequirements:\n", [], []),
+    ("Ưu tiên: Docker; Terraform\n\n", [], ["Docker", "Terraform"]), ("Không yêu cầu Selenium nhưng cần dbt.\n", ["dbt"], []), ("Selenium là lợi thế.\n", [], ["Selenium"]), ("Quyền lợi:\n- Jira\nYêu cầu:\n- PostgreSQL\n", ["PostgreSQL"], []),
+]
+
+
+def test_blocks_of_postings_in_any_order(spark):
+    """Postings put together from blocks: what each requires and prefers is known, whatever stands around it."""
+    rng = random.Random(17)
+    texts, want = [], []
+    for n in range(len(BLOCKS) + 60):
+        chosen = [BLOCKS[n]] if n < len(BLOCKS) else rng.sample(BLOCKS, rng.randint(2, 6))
+        required = list(dict.fromkeys(x for _, r, _ in chosen for x in r))
+        preferred = [x for x in dict.fromkeys(x for _, _, p in chosen for x in p) if x not in required]
+        texts.append("Developer\n" + "".join(t + ("\nRequirements:\n" if i + 1 < len(chosen) else "") for i, (t, _, _) in enumerate(chosen)))
+        want.append((required, preferred))
+    got = defaultdict(lambda: ([], []))
+    for r in reading.read(frame(spark, texts), "id", "text")["requirements"].orderBy("id", "kind", "rank").collect():
+        got[r.id][r.kind == "preferred"].append(r.name)
+    for i, text in enumerate(texts):
+        assert got[i] == want[i], text
+
+
+def test_concepts_of_a_title_describe_the_role(spark):
+    assert requirements(spark, "Machine Learning Developer\nPython") == (["Python"], [])
+    assert requirements(spark, "Machine Learning Developer\nPython, machine learning") == (["Machine Learning", "Python"], [])
+    assert requirements(spark, "Python Developer\nGit") == (["Python", "Git"], []) and requirements(spark, "Machine Learning and Python") == (["Machine Learning", "Python"], [])
+
+
+def test_votes_have_weights_margins_and_a_second(spark):
+    weights = spark.createDataFrame([("alpha", "A", 2.0), ("beta", "B", 2.0), ("gamma", "C", 0.5), ("both", "A", 1.0), ("both", "B", 1.0)], "alias string, category string, weight double")
+    words = spark.createDataFrame([("saw", "Saw", "tool", "A|B"), ("axe", "Axe", "tool", "B")], "alias string, name string, kind string, category string")
+    texts = [
+        "Alpha", "title\nalpha alpha", "gamma", "Alpha\nbeta", "alpha beta", "Alpha\nbeta beta axe, saw", "x\naxe alpha", "Both", "both\naxe", "x\nsaw", "alpha\nsaw axe", "none",
+    ]
+    # A 2 | A 1 | C .5 is too little | A 2, B 1 | A 2, B 2, titles alike | A 2.5, B 2.5, the title prefers A | B 1, A 1 no title | tie | title tie, B leads by 2/1 | .5 | A 2.5, B 1.5
+    want = [("A", None), ("A", None), (None, None), ("A", "B"), (None, None), ("A", "B"), (None, None), (None, None), ("B", "A"), (None, None), ("A", "B"), (None, None)]
+    parts = reading.clauses(frame(spark, texts), "id", "text")
+    found = mentions.mentions(parts, words, "id", reading.SKILLS)
+    got = {r.id: (None if r.category == "UNCLASSIFIED" else r.category, r.secondary) for r in reading.categories(parts, found, "id", weights).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_levels_degrees_and_languages(spark):
     texts = ["Junior Tester\nBachelor of Arts, English and Vietnamese. CEH", "Thực tập\nThạc sĩ. TOEIC 800", "PhD (incomplete). Master's degree", "BSc. currently pursuing an MSc", ""]
     got = {r.id: r for r in reading.read(frame(spark, texts), "id", "text")["attributes"].collect()}
     assert (got[0].level, got[0].education, got[0].languages, got[0].certifications) == ("Junior", "Bachelor", "English|Vietnamese", "CEH")
     assert (got[1].level, got[1].education, got[1].languages) == ("Intern", "Master", "English")
-    assert got[2].education == "Master" and got[3].education == "Bachelor" and 4 not in got
+    assert got[2].education == "Master" and got[3].education == "Bachelor" and got[4].education is None
 
 
 CV = """Lan Pham
