@@ -409,6 +409,36 @@ ORACLE_SQL = {
         p as (select *, coalesce(lag(broken) over (partition by owner order by "at"), false) as was from s),
         f as (select *, sum(broken::int) over w as n, max(case when broken and not was then "at" end) over w as opened, max(case when was and not broken then "at" end) over w as closed from p window w as (partition by owner order by "at"))
         select owner, 'errors' as signal, "at", case when broken then 'OPEN' else 'RESOLVED' end as status, n::bigint as occurrences, opened as opened_at, case when not broken then closed end as resolved_at from f where n > 0""",
+    "controlled_alerts": """
+        with e as (
+            select user_id::varchar as owner, 's' || (event_id % 2) as signal, ts as "at", case event_type when 'error' then 'BREACH' when 'purchase' then 'RECOVER' when 'view' then 'ACKNOWLEDGE' when 'signup' then 'RESOLVE' end as event,
+                   list_position(['BREACH', 'RECOVER', 'RESOLVE', 'ACKNOWLEDGE'], event) as r, sum((event = 'BREACH')::int) over (partition by owner, signal order by "at", r rows unbounded preceding) as occurrences from events where event_type <> 'click'),
+        o as (select *, row_number() over (partition by owner, signal order by "at", r) as nth from e where occurrences > 0),
+        w as (select *, coalesce((select p.event = 'BREACH' from o p where p.owner = o.owner and p.signal = o.signal and p.nth < o.nth and p.event <> 'ACKNOWLEDGE' order by p.nth desc limit 1), false) as was from o),
+        x as (select *, case when event = 'ACKNOWLEDGE' then was else event = 'BREACH' end as open,
+                     max(case when event = 'BREACH' and not was then nth end) over u as opened, max(case when event = 'RESOLVE' or event = 'RECOVER' and was then nth end) over u as closed, max(case when event = 'ACKNOWLEDGE' and was then nth end) over u as acked
+              from w window u as (partition by owner, signal order by nth rows unbounded preceding)),
+        t as (select owner, signal, nth, "at" from o)
+        select x.owner, x.signal, x."at", event, case when not open then 'RESOLVED' when event = 'ACKNOWLEDGE' then 'ACKNOWLEDGED' else 'OPEN' end as status, occurrences::bigint as occurrences, a."at" as opened_at,
+               b."at" as acknowledged_at, c."at" as resolved_at, event <> 'ACKNOWLEDGE' or was as accepted
+        from x left join t a on a.owner = x.owner and a.signal = x.signal and a.nth = opened left join t b on b.owner = x.owner and b.signal = x.signal and b.nth = acked and acked > opened
+        left join t c on c.owner = x.owner and c.signal = x.signal and c.nth = closed and not open""",
+    "passed_deadlines": f"""
+        with e as (select user_id::varchar as entity, ts as "at", case when event_type <> 'purchase' then ts + to_hours((event_id % 72)::int) end as deadline from events where event_type in ('signup', 'view', 'purchase')),
+        n as (select *, lead("at") over (partition by entity order by "at", deadline is not null, deadline) as following from e)
+        select entity, deadline from n where deadline < timestamp '{NOW}' and (following is null or following > deadline)""",
+    "platt_fit": """
+        with recursive g as (
+            select doc_id % 3 as owner, ((doc_id * 7 + quality * 400) % 1000 / 10) / 100 as x, (quality * 2 + 1 - toxic >= 2)::int as y, count(*)::double as w from labels where quality is not null and toxic is not null group by 1, 2, 3),
+        c as (select owner, sum(w) as n, sum(w * y) as p from g group by 1 having n >= 30 and p > 0 and p < n),
+        f(owner, i, n, a, b) as (
+            select owner, 0, n, 1.0::double, ln((p + 1) / (n - p + 1)) from c
+            union all
+            select f.owner, i + 1, n, a - 0.1 * (sum(w * (1 / (1 + exp(-(a * x + b))) - y) * x) / n + 0.01 * a), b - 0.1 * sum(w * (1 / (1 + exp(-(a * x + b))) - y)) / n
+            from f join g on g.owner = f.owner where i < 2000 group by f.owner, i, n, a, b)
+        select f.owner, n::bigint as n, round(a, 6) as slope, round(b, 6) as intercept, round(sum(w * (1 / (1 + exp(-(a * x + b))) - y) ** 2) / n, 6) as brier,
+               round(-sum(w * ln(case y when 1 then 1 / (1 + exp(-(a * x + b))) else 1 - 1 / (1 + exp(-(a * x + b))) end)) / n, 6) as log_loss
+        from f join g on g.owner = f.owner where i = 2000 group by f.owner, n, a, b""",
     "outbox_states": """
         with a as (select user_id % 60 as event, event_id, timestamp '2024-01-01' + to_seconds(event_id) as "at", event_type as t, row_number() over (partition by user_id % 60 order by event_id) as attempt from events),
         s as (select *, case t when 'purchase' then 'COMPLETED' when 'signup' then 'BLOCKED' else case when attempt >= 5 then 'FAILED' else 'PENDING' end end as status from a)

@@ -11,7 +11,7 @@ from ..operators import calendar, entities, filters, reading, reports, scoring,
 from ..operators import postings as index
 from ..sources import documents as files
 from ..sources.scratch import scratch_path
-from ..streaming import stateful
+from ..streaming import stateful, timers
 
 #: The pinned clock of all queries, and parameters that the SQL shares.
 NOW = "2024-01-20 12:00:00"
@@ -509,7 +509,7 @@ def regression_gate(spark, sf_dir):
 
 def platt_fit(spark, sf_dir):
     pairs = table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("owner"), ((F.col("doc_id") * 7 + F.col("quality") * 400) % 1000 / 10).alias("score"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
-    return scoring.fit_platt(pairs, "owner", "score", "relevance")
+    return scoring.fit_platt(pairs, "owner", "score", "relevance").select("owner", "n", *(r6(c).alias(c) for c in ("slope", "intercept", "brier", "log_loss")))
 
 
 def rule_screening(spark, sf_dir):
@@ -640,6 +640,21 @@ def alert_states(spark, sf_dir):
     return stateful.alert_log(sweeps)
 
 
+def controlled_alerts(spark, sf_dir):
+    """Users' events as an alert's: errors breach, purchases are recoveries, and people acknowledge and resolve."""
+    events = {"error": "BREACH", "purchase": "RECOVER", "view": "ACKNOWLEDGE", "signup": "RESOLVE"}
+    named = F.create_map(*(F.lit(x) for pair in events.items() for x in pair))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner"), F.concat(F.lit("s"), F.col("event_id") % 2).alias("signal"), F.col("ts").alias("at"), F.element_at(named, F.col("event_type")).alias("event"))
+    return timers.controlled_alerts(log)
+
+
+def passed_deadlines(spark, sf_dir):
+    """What a user signs up for or looks at runs out after hours, unless a purchase ends it or the next one moves it."""
+    set_ = F.when(F.col("event_type").isin("signup", "view"), F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 72).cast("int")))
+    log = table(spark, sf_dir, "events").filter("event_type in ('signup', 'view', 'purchase')").select(F.col("user_id").cast("string").alias("entity"), F.col("ts").alias("at"), set_.alias("deadline"))
+    return timers.passed_deadlines(log, now())
+
+
 def outbox_states(spark, sf_dir):
     attempts = table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("event"), "event_id", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("event_id"))).alias("at"), F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "signup", "blocked").otherwise("error").alias("outcome"))
     return stateful.outbox_log(attempts).select("event", "event_id", F.col("attempt").cast("long").alias("attempt"), "status", "available_at")
