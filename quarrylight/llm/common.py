@@ -73,3 +73,28 @@ def drop_written(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Words of 64 bits that tell which ids a table may hold: some 30 MB, however long the table.
+FILTER_WORDS = 1 << 20
+
+
+def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`rows` with "_maybe", whether `key` may be in `ids`: looked up in a broadcast bitmap of FILTER_WORDS at the most."""
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    words = ids.select(place().alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(bit(F.col("_p"))).alias("_bits"))
+    met = rows.withColumn("_p", place()).join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_word"), "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_p"))) != 0, F.lit(False))).drop("_p", "_word", "_bits")
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is in `ids` (one column of that name). Rows are shuffled only where a bitmap of fixed size
+    says that they may be among them."""
+    return _flagged(rows, ids, key).filter("_maybe").drop("_maybe").join(ids.select(key), key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is not in `ids`, shuffled as by among(). No key is null."""
+    flagged = _flagged(rows, ids, key)
+    return flagged.filter("not _maybe").drop("_maybe").unionByName(flagged.filter("_maybe").drop("_maybe").join(ids.select(key), key, "left_anti"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop_written, held, released, written
+from .common import among, drop_written, held, released, without, written
 from .components import connected_components
 from .simhash import fingerprint_of, links, shingle_hashes
 
@@ -23,8 +23,9 @@ SHINGLE, LEAST = 5, 0.8
 #: counts as common doesn't change with the table's size. And the most shingles in the order, 16 bytes each. The order
 #: only makes buckets small: whatever it is, two texts of similarity LEAST share a shingle of their prefixes.
 SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 20
-#: Rounds that compare each text with one other that it meets, before all pairs of what is still apart.
-STARS = 2
+#: Rounds that compare each text with one other that it meets: first with the one of most shared keys, then with any.
+#: All pairs of what is still apart come after them.
+STARS, DRAWS = 2, 3
 #: Pairs of one text that are compared in one task, and texts whose sets a worker hands on at once.
 FAN, SLICE = 64, 512
 
@@ -117,7 +118,8 @@ def _fit(least: float) -> Column:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs whose sizes and bitmaps allow similarity `least`."""
-    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    met = among(nodes.select("node", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    x, y = (met.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     return pairs.join(x, "a").join(y, "b").filter(_fit(least)).select("a", "b")
 
 
@@ -127,7 +129,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     Only texts of pairs that are possible at all are read and cut into shingles. The set of a text in many pairs is
     dealt to many tasks.
     """
-    pairs = written(_possible(pairs, nodes, least), "pairs")
+    met = written(pairs, "met")
+    pairs = written(_possible(met, nodes, least), "pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     sets = written(sets_of(asked), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
@@ -137,7 +140,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     common = F.size(F.array_intersect("x", "y"))
     near = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total")).filter(F.col("common") >= least * (F.col("total") - F.col("common")) - 1e-9)
     out = written(near.select("a", "b"), "links")
-    for used in (pairs, asked, sets):
+    for used in (met, pairs, asked, sets):
         drop_written(used)
     return out
 
@@ -159,11 +162,13 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star(live: DataFrame, number: int) -> DataFrame:
-    """A pair for each text that is apart from one that it meets: the one with the most keys that others have, too.
+    """A pair for each text that is apart from one that it meets: the one with the most keys that others have, too, and
+    after STARS rounds any one, by hash.
 
-    Of a text and its edited copies that is the text itself, as an edit's shingles are its own. Ties go by hash.
+    Of a text and its edited copies the first is the text itself, as an edit's shingles are its own. Ties go by hash.
+    Any one joins groups of which many are similar to many: one of these comparisons is enough for all.
     """
-    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer"))
+    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer") if number < STARS else F.lit(0).alias("fewer"))
     order = F.struct("fewer", F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
     pivots = live.join(keys, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
     met = live.join(pivots, "key").filter("root <> p.root").groupBy("node").agg(F.min("p").alias("p"))
@@ -172,7 +177,7 @@ def _star(live: DataFrame, number: int) -> DataFrame:
 
 def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket's members that are still apart and whose sizes and bitmaps can be similar."""
-    told = live.join(nodes.select("node", "n", "bits"), "node")
+    told = live.join(among(nodes.select("node", "n", "bits"), live.select("node"), "node"), "node")
     x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root"))) for c in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least)).select("a", "b").distinct()
@@ -186,11 +191,13 @@ def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of:
     """
     edges = written(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "edges") if edges is None else edges
     roots = connected_components(edges, "a", "b")
-    for number in range(STARS + 1):
+    for number in range(STARS + DRAWS + 1):
         left = written(_apart(live, roots), "buckets")
         drop_written(live)
         live = left
-        found = _verified(_star(live, number) if number < STARS else _all_apart(live, nodes, least), nodes, sets_of, least)
+        if live.isEmpty():
+            break
+        found = _verified(_star(live, number) if number < STARS + DRAWS else _all_apart(live, nodes, least), nodes, sets_of, least)
         both = written(edges.unionByName(found), "edges")
         drop_written(edges)
         edges = both
@@ -203,7 +210,7 @@ def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, l
     shingle of their prefixes."""
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        texts = rows.select(F.col("row").alias("node"), text.alias("text")).join(asked, "node", "left_semi")
+        texts = among(rows.select(F.col("row").alias("node"), text.alias("text")), asked, "node")
         return by_slices(texts, "set array<long>", lambda values: [longs([shingle_set(t, shingle) for t in values])])
 
     edges = _verified(_by_fingerprint(nodes), nodes, sets_of, least)
@@ -230,8 +237,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = written(rows.groupBy("n", "digest").agg(F.min(ordered).alias("first")).select("first"), "sets")
     copies = written(rows.select("row").join(sets.select("first.row"), "row", "left_anti"), "copies")  # few, or as long as the table
-    nodes = rows.select(F.col("row").alias("node"), "n", "fingerprint", "prefix", "bits", ordered.alias("first")).join(copies.withColumnRenamed("row", "node"), "node", "left_anti")
+    nodes = without(rows.select(F.col("row").alias("node"), "n", "fingerprint", "prefix", "bits"), copies.withColumnRenamed("row", "node"), "node")
     roots = _components(nodes, bare, value, shingle, least)
     of = sets.join(roots, F.col("first.row") == F.col("node"), "left").groupBy(F.coalesce("root", "first.row").alias("root")).agg(F.min("first").alias("first"))
     gone = written(bare.select("row").join(of.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
-    return released(bare.join(gone, "row", "left_anti"))
+    return released(without(bare, gone, "row"))

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylight.llm import chat, decontam, mcd, packing, pii, queries, sharding, similar, simhash, urls, warc
+from quarrylight.llm import chat, common, decontam, mcd, packing, pii, queries, sharding, similar, simhash, urls, warc
 from quarrylight.llm.components import connected_components
 
 from .test_text_operators import base, came_through, plain_components, plain_fingerprint, plain_mcd, with_clashes
@@ -433,15 +433,29 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     four_bits = {r.component_id for r in simhash.near_duplicates(frame).collect()}
     assert len(four_bits) > len(want)  # four bits of four-word fingerprints alone leave linked texts apart
     similar.SAMPLE, kept = 0, similar.SAMPLE  # whatever the order of shingles, and with fewer stars
-    similar.STARS, stars = 0, similar.STARS
+    rounds = similar.STARS, similar.DRAWS
+    similar.STARS, similar.DRAWS = 0, 0
     try:
         assert sorted(r.doc_id for r in similar.deduplicated(frame).collect()) == want
     finally:
-        similar.SAMPLE, similar.STARS = kept, stars
+        similar.SAMPLE, (similar.STARS, similar.DRAWS) = kept, rounds
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (None, "k l m n o p"), (None, "k l m n o p"), (None, "u v w x y z")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in similar.deduplicated(twice).collect()) == [("1", "a b c d e f"), ("1", "u v w x y z"), ("None", "k l m n o p")]
 
 
+def test_rows_among_and_without_ids(spark):
+    rows = spark.range(2000).select((F.col("id") * 1_000_003 - 7).alias("k"), F.col("id").alias("_word"), F.lit("x").alias("_kept"))
+    for words in (common.FILTER_WORDS, 2):  # with a bitmap that tells nothing any more, too
+        common.FILTER_WORDS, kept = words, common.FILTER_WORDS
+        try:
+            for ids in (rows.filter("_word % 3 = 0").select("k"), rows.filter("_word = 5").select("k").unionByName(spark.range(3).select(F.col("id").alias("k"))), rows.limit(0).select("k")):
+                inside = {r.k for r in ids.collect()}
+                assert sorted(r.k for r in common.among(rows.drop("_word"), ids, "k").collect()) == sorted(k for k in inside if (k + 7) % 1_000_003 == 0 and 0 <= (k + 7) // 1_000_003 < 2000)
+                assert sorted(r.k for r in common.without(rows.drop("_word"), ids, "k").collect()) == sorted({r.k for r in rows.collect()} - inside)
+        finally:
+            common.FILTER_WORDS = kept
+
+
 def test_bitmaps_and_prefixes():
     rng = np.random.default_rng(31)
     for n in (1, 5, 40, 700, 5000):
