@@ -142,13 +142,13 @@ def alert_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def passed_deadlines(events: DataFrame, now: Column) -> DataFrame:
     """(entity, deadline) of every deadline that passed before `now` while it stood, from a log (entity, at, deadline).
 
-    An event with a deadline sets it, in place of an earlier one; one without takes it away. What comes at the very
-    time of the deadline is in time; of events of one time those that set one come last, the later deadline behind.
+    An event with a deadline sets it, not before its own time, in place of an earlier one; one without takes it away.
+    What comes at the very time of the deadline is in time; of events of one time those that set one come last, the
+    later deadline behind.
     """
     over = Window.partitionBy("entity").orderBy("at", F.col("deadline").isNotNull(), "deadline")
-    rows = events.withColumn("_next", F.lead("at").over(over))
-    stood = (F.col("_next").isNull() | (F.col("_next") > F.col("deadline"))) & (F.col("deadline") < now)
-    return rows.filter(F.col("deadline").isNotNull() & stood).select("entity", F.greatest("deadline", "at").alias("deadline"))
+    rows = events.withColumn("_next", F.lead("at").over(over)).withColumn("deadline", F.when(F.col("deadline").isNotNull(), F.greatest("deadline", "at")))
+    return rows.filter((F.col("deadline") < now) & (F.col("_next").isNull() | (F.col("_next") > F.col("deadline")))).select("entity", "deadline")
 
 
 class Deadlines(_InOrder):
