@@ -427,6 +427,36 @@ ORACLE_SQL = {
         with e as (select user_id::varchar as entity, ts as "at", case when event_type <> 'purchase' then ts + to_hours((event_id % 72)::int) end as deadline from events where event_type in ('signup', 'view', 'purchase')),
         n as (select *, lead("at") over (partition by entity order by "at", deadline is not null, deadline) as following from e)
         select entity, deadline from n where deadline < timestamp '{NOW}' and (following is null or following > deadline)""",
+    "search_documents": r"""
+        with w as (select *, string_split(p_name, ' ') as words from part),
+        s as (
+            select p_partkey, words[1] as who, p_brand as brand, p_name as name, [
+                ['specialization', p_brand], ['roles', p_type], ['level', 'level ' || (p_size % 5)], ['canonical skills', array_to_string(list_filter(string_split(p_type, ' '), lambda x, i: not list_contains(list_transform(string_split(p_type, ' ')[:i - 1], lambda y: lower(y)), lower(x))), '; ')],
+                ['certifications', case when p_partkey % 2 = 0 then 'CEH' else '' end], ['experience years', p_size::varchar], ['industries', array_to_string(list_filter(words, lambda x, i: not list_contains(words[:i - 1], x)), '; ')],
+                ['responsibilities', 'mail about ' || p_name], ['projects', 'P' || p_partkey], ['impact', 'call for ' || p_brand], ['education', 'BSc; ' || p_name], ['professional summary', p_name || ' "' || p_brand || '"']] as lines
+            from w),
+        r as (select p_partkey, list_transform(lines, lambda x: [x[1], trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(x[2], '; '), lambda v: trim(regexp_replace(regexp_replace(v, who, ' ', 'gi'), '\s+', ' ', 'g'))), lambda v: v <> ''), '; '), ' +', ' ', 'g'))]) as lines from s),
+        t as (select p_partkey, array_to_string(list_transform(list_filter(lines, lambda x: x[2] <> ''), lambda x: x[1] || ': ' || x[2]), chr(10)) as text from r)
+        select p_partkey, md5(text) as text, sha256('{"template": "search-document-v1", "text": "' || replace(replace(text, '"', '\"'), chr(10), '\n') || '"}') as content_hash from t""",
+    "eval_judgments": """
+        with d as (select 'v' || (doc_id // 50) as s, case when doc_id % 23 > 0 then 'd' || (doc_id % 1000 - case when doc_id % 29 = 0 then 1 else 0 end) end as id, doc_id % 31 > 0 as texted from documents),
+        k as (select distinct s, id from d where id is not null and texted),
+        j as (select 'v' || (doc_id // 50) as s, 'd' || (doc_id % 1000) as document, quality * 2 + 1 - toxic + case when doc_id % 13 = 0 then 5 else 0 end as grade from labels)
+        select s as dataset, 'q' as query, document, grade::int as grade from j join k using (s) where id = document and grade between 0 and 3 and s <> 'v3'""",
+    "eval_rejections": """
+        with d as (select 'v' || (doc_id // 50) as s, doc_id, case when doc_id % 23 > 0 then 'd' || (doc_id % 1000 - case when doc_id % 29 = 0 then 1 else 0 end) end as id, doc_id % 31 > 0 as texted from documents),
+        c as (select s, id, case when id is null then 'no id' when not texted then 'no text' when row_number() over (partition by s, id, texted order by doc_id) > 1 then 'id used before' end as reason from d),
+        k as (select distinct s, id from d where id is not null and texted),
+        j as (select 'v' || (doc_id // 50) as s, 'd' || (doc_id % 1000) as document, quality * 2 + 1 - toxic + case when doc_id % 13 = 0 then 5 else 0 end as grade from labels),
+        g as (select j.s, 'q/' || document as item, case when grade is null or grade not between 0 and 3 then 'grade' when k.id is null then 'unknown document' end as reason from j left join k on j.s = k.s and k.id = document),
+        v as (select distinct s from d),
+        a as (
+            select s as dataset, 'document' as part, id as item, reason from c where s <> 'v3' union all select s, 'judgment', item, reason from g where s <> 'v3'
+            union all select s, 'query', null, 'no id' from v where s <> 'v3' union all select s, 'query', 'q', 'id used before' from v where s <> 'v3'
+            union all select null, 'set', null, 'no version' from v where s = 'v3' union all select null, 'set', null, 'not a set')
+        select dataset, part, item, reason, count(*) as n from a where reason is not null group by all""",
+    "stored_objects": """
+        select 't' || (page_id % 7) || '/' || page_id || '/original.' || ['html', 'txt'][page_id % 3 + 1] as path, strlen(coalesce(html, ''))::bigint as length, sha256(coalesce(html, '')) as sha256 from pages where page_id % 3 < 2""",
     "platt_fit": """
         with recursive g as (
             select doc_id % 3 as owner, ((doc_id * 7 + quality * 400) % 1000 / 10) / 100 as x, (quality * 2 + 1 - toxic >= 2)::int as y, count(*)::double as w from labels where quality is not null and toxic is not null group by 1, 2, 3),

@@ -10,6 +10,7 @@ from ..functions import vector as vec
 from ..operators import calendar, entities, filters, reading, reports, scoring, search, telemetry
 from ..operators import postings as index
 from ..sources import documents as files
+from ..sources import evalsets, objects
 from ..sources.scratch import scratch_path
 from ..streaming import stateful, timers
 
@@ -581,6 +582,52 @@ def section_chunks(spark, sf_dir):
     return files.section_chunks(docs, "l_orderkey", "text", 100).select("l_orderkey", "section", F.col("ordinal").cast("long").alias("ordinal"), "chunk")
 
 
+def search_documents(spark, sf_dir):
+    """Parts as people: search documents of all twelve sections without their first names, and the digests."""
+    name, words, none = F.col("p_name"), F.split("p_name", " "), F.lit(None).cast("string")
+    sections = {
+        "specialization": F.array("p_brand"), "roles": F.array("p_type", F.lower("p_type"), none), "level": F.array(F.concat(F.lit("level "), F.col("p_size") % 5)), "canonical skills": F.split("p_type", " "),
+        "certifications": F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("CEH"))).otherwise(F.array().cast("array<string>")), "experience years": F.array(F.col("p_size").cast("string")), "industries": words,
+        "responsibilities": F.array(F.concat(F.lit("mail me@example.org about "), name)), "projects": F.array(F.concat(F.lit("P"), "p_partkey"), F.lit(" ")), "impact": F.array(F.concat(F.lit("call +84 912 345 678 for "), F.col("p_brand"))),
+        "education": F.array(F.concat(F.lit("BSc; "), name)), "professional summary": F.array(F.concat(name, F.lit(' "'), "p_brand", F.lit('"'))),
+    }
+    out = files.searchable(table(spark, sf_dir, "part"), "p_partkey", sections, F.array(words[0]))
+    return out.select("p_partkey", F.md5("text").alias("text"), "content_hash")
+
+
+def _evaluation(spark, sf_dir):
+    """Sets of fifty documents each, written as JSON with some flaws, and read back."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("v"), (F.col("doc_id") / 50).cast("long")).alias("s"), F.when(F.col("doc_id") % 23 > 0, F.concat(F.lit("d"), F.col("doc_id") % 1000 - F.when(F.col("doc_id") % 29 == 0, 1).otherwise(0))).alias("id"), F.when(F.col("doc_id") % 31 > 0, "lang").alias("document"), "doc_id")
+    corpus = docs.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("doc_id", "id", "document"))).alias("c"))
+    told = table(spark, sf_dir, "labels").select(F.concat(F.lit("v"), (F.col("doc_id") / 50).cast("long")).alias("s"), F.concat(F.lit("d"), F.col("doc_id") % 1000).alias("document"), (F.col("quality") * 2 + 1 - F.col("toxic") + F.when(F.col("doc_id") % 13 == 0, 5).otherwise(0)).alias("grade"))
+    graded = told.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("document", "grade")))).alias("relevance"))
+    rows = corpus.join(graded, "s", "left").select(F.to_json(F.struct(
+        F.when(F.col("s") != "v3", F.col("s")).alias("dataset_version"), F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["document"].alias("document"))).alias("corpus"),
+        F.array(F.struct(F.lit("q").alias("id"), F.lit("find").alias("text"), "relevance"), F.struct(F.lit(None).cast("string").alias("id"), F.lit("x").alias("text"), F.lit(None).cast("map<string,int>").alias("relevance")), F.struct(F.lit("q").alias("id"), F.lit("again").alias("text"), F.lit(None).cast("map<string,int>").alias("relevance"))).alias("queries"),
+    )).alias("value"))
+    path = scratch_path(spark, "sets")
+    rows.unionByName(spark.range(1).select(F.lit('{"dataset_version": ').alias("value"))).write.text(path)
+    return evalsets.evaluation_sets(evalsets.read_sets(spark, path, multiline=False))
+
+
+def eval_judgments(spark, sf_dir):
+    return _evaluation(spark, sf_dir)["judgments"]
+
+
+def eval_rejections(spark, sf_dir):
+    return _evaluation(spark, sf_dir)["rejected"].groupBy("dataset", "part", "item", "reason").agg(F.count("*").alias("n"))
+
+
+def stored_objects(spark, sf_dir):
+    """Pages as objects of tenants, read back: those of stored suffixes, under their tenant, once all are written."""
+    n = F.col("page_id")
+    name = F.concat(F.lit("page."), F.element_at(F.array(*map(F.lit, ("HTML", "txt", "exe"))), (n % 3 + 1).cast("int")))
+    rows = table(spark, sf_dir, "pages").select(objects.object_path(F.concat(F.lit("t"), n % 7), n, name).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    root = scratch_path(spark, "objects")
+    objects.write_objects(rows, root)
+    return files.read_files(spark, root).select(F.substring_index("path", "/", -3).alias("path"), F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+
+
 def _benchmark_words(spark, sf_dir) -> DataFrame:
     """A vocabulary of the benchmark's long words and of pairs of its longer ones."""
     words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import flat, normal_lines
+from ..functions.text import flat, normal_lines, redact_blank
 
 SUFFIXES = ("pdf", "docx", "txt")
 LEAST_CHARS = 20
@@ -176,6 +176,33 @@ def search_document(sections: dict[str, Column], redact: Callable[[Column], Colu
     return F.concat_ws("\n", *lines)
 
 
+#: Fixed version of the search document's form, part of what its digest covers.
+TEMPLATE = "search-document-v1"
+
+
+def document_digest(text: Column, template: str = TEMPLATE) -> Column:
+    """SHA-256 of the canonical JSON of a search document: keys in order, a blank behind colon and comma."""
+    escaped = F.substring(F.to_json(F.struct(text.alias("t"))), 6, 1 << 30)  # {"t":"..."} from its quote on
+    return F.sha2(F.concat(F.lit(f'{{"template": "{template}", "text": '), escaped), 256)
+
+
+def searchable(rows: DataFrame, key: str, sections: dict[str, Column], private: Column, template: str = TEMPLATE) -> DataFrame:
+    """(key, text, content_hash): search documents of all SECTIONS, and a digest that changes when the text does.
+
+    Each value loses e-mail addresses, phone numbers and the values in `private`; equal values of a section count
+    once, in order, without regard to case; nulls and blanks don't count.
+    """
+    def once(values: Column) -> Column:
+        clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+        return F.filter(clean, lambda v, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda w: F.lower(w) == F.lower(v)))
+
+    unknown = set(sections) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"no sections: {sorted(unknown)}")
+    text = search_document({k: once(v) for k, v in sections.items()}, lambda v: redact_blank(v, private))
+    return rows.select(key, text.alias("text")).withColumn("content_hash", document_digest(F.col("text"), template))
+
+
 class PagedListing(DataSource):
     """A remote listing read page by page: option "fetch" names module:function, "size" the rows of a page.
 
