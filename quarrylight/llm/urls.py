@@ -47,15 +47,17 @@ def verdicts(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, at, rule, verdict) for the distinct pairs of (host, at) that an entry is active for.
 
     Of the entries active at the time the one for the longest domain decides. Both sides meet on domain and month: an
-    interval lies in every month that it touches up to the last fetch, so a domain with a long history meets a
-    capture only in the capture's month. A host's captures of one time are one row here; should those of one domain
+    interval lies in every month that it touches from the first fetch to the last, so a domain with a long history
+    meets a capture only in the capture's month, and what was listed long before costs no more than what was listed
+    then. A host's captures of one time are one row here; should those of one domain
     and month still be skewed, Spark splits them in the join.
     """
     month = lambda t: F.year(t) * 12 + F.month(t)
     each = asked.distinct().select("host", "at", month("at").alias("month"), F.explode(domains(F.col("host"))).alias("domain"))
-    spans = intervals(entries).crossJoin(F.broadcast(asked.agg(F.max("at").alias("end")))).filter(F.col("since") <= F.col("end"))
-    months = F.sequence(month("since"), month(F.least("end", F.coalesce("until", "end"))))
-    active = spans.withColumn("month", F.explode(months)).drop("end")
+    fetched = F.broadcast(asked.agg(F.min("at").alias("begin"), F.max("at").alias("end")))  # one row
+    spans = intervals(entries).crossJoin(fetched).filter((F.col("since") <= F.col("end")) & (F.col("until").isNull() | (F.col("until") > F.col("begin"))))
+    months = F.sequence(month(F.greatest("since", "begin")), month(F.least("end", F.coalesce("until", "end"))))
+    active = spans.withColumn("month", F.explode(months)).drop("begin", "end")
     hits = each.join(active, ["domain", "month"]).filter((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     best = hits.groupBy("host", "at").agg(F.max_by(F.struct(F.col("domain").alias("rule"), F.col("action").alias("verdict")), F.length("domain")).alias("best"))
     return best.select("host", "at", "best.*")

@@ -189,6 +189,36 @@ def plain_host(url):
     return name if 0 < len(name) <= 253 else None
 
 
+def test_lists_as_old_as_the_calendar_cost_a_month(spark):
+    entries = spark.createDataFrame([("a.org", "block", date(1, 1, 1)), ("a.org", "allow", date(1999, 5, 5)), ("a.org", "block", date(2024, 3, 9)), ("b.org", "block", date(1, 1, 1)), ("c.org", "block", date(1, 1, 1)), ("c.org", "allow", date(2024, 3, 1))], "domain string, action string, listed date")
+    asked = spark.createDataFrame([(h, date(2024, 3, d)) for h in ("a.org", "b.org", "c.org") for d in (1, 8, 9, 30)], "host string, at date")
+    found = urls.verdicts(asked, entries)
+    assert {(r.host, r.at.day): r.verdict for r in found.collect()} == {("a.org", 1): "allow", ("a.org", 8): "allow", ("a.org", 9): "block", ("a.org", 30): "block", **{("b.org", d): "block" for d in (1, 8, 9, 30)}, **{("c.org", d): "allow" for d in (1, 8, 9, 30)}}
+    assert all(n <= 6 for n in rows_made(found, "Generate"))  # an interval meets this month only
+
+
+def rows_made(frame, kind):
+    """Output rows of the nodes of a kind in a plan that has run; explodes of hosts' domains are left out."""
+    frame.write.format("noop").mode("overwrite").save()
+    pattern = re.compile(r"explode\(sequence")
+    nodes, found = [frame._jdf.queryExecution().executedPlan()], []
+    frame._jdf.collect()
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage") or "QueryStage" in name:
+            nodes.append(node.plan())
+            continue
+        if name == kind and pattern.search(node.simpleString(1000)):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_odd_hosts_against_brute_force(spark):
     long = ".".join("a" * 20 for _ in range(12))  # 251 characters
     hosts = ["1.2.3.4", "4.3.4", "example.com.", "[2001:db8::1]:80", "[2001:DB8::1]", "u@[::1]", "a..b", "..", ".", "x.y.z.example.com", "1.2.3.4.", "é.example.com", long, f"b.{long}", ".".join("q" * 9000), "a." * 20 + "example.com"]
