@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -190,28 +193,50 @@ def in_given_order(rows: DataFrame, key: str, chosen: list) -> DataFrame:
     return rows.filter(F.col(key).isin(chosen)).withColumn("place", F.array_position(listed, F.col(key))).orderBy("place")
 
 
-def retrieval_metrics(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
-    """(query, precision, recall, rr, ndcg) at k from (query, doc, rank) and (query, doc, grade); relevant from grade 2.
+def ideal_gains(grades: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(query, relevant, ideal_K for each k): relevant documents, and the gain of the best order of all graded ones.
 
-    Precision divides by k. Recall is 1 for a query without relevant documents, nDCG where the ideal gain is 0. Every
-    query of either table has a row.
+    A query's grades are counted, so of any number of judgments a query is a row for each grade; the discounts of the
+    places that a grade takes are a difference of two partial sums.
+    """
+    sums = [0.0]
+    for place in range(1, max(ks) + 1):
+        sums.append(sums[-1] + 1 / math.log2(place + 1))
+    discount = lambda n, k: F.element_at(F.array(*map(F.lit, sums)), (F.least(n, F.lit(k)) + 1).cast("int"))
+    counts = grades.groupBy("query", "grade").agg(F.count("*").alias("n"))
+    placed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("grade"))))
+    ideal = lambda k: F.sum((F.pow(F.lit(2.0), "grade") - 1) * (discount(F.col("upto"), k) - discount(F.col("upto") - F.col("n"), k)))
+    return placed.groupBy("query").agg(F.coalesce(F.sum(F.when(F.col("grade") >= 2, F.col("n"))), F.lit(0)).alias("relevant"), *(ideal(k).alias(f"ideal_{k}") for k in ks))
+
+
+def metrics_at(ranked: DataFrame, grades: DataFrame, ks: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query, rr, and precision_at_K, recall_at_K, ndcg_at_K for each k) of several rankings in one pass.
+
+    `ranked` has `by`, query, doc and rank; relevant from grade 2. Precision divides by k. Recall is 1 for a query
+    without relevant documents, nDCG where the ideal gain is 0. Judged queries without a ranking have a row only where
+    there is nothing to tell rankings apart by.
     """
     judged = ranked.join(grades, ["query", "doc"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
-    gain = lambda grade, rank: (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
-    hit = (F.col("rank") <= k) & (F.col("grade") >= 2)
-    found = judged.groupBy("query").agg(
-        F.count_if(hit).alias("hits"), F.min(F.when(F.col("grade") >= 2, F.col("rank"))).alias("first"),
-        F.sum(F.when(F.col("rank") <= k, gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias("dcg"),
-    )
-    ideal = grades.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "doc")))
-    best = ideal.groupBy("query").agg(F.count_if(F.col("grade") >= 2).alias("relevant"), F.sum(F.when(F.col("place") <= k, gain(F.col("grade"), F.col("place"))).otherwise(0.0)).alias("ideal"))
-    both = found.join(best, "query", "full").na.fill(0, ["hits", "dcg", "relevant", "ideal"])
-    return both.select(
-        "query", (F.col("hits") / k).alias("precision"),
-        F.when(F.col("relevant") == 0, 1.0).otherwise(F.try_divide(F.col("hits"), F.col("relevant"))).alias("recall"),
-        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"),
-        F.when(F.col("ideal") == 0, 1.0).otherwise(F.try_divide(F.col("dcg"), F.col("ideal"))).alias("ndcg"),
-    )
+    gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rank") + 1.0)
+    hits = lambda k: F.count_if((F.col("rank") <= k) & (F.col("grade") >= 2)).alias(f"hits_{k}")
+    found = judged.groupBy(*by, "query").agg(F.min(F.when(F.col("grade") >= 2, F.col("rank"))).alias("first"), *map(hits, ks), *(F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg_{k}") for k in ks))
+    both = found.join(ideal_gains(grades, ks), "query", "left" if by else "full")
+    both = both.na.fill(0, [c for c in both.columns if c not in (*by, "query", "first")])
+    out = [*by, "query", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr")]
+    for k in ks:
+        n, ideal = F.col(f"hits_{k}"), F.col(f"ideal_{k}")
+        out += [
+            (n / k).alias(f"precision_at_{k}"), F.when(F.col("relevant") == 0, 1.0).otherwise(F.try_divide(n, F.col("relevant"))).alias(f"recall_at_{k}"),
+            F.when(ideal < 1e-12, 1.0).otherwise(F.try_divide(F.col(f"dcg_{k}"), ideal)).alias(f"ndcg_at_{k}"),
+        ]
+    return both.select(*out)
+
+
+def retrieval_metrics(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
+    """(query, precision, recall, rr, ndcg) at k from (query, doc, rank) and (query, doc, grade): see metrics_at(). Every
+    query of either table has a row."""
+    at = metrics_at(ranked, grades, (k,))
+    return at.select("query", F.col(f"precision_at_{k}").alias("precision"), F.col(f"recall_at_{k}").alias("recall"), "rr", F.col(f"ndcg_at_{k}").alias("ndcg"))
 
 
 def slice_means(rows: DataFrame, dimensions: list[str], measures: list[str]) -> DataFrame:
@@ -344,11 +369,10 @@ def evaluated_modes(matches: DataFrame, queries: DataFrame, grades: DataFrame, r
     if rerank is not None:
         mixed = ranked["hybrid"].join(rerank, ["query", "doc"], "left").withColumn("score", F.col("score") * 0.3 + 100 * F.coalesce("rerank", F.lit(0.0)) * 0.7)
         ranked["reranked"] = mixed.select("query", "doc", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rank")).alias("rank"), "score")
-    out = None
-    for mode, rows in ranked.items():
-        at = {k: retrieval_metrics(rows.select("query", "doc", "rank"), grades, k) for k in (5, 10, 20)}
-        one = queries.select("query").join(at[5].select("query", F.col("precision").alias("precision_at_5"), "rr"), "query", "left")
-        one = one.join(at[10].select("query", F.col("recall").alias("recall_at_10"), F.col("ndcg").alias("ndcg_at_10")), "query", "left").join(at[20].select("query", F.col("recall").alias("recall_at_20")), "query", "left")
-        one = one.na.fill(0.0, ["precision_at_5", "rr", "recall_at_10", "recall_at_20", "ndcg_at_10"]).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
+    all_modes = reduce(DataFrame.unionByName, (rows.select(F.lit(mode).alias("mode"), "query", "doc", "rank") for mode, rows in ranked.items()))
+    told = metrics_at(all_modes, grades, (5, 10, 20), ("mode",))
+    judged = metrics_at(all_modes.limit(0).drop("mode"), grades, (5, 10, 20))  # of queries that a mode has no documents for
+    wanted = queries.select("query", F.explode(F.array(*map(F.lit, ranked))).alias("mode"))
+    none = wanted.join(told.select("mode", "query"), ["mode", "query"], "left_anti").join(judged, "query", "left").na.fill(0.0)
+    out = told.join(queries.select("query"), "query", "left_semi").unionByName(none)
     return out.select("mode", "query", "precision_at_5", "recall_at_10", "recall_at_20", "rr", "ndcg_at_10")

@@ -188,15 +188,16 @@ def batch_counters(items: DataFrame, batch: str, status: str, statuses: list[str
     return items.groupBy(batch).agg(*(F.count_if(F.col(status) == s).alias(s.lower()) for s in statuses), F.count("*").alias("total"))
 
 
-def nearest_ranks(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
     """(keys, a column for each share): nearest-rank percentiles, the value at ceil(n * share), without holding a group.
 
-    A histogram of equal bins over all values finds the bin that holds the rank; only that bin's values, counted, are
-    put in order. Nulls don't count; keys without a value have no row.
+    A histogram finds the bin that holds the rank; only that bin's values, counted, are put in order. Each doubling of
+    a value's size has `bins` bins, whatever other values there are, so outliers make no bin wider. Nulls don't count;
+    keys without a value have no row.
     """
     known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = known.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    binned = known.crossJoin(F.broadcast(ends)).select(*keys, "_v", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))).otherwise(0).alias("_bin"))
+    size = (F.floor(F.greatest(F.lit(-1100.0), F.least(F.lit(1100.0), F.log2(F.abs("_v")))) * bins) + (1100 * bins + 1)).cast("long")  # above 0
+    binned = known.withColumn("_bin", F.when(F.col("_v") > 0, size).when(F.col("_v") < 0, -size).otherwise(F.lit(0).cast("long")))
     group = Window.partitionBy(*keys)
     upto = F.sum("_k").over(group.orderBy("_bin"))
     table = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_k")).withColumns({"_upto": upto, "_n": F.sum("_k").over(group)})

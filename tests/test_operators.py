@@ -228,6 +228,39 @@ def test_metrics(spark):
     assert (got["none"].recall, got["none"].ndcg) == (1.0, 1.0)
 
 
+def test_percentiles_beside_outliers(spark):
+    rng = random.Random(2)
+    values = [rng.uniform(-50, 50) for _ in range(4000)] + [1e15, -1e300, 0.0, 0.0, 1e-300, float("inf")]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0), ("b", None), ("c", None)], "k string, v double")
+    shares = {f"p{n}": n / 100 for n in (1, 25, 49, 50, 51, 75, 99, 100)}
+    got = {r.k: r for r in telemetry.nearest_ranks(rows, ["k"], "v", shares).collect()}
+    ordered = sorted(values)
+    assert [got["a"][name] for name in shares] == [ordered[math.ceil(len(ordered) * p) - 1] for p in shares.values()] and set(got) == {"a", "b"}
+    binned = telemetry.nearest_ranks(rows, ["k"], "v", {"p50": 0.5})
+    assert binned.collect() and got["b"].p1 == 3.0
+
+
+def test_metrics_of_several_rankings_in_one_pass(spark):
+    rng = random.Random(7)
+    grades = [(q, d, rng.randint(0, 3)) for q in range(6) for d in range(rng.randint(1, 40))] + [(9, 1, 0)]
+    ranked = [(m, q, d, r) for m in "xy" for q in range(5) for r, d in enumerate(rng.sample(range(60), 25), 1)]
+    table, judged = spark.createDataFrame(ranked, "mode string, query int, doc int, rank int"), spark.createDataFrame(grades, "query int, doc int, grade int")
+    got = {(r.mode, r.query): r for r in scoring.metrics_at(table, judged, (5, 20), ("mode",)).collect()}
+    assert set(got) == {(m, q) for m in "xy" for q in range(5)}
+    known = {(q, d): g for q, d, g in grades}
+    for (mode, query), r in got.items():
+        order = [known.get((query, d), 0) for m, q, d, _ in ranked if (m, q) == (mode, query)]
+        best = sorted((g for (q, _), g in known.items() if q == query), reverse=True)
+        for k in (5, 20):
+            hits, relevant = sum(g >= 2 for g in order[:k]), sum(g >= 2 for g in best)
+            gain = lambda gs: sum((2**g - 1) / math.log2(i + 1) for i, g in enumerate(gs[:k], 1))  # noqa: E731, B023
+            assert math.isclose(r[f"precision_at_{k}"], hits / k) and math.isclose(r[f"recall_at_{k}"], hits / relevant if relevant else 1.0)
+            assert math.isclose(r[f"ndcg_at_{k}"], gain(order) / gain(best) if gain(best) else 1.0, abs_tol=1e-12)
+        assert math.isclose(r.rr, next((1 / i for i, g in enumerate(order, 1) if g >= 2), 0.0))
+    single = {r.query: r for r in scoring.retrieval_metrics(table.filter("mode = 'x'").drop("mode"), judged, 5).collect()}
+    assert set(single) == {*range(6), 9} and (single[9].recall, single[9].ndcg, single[9].rr) == (1.0, 1.0, 0.0)
+
+
 def test_platt_fit_orders_confidence(spark):
     pairs = spark.createDataFrame([("o", float(s), g) for s, g in zip((10, 20, 30, 40, 60, 70, 80, 90), (0, 0, 0, 1, 2, 2, 3, 3))] + [("flat", float(s), 0) for s in range(9)], "owner string, score double, relevance int")
     fit = scoring.fit_platt(pairs, "owner", "score", "relevance", least=8).collect()
