@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 SCREEN_WEIGHTS = {"required": 0.40, "semantic": 0.20, "experience": 0.25, "preferred": 0.15}
 
 
+#: Fixed patterns of the screening: a stated number of years, and a word of its vocabulary count.
+YEARS, SCREENED_WORD = r"(\d+)\+?\s*(?:năm|years?)", r"[a-zA-Z][a-zA-Z+#.]{1,}"
+
+
 def years_mentioned(text: Column) -> Column:
     """The largest whole number right before "năm", "year" or "years"; 0 without one."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+)\+?\s*(?:năm|years?)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(found, lambda v: F.try_cast(v, "int") if hasattr(F, "try_cast") else v.try_cast("int"))), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(YEARS), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(found, lambda v: v.try_cast("int"))), F.lit(0))
 
 
 def mentions(text: Column, skill: Column) -> Column:
@@ -30,7 +34,7 @@ def screen(docs: DataFrame, text: str, required: list[str], preferred: list[str]
     """Adds the rule screening's scores of 0..100 and its band; parts that a job doesn't ask for are left out."""
     t = F.col(text)
     hits = lambda skills: sum((mentions(t, F.lit(s)).cast("int") for s in skills), F.lit(0))
-    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[a-zA-Z][a-zA-Z+#.]{1,}"), F.lit(0))))
+    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(SCREENED_WORD), F.lit(0))))
     years = years_mentioned(t)
     parts = {
         "required": 100 * hits(required) / max(len(required), 1),

@@ -328,8 +328,14 @@ ORACLE_SQL = {
     "regression_gate": "select bool_and(a >= 1 and b >= 1) as passed from (select max(quality) as a, avg(toxic) as b from labels group by doc_id % 3)",
     "rule_screening": r"""
         with h as (select doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)')::int as a, regexp_matches(lower(text), '(^|[^a-z0-9])la([^a-z0-9]|$)')::int as b, regexp_matches(lower(text), '(^|[^a-z0-9])der([^a-z0-9]|$)')::int as c,
-                          list_max(list_transform(regexp_extract_all(lower(text), '(\d+)\+?\s*(?:năm|years?)', 1), lambda v: try_cast(v as int))) as y from documents)
-        select doc_id, 100 * (a + b) / 2 as required_score, 100.0 * c as preferred_score, coalesce(y, 0) as experience_years from h""",
+                          list_max(list_transform(regexp_extract_all(lower(text), '(\d+)\+?\s*(?:năm|years?)', 1), lambda v: try_cast(v as int))) as y,
+                          len(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z+#.]{1,}'))) as w from documents),
+        s as (select *, least(100, 35 + (a + b) * 32.5 + least(w, 80) / 8) as semantic from h)
+        select doc_id, 100 * (a + b) / 2 as required_score, 100.0 * c as preferred_score, coalesce(y, 0) as experience_years, floor(round(semantic, 1))::bigint as semantic,
+               case when round((0.4 * 50 * (a + b) + 0.2 * semantic + 15 * c) / 0.75, 1) >= 80 then 'Strong Match' when round((0.4 * 50 * (a + b) + 0.2 * semantic + 15 * c) / 0.75, 1) >= 65 then 'Potential Match' else 'Needs Review' end as recommendation from s""",
+    "redacted_tags": "select c_custkey, 'I am [CANDIDATE_NAME], [EMAIL] or [PHONE]; [CANDIDATE_NAME] v' || (c_custkey % 7) as letter from customer",
+    "usable_answers": """
+        select o_orderkey, o_orderkey % 4 < 3 and o_orderkey % 3 > 0 and o_orderkey % 5 > 0 as usable, contains(lower('Priority ' || o_orderpriority || '!'), trim(' priority ' || lower(left(o_orderpriority, 3)))) as quoted from orders""",
     "hash_embedding": r"""
         with t as (select doc_id, sha256(unnest(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{L}\p{N}_+#.]{2,}'))) as h from documents),
         s as (select doc_id, ('0x' || left(h, 8))::bigint % 96 as bucket, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then 1 else -1 end)::bigint as total from t group by 1, 2 having total <> 0)

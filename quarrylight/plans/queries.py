@@ -516,7 +516,7 @@ def platt_fit(spark, sf_dir):
 def rule_screening(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scoring.screen(docs, "text", ["the", "la"], ["der"], 0)
-    return out.select("doc_id", F.round("required_score", 1).alias("required_score"), F.round("preferred_score", 1).alias("preferred_score"), "experience_years")
+    return out.select("doc_id", F.round("required_score", 1).alias("required_score"), F.round("preferred_score", 1).alias("preferred_score"), "experience_years", F.floor("semantic_score").alias("semantic"), "recommendation")
 
 
 # Text -----------------------------------------------------------------------------------------------------------
@@ -538,6 +538,22 @@ def pii_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.redact_blank(F.col("text")).alias("text"))
 
 
+def redacted_tags(spark, sf_dir):
+    """Customers' letters with their names, addresses and numbers as tags."""
+    n = F.col("c_custkey")
+    letter = F.concat(F.lit("I am "), "c_name", F.lit(", c"), n, F.lit("@Mail.example.org or +84 "), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit("-555-0199; "), "c_name", F.lit(" v"), n % 7)
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.redact_tags(letter, F.col("c_name")).alias("letter"))
+
+
+def usable_answers(spark, sf_dir):
+    """Model answers about orders, fenced, bare or broken: whether each is usable, and whether it quotes its source."""
+    n = F.col("o_orderkey")
+    body = F.concat(F.lit('{"name":"n","skills":['), F.when(n % 3 == 0, F.lit("1")).otherwise(F.lit('"sql","x \\"y"')), F.lit('],"years":'), n % 9, F.when(n % 5 == 0, F.lit("")).otherwise(F.lit(',"level":null')), F.lit(',"summary":"s"}'))
+    answer = F.when(n % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(n % 4 == 1, F.concat(F.lit("see "), body, F.lit(" ok"))).when(n % 4 == 2, body).otherwise(F.concat(F.substring(body, 1, 20)))
+    quote = F.concat(F.lit(" PRIORITY "), F.lower(F.substring("o_orderpriority", 1, 3)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.valid_answer(answer, ["name", "skills", "years", "level", "summary"], ["skills"]).alias("usable"), tx.quoted(quote, F.concat(F.lit("Priority "), "o_orderpriority", F.lit("!"))).alias("quoted"))
+
+
 def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text"), F.col("doc_id") % 5 > 0).alias("tokens"))
 
