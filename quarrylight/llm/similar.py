@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,12 +22,14 @@ SHINGLE, LEAST = 5, 0.8
 #: Texts that the order of shingles is learnt from: this share of them, or this many if that is more, so that what
 #: counts as common doesn't change with the table's size. And the most shingles in the order, 16 bytes each. The order
 #: only makes buckets small: whatever it is, two texts of similarity LEAST share a shingle of their prefixes.
-SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 20
+SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 19
 #: Rounds that compare each text with one other that it meets: first with the one of most shared keys, then with any.
 #: All pairs of what is still apart come after them.
-STARS, DRAWS = 2, 3
+STARS, DRAWS = 1, 1
 #: Pairs of one text that are compared in one task, and texts whose sets a worker hands on at once.
 FAN, SLICE = 64, 512
+#: Longs of the bitmaps that go with every entry of a bucket.
+SMALL = 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -118,7 +120,8 @@ def _fit(least: float) -> Column:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs whose sizes and bitmaps allow similarity `least`."""
-    met = among(nodes.select("node", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    met = among(nodes.select("node", "n", "bits"), ends, "node")
     x, y = (met.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     return pairs.join(x, "a").join(y, "b").filter(_fit(least)).select("a", "b")
 
@@ -157,8 +160,8 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root): members of the buckets that hold more than one component as they are now."""
     now = live.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return now.join(several, "key", "left_semi")
+    key = Window.partitionBy("key")
+    return now.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).filter("lo < hi").select("key", "node", "root")
 
 
 def _star(live: DataFrame, number: int) -> DataFrame:
@@ -175,9 +178,15 @@ def _star(live: DataFrame, number: int) -> DataFrame:
     return met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
 
 
+def _small(bits: Column) -> Column:
+    """A bitmap's parts of SMALL longs put over each other: it still never differs in more bits than shingles do."""
+    at = lambda i: F.filter(bits, lambda _, k: k % SMALL == i)
+    return F.when(F.size(bits) <= SMALL, bits).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SMALL - 1)), lambda i: F.aggregate(at(i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))))
+
+
 def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members that are still apart and whose sizes and bitmaps can be similar."""
-    told = live.join(among(nodes.select("node", "n", "bits"), live.select("node"), "node"), "node")
+    """Pairs of a bucket's members that are still apart and whose sizes and small bitmaps can be similar."""
+    told = live.join(among(nodes.select("node", "n", _small(F.col("bits")).alias("bits")), live.select("node"), "node"), "node")
     x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root"))) for c in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least)).select("a", "b").distinct()
@@ -214,9 +223,16 @@ def _components(nodes: DataFrame, rows: DataFrame, text: Column, shingle: int, l
         return by_slices(texts, "set array<long>", lambda values: [longs([shingle_set(t, shingle) for t in values])])
 
     edges = _verified(_by_fingerprint(nodes), nodes, sets_of, least)
-    entries = nodes.select("node", F.explode("prefix").alias("key")).repartition("key")  # one exchange for count and join
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    return joined(nodes, written(entries.join(shared, "key", "left_semi"), "buckets"), edges, sets_of, least)
+    entries = nodes.select("node", F.explode("prefix").alias("key"))
+    return joined(nodes, written(_shared(entries), "buckets"), edges, sets_of, least)
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries (key, node) of keys that several nodes have; one exchange, a key's entries are held by one task that
+    spills."""
+    key = Window.partitionBy("key")
+    told = entries.withColumns({"lo": F.min("node").over(key), "hi": F.max("node").over(key)})
+    return told.filter("lo < hi").select("key", "node")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
