@@ -26,6 +26,8 @@ WAYS = ((1, 0), (3, 1), (4, 1), (5, 2))
 EXPECTED, THIN, SPARE = 7, 3, 20
 #: Sets are of fewer shingles than this.
 LARGEST = 1 << 40
+#: Rounds that compare each set with one other of its bucket, of most shared signatures and any one, before all pairs.
+STARS, DRAWS = 2, 2
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     entries = nodes.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     live = written(entries.join(shared, "key", "left_semi"), "buckets")
-    roots = joined(nodes.select("node", "n", "bits"), live, None, sets_of, percent / 100)
+    roots = joined(nodes.select("node", "n", "bits"), live, None, sets_of, percent / 100, STARS, DRAWS)
     of = sets.join(roots.withColumnRenamed("node", "_node"), F.col("row") == F.col("_node"), "left").select("n", "digest", "first", F.coalesce("root", "row").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     found = of.join(least, "root").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.col("least.doc_id").alias("least"))

@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     """
     met = written(pairs, "met")
     pairs = written(_possible(met, nodes, least), "pairs")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    asked = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
     sets = written(sets_of(asked), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -164,14 +164,14 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     return now.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).filter("lo < hi").select("key", "node", "root")
 
 
-def _star(live: DataFrame, number: int) -> DataFrame:
-    """A pair for each text that is apart from one that it meets: the one with the most keys that others have, too, and
-    after STARS rounds any one, by hash.
+def _star(live: DataFrame, most: bool, number: int) -> DataFrame:
+    """A pair for each text that is apart from one that it meets: with `most` the one with the most keys that others
+    have, too, else any one, by hash.
 
     Of a text and its edited copies the first is the text itself, as an edit's shingles are its own. Ties go by hash.
     Any one joins groups of which many are similar to many: one of these comparisons is enough for all.
     """
-    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer") if number < STARS else F.lit(0).alias("fewer"))
+    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer") if most else F.lit(0).alias("fewer"))
     order = F.struct("fewer", F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
     pivots = live.join(keys, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
     met = live.join(pivots, "key").filter("root <> p.root").groupBy("node").agg(F.min("p").alias("p"))
@@ -192,21 +192,23 @@ def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least)).select("a", "b").distinct()
 
 
-def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], least: float, stars: int | None = None, draws: int | None = None) -> DataFrame:
     """(node, root) of every node with a link, from the entries (key, node) of buckets in which similar nodes meet.
 
     `edges` are links known before. Round by round every node is compared with one of those that it meets, so that a
     large group of copies costs a comparison for each, then with the others of a bucket that no component holds yet.
+    `stars` and `draws` are the rounds before that, STARS and DRAWS by default.
     """
+    stars, draws = STARS if stars is None else stars, DRAWS if draws is None else draws
     edges = written(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "edges") if edges is None else edges
     roots = connected_components(edges, "a", "b")
-    for number in range(STARS + DRAWS + 1):
+    for number in range(stars + draws + 1):
         left = written(_apart(live, roots), "buckets")
         drop_written(live)
         live = left
         if live.isEmpty():
             break
-        found = _verified(_star(live, number) if number < STARS + DRAWS else _all_apart(live, nodes, least), nodes, sets_of, least)
+        found = _verified(_star(live, number < stars, number) if number < stars + draws else _all_apart(live, nodes, least), nodes, sets_of, least)
         both = written(edges.unionByName(found), "edges")
         drop_written(edges)
         edges = both
