@@ -74,6 +74,7 @@ def packed(docs: DataFrame, capacity: int, length: str, source: str = "source",
     dealt = each.select(*keys, F.pmod(F.xxhash64(*keys, "row"), F.lit(blocks)).alias("block"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys, ignore_index=True)  # whatever order the shuffle gave
         rest = pdf.assign(rest=pdf["length"] % capacity).sort_values(["rest", *keys], ascending=[False, True, True, True, True])
         rest = rest[rest["rest"] > 0]
         bins = best_fit(list(zip(rest["rest"].tolist(), _bits(rest["source"]), _bits(rest["cluster"]))), capacity)
