@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import dealt
+
 
 def free_of_overlap(slots: DataFrame, busy: DataFrame, owner: str) -> DataFrame:
     """Slots (owner, start, end) that no busy interval (owner, busy_start, busy_end) overlaps, half-open.
 
-    Both sides meet on owner and hour, so this is a hash join however many intervals there are; a slot's hours are
-    few, and a busy interval has a row for each hour that it touches. Empty intervals block nothing.
+    Both sides are dealt by owner and hour, however many intervals there are, and none is broadcast; a slot's hours
+    are few, and a busy interval has a row for each hour that it touches. Empty intervals block nothing.
     """
     hours = lambda a, b: F.explode(F.sequence(F.date_trunc("hour", a), F.date_trunc("hour", b - F.expr("interval 1 microsecond")), F.expr("interval 1 hour")))
     cells = busy.filter(F.col("busy_start") < F.col("busy_end")).withColumn("_h", hours(F.col("busy_start"), F.col("busy_end"))).select(owner, "_h", "busy_start", "busy_end")
     asked = slots.select(owner, "start", "end").distinct().withColumn("_h", hours(F.col("start"), F.col("end")))
-    hit = asked.join(cells, [owner, "_h"]).filter((F.col("start") < F.col("busy_end")) & (F.col("end") > F.col("busy_start")))
-    return slots.join(hit.select(owner, "start", "end").distinct(), [owner, "start", "end"], "left_anti")
+    hit = asked.join(dealt(cells), [owner, "_h"]).filter((F.col("start") < F.col("busy_end")) & (F.col("end") > F.col("busy_start")))
+    return slots.join(dealt(hit.select(owner, "start", "end").distinct()), [owner, "start", "end"], "left_anti")
 
 
 def candidate_slots(policies: DataFrame, now: Column, minutes: int, days: int) -> DataFrame:
@@ -55,7 +57,7 @@ def slots_by_day(slots: DataFrame) -> DataFrame:
 def instant_conflicts(asked: DataFrame, interviews: DataFrame, skip_cancelled: bool = False) -> DataFrame:
     """Requests whose (owner, start) an interview has already."""
     taken = interviews.filter("status <> 'CANCELLED'") if skip_cancelled else interviews
-    return asked.join(taken.select("owner", "start"), ["owner", "start"], "left_semi")
+    return asked.join(dealt(taken.select("owner", "start")), ["owner", "start"], "left_semi")
 
 
 def merge_runs(hours: DataFrame, owner: str, hour: str) -> DataFrame:
@@ -93,7 +95,7 @@ def expired_invitations(invitations: DataFrame, now: Column) -> DataFrame:
 def overdue_feedback(interviews: DataFrame, scorecards: DataFrame, now: Column, hours: int) -> DataFrame:
     """Ended interviews without a scorecard whose time for one is over."""
     late = interviews.filter((F.col("end") <= now) & (F.col("end") + F.expr(f"interval {hours} hours") <= now))
-    return late.join(scorecards.select("interview"), "interview", "left_anti")
+    return late.join(dealt(scorecards.select("interview")), "interview", "left_anti")
 
 
 def due_outbox(events: DataFrame, now: Column, most: int = 200) -> DataFrame:
