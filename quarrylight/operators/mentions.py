@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .joins import dealt
+
 #: A token: letters and digits, with marks inside and plus or number signs behind.
 TOKEN = re.compile(r"[^\W_]++(?:[.+#/'&-]++[^\W_]++)*+[+#]*+")
 #: Characters before and behind a match in which cues and denying words are looked for, and most between two names of
@@ -38,6 +40,12 @@ def _blocks(words: DataFrame) -> list[int]:
     return list(range(-(-size // BLOCK)))
 
 
+def beside(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """`rows` joined to a table of aliases: broadcast if these fill no more than one block, else both are dealt by alias.
+    Without a hint Spark may broadcast the rows, as it knows no size of a local table."""
+    return rows.join(F.broadcast(words), "alias") if len(_blocks(words)) <= 1 else dealt(rows).join(dealt(words), "alias")
+
+
 def _automaton(aliases: list[str]) -> ahocorasick.Automaton:
     """The aliases' tokens between spaces, with their number and the aliases that have these tokens."""
     lines: dict[str, tuple[int, list[str]]] = {}
@@ -151,7 +159,7 @@ def mentions(parts: DataFrame, words: DataFrame, key: str, skills: tuple[str, ..
     top = found.repartition(key).withColumn("_m", F.max("n").over(clause.partitionBy(*keep, "place"))).filter("n = _m").drop("_m")
     reach = F.max(F.col("place") + F.greatest("n", F.lit(1))).over(clause.orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
     free = top.withColumn("_reach", F.coalesce(reach, F.lit(0))).filter("place >= _reach").drop("_reach")
-    named = free.join(listed, "alias").dropDuplicates([*keep, "place", "name", "kind"])
+    named = beside(free, listed).dropDuplicates([*keep, "place", "name", "kind"])
     doubt = F.size("forms") > 0
     spelled = named.filter(~doubt | F.array_contains("forms", F.col("form")))
     behind, before = F.ltrim("after"), F.concat(F.lit(" "), F.rtrim("before"))

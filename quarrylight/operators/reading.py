@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, skill_name
-from .mentions import mentions
+from .joins import dealt
+from .mentions import beside, mentions
 
 #: Own vocabulary, fixed values: name, kind, category, aliases ("!" before an alias that needs a context).
 VOCABULARY = [
@@ -166,7 +167,7 @@ def sections(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     kind = reduce(lambda c, k: c.when(bare.rlike("^" + SECTIONS[k]), k), SECTIONS, F.when(bare.rlike("[0-9]") | (F.size(F.split(bare, r"\s+")) > HEAD_WORDS), F.lit(None)))
     opens = F.when((colon | (F.length(F.trim("folded")) <= BARE_CHARS)) & F.col("_first").isNull(), kind).when(colon & (F.col("_first") > F.length(head)), kind)
     first = found.groupBy(key, "line", "clause").agg(F.min("start").alias("_first"))
-    told = parts.join(first, [key, "line", "clause"], "left").withColumn("_opens", opens)
+    told = parts.join(dealt(first), [key, "line", "clause"], "left").withColumn("_opens", opens)
     told = told.withColumn("_inline", F.when(F.col("_opens").isNotNull(), colon & (F.trim(F.substring_index("folded", ":", -1)) != ""))).withColumn("_empty", F.trim("folded") == "")
     order = Window.partitionBy(key).orderBy("line", "clause")
     line = Window.partitionBy(key, "line").orderBy("clause")
@@ -193,7 +194,7 @@ def requirements(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """
     clause = Window.partitionBy(key, "line", "clause").orderBy("start", F.desc("end"), "name")
     skills = found.filter(F.col("kind").isin(*SKILLS, "certification"))
-    inside = skills.join(sections(parts, found, key), [key, "line", "clause"])
+    inside = dealt(skills).join(dealt(sections(parts, found, key)), [key, "line", "clause"])
     before, after = F.substring(F.col("folded"), F.lit(1), F.col("start")), F.expr("substring(folded, end + 1)")
     reach = F.expr("substring(folded, greatest(1, start - 79), least(80, start))")
     ahead = F.lead("start").over(clause)
@@ -215,10 +216,10 @@ def requirements(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     lines = parts.filter("trim(folded) <> ''").groupBy(key).agg(F.min("line").alias("_title"), F.max("line").alias("_end"))
     later = Window.partitionBy(key, "name")
     titled = (F.max("line").over(later) == F.col("_title")) & (F.col("_end") > F.col("_title")) & (F.col("kind") == "concept")
-    named = graded.join(lines, key).withColumn("_role", titled).filter("not _role")
+    named = dealt(graded).join(dealt(lines), key).withColumn("_role", titled).filter("not _role")
     first = named.groupBy(key, "state", "name").agg(F.min(F.struct("line", "clause", "place", "n")).alias("at"))
-    need = first.filter("state = 'required'").select(key, F.col("name").alias("name"))
-    kept = first.filter("state = 'required'").unionByName(first.filter("state = 'preferred'").join(need, [key, "name"], "left_anti").select(first.columns))
+    needed = F.max(F.col("state") == "required").over(Window.partitionBy(key, "name"))
+    kept = first.withColumn("_needed", needed).filter("state = 'required' or not _needed")
     rank = F.row_number().over(Window.partitionBy(key, "state").orderBy("at"))
     return kept.select(key, F.col("state").alias("kind"), "name", rank.alias("rank"))
 
@@ -241,7 +242,7 @@ def category_votes(hits: DataFrame, skills: DataFrame, key: str, weights: DataFr
     by "|") splits one vote of SKILL_VOTE among its categories. Sums meet by key and category.
     """
     once = hits.groupBy(key, "alias").agg(F.max("in_title").alias("t"), F.max(~F.col("in_title")).alias("b"))
-    weighed = once.join(weights, "alias").select(key, "category", F.when(F.col("t"), F.col("weight")).otherwise(0.0).alias("t"), F.when(F.col("b"), F.col("weight") * BODY_FACTOR).otherwise(0.0).alias("b"))
+    weighed = beside(once, weights).select(key, "category", F.when(F.col("t"), F.col("weight")).otherwise(0.0).alias("t"), F.when(F.col("b"), F.col("weight") * BODY_FACTOR).otherwise(0.0).alias("b"))
     own = skills.filter("category is not null").select(key, "name", F.split("category", "[|]").alias("c")).distinct()
     split = own.select(key, F.explode("c").alias("category"), F.lit(0.0).alias("t"), (SKILL_VOTE / F.size("c")).alias("b"))
     return weighed.unionByName(split).groupBy(key, "category").agg(F.round(F.sum(F.col("t") + F.col("b")), 9).alias("score"), F.round(F.sum("t"), 9).alias("title_score"))
@@ -269,23 +270,29 @@ def ranked_categories(votes: DataFrame, key: str) -> DataFrame:
     return pair.select(key, F.when(picked, best).alias("category"), F.when(picked & close, other).alias("secondary"))
 
 
-def categories(parts: DataFrame, found: DataFrame, key: str, weights: DataFrame | None = None) -> DataFrame:
+def keys_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key) of the texts that have clauses: those that aren't null."""
+    return docs.filter(F.col(text).isNotNull()).select(key).distinct()
+
+
+def categories(parts: DataFrame, found: DataFrame, key: str, weights: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(key, category, secondary) of every text: keywords of the first line as the title's and of the others as the
-    body's, and the skills that it names. UNCLASSIFIED where nothing stands out."""
+    body's, and the skills that it names. UNCLASSIFIED where nothing stands out. With `keys`, see keys_of(), the texts
+    aren't cut once more to list them."""
     listed = keywords(parts.sparkSession) if weights is None else weights
     as_words = listed.select("alias", F.col("alias").alias("name"), F.lit("keyword").alias("kind"), F.lit(None).cast("string").alias("category")).distinct()
     hits = mentions(parts, as_words, key, SKILLS).select(key, F.col("name").alias("alias"), (F.col("line") == 0).alias("in_title"))
     skills = found.filter(F.col("kind").isin(*SKILLS, "certification")).select(key, "name", "category")
     best = ranked_categories(category_votes(hits, skills, key, listed), key)
-    return parts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("category", F.lit("UNCLASSIFIED")).alias("category"), "secondary")
+    return (parts.select(key).distinct() if keys is None else keys).join(dealt(best), key, "left").select(key, F.coalesce("category", F.lit("UNCLASSIFIED")).alias("category"), "secondary")
 
 
-def attributes(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def attributes(parts: DataFrame, found: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
     """(key, level, education, languages, certifications): the highest of the first two, sorted lists of the others.
 
     Degrees in a clause that says they are incomplete or being pursued don't count.
     """
-    state = found.join(parts.select(key, "line", "clause", "folded"), [key, "line", "clause"])
+    state = dealt(found).join(dealt(parts.select(key, "line", "clause", "folded")), [key, "line", "clause"])
     pending = F.col("folded").rlike(r"incomplete|pursuing|dang hoc") & (F.col("kind") == "education")
     rows = state.withColumn("_open", F.regexp_extract("folded", r"(incomplete|pursuing)", 1) != "").filter(~pending | (F.col("kind") != "education"))
     kind = lambda k: F.when(F.col("kind") == k, F.col("name"))
@@ -295,7 +302,7 @@ def attributes(parts: DataFrame, found: DataFrame, key: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(kind("spoken_language"))), "|").alias("languages"),
         F.array_join(F.array_sort(F.collect_set(kind("certification"))), "|").alias("certifications"),
     )
-    return parts.select(key).distinct().join(out, key, "left")
+    return (parts.select(key).distinct() if keys is None else keys).join(dealt(out), key, "left")
 
 
 def read(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -303,7 +310,8 @@ def read(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -
     years, categories, attributes."""
     parts = clauses(docs, key, text)
     found = mentions(parts, vocabulary(docs.sparkSession) if words is None else words, key, SKILLS)
-    return {"mentions": found, "requirements": requirements(parts, found, key), "years": years_required(parts, key), "categories": categories(parts, found, key), "attributes": attributes(parts, found, key)}
+    keys = keys_of(docs, key, text)
+    return {"mentions": found, "requirements": requirements(parts, found, key), "years": years_required(parts, key), "categories": categories(parts, found, key, keys=keys), "attributes": attributes(parts, found, key, keys)}
 
 
 #: Fixed headings of a CV, folded, and the section that each begins; those in CLAIMS speak of the person's own skills.
@@ -354,7 +362,7 @@ def cv_profile(docs: DataFrame, key: str, text: str, words: DataFrame | None = N
         F.max(F.when(F.col("section").isin("head", "summary", "experience"), years_stated(F.col("value")))).alias("years"),
     )
     none = F.array().cast("array<string>")
-    return docs.select(key).join(told, key, "left").join(skills, key, "left").select(key, *(F.coalesce(c, none).alias(c) for c in ("skills", "certifications", "languages")), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("years", F.lit(0.0)).alias("years"))
+    return docs.select(key).join(dealt(told), key, "left").join(dealt(skills), key, "left").select(key, *(F.coalesce(c, none).alias(c) for c in ("skills", "certifications", "languages")), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("years", F.lit(0.0)).alias("years"))
 
 
 def years_stated(text: Column) -> Column:
@@ -374,7 +382,7 @@ def enriched(profiles: DataFrame, read: DataFrame, key: str, version: str, skill
     each = own.select(key, F.posexplode("skills").alias("place", "raw")).withColumn("norm", skill_name(F.col("raw")))
     unknown = each.join(skills.select("norm").distinct(), "norm", "left_anti").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "raw"))), lambda s: s["raw"]).alias("_unknown"))
     seen = read.select(key, F.col("skills").alias("_skills"), F.col("summary").alias("_summary"), F.col("years").alias("_years"))
-    both = own.join(unknown, key, "left").join(seen, key, "left")
+    both = own.join(dealt(unknown), key, "left").join(dealt(seen), key, "left")
     same = F.coalesce(F.col("catalog_version") == version, F.lit(False))
     none = F.array().cast("array<string>")
     merged = F.array_union(F.coalesce("_skills", none), F.coalesce("_unknown", none))
