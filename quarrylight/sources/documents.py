@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import flat, normal_lines, redact_blank
+from ..operators.joins import spread
 
 SUFFIXES = ("pdf", "docx", "txt")
 LEAST_CHARS = 20
@@ -193,14 +194,15 @@ def searchable(rows: DataFrame, key: str, sections: dict[str, Column], private:
     once, in order, without regard to case; nulls and blanks don't count.
     """
     def once(values: Column) -> Column:
-        clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-        return F.filter(clean, lambda v, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda w: F.lower(w) == F.lower(v)))
+        trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+        first = lambda clean: F.filter(clean, lambda v, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda w: F.lower(w) == F.lower(v)))
+        return F.transform(F.array(trimmed), first)[0]  # trimmed once, not for each value
 
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"no sections: {sorted(unknown)}")
     text = search_document({k: once(v) for k, v in sections.items()}, lambda v: redact_blank(v, private))
-    return rows.select(key, text.alias("text")).withColumn("content_hash", document_digest(F.col("text"), template))
+    return spread(rows, key).select(key, text.alias("text")).withColumn("content_hash", document_digest(F.col("text"), template))
 
 
 class PagedListing(DataSource):
