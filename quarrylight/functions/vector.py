@@ -5,18 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .text import casefold
 
 #: Length of a hashing embedding.
 HASH_SIZE = 96
+#: Texts whose values leave a task at once, and tokens whose places a worker remembers, some 15 MB.
+SLICE, KNOWN = 256, 1 << 16
 #: What its tokens are.
 TOKEN = re.compile(r"[\w+#.]{2,}")
 
@@ -54,7 +57,7 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=KNOWN)
 def _place(token: str) -> int:
     """A token's bucket, negative below zero where its sign is minus: the first four bytes of its SHA-256 give the
     bucket, the low bit of the fifth the sign (set: plus)."""
@@ -63,17 +66,21 @@ def _place(token: str) -> int:
     return bucket if digest[4] & 1 else ~bucket
 
 
-@F.pandas_udf(StructType([StructField("buckets", ArrayType(LongType())), StructField("values", ArrayType(DoubleType()))]))
-def _embedded(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in texts:
-        total = np.zeros(HASH_SIZE, np.int64)
-        for token, n in Counter(TOKEN.findall(text or "")).items():
-            at = _place(token)
-            total[at if at >= 0 else ~at] += n if at >= 0 else -n
-        used = np.flatnonzero(total)
-        out.append((used, total[used] / np.sqrt(float((total * total).sum())) if len(used) else np.zeros(0)))
-    return pd.DataFrame(out, columns=["buckets", "values"])
+def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bucket, value) of (key, text) batches; SLICE texts at a time leave a task, and none is copied before its turn."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            rows, buckets, values = [], [], []
+            for row in range(low, min(batch.num_rows, low + SLICE)):
+                total = np.zeros(HASH_SIZE, np.int64)
+                for token, n in Counter(TOKEN.findall(batch.column(1)[row].as_py() or "")).items():
+                    at = _place(token)
+                    total[at if at >= 0 else ~at] += n if at >= 0 else -n
+                used = np.flatnonzero(total)
+                rows.append(np.full(len(used), row, np.int64))
+                buckets.append(used)
+                values.append(total[used] / np.sqrt(float((total * total).sum())) if len(used) else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(buckets), pa.int64()), pa.array(np.concatenate(values), pa.float64())], names=[batch.schema.names[0], "bucket", "value"])
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -82,5 +89,6 @@ def hash_embedding(docs: DataFrame, key: str, text: str) -> DataFrame:
     Tokens are runs of two or more of letters, digits, "_", "+", "#" and "."; buckets of value 0 are left out. A row's
     work is its own: each distinct token is hashed once, in Arrow batches, and nothing is shuffled.
     """
-    rows = docs.select(key, _embedded(casefold(F.col(text))).alias("e"))
-    return rows.select(key, F.explode(F.arrays_zip("e.buckets", "e.values")).alias("z")).select(key, F.col("z.buckets").alias("bucket"), F.round("z.values", 8).alias("value"))
+    rows = docs.select(key, casefold(F.col(text)).alias("_text"))
+    found = rows.mapInArrow(_embedded, StructType([rows.schema[0], StructField("bucket", LongType()), StructField("value", DoubleType())]))
+    return found.withColumn("value", F.round("value", 8))
