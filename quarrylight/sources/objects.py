@@ -8,15 +8,20 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..operators.joins import spread
+
 #: Fixed suffixes that are stored.
 SUFFIXES = (".pdf", ".docx", ".txt", ".html")
 #: Objects that are moved at once when a job commits.
 MOVERS = 16
+#: Folders that a task which lists them hands on at once.
+LISTED = 4096
 
 
 def object_path(owner: Column, item: Column, file_name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -119,6 +124,43 @@ def write_objects(rows: DataFrame, root: str) -> None:
     rows.filter("path is not null").select("path", "content").write.format("object_files").option("root", root).mode("append").save()
 
 
+def read_objects(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content) of every object owner/item/name below `root`, with paths relative to it.
+
+    Folders are listed level by level in tasks and objects are read where they are dealt to, so that neither names nor
+    contents pass the driver. Names that begin with an underscore or a dot are no objects.
+    """
+
+    def files():
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(root.rstrip("/"))
+
+    def entries(folder: str, kind: str) -> list[str]:
+        from pyarrow import fs
+
+        store, base = files()
+        found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+        return [f"{folder}/{x.base_name}".lstrip("/") for x in found if x.type == fs.FileType[kind] and x.base_name[0] not in "_."]
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            found = entries(folder, "Directory")
+            for at in range(0, len(found), LISTED):
+                yield pa.RecordBatch.from_pydict({"folder": found[at : at + LISTED]})
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = files()
+        for path in (p for b in batches for f in b.column(0).to_pylist() for p in entries(f, "File")):
+            with store.open_input_file(f"{base}/{path}") as data:
+                content = data.read()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
+
+    owners = spark.createDataFrame([("",)], "folder string").mapInArrow(folders, "folder string")
+    items = spread(owners, "folder").mapInArrow(folders, "folder string")
+    return spread(items, "folder").mapInArrow(contents, "path string, length long, content binary")
+
+
 def quoted_name(name: str) -> str:
     """How object_path() writes a name."""
     return quote(name, safe="*")
