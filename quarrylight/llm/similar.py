@@ -69,8 +69,10 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     drawn = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # two numbers a shingle: a row of Python objects would be ten times that
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def longs(arrays: list[np.ndarray]) -> pa.Array:
