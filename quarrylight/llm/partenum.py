@@ -26,8 +26,8 @@ WAYS = ((1, 0), (3, 1), (4, 1), (5, 2))
 EXPECTED, THIN, SPARE = 7, 3, 20
 #: Sets are of fewer shingles than this.
 LARGEST = 1 << 40
-#: Rounds that compare each set with one other of its bucket, of most shared signatures and any one, before all pairs.
-STARS, DRAWS = 2, 2
+#: Rounds that compare each set with one or two others of its buckets, of most shared signatures and drawn, before all pairs.
+STARS, DRAWS = 1, 2
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -23,13 +23,13 @@ SHINGLE, LEAST = 5, 0.8
 #: counts as common doesn't change with the table's size. And the most shingles in the order, 16 bytes each. The order
 #: only makes buckets small: whatever it is, two texts of similarity LEAST share a shingle of their prefixes.
 SAMPLE, SHARE, COMMON = 1 << 11, 0.1, 1 << 19
-#: Rounds that compare each text with one other that it meets: first with the one of most shared keys, then with any.
-#: All pairs of what is still apart come after them.
-STARS, DRAWS = 1, 1
+#: Rounds that compare each text with one or two that it meets: first with the one of most shared keys, then with two of
+#: those that can be similar, out of NEXT that are drawn in each bucket. All pairs of what is still apart come after them.
+STARS, DRAWS, NEXT = 1, 1, 4
 #: Pairs of one text that are compared in one task, and texts whose sets a worker hands on at once.
 FAN, SLICE = 64, 512
-#: Longs of the bitmaps that go with every entry of a bucket.
-SMALL = 8
+#: Longs of the bitmaps, and the least keys of a text's own, that go with every entry of a bucket.
+SMALL, LOW = 8, 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -110,14 +110,15 @@ def _signed(rows: DataFrame, shingle: int, least: float, order) -> DataFrame:
     return by_slices(rows, "n int, digest binary, fingerprint long, prefix array<long>, bits array<long>", sign)
 
 
-def _fit(least: float) -> Column:
+def _fit(least: float, a: tuple[Column, Column] | None = None, b: tuple[Column, Column] | None = None) -> Column:
     """Whether the sizes and bitmaps of a and b allow similarity `least`: each bit that differs is a shingle of one
     text only. The bitmap of the larger text may be longer; its parts are put over each other first."""
-    m = F.least(F.size("bits_a"), F.size("bits_b"))
-    folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c))
-    differ = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
-    return sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9)
+    (n_a, bits_a), (n_b, bits_b) = a or (F.col("n_a"), F.col("bits_a")), b or (F.col("n_b"), F.col("bits_b"))
+    m = F.least(F.size(bits_a), F.size(bits_b))
+    folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), lambda p, q: p.bitwiseXOR(q))).otherwise(c)
+    differ = F.aggregate(F.zip_with(folded(bits_a), folded(bits_b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    sizes = F.least(n_a, n_b) >= least * F.greatest(n_a, n_b) - 1e-9
+    return sizes & (differ <= (n_a + n_b) * ((1 - least) / (1 + least)) + 1e-9)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -166,40 +167,68 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     return now.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).filter("lo < hi").select("key", "node", "root")
 
 
-def _star(live: DataFrame, most: bool, number: int) -> DataFrame:
-    """A pair for each text that is apart from one that it meets: with `most` the one with the most keys that others
-    have, too, else any one, by hash.
+def _star(live: DataFrame, number: int) -> DataFrame:
+    """A pair for each text that is apart from one that it meets: the one with the most keys that others have, too.
 
-    Of a text and its edited copies the first is the text itself, as an edit's shingles are its own. Ties go by hash.
-    Any one joins groups of which many are similar to many: one of these comparisons is enough for all.
+    Of a text and its edited copies that is the text itself, as an edit's shingles are its own. Ties go by hash.
     """
-    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer") if most else F.lit(0).alias("fewer"))
+    keys = live.groupBy("node").agg((-F.count("*")).alias("fewer"))
     order = F.struct("fewer", F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")
     pivots = live.join(keys, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
     met = live.join(pivots, "key").filter("root <> p.root").groupBy("node").agg(F.min("p").alias("p"))
     return met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
 
 
+def _drawn(live: DataFrame, nodes: DataFrame, least: float, number: int) -> DataFrame:
+    """Two pairs at most for each text, with texts that are apart from it and whose sizes and small bitmaps can be similar.
+
+    Each bucket is put in an order of its own, by hash, and an entry looks at the NEXT ones behind it. Similar texts
+    share many buckets, so that a text which many are similar to meets some of them; two links each make a group of
+    which many are similar to many one component, or nearly so, whichever texts are drawn.
+    """
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key", F.lit(number)), "node")
+    told = _told(live, nodes).withColumns({f"x{i}": F.lead(F.struct("node", "root", "n", "bits"), i + 1).over(order) for i in range(NEXT)})
+    x = [F.col(f"x{i}") for i in range(NEXT)]
+    fits = [(c["root"] != F.col("root")) & _fit(least, (F.col("n"), F.col("bits")), (c["n"], c["bits"])) for c in x]
+    found = told.select("node", F.coalesce(*(F.when(f, c["node"]) for f, c in zip(fits, x, strict=True))).alias("other")).filter("other is not null")
+    by_hash = F.struct(F.xxhash64("node", "other", F.lit(number)).alias("h"), "other")
+    two = found.groupBy("node").agg(F.min(by_hash).alias("p"), F.max(by_hash).alias("q"))
+    pairs = two.select("node", F.col("p.other").alias("other")).unionByName(two.select("node", F.col("q.other").alias("other")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _small(bits: Column) -> Column:
     """A bitmap's parts of SMALL longs put over each other: it still never differs in more bits than shingles do."""
     at = lambda i: F.filter(bits, lambda _, k: k % SMALL == i)
     return F.when(F.size(bits) <= SMALL, bits).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SMALL - 1)), lambda i: F.aggregate(at(i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))))
 
 
+def _told(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries of buckets with sizes and small bitmaps of their nodes."""
+    return live.join(among(nodes.select("node", "n", _small(F.col("bits")).alias("bits")), live.select("node"), "node"), "node")
+
+
 def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members that are still apart and whose sizes and small bitmaps can be similar."""
-    told = live.join(among(nodes.select("node", "n", _small(F.col("bits")).alias("bits")), live.select("node"), "node"), "node")
-    x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root"))) for c in "ab")
+    """Pairs of a bucket's members that are still apart and whose sizes and small bitmaps can be similar.
+
+    A pair meets in all keys that both have. With each text go its LOW least keys, by rank: a pair that has some of
+    these in common comes from the least of them alone, any other pair from all.
+    """
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key"), "key"))
+    low = live.select("node", "key", rank.alias("rank")).filter(F.col("rank") <= LOW).groupBy("node").agg(F.collect_list("key").alias("low"))
+    told = _told(live, nodes).join(low, "node")
+    x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root", "low"))) for c in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least)).select("a", "b").distinct()
+    once = F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("key_a")) == F.col("key_a")
+    return x.join(y, (F.col("key_a") == F.col("key_b")) & apart & _fit(least) & once).select("a", "b").distinct()
 
 
 def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], least: float, stars: int | None = None, draws: int | None = None) -> DataFrame:
     """(node, root) of every node with a link, from the entries (key, node) of buckets in which similar nodes meet.
 
-    `edges` are links known before. Round by round every node is compared with one of those that it meets, so that a
-    large group of copies costs a comparison for each, then with the others of a bucket that no component holds yet.
-    `stars` and `draws` are the rounds before that, STARS and DRAWS by default.
+    `edges` are links known before. Round by round every node is compared with one or two of those that it meets, so
+    that a large group of copies costs a few comparisons for each, then with all of its buckets that are still apart
+    from it. `stars` and `draws` are the rounds before that, STARS and DRAWS by default.
     """
     stars, draws = STARS if stars is None else stars, DRAWS if draws is None else draws
     edges = written(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "edges") if edges is None else edges
@@ -210,7 +239,8 @@ def joined(nodes: DataFrame, live: DataFrame, edges: DataFrame | None, sets_of:
         live = left
         if live.isEmpty():
             break
-        found = _verified(_star(live, number < stars, number) if number < stars + draws else _all_apart(live, nodes, least), nodes, sets_of, least)
+        pairs = _star(live, number) if number < stars else _drawn(live, nodes, least, number) if number < stars + draws else _all_apart(live, nodes, least)
+        found = _verified(pairs, nodes, sets_of, least)
         both = written(edges.unionByName(found), "edges")
         drop_written(edges)
         edges = both
