@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, let, released, spaced, written
+from .common import drop_written, held, let, released, spaced, written
 
 #: Characters that the base rules count as symbols.
 SYMBOL = "[#*$%&|<>]"
@@ -118,9 +118,8 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
     return written(own.union(shared).union(rest), "pools")
 
 
-def _by_key(rows: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
-    """Join to a table with few fixed-width rows for each pool: broadcast up to BROADCAST_POOLS pools, else shuffled (skew left to AQE)."""
-    few = small.select("pool").distinct().count() <= BROADCAST_POOLS
+def _by_key(rows: DataFrame, small: DataFrame, on: Column, how: str, few: bool) -> DataFrame:
+    """Join to a table with few fixed-width rows for each pool: broadcast if the pools are few, else shuffled (skew left to AQE)."""
     return rows.join(F.broadcast(small) if few else small, on, how)
 
 
@@ -152,10 +151,10 @@ def _distance(rows: DataFrame) -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, estimates: DataFrame, few: bool = True) -> DataFrame:
     """Every row of a pool with its distance by each of the pool's estimates."""
     other = estimates.withColumnRenamed("pool", "_pool").withColumn("pool", F.col("_pool"))
-    met = _by_key(rows.withColumnRenamed("pool", "of"), other.drop("_pool"), F.col("of") == F.col("pool"), "inner").drop("of")
+    met = _by_key(rows.withColumnRenamed("pool", "of"), other.drop("_pool"), F.col("of") == F.col("pool"), "inner", few).drop("of")
     return met.select("pool", "start", *FEATURES, _distance(met).alias("distance"))
 
 
@@ -169,8 +168,9 @@ def _concentrated(rows: DataFrame, share: float) -> DataFrame:
     return inside.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("pool", "start", "bin")))
 
 
-def minimum_determinant(rows: DataFrame) -> DataFrame:
-    """(pool, m.., l..): the reweighted minimum-covariance-determinant estimate of each pool of (pool, features).
+def minimum_determinant(rows: DataFrame, few: bool = True) -> DataFrame:
+    """(pool, m.., l..): the reweighted minimum-covariance-determinant estimate of each pool of (pool, features); `few`
+    tells whether the pools are at most BROADCAST_POOLS.
 
     Concentration steps go from three starts at once: the medians with quartile spreads, the means and covariances of
     all rows, and those of the half nearest the medians. Of the three ends the one of least determinant stays (of
@@ -181,13 +181,13 @@ def minimum_determinant(rows: DataFrame) -> DataFrame:
     both = written(rows.groupBy("pool").agg(*(F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(FEATURES)), *_sums()), "starts")
     median = both.select("pool", F.lit(0).alias("start"), *(F.expr(f"q{i}[1]").alias(f"m{i}") for i in _D), *((F.expr(spread(i)) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _D for j in range(i + 1)))
     whole = _estimates(both.withColumn("start", F.lit(1)), 1.0, "pool", "start")
-    half = _estimates(_concentrated(_measured(rows, median), 0.5), 1.0, "pool", "start").withColumn("start", F.lit(2))
+    half = _estimates(_concentrated(_measured(rows, median, few), 0.5), 1.0, "pool", "start").withColumn("start", F.lit(2))
     now = written(median.unionByName(whole).unionByName(half), "estimates")
     for _ in range(STEPS):
-        now = written(_estimates(_concentrated(_measured(rows, now), SUBSET), CONSISTENCY, "pool", "start"), "estimates")
+        now = written(_estimates(_concentrated(_measured(rows, now, few), SUBSET), CONSISTENCY, "pool", "start"), "estimates")
     size = sum((F.log(f"l{i}{i}") for i in _D), F.lit(0.0))
     best = now.groupBy("pool").agg(F.min_by(F.struct("start", *_ESTIMATE), F.struct(size, "start")).alias("e")).select("pool", "e.*")
-    inliers = _measured(rows, written(best, "estimates")).filter(F.col("distance") <= INLIER)
+    inliers = _measured(rows, written(best, "estimates"), few).filter(F.col("distance") <= INLIER)
     return written(_estimates(inliers.groupBy("pool").agg(*_sums()), REWEIGHTED, "pool"), "estimates")
 
 
@@ -219,10 +219,13 @@ def judged(docs: DataFrame, text: str, lang: str, source: str, least_pool: int,
     fit = written(features(saved.filter(~F.col("base_failed")).select("own", "lang", *STATISTICS)).select("own", "lang", *FEATURES), "features")
     pools = _pools(fit, least_pool)
     spread = fit.select(F.explode(F.array("own", "lang", F.lit(ALL))).alias("of"), *FEATURES)
-    estimates = minimum_determinant(_by_key(spread, pools, F.col("of") == F.col("pool"), "inner").select("pool", *FEATURES))
+    few = pools.count() <= BROADCAST_POOLS
+    member = written(_by_key(spread, pools, F.col("of") == F.col("pool"), "inner", few).select("pool", *FEATURES), "members")
+    estimates = minimum_determinant(member, few)
+    drop_written(member)
     out = features(saved)
     for name, on in (("by_own", F.col("own")), ("by_lang", F.col("lang")), ("by_all", F.lit(ALL))):
-        out = _by_key(out, estimates.select("pool", F.struct(*_ESTIMATE).alias(name)), on == F.col("pool"), "left").drop("pool")
+        out = _by_key(out, estimates.select("pool", F.struct(*_ESTIMATE).alias(name)), on == F.col("pool"), "left", few).drop("pool")
     out = out.withColumn("e", F.coalesce("by_own", "by_lang", "by_all")).select("docs", *STATISTICS, "base_failed", *FEATURES, "e.*")
     far = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

@@ -140,7 +140,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     sets = written(rows.filter("n > 0").groupBy("n", "digest").agg(first, F.min(F.struct("row", "of")).alias("node")).select("n", "digest", "first", "node.*"), "sets")
     copies = written(rows.filter("n > 0").select("row").join(sets.select("row"), "row", "left_anti"), "copies")  # few, or as long as the table
-    nodes = rows.filter("n > 0").join(copies, "row", "left_anti").select(F.col("row").alias("node"), "n", "bits", "keys")
+    signed = rows.filter("n > 0").join(copies, "row", "left_anti").select(F.col("row").alias("node"), "n", "bits", "keys")
+    nodes = written(signed.drop("keys"), "nodes")
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(node, set) of the nodes asked for: their texts are looked up by MD5 and cut into shingles again."""
@@ -148,10 +149,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         texts = named.select("of", "text").join(wanted.select("of"), "of", "left_semi").dropDuplicates(["of"])
         return by_slices(texts.join(wanted, "of").select("node", "text"), "set array<long>", lambda values: [longs([shingle_set(t, shingle) for t in values])])
 
-    entries = nodes.select("node", F.explode("keys").alias("key"))
+    entries = signed.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     live = written(entries.join(shared, "key", "left_semi"), "buckets")
-    roots = joined(nodes.select("node", "n", "bits"), live, None, sets_of, percent / 100, STARS, DRAWS)
+    roots = joined(nodes, live, None, sets_of, percent / 100, STARS, DRAWS)
     of = sets.join(roots.withColumnRenamed("node", "_node"), F.col("row") == F.col("_node"), "left").select("n", "digest", "first", F.coalesce("root", "row").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     found = of.join(least, "root").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.col("least.doc_id").alias("least"))

@@ -287,7 +287,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = written(rows.groupBy("n", "digest").agg(F.min(ordered).alias("first")).select("first"), "sets")
     copies = written(rows.select("row").join(sets.select("first.row"), "row", "left_anti"), "copies")  # few, or as long as the table
-    nodes = without(rows.select(F.col("row").alias("node"), "n", "fingerprint", "prefix", "bits"), copies.withColumnRenamed("row", "node"), "node")
+    nodes = written(without(rows.select(F.col("row").alias("node"), "n", "fingerprint", "prefix", "bits"), copies.withColumnRenamed("row", "node"), "node"), "nodes")
+    drop_written(rows)
     roots = _components(nodes, bare, value, shingle, least)
     of = sets.join(roots, F.col("first.row") == F.col("node"), "left").groupBy(F.coalesce("root", "first.row").alias("root")).agg(F.min("first").alias("first"))
     gone = written(bare.select("row").join(of.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
