@@ -25,14 +25,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round points every node to its least neighbour, follows the pointers to their ends, and replaces the edges
     by the distinct ones between different ends. A dense group shrinks to a point in the first round, so its edges
     are read once only, and nodes at least halve from round to round. Tables are written after every step, so a lost
-    executor costs one step. Loops are ignored, but their node has a row; no edges give no rows.
+    executor costs one step. Loops are ignored, but their node has a row; no edges give no rows. The first round reads
+    `edges` more than once, so hand in a written table.
     """
-    live = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")), "edges")
-    total = None
+    live, total = edges.select(F.col(a).alias("u"), F.col(b).alias("v")), None
     while not live.isEmpty():
-        both = live.union(live.select(F.col("v"), F.col("u")))
+        both = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         ends = _roots(written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")), "parents"))
-        if total is None:
+        first = total is None
+        if first:
             total = ends
         else:
             moved = ends.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -42,6 +43,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         left, right = ends.select(F.col("node").alias("u"), F.col("root").alias("x")), ends.select(F.col("node").alias("v"), F.col("root").alias("y"))
         between = live.join(left, "u").join(right, "v").filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         new = written(between, "edges")
-        drop_written(live)
+        if not first:
+            drop_written(live)
         live = new
     return live.select(F.col("u").alias("node"), F.col("v").alias("root")) if total is None else total

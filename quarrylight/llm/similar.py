@@ -121,12 +121,19 @@ def _fit(least: float, a: tuple[Column, Column] | None = None, b: tuple[Column,
     return sizes & (differ <= (n_a + n_b) * ((1 - least) / (1 + least)) + 1e-9)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node): both ends of every pair, as often as they occur."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sizes and bitmaps allow similarity `least`."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    met = among(nodes.select("node", "n", "bits"), ends, "node")
+    """The pairs whose sizes and bitmaps allow similarity `least`, written. What is known of their ends is written, too,
+    so that a plan looks it up for both ends but finds it once."""
+    met = written(among(nodes.select("node", "n", "bits"), _ends(pairs), "node"), "ends")
     x, y = (met.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").filter(_fit(least)).select("a", "b")
+    out = written(pairs.join(x, "a").join(y, "b").filter(_fit(least)).select("a", "b"), "pairs")
+    drop_written(met)
+    return out
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
@@ -136,8 +143,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     dealt to many tasks.
     """
     met = written(pairs, "met")
-    pairs = written(_possible(met, nodes, least), "pairs")
-    asked = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    pairs = _possible(met, nodes, least)
+    asked = written(_ends(pairs).distinct(), "asked")
     sets = written(sets_of(asked), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -193,7 +200,7 @@ def _drawn(live: DataFrame, nodes: DataFrame, least: float, number: int) -> Data
     found = told.select("node", F.coalesce(*(F.when(f, c["node"]) for f, c in zip(fits, x, strict=True))).alias("other")).filter("other is not null")
     by_hash = F.struct(F.xxhash64("node", "other", F.lit(number)).alias("h"), "other")
     two = found.groupBy("node").agg(F.min(by_hash).alias("p"), F.max(by_hash).alias("q"))
-    pairs = two.select("node", F.col("p.other").alias("other")).unionByName(two.select("node", F.col("q.other").alias("other")))
+    pairs = two.select("node", F.explode(F.array("p.other", "q.other")).alias("other"))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -212,11 +219,12 @@ def _all_apart(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket's members that are still apart and whose sizes and small bitmaps can be similar.
 
     A pair meets in all keys that both have. With each text go its LOW least keys, by rank: a pair that has some of
-    these in common comes from the least of them alone, any other pair from all.
+    these in common comes from the least of them alone, any other pair from all. The entries with what goes with them
+    are written, as the join reads them from both sides.
     """
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key"), "key"))
     low = live.select("node", "key", rank.alias("rank")).filter(F.col("rank") <= LOW).groupBy("node").agg(F.collect_list("key").alias("low"))
-    told = _told(live, nodes).join(low, "node")
+    told = written(_told(live, nodes).join(low, "node"), "told")
     x, y = (told.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "root", "low"))) for c in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     once = F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("key_a")) == F.col("key_a")
@@ -284,6 +292,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     value = F.col("docs").getField(text)
     order = docs.sparkSession.sparkContext.broadcast(_common(bare.select("row", value.alias("text")), shingle))
     rows = written(_signed(bare.select(F.col("docs").getField(doc_id).alias("doc_id"), "row", value.alias("text")), shingle, least, order), "signed")
+    order.destroy()  # megabytes that nothing needs any more
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = written(rows.groupBy("n", "digest").agg(F.min(ordered).alias("first")).select("first"), "sets")
     copies = written(rows.select("row").join(sets.select("first.row"), "row", "left_anti"), "copies")  # few, or as long as the table
